@@ -53,7 +53,6 @@ class Vocabulary:
     def __init__(self, content: bytes):
         self.rank = {base64.b64decode(t): int(r) for t, r in (x.split() for x in content.splitlines() if x)}
         self.bytes = {r: t for t, r in self.rank.items()}
-        self.longest = max(map(len, self.rank))
         self.left, self.right, self.joined = {}, {}, {}
         for r, t in self.bytes.items():
             parts = self.merge(t, r) if len(t) > 1 else []
@@ -64,6 +63,8 @@ class Vocabulary:
                 self.left[r] = self.right[r] = r
         #: tokens that are the encoding of their own bytes
         self.whole = {t: r for t, r in self.rank.items() if len(t) == 1 or self.left[r] != r}
+        #: each ending of such a token: the token, or -1 if the ending itself is none
+        self.endings = {t[i:]: -1 for t in self.whole for i in range(1, len(t))} | self.whole
 
     def merge(self, word: bytes, below: int) -> list[int]:
         """Plain merging with the ranks under ``below``: lowest rank first, leftmost of equals."""
@@ -108,11 +109,13 @@ class PrefixTable:
     def append(self, more: bytes) -> None:
         v, last, start = self.v, self.last, len(self.word)
         self.word = word = self.word + more
-        whole, longest, stays = v.whole.get, v.longest, v.stays
+        endings, stays = v.endings.get, v.stays
         for end in range(start + 1, len(word) + 1):
-            for begin in range(max(0, end - longest), end):
-                t = whole(word[begin:end])
-                if t is not None and (begin == 0 or stays(last[begin], t)):
+            for begin in range(end - 1, -1, -1):
+                t = endings(word[begin:end])  # None: no token ends so, nor with more before it
+                if t is None:
+                    raise ValueError("a byte is missing in the vocabulary")
+                if t >= 0 and (begin == 0 or stays(last[begin], t)):
                     last.append(t)
                     break
             else:
