@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from lectern.llm.reading import reading_levels
 from lectern.llm.tokens import encode_corpus
 from lectern.sources.tables import table
 
@@ -22,3 +25,24 @@ def query(name: str, sql: str | None = None):
 @query("p7_ids")
 def p7_ids(spark, d):
     return encode_corpus(table(spark, d, "documents", "doc_id", "text"))
+
+
+#: From this calibrated grade on a text counts as one of grade 4 or 5.
+DEMANDING = 3.5
+
+
+def _labels(spark, d):
+    return table(spark, d, "reading_labels", "doc_id", "grade")
+
+
+@query("p9_found")
+def p9_found(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text", "lang", "source")
+    levels = reading_levels(docs, _labels(spark, d), only=F.col("lang") == "en")
+    return levels.where(F.col("level") >= DEMANDING).select("doc_id")
+
+
+@query("p9_levels")
+def p9_levels(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text", "lang", "source")
+    return reading_levels(docs, _labels(spark, d)).select("doc_id", F.round("level", 2).alias("level"))
