@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.llm.leaks import find_leaks
 from lectern.llm.reading import reading_levels
 from lectern.llm.tokens import encode_corpus
 from lectern.sources.tables import table
@@ -46,3 +47,22 @@ def p9_found(spark, d):
 def p9_levels(spark, d):
     docs = table(spark, d, "documents", "doc_id", "text", "lang", "source")
     return reading_levels(docs, _labels(spark, d)).select("doc_id", F.round("level", 2).alias("level"))
+
+
+@query(
+    "p8_found",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+    i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+    dg AS (SELECT doc_id, array_to_string(w[k : k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)),
+    ig AS (SELECT item_id, array_to_string(w[k : k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12))
+    SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+    """,
+)
+def p8_found(spark, d):
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
+@query("p8_leaks")
+def p8_leaks(spark, d):
+    return find_leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
