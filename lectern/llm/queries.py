@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.llm.leaks import find_leaks
+from lectern.llm.neighbours import nearest
 from lectern.llm.reading import reading_levels
 from lectern.llm.tokens import encode_corpus
 from lectern.sources.tables import table
@@ -66,3 +67,32 @@ def p8_found(spark, d):
 @query("p8_leaks")
 def p8_leaks(spark, d):
     return find_leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+
+
+_USABLE = """
+    v AS (SELECT vector_id, set_name, target, list_transform(emb, lambda x: x::DOUBLE) AS e FROM vectors
+          WHERE emb IS NOT NULL AND len(emb) = 64 AND len(list_filter(emb, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(emb, lambda x: x <> 0)) > 0)
+"""
+
+
+@query(
+    "p6_found",
+    f"""
+    WITH {_USABLE},
+    p AS (SELECT a.vector_id AS a, b.vector_id AS b, round(list_cosine_similarity(a.e, b.e), 12) AS s
+          FROM v a JOIN v b ON a.set_name = b.set_name AND a.target = b.target AND a.vector_id <> b.vector_id),
+    r AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM p)
+    SELECT DISTINCT least(a, b) AS vector_id_a, greatest(a, b) AS vector_id_b FROM r WHERE n <= 5 AND s >= 0.85
+    """,
+)
+def p6_found(spark, d):
+    lists = nearest(table(spark, d, "vectors", "vector_id", "set_name", "target", "emb"), k=5, least=0.85)
+    pair = lists.select(F.least("id", "other").alias("vector_id_a"), F.greatest("id", "other").alias("vector_id_b"))
+    return pair.distinct()
+
+
+@query("p6_nearest")
+def p6_nearest(spark, d):
+    vectors = table(spark, d, "vectors", "vector_id", "set_name", "target", "emb")
+    lists = nearest(vectors, k=10, margin=0.35, queries=F.col("id") % 100 == 0)
+    return lists.select(F.col("id").alias("vector_id"), F.col("other").alias("neighbour_id"), F.round("similarity", 6).alias("cosine"), "rank")
