@@ -184,7 +184,7 @@ def search_cell(ids, vecs, is_query, is_target, is_home, centre, turn, k, least)
     return out_q, out_t, out_s
 
 
-def nearest(vectors: DataFrame, k: int = 5, least: float | None = None, margin: float = 0.06, probes: int = 64, queries=None, cell: int = CELL, dim: int = DIM) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, least: float | None = None, margin: float = 0.1, probes: int = 64, queries=None, cell: int = CELL, dim: int = DIM) -> DataFrame:
     """(id, other, similarity, rank): the k most similar vectors of each query (all usable ones, or those that meet
     ``queries``, a condition on ``id``) within its group, those under ``least`` left out."""
     rows = usable(vectors, dim)
