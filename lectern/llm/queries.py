@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.llm.copies import expand, near_copies
 from lectern.llm.leaks import find_leaks
 from lectern.llm.neighbours import nearest
 from lectern.llm.reading import reading_levels
@@ -96,3 +97,26 @@ def p6_nearest(spark, d):
     vectors = table(spark, d, "vectors", "vector_id", "set_name", "target", "emb")
     lists = nearest(vectors, k=10, margin=0.35, queries=F.col("id") % 100 == 0)
     return lists.select(F.col("id").alias("vector_id"), F.col("other").alias("neighbour_id"), F.round("similarity", 6).alias("cosine"), "rank")
+
+
+@query(
+    "p4_found",
+    r"""
+    WITH s AS (SELECT pid, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM paragraphs WHERE length(text) >= 80),
+    u AS (SELECT pid, len(w) AS n, unnest(w) AS w FROM s),
+    c AS (SELECT a.pid AS pid_a, b.pid AS pid_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k
+          FROM u a JOIN u b ON a.w = b.w AND a.pid < b.pid GROUP BY 1, 2)
+    SELECT pid_a, pid_b FROM c WHERE k * 10 >= 7 * (na + nb - k)
+    """,
+)
+def p4_found(spark, d):
+    links, members = near_copies(table(spark, d, "paragraphs", "pid", "text"), "pid", "text", 0.7)
+    return expand(links, members).select(F.col("a").alias("pid_a"), F.col("b").alias("pid_b"))
+
+
+@query("p4_classes")
+def p4_classes(spark, d):
+    """Links between representatives of equal word sets at the similarity that shingle operators take."""
+    links, members = near_copies(table(spark, d, "paragraphs", "pid", "text"), "pid", "text", 0.8)
+    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
+    return members.join(ends, "rep", "left").select(F.col("id").alias("pid"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
