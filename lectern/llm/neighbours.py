@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIM, CELL, SAMPLE, CENTRES, SPLIT, SPREAD, SEED = 64, 2000, 30_000, 4096, 30_000, 3.0, 20240229
+DIM, CELL, SAMPLE, CENTRES, SPLIT, SPREAD, SEED = 64, 1200, 30_000, 4096, 30_000, 3.0, 20240229
 #: Copies fewer than this are dropped through a broadcast list, more through a join.
 BROADCAST_ROWS = 500_000
 
@@ -126,29 +126,47 @@ class Codes:
         self.to_centre = x @ centre
         self.centre2 = float(centre @ centre)
 
-    def bounds(self, other: Codes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimates of the inner products of rows ``at`` of ``other`` with all coded vectors, and their error."""
+    def _asked(self, other: Codes, at: np.ndarray):
+        """Rows ``at`` of ``other`` as queries: least value and step of their four-bit form, its sum, and for each coded
+        vector the sum of the query's levels over the code's ones."""
         q = other.rotated[at]
         low = q.min(1, keepdims=True)
         step = np.maximum((q.max(1, keepdims=True) - low) / 15, 1e-12)
         level = np.rint((q - low) / step).astype(np.uint8)
         width = self.code.shape[1] * 8
-        inside = np.zeros((len(at), len(self.code)), np.int32)
+        inside = np.zeros((len(at), len(self.code)), np.uint16)
         for k in range(4):
             packed = np.zeros((len(at), width), np.uint8)
             b = np.packbits((level >> k) & 1, axis=1)
             packed[:, : b.shape[1]] = b
             plane = packed.view(np.uint64)
             for w in range(plane.shape[1]):
-                inside += np.bitwise_count(plane[:, w, None] & self.code[None, :, w]).astype(np.int32) << k
-        kept = low + level * step
-        signed = 2 * (step * inside + low * self.ones) - kept.sum(1, keepdims=True)
-        est = signed / np.sqrt(self.dim) / self.scale
+                inside += np.bitwise_count(plane[:, w, None] & self.code[None, :, w]) * np.uint16(1 << k)
+        return low, step, (low + level * step).sum(1, keepdims=True), inside
+
+    def bounds(self, other: Codes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimates of the inner products of rows ``at`` of ``other`` with all coded vectors, and their error."""
+        low, step, total, inside = self._asked(other, at)
+        est = (2 * (step * inside + low * self.ones) - total) / np.sqrt(self.dim) / self.scale
         both = other.norm[at][:, None] * self.norm
         slack = SPREAD * (self.error + step / np.sqrt(12) / self.scale)
         shift = other.to_centre[at][:, None] + self.to_centre - self.centre2
         return est * both + shift, slack * both
 
+    def reach(self, other: Codes, at: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of ``at``, coded vector) whose estimate plus error is at least ``least``.
+
+        The condition of ``bounds`` solved for the counted bits: what they must exceed is a product of two thin matrices,
+        so a pair costs the bit counts and one comparison.
+        """
+        low, step, total, inside = self._asked(other, at)
+        gain = np.maximum(self.norm, 1e-9) / (np.sqrt(self.dim) * self.scale)
+        norm = np.maximum(other.norm[at], 1e-9)[:, None]
+        root = np.sqrt(self.dim)
+        of_query = np.hstack([2 * low, -total, np.full_like(low, SPREAD), SPREAD * step / np.sqrt(12) * root, 1 / norm, (other.to_centre[at][:, None] - self.centre2 - least) / norm]) / (-2 * step)
+        of_code = np.vstack([self.ones, np.ones_like(gain), self.error * self.scale * root, np.ones_like(gain), self.to_centre / gain, 1 / gain])
+        return np.nonzero(inside + np.float32(0.01) >= of_query.astype(np.float32) @ of_code.astype(np.float32))
+
 
 def search_cell(ids, vecs, is_query, is_target, is_home, centre, turn, k, least):
     """(query, target, similarity): for each query the k best of the cell with at least ``least``."""
@@ -161,14 +179,23 @@ def search_cell(ids, vecs, is_query, is_target, is_home, centre, turn, k, least)
     out_q, out_t, out_s = [], [], []
     for start in range(0, len(q_at), 256):
         at = q_at[start : start + 256]
-        est, err = targets.bounds(codes, at)
-        barred = (ids[at][:, None] == ids[t_at]) | ~(is_home[at][:, None] | is_home[t_at])
-        upper = np.where(barred, -2, est + err)
-        floor = np.full(len(at), -1.0 if least is None else least)
-        if len(t_at) > k and (least is None or (upper >= least).sum() > 64 * len(at)):
-            lower = np.where(barred, -2, est - err)
-            floor = np.maximum(floor, np.partition(lower, len(t_at) - k, axis=1)[:, len(t_at) - k])
-        qi, ti = np.nonzero((upper >= floor[:, None] - 1e-9) & ~barred)
+        wide = np.arange(len(at))  # queries whose candidates are narrowed to those that can be among the k best
+        qi, ti = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if least is not None:
+            qi, ti = targets.reach(codes, at, least)
+            wide = np.flatnonzero(np.bincount(qi, minlength=len(at)) > 256)
+        if len(wide):
+            est, err = targets.bounds(codes, at[wide])
+            barred = (ids[at[wide]][:, None] == ids[t_at]) | ~(is_home[at[wide]][:, None] | is_home[t_at])
+            floor = np.full(len(wide), -1.0 if least is None else least)
+            if len(t_at) > k:
+                lower = np.where(barred, -2, est - err)
+                floor = np.maximum(floor, np.partition(lower, len(t_at) - k, axis=1)[:, len(t_at) - k])
+            wi, wt = np.nonzero((est + err >= floor[:, None] - 1e-9) & ~barred)
+            narrow = ~np.isin(qi, wide)
+            qi, ti = np.r_[qi[narrow], wide[wi]], np.r_[ti[narrow], wt]
+        ok = (ids[at[qi]] != ids[t_at[ti]]) & (is_home[at[qi]] | is_home[t_at[ti]])
+        qi, ti = qi[ok], ti[ok]
         if not len(qi):
             continue
         s = np.concatenate([np.einsum("ij,ij->i", x[at[qi[a : a + 65536]]], x[t_at[ti[a : a + 65536]]]) for a in range(0, len(qi), 65536)]).round(12)
