@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.llm.copies import expand, near_copies
 from lectern.llm.leaks import find_leaks
 from lectern.llm.neighbours import nearest
+from lectern.llm.pieces import chunks
 from lectern.llm.reading import reading_levels
 from lectern.llm.tokens import encode_corpus
 from lectern.sources.tables import table
@@ -120,3 +121,26 @@ def p4_classes(spark, d):
     links, members = near_copies(table(spark, d, "paragraphs", "pid", "text"), "pid", "text", 0.8)
     ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
     return members.join(ends, "rep", "left").select(F.col("id").alias("pid"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _sections(spark, d):
+    return table(spark, d, "paragraphs", "pid", "revision_id", "position", "section_path", "block_kind", "block_label", "text")
+
+
+@query(
+    "p2_found",
+    """
+    WITH k AS (SELECT revision_id, position, section_path, length(text) AS n FROM paragraphs WHERE block_kind IS DISTINCT FROM 'reference'),
+    s AS (SELECT *, CASE WHEN lag(position) OVER w = position - 1 AND lag(section_path) OVER w IS NOT DISTINCT FROM section_path THEN 0 ELSE 1 END AS b
+          FROM k WINDOW w AS (PARTITION BY revision_id ORDER BY position)),
+    i AS (SELECT *, sum(b) OVER (PARTITION BY revision_id ORDER BY position) AS g FROM s)
+    SELECT revision_id, min(position) AS first_pos, max(position) AS last_pos FROM i GROUP BY revision_id, g HAVING sum(n) > 24000
+    """,
+)
+def p2_found(spark, d):
+    return chunks(_sections(spark, d)).select("revision_id", "first_pos", "last_pos").distinct()
+
+
+@query("p2_chunks")
+def p2_chunks(spark, d):
+    return chunks(_sections(spark, d))
