@@ -5,8 +5,8 @@ level: a Poisson process over [0, weight) in which every point falls on one of `
 drawn hierarchically: first the points of the whole range of weights, which are then handed down to the halves of the
 range, so that words share their points at every weight they both have. A place keeps the smallest point over all words,
 and the chance that two records agree in a place is their weighted Jaccard similarity. ``BANDS`` bands of ``ROWS`` places
-are grouped; within a group, pairs are sifted by the last bits of all ``SIZE`` places, and what is left is verified on
-the sets of words.
+are grouped; within a group, pairs are sifted by the last two bits of all ``SIZE`` places (at least ``SIFT`` must agree),
+and what is left is verified on the sets of words.
 
 Weights: words that are in more than a share ``COMMON`` of all records weigh log(1 / share) (in ``LEVELS`` levels, the
 least at least ``LEAST``), all others log(1 / COMMON). Records that have nothing in common but frequent words then
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lectern.sources.tables import materialise
 
-SIZE, ROWS, BANDS, LEVELS, COMMON, LEAST, SIFT = 128, 4, 32, 16, 0.06, 0.05, 86
+SIZE, ROWS, BANDS, LEVELS, COMMON, LEAST, SIFT = 128, 4, 32, 16, 0.06, 0.05, 74
 MIN_CHARS, HOT, BLOCK_ROWS = 80, 1e-4, 20_000
 #: Fewer pairs (or ids, 8 to 16 bytes each) than this are broadcast, more are joined by shuffling.
 BROADCAST_ROWS = 500_000
@@ -142,30 +143,43 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def frequent_words(sets: DataFrame, n: int, common: float) -> dict[str, int]:
-    """Word -> weight level, of the words in more than a share ``common`` of the records."""
-    full = math.log(1 / common)
-    rows = sets.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") > common * n).collect()
-    return {r["w"]: min(LEVELS, max(1, round(max(LEAST, math.log(n / r["count"])) / full * LEVELS))) for r in rows}
-
-
-def classes(records: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, set): a 128-bit hash of the set of words of each record that takes part."""
+def survey(records: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """One pass over all texts: (id, set) with a 128-bit hash of the set of words of each record that takes part, and
+    (word, n) with the records of a part of the input that hold the word."""
 
     def run(batches):
         import xxhash
 
+        seen: Counter = Counter()
+
+        def counted():
+            out = pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.int64()), pa.nulls(len(seen), pa.binary()), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["id", "set", "word", "n"])
+            seen.clear()
+            return out
+
         for b in batches:
             ids, hashes = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = word_set(t)
                 if w:
+                    seen.update(w)
                     ids.append(i)
                     hashes.append(xxhash.xxh3_128_digest("\n".join(w)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary())], names=["id", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary()), pa.nulls(len(ids), pa.string()), pa.nulls(len(ids), pa.int64())], names=["id", "set", "word", "n"])
+            if len(seen) > 300_000:
+                yield counted()
+        yield counted()
 
     fit = records.where(F.col(id_column).isNotNull() & (F.length(text_column) >= MIN_CHARS))
-    return fit.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, "id long, set binary")
+    fit = fit.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    return materialise(fit.mapInArrow(run, "id long, set binary, word string, n long"), "survey")
+
+
+def frequent_words(found: DataFrame, n: int, common: float) -> dict[str, int]:
+    """Word -> weight level, of the words in more than a share ``common`` of the records."""
+    full = math.log(1 / common)
+    rows = found.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > common * n).collect()
+    return {r["word"]: min(LEVELS, max(1, round(max(LEAST, math.log(n / r["n"])) / full * LEVELS))) for r in rows}
 
 
 def _bands(levels, texts: DataFrame) -> DataFrame:
@@ -180,9 +194,9 @@ def _bands(levels, texts: DataFrame) -> DataFrame:
                 bags = [word_set(t) for t in b.column(1).to_pylist()]
                 sig = kept[0].sign(bags)
                 keys = band_keys(sig)
-                sift = np.packbits((sig & np.uint64(1)).astype(np.uint8), axis=1)
+                sift = np.hstack([np.packbits((sig & np.uint64(1)).astype(np.uint8), axis=1), np.packbits((sig & np.uint64(2)).astype(bool), axis=1)])
                 n = b.num_rows
-                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIZE // 8), n * BANDS, [None, pa.py_buffer(np.repeat(sift, BANDS, axis=0).tobytes())])
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIZE // 4), n * BANDS, [None, pa.py_buffer(np.repeat(sift, BANDS, axis=0).tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), raw.cast(pa.binary())], names=["key", "id", "bits"])
 
     return texts.mapInArrow(run, "key long, id long, bits binary")
@@ -209,7 +223,8 @@ def _sift(batches):
     def compare(ids, bits, side, start):
         out = []
         for x, y in groups(ids, bits, side, start):
-            same = SIZE - np.bitwise_count(bits[x] ^ bits[y]).sum(1)
+            differ = bits[x] ^ bits[y]
+            same = SIZE - np.bitwise_count(differ[:, : SIZE // 64] | differ[:, SIZE // 64 :]).sum(1)
             ok = (same >= SIFT) & (ids[x] != ids[y]) & ((side[x] == 0) | (side[x] != side[y]))
             out.append((np.minimum(ids[x[ok]], ids[y[ok]]), np.maximum(ids[x[ok]], ids[y[ok]])))
         if not out:
@@ -220,7 +235,8 @@ def _sift(batches):
     def large(ids, bits, side):
         for a in range(0, len(ids), 1024):
             x = slice(a, a + 1024)
-            same = SIZE - sum(np.bitwise_count(bits[x, w, None] ^ bits[None, a:, w]).astype(np.int32) for w in range(bits.shape[1]))
+            half = SIZE // 64
+            same = SIZE - sum(np.bitwise_count((bits[x, w, None] ^ bits[None, a:, w]) | (bits[x, half + w, None] ^ bits[None, a:, half + w])).astype(np.int32) for w in range(half))
             i, j = np.nonzero((same >= SIFT) & ((side[x, None] == 0) | (side[x, None] != side[None, a:])))
             i, j = i + a, j + a
             ok = (i < j) & (ids[i] != ids[j])
@@ -244,7 +260,7 @@ def _sift(batches):
         if not b.num_rows:
             continue
         k, blk = b.column(0).to_numpy(), b.column(1).to_numpy()
-        part = (k, blk, b.column(2).to_numpy(), b.column(3).to_numpy(), np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(-1, SIZE // 64))
+        part = (k, blk, b.column(2).to_numpy(), b.column(3).to_numpy(), np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(-1, SIZE // 32))
         # everything up to the last run is complete
         last = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (blk[1:] != blk[:-1])])[-1]
         if held and (key != (k[0], blk[0]) or last > 0):
@@ -281,22 +297,21 @@ def near_copies(records: DataFrame, id_column: str, text_column: str, least: flo
     """(links, members): links (a, b, similarity) between class representatives, a < b; members (id, rep), one row per
     record that takes part. Records of one class have the same set of words."""
     spark = records.sparkSession
-    sets = classes(records, id_column, text_column)
+    found = survey(records, id_column, text_column)
+    sets = found.where("id IS NOT NULL").select("id", "set")
     by_set = sets.groupBy("set").agg(F.min("id").alias("rep"))
     members = materialise(sets.join(by_set, "set").select("id", "rep").distinct(), "members")
-    reps = members.where("id = rep").select("id")
-    n = reps.count()
+    n, taken = members.where("id = rep").count(), members.count()
+    others = members.where("id <> rep").select("id")
+    if taken - n <= BROADCAST_ROWS:
+        others = F.broadcast(others)
     texts = records.where(F.length(text_column) >= MIN_CHARS).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     others = members.where("id <> rep").select("id")
     if members.count() - n <= BROADCAST_ROWS:
         others = F.broadcast(others)
     texts = texts.where(F.col("text").rlike(r"[\p{L}\p{N}]")).join(others, "id", "left_anti")
 
-    def distinct_words(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([word_set(t) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["words"])
-
-    levels = frequent_words(texts.select("text").mapInArrow(distinct_words, "words array<string>"), max(1, n), COMMON)
+    levels = frequent_words(found, max(1, taken), COMMON)
     bands = _bands(spark.sparkContext.broadcast(levels), texts)
     # keys that hold more than their share; frequent items miss none
     rows = n * BANDS
