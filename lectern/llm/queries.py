@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.copies import expand, near_copies
 from lectern.llm.leaks import find_leaks
+from lectern.llm.markup import clean_texts, find_markup
 from lectern.llm.neighbours import nearest
 from lectern.llm.pieces import chunks
 from lectern.llm.reading import reading_levels
@@ -144,3 +145,17 @@ def p2_found(spark, d):
 @query("p2_chunks")
 def p2_chunks(spark, d):
     return chunks(_sections(spark, d))
+
+
+def _marked(spark, d):
+    return table(spark, d, "blocks", "block_id", "text", "kind"), table(spark, d, "paragraphs", "pid", "text", "html", "block_kind")
+
+
+@query("p3_found")
+def p3_found(spark, d):
+    return find_markup(*_marked(spark, d))
+
+
+@query("p3_clean")
+def p3_clean(spark, d):
+    return clean_texts(*_marked(spark, d))
