@@ -10,6 +10,7 @@ from lectern.llm.markup import clean_texts, find_markup
 from lectern.llm.neighbours import nearest
 from lectern.llm.pieces import chunks
 from lectern.llm.reading import reading_levels
+from lectern.llm.scans import find_noise, paragraphs_of
 from lectern.llm.tokens import encode_corpus
 from lectern.sources.tables import table
 
@@ -159,3 +160,13 @@ def p3_found(spark, d):
 @query("p3_clean")
 def p3_clean(spark, d):
     return clean_texts(*_marked(spark, d))
+
+
+@query("p1_found")
+def p1_found(spark, d):
+    return find_noise(table(spark, d, "blocks"))
+
+
+@query("p1_paragraphs")
+def p1_paragraphs(spark, d):
+    return paragraphs_of(table(spark, d, "blocks"))
