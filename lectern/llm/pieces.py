@@ -35,17 +35,22 @@ SENTENCE = re.compile(r"[.!?。！？][\"')\]]*\s+|[。！？]")
 LINE, GAP = re.compile(r"\n\s*"), re.compile(r"\s+")
 
 
-def with_sections(paragraphs: DataFrame) -> DataFrame:
-    """Paragraphs that belong to a section, with ``island`` (the section's first position)."""
-    one = paragraphs.where(F.col("revision_id").isNotNull() & F.col("position").isNotNull())
-    one = one.groupBy("revision_id", "position").agg(F.min_by(F.struct(*[c for c in paragraphs.columns if c not in ("revision_id", "position")]), "pid").alias("p")).select("revision_id", "position", "p.*")
-    kept = ~F.coalesce(F.col("block_kind") == "reference", F.lit(False))
-    return islands(one, "revision_id", "position", F.col("section_path"), kept)
+#: Fewer sections than this are broadcast (some 40 bytes each), more are joined by shuffling.
+BROADCAST_ROWS = 200_000
 
 
 def oversized(paragraphs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(revision_id, first_pos, last_pos, chars): sections whose texts have more than ``limit`` characters."""
-    s = with_sections(paragraphs.withColumn("chars", F.length("text")).drop("text"))
+    """(revision_id, first_pos, last_pos, chars): sections whose texts have more than ``limit`` characters.
+
+    Only lengths and a 128-bit hash of the section path are moved.
+    """
+    path = F.concat_ws("\x1f", "section_path")
+    same = F.struct(F.col("section_path").isNull().alias("none"), F.size("section_path").alias("depth"), F.xxhash64(path).alias("h1"), F.xxhash64(F.lit(1), path).alias("h2"))
+    light = paragraphs.where(F.col("revision_id").isNotNull() & F.col("position").isNotNull()).select(
+        "pid", "revision_id", "position", same.alias("path"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"), F.coalesce(F.col("block_kind") == "reference", F.lit(False)).alias("apart")
+    )
+    one = light.groupBy("revision_id", "position").agg(F.min_by(F.struct("path", "chars", "apart"), "pid").alias("p")).select("revision_id", "position", "p.*")
+    s = islands(one, "revision_id", "position", F.col("path"), ~F.col("apart"))
     s = s.groupBy("revision_id", F.col("island").alias("first_pos")).agg(F.max("position").alias("last_pos"), F.sum("chars").alias("chars"))
     return s.where(F.col("chars") > limit)
 
@@ -92,9 +97,13 @@ def chunks(paragraphs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
         raise ValueError("the overlap must be smaller than the limit")
     room = limit - overlap
     cols = paragraphs.select("pid", "revision_id", "position", "section_path", "block_kind", "block_label", "text")
-    cols = cols.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n", F.length("text"))
-    long = oversized(cols, limit).select("revision_id", F.col("first_pos").alias("island"), F.col("last_pos"), F.col("chars").alias("total"))
-    own = with_sections(cols).where("n > 0").join(long, ["revision_id", "island"])
+    long = materialise(oversized(cols, limit).select("revision_id", F.col("first_pos").alias("island"), F.col("last_pos"), F.col("chars").alias("total")), "long")
+    small = F.broadcast(long) if long.count() <= BROADCAST_ROWS else long
+    # texts of those sections alone; a reference ends a section, so the span holds none
+    span = small.select(F.col("revision_id").alias("r"), "island", "last_pos", "total")
+    own = cols.join(span, (F.col("revision_id") == F.col("r")) & F.col("position").between(F.col("island"), F.col("last_pos"))).drop("r", "block_kind")
+    own = own.groupBy("revision_id", "island", "last_pos", "total", "position").agg(F.min_by(F.struct("section_path", "block_label", F.coalesce("text", F.lit("")).alias("text")), "pid").alias("p"))
+    own = own.select("revision_id", "island", "last_pos", "total", "position", "p.*").withColumn("n", F.length("text")).where("n > 0")
     own = materialise(running_sum(own, ["revision_id", "island"], "position", F.col("n")), "sections")
     n = F.greatest(F.lit(1), F.ceil(F.col("total") / room))
     n = n + F.when((n > 1) & (room - F.col("total") / n < SLACK * room), 1).otherwise(0)
