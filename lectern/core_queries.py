@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from lectern.functions.text import content_hash, words
+from lectern.operators import ingest, lookup, reports, retrieval, segment
 from lectern.sources.tables import table
 from lectern.streaming.incremental import changes_by_run
 
@@ -36,3 +40,520 @@ def query(name: str, sql: str | None = None):
 def p5_found(spark, d):
     rows = table(spark, d, "import_rows", "delivery_id", "revision_id", "position", "content_hash", "modified_at", "arrived_at")
     return changes_by_run(rows, table(spark, d, "import_runs", "run_id", "started_at", "status"))
+
+
+# --- retrieval ---------------------------------------------------------------------------------------------------
+
+#: The question asked by the search queries: a word, and the first usable question vector.
+TERM = "lattice"
+_QUERY_VECTOR = """
+    qv AS (SELECT list_transform(emb, lambda x: x::DOUBLE) AS q FROM vectors WHERE set_name = 'primary' AND target = 'question' AND emb IS NOT NULL AND len(emb) = 64
+             AND len(list_filter(emb, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(emb, lambda x: x <> 0)) > 0 ORDER BY vector_id LIMIT 1),
+    vec AS (SELECT owner_id, target, round(list_cosine_similarity(list_transform(emb, lambda x: x::DOUBLE), q), 9) AS score FROM vectors, qv
+             WHERE set_name = 'primary' AND emb IS NOT NULL AND len(emb) = 64 AND len(list_filter(emb, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(emb, lambda x: x <> 0)) > 0)
+"""
+_SCOPE = """
+    rev AS (SELECT revision_id, paper_id FROM revisions WHERE is_current AND stage = 'ready'),
+    ps AS (SELECT p.* FROM paragraphs p JOIN rev USING (revision_id) WHERE coalesce(block_kind, '') <> 'reference'),
+    us AS (SELECT u.* FROM units u JOIN rev USING (revision_id) WHERE coalesce(anchor_kind, '') <> 'reference' AND coalesce(anchor_term, '') <> 'reference')
+"""
+_CHANNELS = """
+    c_p AS (SELECT pid, max(score) AS score FROM ps JOIN vec ON owner_id = pid AND target = 'paragraph' GROUP BY pid ORDER BY 2 DESC, 1 LIMIT 50),
+    ft AS (SELECT pid, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: w = 'lattice')) AS n FROM ps WHERE lower(text) LIKE '%lattice%'),
+    c_f AS (SELECT pid, round(n * 0.1::DOUBLE, 9) AS score FROM ft WHERE n > 0 ORDER BY 2 DESC, 1 LIMIT 50),
+    c_g AS (SELECT unit_id, max(score) AS score FROM us JOIN vec ON owner_id = unit_id AND target = 'gloss' GROUP BY unit_id ORDER BY 2 DESC, 1 LIMIT 50),
+    c_q AS (SELECT us.unit_id, max(score) AS score FROM us JOIN unit_questions q ON q.unit_id = us.unit_id JOIN vec ON owner_id = question_id AND target = 'question' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50)
+"""
+_FUSED = """
+    ph AS (SELECT 'paragraph' AS channel, pid, row_number() OVER (ORDER BY score DESC, pid) AS rank FROM c_p
+           UNION ALL SELECT 'fulltext', pid, row_number() OVER (ORDER BY score DESC, pid) FROM c_f),
+    uh AS (SELECT 'gloss' AS channel, unit_id, row_number() OVER (ORDER BY score DESC, unit_id) AS rank FROM c_g
+           UNION ALL SELECT 'question', unit_id, row_number() OVER (ORDER BY score DESC, unit_id) FROM c_q),
+    items AS (SELECT CASE WHEN u.unit_id IS NULL THEN 'paragraph' ELSE 'unit' END AS item_type, coalesce(u.unit_id, ph.pid) AS item_id, channel, rank
+              FROM ph JOIN paragraphs p ON p.pid = ph.pid LEFT JOIN units u ON u.revision_id = p.revision_id AND p.position BETWEEN u.first_pos AND u.last_pos
+              UNION ALL SELECT 'unit', unit_id, channel, rank FROM uh),
+    best AS (SELECT item_type, item_id, channel, min(rank) AS rank FROM items GROUP BY ALL),
+    fused AS (SELECT item_type, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, count(*) AS n_channels FROM best GROUP BY ALL ORDER BY score DESC, item_type, item_id LIMIT 10)
+"""
+
+
+def query_vector(spark, d):
+    v = table(spark, d, "vectors", "vector_id", "set_name", "target", "emb").where("set_name = 'primary' AND target = 'question' AND size(emb) = 64")
+    v = v.where(F.forall("emb", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("emb", lambda x: x != 0))
+    row = v.orderBy("vector_id").select("emb").first()
+    return list(row["emb"]) if row else [1.0] + [0.0] * 63
+
+
+def _tables(spark, d):
+    return {t: table(spark, d, t) for t in ("paragraphs", "units", "unit_questions", "vectors", "revisions", "papers")}
+
+
+def _scopes(spark, d):
+    t = _tables(spark, d)
+    return t, retrieval.paragraph_scope(t["paragraphs"], t["revisions"]), retrieval.unit_scope(t["units"], t["revisions"])
+
+
+@query("rrf_search", f"WITH {_QUERY_VECTOR}, {_SCOPE}, {_CHANNELS}, {_FUSED} SELECT item_type, item_id, score, n_channels FROM fused")
+def rrf_search(spark, d):
+    hits = retrieval.search(_tables(spark, d), TERM, query_vector(spark, d), channels=("paragraph", "fulltext", "gloss", "question"))
+    return hits.select("item_type", "item_id", "score", F.size("channels").cast("bigint").alias("n_channels"))
+
+
+@query("rrf_search_all_channels")
+def rrf_search_all_channels(spark, d):
+    hits = retrieval.search(_tables(spark, d), r"x \in \mathbb{Z}_{479}", query_vector(spark, d), exclude=())
+    return hits.select("item_type", "item_id", "score", F.map_keys("channels").alias("channels"), "matched_positions")
+
+
+@query("rrf_search_kinds")
+def rrf_search_kinds(spark, d):
+    hits = retrieval.search(_tables(spark, d), TERM, query_vector(spark, d), kinds=("lemma", "theorem", "equation"))
+    return hits.select("item_type", "item_id", "score")
+
+
+@query("channel_vector_paragraph", f"WITH {_QUERY_VECTOR}, {_SCOPE}, {_CHANNELS} SELECT pid, score FROM c_p")
+def channel_vector_paragraph(spark, d):
+    t, p, _ = _scopes(spark, d)
+    return retrieval.vector_channel(p, "pid", t["vectors"], "primary", "paragraph", query_vector(spark, d)).select("pid", "score")
+
+
+@query("channel_vector_gloss", f"WITH {_QUERY_VECTOR}, {_SCOPE}, {_CHANNELS} SELECT unit_id, score FROM c_g")
+def channel_vector_gloss(spark, d):
+    t, _, u = _scopes(spark, d)
+    return retrieval.vector_channel(u, "unit_id", t["vectors"], "primary", "gloss", query_vector(spark, d)).select("unit_id", "score")
+
+
+@query("channel_question_groupmin", f"WITH {_QUERY_VECTOR}, {_SCOPE}, {_CHANNELS} SELECT unit_id, score FROM c_q")
+def channel_question_groupmin(spark, d):
+    t, _, u = _scopes(spark, d)
+    return retrieval.question_channel(u, t["unit_questions"], t["vectors"], "primary", query_vector(spark, d)).select("unit_id", "score")
+
+
+@query("channel_fulltext_term", f"WITH {_QUERY_VECTOR}, {_SCOPE}, {_CHANNELS} SELECT pid, score FROM c_f")
+def channel_fulltext_term(spark, d):
+    return retrieval.fulltext_channel(_scopes(spark, d)[1], TERM).select("pid", "score")
+
+
+@query("channel_fulltext_phrase_not")
+def channel_fulltext_phrase_not(spark, d):
+    return retrieval.fulltext_channel(_scopes(spark, d)[1], '"zero knowledge" lattice -quorum or "public key" digest').select("pid", "score", "rank")
+
+
+@query(
+    "fulltext_matches",
+    f"""
+    WITH {_SCOPE}, w AS (SELECT pid, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS t FROM ps)
+    SELECT pid FROM w WHERE t LIKE '% zero knowledge %' AND t LIKE '% lattice %' AND t NOT LIKE '% quorum %'
+    """,
+)
+def fulltext_matches(spark, d):
+    from lectern.functions.text import matches, websearch
+
+    p = _scopes(spark, d)[1]
+    return p.where(matches(words(F.col("text")), websearch('"zero knowledge" lattice -quorum'))).select("pid")
+
+
+@query("channel_latex")
+def channel_latex(spark, d):
+    return retrieval.latex_channel(_scopes(spark, d)[1], r"x_{27} \in \mathbb{Z}_{479}").select("pid", "score", "rank")
+
+
+@query("scope_current_ready", f"WITH {_SCOPE} SELECT pid, revision_id FROM ps")
+def scope_current_ready(spark, d):
+    return _scopes(spark, d)[1].select("pid", "revision_id")
+
+
+@query("scope_units_kinds", f"WITH {_SCOPE} SELECT unit_id FROM us WHERE anchor_kind IN ('lemma', 'theorem') OR anchor_term IN ('lemma', 'theorem')")
+def scope_units_kinds(spark, d):
+    t = _tables(spark, d)
+    return retrieval.unit_scope(t["units"], t["revisions"], kinds=("lemma", "theorem")).select("unit_id")
+
+
+@query(
+    "enclosing_units",
+    "SELECT p.pid, u.unit_id FROM paragraphs p LEFT JOIN units u ON u.revision_id = p.revision_id AND p.position BETWEEN u.first_pos AND u.last_pos",
+)
+def enclosing_units(spark, d):
+    return retrieval.enclosing(table(spark, d, "paragraphs", "pid", "revision_id", "position"), table(spark, d, "units")).select("pid", "unit_id")
+
+
+@query("search_hydrated")
+def search_hydrated(spark, d):
+    t = _tables(spark, d)
+    return retrieval.hydrate(retrieval.search(t, TERM, query_vector(spark, d)), t).select("item_type", "item_id", "name", "first_pos", "last_pos", "anchor_label", F.transform("paragraphs", lambda p: p["position"]).alias("positions"))
+
+
+# --- tools -------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "unit_hydrate",
+    """
+    SELECT u.unit_id, string_agg(p.position::VARCHAR, ',' ORDER BY p.position) AS positions, sum(length(p.text))::BIGINT AS chars
+    FROM units u JOIN paragraphs p ON p.revision_id = u.revision_id AND p.position BETWEEN u.first_pos AND u.last_pos GROUP BY 1
+    """,
+)
+def unit_hydrate(spark, d):
+    return lookup.unit_paragraphs(table(spark, d, "paragraphs", "revision_id", "position", "text"), table(spark, d, "units"))
+
+
+_LABEL = """
+    l AS (SELECT p.pid, u.anchor_label AS label, row_number() OVER (PARTITION BY p.pid ORDER BY u.last_pos - u.first_pos, u.unit_id) AS n
+          FROM paragraphs p LEFT JOIN units u ON u.revision_id = p.revision_id AND p.position BETWEEN u.first_pos AND u.last_pos AND u.anchor_label IS NOT NULL)
+"""
+
+
+@query("narrowest_unit_label", f"WITH {_LABEL} SELECT pid, label FROM l WHERE n = 1")
+def narrowest_unit_label(spark, d):
+    return lookup.narrowest_label(table(spark, d, "paragraphs", "pid", "revision_id", "position"), table(spark, d, "units"))
+
+
+_LOCATION = f"""{_LABEL},
+    loc AS (SELECT p.pid, list_filter([pa.name, 'p. ' || (p.page + 1), p.section_path[-1]], lambda x: x IS NOT NULL) AS parts, l.label
+            FROM paragraphs p JOIN revisions r USING (revision_id) JOIN papers pa USING (paper_id) JOIN l ON l.pid = p.pid AND l.n = 1),
+    located AS (SELECT pid, array_to_string(CASE WHEN label IS NOT NULL AND NOT list_contains(parts, label) THEN list_append(parts, label) ELSE parts END, ', ') AS location FROM loc)
+"""
+
+
+def _locations(spark, d):
+    return lookup.locations(table(spark, d, "paragraphs", "pid", "revision_id", "position", "page", "section_path"), table(spark, d, "units"), table(spark, d, "revisions"), table(spark, d, "papers"))
+
+
+@query("location_render", f"WITH {_LOCATION} SELECT pid, location FROM located")
+def location_render(spark, d):
+    return _locations(spark, d)
+
+
+@query("document_outline", "SELECT revision_id, array_to_string(section_path, ' / ') AS section, min(position) AS first_pos, min(page) + 1 AS page FROM paragraphs GROUP BY revision_id, section_path")
+def document_outline(spark, d):
+    o = lookup.outline(table(spark, d, "paragraphs", "revision_id", "section_path", "position", "page"))
+    return o.select("revision_id", F.array_join("section_path", " / ").alias("section"), "first_pos", "page")
+
+
+@query("get_paragraphs_page", "SELECT pid, position, page + 1 AS page, content_hash FROM paragraphs WHERE revision_id = 1 AND position BETWEEN 5 AND least(60, 5 + 19)")
+def get_paragraphs_page(spark, d):
+    return lookup.paragraph_range(table(spark, d, "paragraphs", "pid", "revision_id", "position", "page", "content_hash"), 1, 5, 60).select("pid", "position", "page", "content_hash")
+
+
+# cited: each unit cites the paragraph with its number; retrieved: the paragraphs of even position
+_CITED = "SELECT unit_id AS marker, unit_id * 3 AS pid FROM units"
+
+
+def _checked(spark, d):
+    cited = table(spark, d, "units", "unit_id").select(F.col("unit_id").alias("marker"), (F.col("unit_id") * 3).alias("pid"))
+    retrieved = table(spark, d, "paragraphs", "pid", "position").where("position % 2 = 0")
+    return lookup.check_citations(cited, retrieved, _locations(spark, d))
+
+
+@query(
+    "citation_check",
+    f"""
+    WITH {_LOCATION}, c AS ({_CITED}), r AS (SELECT DISTINCT pid FROM paragraphs WHERE position % 2 = 0)
+    SELECT c.marker, c.pid, CASE WHEN r.pid IS NOT NULL THEN location END AS location, CASE WHEN r.pid IS NULL THEN 'not retrieved' WHEN location IS NULL THEN 'no location' END AS removed
+    FROM c LEFT JOIN r ON r.pid = c.pid LEFT JOIN located ON located.pid = c.pid
+    """,
+)
+def citation_check(spark, d):
+    return _checked(spark, d)
+
+
+@query("citations_by_place")
+def citations_by_place(spark, d):
+    return lookup.citations_by_place(_checked(spark, d))
+
+
+@query(
+    "hit_kinds",
+    """
+    WITH k AS (SELECT u.unit_id, list(p.block_kind) AS ks FROM units u LEFT JOIN paragraphs p ON p.revision_id = u.revision_id AND p.position BETWEEN u.first_pos AND u.last_pos GROUP BY 1)
+    SELECT unit_id, array_to_string(list_sort(list_distinct(list_filter(list_concat([anchor_kind, anchor_term], ks), lambda x: x IS NOT NULL))), ',') AS kinds FROM units JOIN k USING (unit_id)
+    """,
+)
+def hit_kinds(spark, d):
+    u = table(spark, d, "units", "unit_id", "revision_id", "first_pos", "last_pos", "anchor_kind", "anchor_term")
+    p = table(spark, d, "paragraphs", "revision_id", "position", "block_kind")
+    span = u.select("unit_id", "revision_id", F.explode(F.sequence("first_pos", "last_pos")).alias("position"))
+    kinds = span.join(p, ["revision_id", "position"]).groupBy("unit_id").agg(F.collect_set("block_kind").alias("ks"))
+    return u.join(kinds, "unit_id", "left").select("unit_id", F.array_join(retrieval.hit_kinds(F.col("anchor_kind"), F.col("anchor_term"), F.coalesce("ks", F.array().cast("array<string>"))), ",").alias("kinds"))
+
+
+# --- documents ---------------------------------------------------------------------------------------------------
+
+
+_BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query("content_hash", f"SELECT pid, sha256(trim(regexp_replace(text, '{_BLANKS}', ' ', 'g'))) AS h FROM paragraphs")
+def content_hash_q(spark, d):
+    return table(spark, d, "paragraphs", "pid", "text").select("pid", content_hash(F.col("text")).alias("h"))
+
+
+@query(
+    "file_dedup",
+    f"WITH h AS (SELECT doc_id, sha256(trim(regexp_replace(text, '{_BLANKS}', ' ', 'g'))) AS h FROM documents WHERE text IS NOT NULL) SELECT h, min(doc_id) AS doc_id, count(*) AS copies FROM h GROUP BY h",
+)
+def file_dedup(spark, d):
+    h = table(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", content_hash(F.col("text")).alias("h"))
+    return h.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query(
+    "paragraph_positions",
+    f"""
+    SELECT block_id, revision_id, row_number() OVER (PARTITION BY revision_id ORDER BY block_index) - 1 AS position, nullif(kind, 'text') AS block_kind
+    FROM blocks WHERE kind NOT IN ('heading', 'furniture') AND trim(regexp_replace(text, '{_BLANKS}', ' ', 'g')) <> ''
+    """,
+)
+def paragraph_positions(spark, d):
+    b = table(spark, d, "blocks", "block_id", "revision_id", "block_index", "page", "bbox", "section_path", "text", "kind")
+    p = ingest.paragraphs_from(b)
+    ids = b.where(~F.col("kind").isin("heading", "furniture")).where(content_hash(F.col("text")) != F.sha2(F.lit(""), 256))
+    from pyspark.sql import Window
+
+    ids = ids.select("block_id", "revision_id", (F.row_number().over(Window.partitionBy("revision_id").orderBy("block_index")) - 1).alias("position"))
+    return p.join(ids, ["revision_id", "position"]).select("block_id", "revision_id", F.col("position").cast("bigint").alias("position"), "block_kind")
+
+
+@query(
+    "running_sections",
+    """
+    WITH b AS (SELECT *, kind = 'heading' AND heading_level = 1 AS t, kind = 'heading' AND coalesce(heading_level, 2) > 1 AS s FROM blocks),
+    k AS (SELECT *, count(*) FILTER (t) OVER (PARTITION BY revision_id ORDER BY block_index) AS book FROM b)
+    SELECT block_id, last_value(CASE WHEN t THEN text END IGNORE NULLS) OVER (PARTITION BY revision_id ORDER BY block_index) AS title,
+           last_value(CASE WHEN s THEN text END IGNORE NULLS) OVER (PARTITION BY revision_id, book ORDER BY block_index) AS section FROM k
+    """,
+)
+def running_sections(spark, d):
+    return ingest.running_sections(table(spark, d, "blocks", "block_id", "revision_id", "block_index", "kind", "heading_level", "text"))
+
+
+@query(
+    "near_duplicates",
+    """
+    WITH p AS (SELECT r.paper_id, p.revision_id, content_hash, length(text) AS n FROM paragraphs p JOIN revisions r USING (revision_id)),
+    mine AS (SELECT DISTINCT revision_id, paper_id, content_hash FROM p WHERE n >= 80), tot AS (SELECT revision_id, count(*) AS n FROM mine GROUP BY 1),
+    theirs AS (SELECT DISTINCT paper_id AS other, content_hash FROM p),
+    s AS (SELECT revision_id, other, count(*) AS k FROM mine JOIN theirs USING (content_hash) WHERE paper_id <> other GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY revision_id ORDER BY k DESC, other) AS i FROM s)
+    SELECT revision_id, other AS similar_paper_id, round((k::DOUBLE / n), 5) AS similarity FROM r JOIN tot USING (revision_id) WHERE i = 1
+    """,
+)
+def near_duplicates(spark, d):
+    s = ingest.shared_content(table(spark, d, "paragraphs", "revision_id", "content_hash", "text"), table(spark, d, "revisions"))
+    return s.select("revision_id", "similar_paper_id", F.round(F.col("similarity").cast("double"), 5).alias("similarity"))
+
+
+# two versions: the stored paragraphs, and the same with every seventh changed and every eleventh gone
+@query(
+    "paragraph_reconcile",
+    """
+    WITH n AS (SELECT revision_id, position, CASE WHEN pid % 7 = 0 THEN content_hash || 'x' ELSE content_hash END AS h FROM paragraphs WHERE pid % 11 <> 0)
+    SELECT coalesce(o.revision_id, n.revision_id) AS revision_id, coalesce(o.position, n.position) AS position,
+           CASE WHEN n.h IS NULL THEN 'deleted' WHEN n.h = o.content_hash THEN 'kept' ELSE 'changed' END AS status, CASE WHEN n.h = o.content_hash THEN o.pid END AS kept_pid
+    FROM paragraphs o FULL JOIN n ON o.revision_id = n.revision_id AND o.position = n.position
+    """,
+)
+def paragraph_reconcile(spark, d):
+    old = table(spark, d, "paragraphs", "pid", "revision_id", "position", "content_hash", "block_label")
+    new = old.where("pid % 11 <> 0").select("revision_id", "position", F.when(F.col("pid") % 7 == 0, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash")).alias("content_hash"))
+    r = ingest.reconcile(old, new, ["block_label"])
+    return r.select("revision_id", "position", "status", F.when(F.col("status") == "kept", F.col("pid")).alias("kept_pid"))
+
+
+# --- passages ----------------------------------------------------------------------------------------------------
+
+_ISLANDS = """
+    k AS (SELECT revision_id, position, section_path, length(text) AS n FROM paragraphs WHERE block_kind IS DISTINCT FROM 'reference'),
+    s AS (SELECT *, CASE WHEN lag(position) OVER w = position - 1 AND lag(section_path) OVER w IS NOT DISTINCT FROM section_path THEN 0 ELSE 1 END AS b
+          FROM k WINDOW w AS (PARTITION BY revision_id ORDER BY position)),
+    i AS (SELECT *, sum(b) OVER (PARTITION BY revision_id ORDER BY position) AS g FROM s)
+"""
+
+
+@query("section_islands", f"WITH {_ISLANDS} SELECT revision_id, min(position) AS first_pos, max(position) AS last_pos, sum(n)::BIGINT AS chars FROM i GROUP BY revision_id, g")
+def section_islands(spark, d):
+    s = segment.sections(table(spark, d, "paragraphs", "revision_id", "position", "section_path", "block_kind", "text"))
+    return s.groupBy("revision_id", F.col("island").alias("first_pos")).agg(F.max("position").alias("last_pos"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("chunks")
+def chunks(spark, d):
+    return segment.chunk_spans(table(spark, d, "paragraphs", "revision_id", "position", "section_path", "block_kind", "text"))
+
+
+@query(
+    "coverage_violations",
+    """
+    SELECT p.revision_id, p.position FROM paragraphs p WHERE coalesce(block_kind, '') NOT IN ('reference', 'footnote', 'caption') AND p.revision_id IN (SELECT revision_id FROM units)
+      AND NOT EXISTS (SELECT 1 FROM units u WHERE u.revision_id = p.revision_id AND p.position BETWEEN u.first_pos AND u.last_pos)
+    """,
+)
+def coverage_violations(spark, d):
+    return segment.uncovered(table(spark, d, "paragraphs", "revision_id", "position", "block_kind"), table(spark, d, "units"))
+
+
+def _replies(spark, d):
+    """Stored units as replies of one chunk per 12 positions, in order of unit id."""
+    u = table(spark, d, "units")
+    return u.withColumn("chunk_first", (F.floor(F.col("first_pos") / 12) * 12).cast("int")).withColumn("chunk_last", F.col("chunk_first") + 14).withColumn("ord", F.col("unit_id")).withColumn("keep_before", F.col("chunk_first") + 10)
+
+
+_REPLIES = "u AS (SELECT *, (first_pos // 12) * 12 AS chunk_first, (first_pos // 12) * 12 + 14 AS chunk_last, (first_pos // 12) * 12 + 10 AS keep_before FROM units)"
+
+
+@query(
+    "reply_errors",
+    f"""
+    WITH {_REPLIES}, w AS (SELECT u.*, p.text, lag(first_pos) OVER (PARTITION BY u.revision_id, chunk_first ORDER BY unit_id) AS prev,
+      row_number() OVER (PARTITION BY u.revision_id, chunk_first, first_pos, last_pos, anchor_label ORDER BY unit_id) AS n
+      FROM u LEFT JOIN paragraphs p ON p.revision_id = u.revision_id AND p.position = u.anchor_pos),
+    e AS (SELECT revision_id, chunk_first, unit_id AS ord, CASE WHEN last_pos > chunk_last OR first_pos > last_pos THEN 'outside the chunk' WHEN first_pos < prev THEN 'out of order' WHEN n > 1 THEN 'twice'
+      WHEN anchor_label IS NOT NULL AND anchor_pos NOT BETWEEN first_pos AND last_pos THEN 'anchor not in span'
+      WHEN anchor_label IS NOT NULL AND (trim(anchor_label) = '' OR NOT coalesce(contains(text, anchor_label), false)) THEN 'label not in paragraph'
+      WHEN anchor_label IS NOT NULL AND NOT contains(lower(anchor_label), lower(anchor_term)) THEN 'term not in label' END AS error FROM w)
+    SELECT * FROM e WHERE error IS NOT NULL
+    """,
+)
+def reply_errors(spark, d):
+    return segment.reply_errors(_replies(spark, d), table(spark, d, "paragraphs", "revision_id", "position", "text")).withColumn("chunk_first", F.col("chunk_first").cast("int"))
+
+
+@query(
+    "merge_units",
+    f"""
+    WITH {_REPLIES}, r AS (SELECT *, row_number() OVER (PARTITION BY revision_id, first_pos, last_pos, anchor_label ORDER BY chunk_first, unit_id) AS n FROM u WHERE first_pos < keep_before)
+    SELECT unit_id FROM r WHERE n = 1
+    """,
+)
+def merge_units(spark, d):
+    return segment.merge_replies(_replies(spark, d)).select("unit_id")
+
+
+@query("quality_flags")
+def quality_flags(spark, d):
+    return segment.quality_flags(table(spark, d, "units"), table(spark, d, "unit_questions", "unit_id", "question"))
+
+
+@query(
+    "quality_flags_plain",
+    """
+    WITH q AS (SELECT unit_id, count(question) AS n FROM unit_questions GROUP BY 1)
+    SELECT u.unit_id, trim(coalesce(gloss, '')) = '' AS gloss_empty, length(trim(coalesce(gloss, ''))) > 600 AS gloss_long, coalesce(n, 0) NOT BETWEEN 3 AND 5 AS question_count FROM units u LEFT JOIN q USING (unit_id)
+    """,
+)
+def quality_flags_plain(spark, d):
+    f = segment.quality_flags(table(spark, d, "units"), table(spark, d, "unit_questions", "unit_id", "question"))
+    return f.select("unit_id", *[F.array_contains("flags", x).alias(x) for x in ("gloss_empty", "gloss_long", "question_count")])
+
+
+# two versions of the units: every ninth gone, every fifth with another gloss
+@query(
+    "unit_diff",
+    """
+    WITH n AS (SELECT revision_id, first_pos, last_pos, anchor_label, CASE WHEN unit_id % 5 = 0 THEN gloss || '.' ELSE gloss END AS gloss FROM units WHERE unit_id % 9 <> 0)
+    SELECT o.unit_id, CASE WHEN n.first_pos IS NULL THEN 'deleted' WHEN n.gloss IS NOT DISTINCT FROM o.gloss THEN 'kept' ELSE 'gloss_changed' END AS change
+    FROM units o LEFT JOIN n ON o.revision_id = n.revision_id AND o.first_pos = n.first_pos AND o.last_pos = n.last_pos AND o.anchor_label IS NOT DISTINCT FROM n.anchor_label
+    """,
+)
+def unit_diff(spark, d):
+    old = table(spark, d, "units", "unit_id", "revision_id", "first_pos", "last_pos", "anchor_label", "gloss")
+    new = old.where("unit_id % 9 <> 0").withColumn("gloss", F.when(F.col("unit_id") % 5 == 0, F.concat("gloss", F.lit("."))).otherwise(F.col("gloss")))
+    return segment.unit_changes(old, new).select("unit_id", "change")
+
+
+@query("block_labels", "SELECT p.pid, l.label FROM paragraphs p LEFT JOIN (SELECT revision_id, anchor_pos, arg_max(anchor_label, unit_id) AS label FROM units WHERE anchor_pos IS NOT NULL GROUP BY 1, 2) l ON l.revision_id = p.revision_id AND l.anchor_pos = p.position")
+def block_labels(spark, d):
+    return segment.block_labels(table(spark, d, "paragraphs", "pid", "revision_id", "position"), table(spark, d, "units"))
+
+
+@query(
+    "fill_missing_vectors",
+    """
+    SELECT p.pid FROM paragraphs p WHERE NOT EXISTS (SELECT 1 FROM vectors v WHERE v.set_name = 'primary' AND v.target = 'paragraph' AND v.owner_id = p.pid AND v.emb IS NOT NULL AND len(v.emb) = 64
+      AND len(list_filter(v.emb, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(v.emb, lambda x: x <> 0)) > 0)
+    """,
+)
+def fill_missing_vectors(spark, d):
+    return segment.missing_vectors(table(spark, d, "paragraphs", "pid"), "pid", table(spark, d, "vectors", "set_name", "target", "owner_id", "emb"), "primary", "paragraph")
+
+
+# --- reports -----------------------------------------------------------------------------------------------------
+
+
+@query(
+    "stratified_sample",
+    "WITH s AS (SELECT unit_id, coalesce(anchor_kind, 'plain') AS stratum, row_number() OVER (PARTITION BY coalesce(anchor_kind, 'plain') ORDER BY sha256(unit_id::VARCHAR), unit_id) AS ord FROM units) SELECT stratum, unit_id, ord FROM s WHERE ord <= 14",
+)
+def stratified_sample(spark, d):
+    u = table(spark, d, "units", "unit_id", "anchor_kind").select("unit_id", F.coalesce("anchor_kind", F.lit("plain")).alias("stratum"))
+    return reports.stratified_sample(u, "stratum", "unit_id").select("stratum", "unit_id", F.col("ord").cast("bigint").alias("ord"))
+
+
+def _graded(spark, d):
+    g = table(spark, d, "reading_labels", "doc_id", "rater", "grade").where("grade IS NOT NULL")
+    one = g.groupBy("doc_id", "rater").agg(F.min("grade").alias("grade"))
+    return one
+
+
+@query(
+    "score_disagreements",
+    """
+    WITH g AS (SELECT doc_id, rater, min(grade) AS grade FROM reading_labels WHERE grade IS NOT NULL GROUP BY 1, 2)
+    SELECT a.doc_id, a.grade AS first, b.grade AS second FROM g a JOIN g b USING (doc_id) WHERE a.rater = 'rater-00' AND b.rater = 'rater-01' AND a.grade <> b.grade
+    """,
+)
+def score_disagreements(spark, d):
+    g = _graded(spark, d)
+    return reports.disagreements(g.where("rater = 'rater-00'"), g.where("rater = 'rater-01'"), ["doc_id"], "grade")
+
+
+@query(
+    "final_scores",
+    """
+    WITH g AS (SELECT doc_id, rater, min(grade) AS grade FROM reading_labels WHERE grade IS NOT NULL GROUP BY 1, 2), a AS (SELECT * FROM g WHERE rater = 'rater-00'), b AS (SELECT * FROM g WHERE rater = 'rater-01')
+    SELECT doc_id, coalesce(b.grade, a.grade) AS grade FROM a FULL JOIN b USING (doc_id)
+    """,
+)
+def final_scores(spark, d):
+    g = _graded(spark, d)
+    return reports.overridden(g.where("rater = 'rater-00'"), g.where("rater = 'rater-01'"), ["doc_id"], "grade")
+
+
+@query(
+    "report_by_group",
+    """
+    SELECT d.source, count(*) AS n, round(avg(l.grade), 6) AS mean_grade, count(*) FILTER (l.grade >= 4) AS demanding, round(100.0::DOUBLE * count(*) FILTER (l.grade >= 4) / count(*), 4) AS share
+    FROM reading_labels l JOIN documents d USING (doc_id) WHERE l.grade IS NOT NULL GROUP BY ROLLUP (d.source)
+    """,
+)
+def report_by_group(spark, d):
+    j = table(spark, d, "reading_labels", "doc_id", "grade").where("grade IS NOT NULL").join(table(spark, d, "documents", "doc_id", "source"), "doc_id")
+    many = F.count_if(F.col("grade") >= 4)
+    return j.rollup("source").agg(F.count("*").alias("n"), F.round(F.avg("grade"), 6).alias("mean_grade"), many.alias("demanding"), F.round(100.0 * many / F.count("*"), 4).alias("share"))
+
+
+@query(
+    "corpus_status",
+    """
+    SELECT s.stage, count(r.revision_id) AS n, coalesce(sum(r.is_current::INT), 0)::BIGINT AS current
+    FROM (VALUES ('parse'), ('segment'), ('embed'), ('ready'), ('failed')) s(stage) LEFT JOIN revisions r ON r.stage = s.stage GROUP BY 1
+    """,
+)
+def corpus_status(spark, d):
+    return reports.status_counts(table(spark, d, "revisions", "stage", "is_current"), spark)
+
+
+@query(
+    "latest_revision",
+    """
+    WITH l AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY revision DESC) AS n FROM revisions)
+    SELECT p.paper_id, p.name, l.revision_id, l.revision, l.stage, s.name AS similar_name FROM papers p JOIN l ON l.paper_id = p.paper_id AND n = 1 LEFT JOIN papers s ON s.paper_id = l.similar_paper_id AND l.similarity >= 0.5::FLOAT
+    """,
+)
+def latest_revision(spark, d):
+    return reports.latest_revisions(table(spark, d, "papers"), table(spark, d, "revisions"))
+
+
+@query("newest_ready_antijoin", "SELECT revision_id, paper_id FROM revisions r WHERE stage = 'ready' AND NOT EXISTS (SELECT 1 FROM revisions n WHERE n.paper_id = r.paper_id AND n.stage = 'ready' AND n.revision > r.revision)")
+def newest_ready_antijoin(spark, d):
+    return reports.newest_ready(table(spark, d, "revisions", "paper_id", "revision_id", "revision", "stage"))
