@@ -557,3 +557,20 @@ def latest_revision(spark, d):
 @query("newest_ready_antijoin", "SELECT revision_id, paper_id FROM revisions r WHERE stage = 'ready' AND NOT EXISTS (SELECT 1 FROM revisions n WHERE n.paper_id = r.paper_id AND n.stage = 'ready' AND n.revision > r.revision)")
 def newest_ready_antijoin(spark, d):
     return reports.newest_ready(table(spark, d, "revisions", "paper_id", "revision_id", "revision", "stage"))
+
+
+# --- streams -----------------------------------------------------------------------------------------------------
+
+
+@query("outbox_cursor", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def outbox_cursor(spark, d):
+    """The events table read as a stream through a cursor, then counted."""
+    import uuid
+
+    from lectern.sources.tables import shared_dir
+    from lectern.streaming.outbox import collected
+
+    work = f"{shared_dir(spark)}/lectern-outbox-{uuid.uuid4().hex}"
+    schema = table(spark, d, "events").schema
+    events = collected(spark, f"{d}/events.parquet*", schema, f"{work}/cursor", f"{work}/events")
+    return events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

@@ -1,6 +1,5 @@
 """Hashes, words, full-text queries and trigram similarity."""
 
-from __future__ import annotations
 
 import hashlib
 import json
@@ -118,7 +117,7 @@ def cover_density(tokens: list[str], query: Terms) -> float:
 def rank_udf(query: Terms):
     @F.pandas_udf(T.DoubleType())
     def rank(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda t: cover_density(list(t), query))
+        return tokens.map(lambda t: cover_density(list(t), query)).astype(float)
 
     return rank
 

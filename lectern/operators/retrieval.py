@@ -4,10 +4,11 @@ Channels give ids only; texts are fetched for the few hits at the end. Ranks are
 paragraph credits every unit that holds it, or itself if none does; an item keeps its best rank per channel.
 """
 
-from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,13 +53,26 @@ def unit_scope(units, revisions, papers=None, kinds=None, exclude=EXCLUDED) -> D
 
 
 def cosine_to(emb: str, query: Sequence[float]) -> Column:
-    """Cosine to a fixed vector as plain arithmetic, which stays in generated code; null for unusable vectors."""
-    dim = len(query)
-    dot = F.expr(" + ".join(f"(double({emb}[{i}]) * {float(q)!r}D)" for i, q in enumerate(query)))
-    norm = F.expr(" + ".join(f"(double({emb}[{i}]) * double({emb}[{i}]))" for i in range(dim)))
-    length = sum(float(q) ** 2 for q in query) ** 0.5
-    sim = dot / (F.sqrt(norm) * F.lit(length))
-    return F.when((F.size(emb) == dim) & (norm > 0) & ~F.isnan(norm), sim)
+    """Cosine to a fixed vector, in blocks of double precision; null for unusable vectors (null, wrong length, not
+    finite, all zero)."""
+    q = np.array(query, np.float64)
+    dim, length = len(q), float(np.sqrt(q @ q))
+
+    @F.arrow_udf("double")
+    def cosine(v: pa.Array) -> pa.Array:
+        if isinstance(v, pa.ChunkedArray):
+            v = v.combine_chunks()
+        out = np.full(len(v), np.nan)
+        offsets = v.offsets.to_numpy()
+        rows = np.flatnonzero((np.diff(offsets) == dim) & ~np.asarray(v.is_null()))
+        if len(rows) and length:
+            values = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            m = values[offsets[:-1][rows][:, None] + np.arange(dim)]
+            with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                out[rows] = (m @ q) / (np.sqrt(np.einsum("ij,ij->i", m, m)) * length)
+        return pa.array(out, mask=~np.isfinite(out))
+
+    return cosine(F.col(emb))
 
 
 def top(df: DataFrame, score: str, key: str, k: int = CANDIDATES) -> DataFrame:
