@@ -337,7 +337,8 @@ def near_copies(records: DataFrame, id_column: str, text_column: str, least: flo
     a = texts.withColumnsRenamed({"id": "a", "text": "text_a"}).join(small, "a")
     b = texts.withColumnsRenamed({"id": "b", "text": "text_b"}).join(small, "b")
     joined = a.join(b, ["a", "b"]).select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(_verify(least), "a long, b long, similarity double"), members
+    links = joined.mapInArrow(_verify(least), "a long, b long, similarity double")
+    return links.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), members
 
 
 def expand(links: DataFrame, members: DataFrame) -> DataFrame:
