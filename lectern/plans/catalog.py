@@ -78,7 +78,7 @@ class WriteCatalog(ReadCatalog):
             if int(d.name) <= self.manifest["events"]:
                 for f in sorted(d.glob("*.parquet")):
                     os.replace(f, out / f"{d.name}-{f.name}")
-                for f in [*d.glob("*"), *d.glob(".*")]:
+                for f in list(d.iterdir()):
                     f.unlink()
                 d.rmdir()
 
