@@ -574,3 +574,35 @@ def outbox_cursor(spark, d):
     schema = table(spark, d, "events").schema
     events = collected(spark, f"{d}/events.parquet*", schema, f"{work}/cursor", f"{work}/events")
     return events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(
+    "document_titles",
+    "WITH f AS (SELECT revision_id, arg_min(text, block_index) AS t FROM blocks WHERE kind = 'heading' GROUP BY 1), l AS (SELECT paper_id, arg_max(t, revision) AS t FROM f JOIN revisions USING (revision_id) GROUP BY 1) SELECT p.paper_id, coalesce(p.title, l.t) AS title FROM papers p LEFT JOIN l USING (paper_id)",
+)
+def document_titles(spark, d):
+    return ingest.fill_titles(table(spark, d, "papers", "paper_id", "title"), table(spark, d, "revisions", "revision_id", "paper_id", "revision"), table(spark, d, "blocks", "revision_id", "block_index", "kind", "text"))
+
+
+@query(
+    "formula_report",
+    r"""
+    WITH m AS (SELECT revision_id, block_kind, len(regexp_extract_all(regexp_replace(text, '\$\$[^$]+\$\$', '$x$', 'g'), '\$[^$]+\$')) AS n FROM paragraphs WHERE NOT contains(text, '\$'))
+    SELECT revision_id, sum(n)::BIGINT AS formulas, count(*) FILTER (block_kind = 'equation' AND n = 0) AS undelimited FROM m GROUP BY 1
+    """,
+)
+def formula_report(spark, d):
+    p = table(spark, d, "paragraphs", "revision_id", "block_kind", "text").where(~F.contains("text", F.lit(r"\$")))
+    return reports.formula_counts(p, "revision_id")
+
+
+@query(
+    "scores_by_source_and_rater",
+    """
+    SELECT d.source, round(avg(grade) FILTER (rater = 'rater-00'), 6) AS "rater-00", round(avg(grade) FILTER (rater = 'rater-01'), 6) AS "rater-01"
+    FROM reading_labels l JOIN documents d USING (doc_id) WHERE grade IS NOT NULL GROUP BY ROLLUP (d.source)
+    """,
+)
+def scores_by_source_and_rater(spark, d):
+    j = table(spark, d, "reading_labels", "doc_id", "rater", "grade").where("grade IS NOT NULL").join(table(spark, d, "documents", "doc_id", "source"), "doc_id")
+    return reports.pivoted(j, "source", "rater", ["rater-00", "rater-01"], "grade")

@@ -184,3 +184,15 @@ def reconcile(old: DataFrame, new: DataFrame, carried: list[str]) -> DataFrame:
     status = F.when(F.col("content_hash").isNull(), "deleted").when(same, "kept").when(F.col("_pid").isNull(), "inserted").otherwise("changed")
     pid = F.when(same, F.col("_pid")).otherwise(F.xxhash64("revision_id", "position", "content_hash"))
     return both.select("revision_id", "position", "content_hash", pid.alias("pid"), status.alias("status"), *[F.when(same, F.col(f"_{c}")).alias(c) for c in carried])
+
+
+def document_titles(blocks: DataFrame) -> DataFrame:
+    """(revision_id, title): the text of the first heading."""
+    return blocks.where("kind = 'heading'").groupBy("revision_id").agg(F.min_by("text", "block_index").alias("title"))
+
+
+def fill_titles(papers: DataFrame, revisions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Papers whose title is null take the one found in their latest parsed revision."""
+    found = document_titles(blocks).join(revisions.select("revision_id", "paper_id", "revision"), "revision_id")
+    latest = found.groupBy("paper_id").agg(F.max_by("title", "revision").alias("_title"))
+    return papers.join(latest, "paper_id", "left").withColumn("title", F.coalesce("title", "_title")).drop("_title")

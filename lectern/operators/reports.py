@@ -44,3 +44,25 @@ def newest_ready(revisions: DataFrame) -> DataFrame:
     r = revisions.where("stage = 'ready'").select("paper_id", "revision_id", "revision")
     newest = r.groupBy("paper_id").agg(F.max_by("revision_id", "revision").alias("revision_id"))
     return newest.select("revision_id", "paper_id")
+
+
+def pivoted(scores: DataFrame, group: str, column: str, values: list[str], value: str) -> DataFrame:
+    """Mean score per group and column, with a row for all (group null) that weighs every score alike."""
+    return scores.rollup(group).agg(*[F.round(F.avg(F.when(F.col(column) == v, F.col(value))), 6).alias(v) for v in values])
+
+
+def formula_counts(texts: DataFrame, group: str) -> DataFrame:
+    """(group, formulas, undelimited): formulas between dollar signs, and equations without any."""
+    from lectern.functions.latex import math_udf
+
+    m = texts.select(group, (F.col("block_kind") == "equation").alias("eq"), F.size(math_udf("text")).alias("n"))
+    return m.groupBy(group).agg(F.sum("n").alias("formulas"), F.count_if(F.coalesce("eq", F.lit(False)) & (F.col("n") == 0)).alias("undelimited"))
+
+
+def markdown_table(df: DataFrame, rows: int = 1000) -> str:
+    """A report as text; reports are small, and more than ``rows`` rows are an error."""
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"a report of more than {rows} rows")
+    head = [f"| {' | '.join(df.columns)} |", f"|{'---|' * len(df.columns)}"]
+    return "\n".join([*head, *(f"| {' | '.join('' if v is None else str(v) for v in r)} |" for r in found)])
