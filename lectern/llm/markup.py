@@ -164,10 +164,13 @@ def masked(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _blank(text: str, spans: list[tuple[int, int]], keep_lines: bool = False) -> str:
+def _blank(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with the spans (in order, apart) replaced by a character that no rule matches."""
+    parts, at = [], 0
     for a, z in spans:
-        text = text[:a] + ("".join("\n" if c == "\n" else "\x00" for c in text[a:z]) if keep_lines else "\x00" * (z - a)) + text[z:]
-    return text
+        parts += [text[at:a], "\x00" * (z - a)]
+        at = z
+    return "".join([*parts, text[at:]])
 
 
 def label(text: str) -> tuple[list[Node], list[tuple[str, int, int, int, int]]]:
@@ -182,16 +185,18 @@ def label(text: str) -> tuple[list[Node], list[tuple[str, int, int, int, int]]]:
         seen = _blank(seen, [(c[1], c[2]) for c in code if c[0] == language])
     seen = _blank(seen, masked(seen))
     nodes: list[Node] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(seen))  # 1 where a construct that bars others lies
     for language, form, rule in RULES:
         for m in rule.finditer(seen):
-            if form in ("quote", "bullet", "list", "command", "environment", "row") or not any(a < m.end() and m.start() < z for a, z in taken):
-                if form in ("bullet", "command", "row") and any(a <= m.start() < z for a, z in taken):
-                    continue
-                c = _costs(language, form, m, seen)
-                nodes.append(Node(language, form, m, *c))
-                if form in ("comment", "tag", "template", "table", "rule", "setext", "list", "environment") or (form == "heading"):
-                    taken.append(m.span())
+            a, z = m.span()
+            if form in ("bullet", "command", "row"):
+                barred = bool(taken[a])
+            else:
+                barred = form not in ("quote", "list", "environment") and taken.find(1, a, z) >= 0
+            if not barred:
+                nodes.append(Node(language, form, m, *_costs(language, form, m, seen)))
+                if form in ("comment", "tag", "template", "table", "rule", "setext", "list", "environment", "heading"):
+                    taken[a:z] = b"\x01" * (z - a)
     if not nodes:
         return [], code
     nodes.sort(key=lambda n: (n.start, -n.end))
