@@ -376,7 +376,20 @@ def section_islands(spark, d):
     return s.groupBy("revision_id", F.col("island").alias("first_pos")).agg(F.max("position").alias("last_pos"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("chunks")
+@query(
+    "chunks",
+    f"""
+    WITH RECURSIVE {_ISLANDS},
+    o AS (SELECT revision_id, g, position, n, row_number() OVER w AS x, sum(n) OVER w AS t, count(*) OVER (PARTITION BY revision_id, g) AS c FROM i WINDOW w AS (PARTITION BY revision_id, g ORDER BY position)),
+    e AS (SELECT s.revision_id, s.g, s.x AS a, any_value(s.position) AS first_pos, any_value(s.c) AS c, max(z.x) AS z, max(z.t) AS tz, max(z.position) AS last_pos
+          FROM o s JOIN o z ON z.revision_id = s.revision_id AND z.g = s.g AND z.x >= s.x AND (z.x = s.x OR z.t - s.t + s.n <= 24000) GROUP BY 1, 2, 3),
+    f AS (SELECT e.revision_id, e.g, e.a, first_pos, last_pos, e.z, e.c, coalesce(min(y.x), e.z + 1) AS nxt
+          FROM e LEFT JOIN o y ON y.revision_id = e.revision_id AND y.g = e.g AND y.x > e.a AND y.x <= e.z AND e.tz - y.t + y.n <= 4000 GROUP BY 1, 2, 3, 4, 5, 6, 7),
+    cut(revision_id, g, a) AS (SELECT revision_id, g, x FROM o WHERE x = 1 UNION ALL SELECT f.revision_id, f.g, f.nxt FROM cut JOIN f ON f.revision_id = cut.revision_id AND f.g = cut.g AND f.a = cut.a WHERE f.z < f.c)
+    SELECT f.revision_id, f.first_pos, f.last_pos, CASE WHEN f.z < f.c THEN o.position END AS keep_before
+    FROM cut JOIN f ON f.revision_id = cut.revision_id AND f.g = cut.g AND f.a = cut.a LEFT JOIN o ON o.revision_id = f.revision_id AND o.g = f.g AND o.x = f.nxt
+    """,
+)
 def chunks(spark, d):
     return segment.chunk_spans(table(spark, d, "paragraphs", "revision_id", "position", "section_path", "block_kind", "text"))
 

@@ -158,8 +158,8 @@ def shared_content(paragraphs: DataFrame, revisions: DataFrame, least_chars: int
     """(revision_id, similar_paper_id, similarity): for each revision the other paper that shares most of its distinct
     hashes of long paragraphs, ties by paper id. All revisions of other papers count, with paragraphs of any length.
 
-    A hash that many papers hold would meet itself quadratically; hashes are first reduced to one row per paper, and
-    pairs are counted per (revision, paper).
+    Hashes are reduced to one row per paper first, so copies inside a paper cost nothing. A hash that p papers hold
+    still gives p pairs per revision, as each of them is a possible answer.
     """
     p = paragraphs.join(revisions.select("revision_id", "paper_id"), "revision_id")
     mine = p.where(F.length("text") >= least_chars).select("revision_id", "paper_id", "content_hash").distinct()
