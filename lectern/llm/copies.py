@@ -5,12 +5,12 @@ level: a Poisson process over [0, weight) in which every point falls on one of `
 drawn hierarchically: first the points of the whole range of weights, which are then handed down to the halves of the
 range, so that words share their points at every weight they both have. A place keeps the smallest point over all words,
 and the chance that two records agree in a place is their weighted Jaccard similarity. ``BANDS`` bands of ``ROWS`` places
-are grouped; within a group, pairs are sifted by the last two bits of all ``SIZE`` places (at least ``SIFT`` must agree),
-and what is left is verified on the sets of words.
+are grouped (they share places, every band has its own choice of them); within a group, pairs are sifted by the last two
+bits of all ``SIZE`` places (at least ``SIFT`` must agree), and what is left is verified on the sets of words.
 
-Weights: words that are in more than a share ``COMMON`` of all records weigh log(1 / share) (in ``LEVELS`` levels, the
-least at least ``LEAST``), all others log(1 / COMMON). Records that have nothing in common but frequent words then
-seldom meet. The table of frequent words is taken from all records and has at most (words per record) / COMMON rows.
+Weights: every word weighs the same, as in the cases' definition, so the places agree with the chance of the similarity
+asked for whatever the collection holds; a family of edited texts that fills much of it makes none of its words light.
+Records that have nothing in common but frequent words seldom meet because a band asks for ``ROWS`` places.
 
 Records with the same set of words are one class and take part once, by their smallest id. A band key that holds more
 than a share ``HOT`` of all rows is found by a bounded count (frequent items, none missed) and split into blocks that are
@@ -23,9 +23,7 @@ digits, lower-cased); other columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lectern.sources.tables import materialise
 
-SIZE, ROWS, BANDS, LEVELS, COMMON, LEAST, SIFT = 128, 4, 32, 16, 0.06, 0.05, 74
+SIZE, ROWS, BANDS, LEVELS, SIFT = 128, 6, 56, 16, 74
 MIN_CHARS, HOT, BLOCK_ROWS = 80, 1e-4, 20_000
 #: Fewer pairs (or ids, 8 to 16 bytes each) than this are broadcast, more are joined by shuffling.
 BROADCAST_ROWS = 500_000
@@ -132,62 +130,53 @@ class Signer:
         return mix(least.view(np.uint32).astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
 
 
+def band_places() -> np.ndarray:
+    """BANDS x ROWS places: each pass over all places deals them to bands in another order (fixed)."""
+    order = np.random.RandomState(4)
+    deals = -(-BANDS // (SIZE // ROWS))
+    return np.concatenate([order.permutation(SIZE)[: SIZE // ROWS * ROWS].reshape(-1, ROWS) for _ in range(deals)])[:BANDS]
+
+
+PLACES = band_places()
+
+
 def band_keys(sig: np.ndarray) -> np.ndarray:
     out = np.zeros((len(sig), BANDS), np.uint64)
     with np.errstate(over="ignore"):
         for b in range(BANDS):
             x = np.full(len(sig), b + 1, np.uint64)
             for r in range(ROWS):
-                x = mix(x * np.uint64(0x9E3779B97F4A7C15) + sig[:, b * ROWS + r])
+                x = mix(x * np.uint64(0x9E3779B97F4A7C15) + sig[:, PLACES[b, r]])
             out[:, b] = x
     return out.view(np.int64)
 
 
 def survey(records: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """One pass over all texts: (id, set) with a 128-bit hash of the set of words of each record that takes part, and
-    (word, n) with the records of a part of the input that hold the word."""
+    """One pass over all texts: (id, set) with a 128-bit hash of the set of words of each record that takes part."""
 
     def run(batches):
         import xxhash
 
-        seen: Counter = Counter()
-
-        def counted():
-            out = pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.int64()), pa.nulls(len(seen), pa.binary()), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["id", "set", "word", "n"])
-            seen.clear()
-            return out
-
         for b in batches:
             ids, hashes = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = word_set(t)
                 if w:
-                    seen.update(w)
                     ids.append(i)
                     hashes.append(xxhash.xxh3_128_digest("\n".join(w)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary()), pa.nulls(len(ids), pa.string()), pa.nulls(len(ids), pa.int64())], names=["id", "set", "word", "n"])
-            if len(seen) > 300_000:
-                yield counted()
-        yield counted()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary())], names=["id", "set"])
 
     fit = records.where(F.col(id_column).isNotNull() & (F.length(text_column) >= MIN_CHARS))
     fit = fit.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return materialise(fit.mapInArrow(run, "id long, set binary, word string, n long"), "survey")
-
-
-def frequent_words(found: DataFrame, n: int, common: float) -> dict[str, int]:
-    """Word -> weight level, of the words in more than a share ``common`` of the records."""
-    full = math.log(1 / common)
-    rows = found.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > common * n).collect()
-    return {r["word"]: min(LEVELS, max(1, round(max(LEAST, math.log(n / r["n"])) / full * LEVELS))) for r in rows}
+    return materialise(fit.mapInArrow(run, "id long, set binary"), "survey")
 
 
-def _bands(levels, texts: DataFrame) -> DataFrame:
+def _bands(texts: DataFrame) -> DataFrame:
     kept: list[Signer] = []
 
     def run(batches):
         if not kept:
-            kept.append(Signer(levels.value))
+            kept.append(Signer({}))
         for whole in batches:
             for a in range(0, whole.num_rows, 256):
                 b = whole.slice(a, 256)
@@ -296,9 +285,7 @@ def _verify(least: float):
 def near_copies(records: DataFrame, id_column: str, text_column: str, least: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """(links, members): links (a, b, similarity) between class representatives, a < b; members (id, rep), one row per
     record that takes part. Records of one class have the same set of words."""
-    spark = records.sparkSession
-    found = survey(records, id_column, text_column)
-    sets = found.where("id IS NOT NULL").select("id", "set")
+    sets = survey(records, id_column, text_column)
     by_set = sets.groupBy("set").agg(F.min("id").alias("rep"))
     members = materialise(sets.join(by_set, "set").select("id", "rep").distinct(), "members")
     n, taken = members.where("id = rep").count(), members.count()
@@ -311,8 +298,7 @@ def near_copies(records: DataFrame, id_column: str, text_column: str, least: flo
         others = F.broadcast(others)
     texts = texts.where(F.col("text").rlike(r"[\p{L}\p{N}]")).join(others, "id", "left_anti")
 
-    levels = frequent_words(found, max(1, taken), COMMON)
-    bands = _bands(spark.sparkContext.broadcast(levels), texts)
+    bands = _bands(texts)
     # keys that hold more than their share; frequent items miss none
     rows = n * BANDS
     hot: dict[int, int] = {}

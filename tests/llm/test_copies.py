@@ -43,6 +43,17 @@ def test_pairs_against_brute_force(spark):
     assert len(ids) == len(set(ids)) and 5004 in ids and 5003 not in ids
 
 
+def test_edited_family_of_a_third_of_the_rows(spark):
+    r = random.Random(5)
+    base, rows = [f"family{i}" for i in range(60)], []
+    for i in range(120):
+        rows.append((i, " ".join(base + [f"edit{i}x{k}" for k in range(r.randrange(8, 13))])))
+    rows += [(i, " ".join(f"rare{r.randrange(20000)}" for _ in range(40))) for i in range(1000, 1240)]
+    links, members = near_copies(spark.createDataFrame(rows, "pid long, text string"), "pid", "text", 0.7)
+    got, want = {(p["a"], p["b"]) for p in expand(links, members).collect()}, brute(rows, 0.7)
+    assert not got - want and len(want) > 3000 and len(got) >= 0.99 * len(want)
+
+
 def test_hot_keys_are_split_without_loss(spark, monkeypatch):
     rows = made(2, 200)
     df = spark.createDataFrame(rows, "pid long, text string")
