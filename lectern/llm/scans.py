@@ -7,8 +7,10 @@ cut at a line end is joined unless the corpus writes it with its hyphen in mid-l
 confusions gives a word that is frequent in the corpus while it is not itself, or (for names, which repeat too seldom)
 when its letter groups are rare in the corpus' names and those of the restored form are frequent.
 
-The vocabulary is counted over all blocks; only words with at least 1/``WORDS`` of all occurrences (and two) are kept, so
-at most ``WORDS`` words, as many compounds and as many letter groups are broadcast, whatever the size of the corpus.
+The vocabulary is counted over all blocks and holds whatever occurs twice. It is never sent anywhere whole: what blocks
+must know (words, cut words, first words of pages) is asked once per distinct question, the keys a question needs are
+joined with the counts, and only answers that are not no go back to the blocks. Thresholds are counts in a corpus of up
+to ``AT`` words and grow in proportion beyond it.
 
 Defined results: blocks with null or empty text have no noise (an empty equation neither); a null page or revision keeps
 a block out of headers, numbers and continuation, not out of the rest; a null ``malformed_math`` leaves the decision to
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from lectern.operators.islands import running_sum
 from lectern.sources.tables import materialise
 
-WORDS, EDGE = 200_000, 2
+AT, LEAST, EDGE = 260_000, 2, 2
 PROSE = ("text", "list_item")
 # What scanners read, and the letters that were there.
 CONFUSIONS = {"0": "o", "1": "l", "5": "s", "í": "i", "rn": "m", "cl": "d", "ii": "u", "li": "h", "vv": "w", "c": "e", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st"}
@@ -162,12 +164,15 @@ def groups(word: str) -> list[str]:
 
 
 class Corpus:
-    """What the corpus writes: frequent words, compounds, letter groups of names."""
+    """What the corpus writes: words, compounds, letter groups of names; of all or of what a question needs.
 
-    def __init__(self, words: dict[str, int], compounds: dict[str, int], letter_groups: dict[str, int]):
-        self.words, self.compounds, self.groups = words, compounds, letter_groups
-        self.heads = Counter()
-        for c, n in compounds.items():
+    ``heads`` are the beginnings of compounds (None: from ``compounds``), ``scale`` multiplies thresholds.
+    """
+
+    def __init__(self, words: dict[str, int], compounds: dict[str, int], letter_groups: dict[str, int], heads: dict[str, int] | None = None, scale: float = 1.0):
+        self.words, self.compounds, self.groups, self.scale = words, compounds, letter_groups, scale
+        self.heads = Counter(heads or {})
+        for c, n in compounds.items() if heads is None else ():
             parts = c.split("-")
             for i in range(1, len(parts)):
                 self.heads["-".join(parts[:i])] += n
@@ -206,7 +211,7 @@ class Corpus:
         for x in restored(f"{a}-{b}"):
             if x in self.compounds:
                 return False
-        return not (sign in "-‐‑" and self.heads.get(a, 0) >= 3 and b in self.words and len(a) > 2)
+        return not (sign in "-‐‑" and self.heads.get(a, 0) >= 3 * self.scale and b in self.words and len(a) > 2)
 
     def misread(self, word: str) -> bool:
         found = self.known.get(word)
@@ -217,15 +222,11 @@ class Corpus:
         return found
 
     def _misread(self, word: str) -> bool:
-        w = word.lower()
-        if len(w) < 3 or w.isdigit():
+        if not in_question(word):
             return False
+        w = word.lower()
         own = self.words.get(w, 0)
         digits = sum(c.isdigit() for c in w)
-        if digits and (not set(w) & set("015") or re.search(r"\d\d|[2346789]", w) or digits * 2 >= len(w)):
-            return False
-        if not any(a in w for a in CONFUSIONS):
-            return False
         options = restored(w)
         best = max((self.words.get(x, 0) for x in options), default=0)
         if best >= 2 and best >= 8 * max(1, own):
@@ -234,14 +235,110 @@ class Corpus:
             return True
         if digits and re.fullmatch(r"[^\W\d_]*(?:[015][^\W\d_]+)+[015]?|[^\W\d_]{2,}[015]", w):
             return not own or best > own
-        if own >= 4 or not word[0].isupper():
+        if own >= 4 * self.scale or not word[0].isupper():
             return False
         weak = self._weakest(w)
-        return any(self._weakest(x) >= max(6, 12 * (weak + 1)) for x in options)
+        return any(self._weakest(x) >= max(6 * self.scale, 12 * (weak + self.scale)) for x in options)
 
     def _weakest(self, w: str) -> int:
         return min((self.groups.get(g, 0) for g in groups(w)), default=0)
 
+    def restore(self, word: str) -> str:
+        """The form of a misread word that the corpus knows best, in lower case."""
+        return max(restored(word.lower()), key=lambda x: (self.words.get(x, 0), self._weakest(x)), default=word)
+
+    def is_name(self, first: str) -> bool:
+        """Whether a word (in lower case) with a capital at the start of a page need not begin a sentence."""
+        return first not in self.words or not first.isalpha() or (len(first) > 3 and self._weakest(first) >= 6 * self.scale and self.words[first] < 50 * self.scale and first not in STARTERS)
+
+
+class Answers(Corpus):
+    """A corpus of which only the answers to one block's questions are known; what is missing is no."""
+
+    def __init__(self, answers: dict[str, str]):
+        super().__init__({}, {}, {})
+        self.answers = answers
+
+    def cut_word(self, left: str, sign: str, right: str) -> bool:
+        return ask("c", left, sign, right) in self.answers
+
+    def misread(self, word: str) -> bool:
+        return ask("m", word) in self.answers
+
+    def restore(self, word: str) -> str:
+        return self.answers[ask("m", word)]
+
+    def is_name(self, first: str) -> bool:
+        return ask("f", first) in self.answers
+
+
+def in_question(word: str) -> bool:
+    """Whether a word's form lets it be misread."""
+    w = word.lower()
+    if len(w) < 3 or w.isdigit():
+        return False
+    digits = sum(c.isdigit() for c in w)
+    if digits and (not set(w) & set("015") or re.search(r"\d\d|[2346789]", w) or digits * 2 >= len(w)):
+        return False
+    return any(a in w for a in CONFUSIONS)
+
+
+def ask(*parts: str) -> str:
+    return "\x01".join(parts)
+
+
+def questions(kind: str | None, text: str, head: str | None, removed: str = "") -> set[str]:
+    """All that ``_look`` can ask a corpus about a block, whatever the answers are."""
+    out: set[str] = set()
+    if kind in ("equation", "code", "table"):
+        return out
+    head = (head or "").lstrip()
+    first = WORD.match(head)
+    if first:
+        out.add(ask("f", first.group().lower()))
+    if m := CUT_AT_END.search(text):
+        out.add(ask("c", m.group(1), m.group(2), first.group() if first else ""))
+    forms = {text}
+    for _ in range(2):  # as ``joined``; a cut touches at most two neighbours of the round before, so parity gives all cases
+        found = set()
+        for form in forms:
+            cuts = list(CUT.finditer(form))
+            out.update(ask("c", *m.groups()) for m in cuts)
+            for even, odd in product(("", "-"), repeat=2) if cuts else [("", "")]:
+                signs = iter((even, odd) * (len(cuts) // 2 + 1))
+                found.add(CUT.sub(lambda m: m.group(1) + next(signs) + m.group(3), form))  # noqa: B023
+        forms = found
+    for form in forms:
+        whole = re.sub(r"[ \t]*\n\s*", " ", form)
+        for part in (MARKUP.sub(" ", form), removed, whole):
+            out.update(ask("m", w) for w in WORD.findall(part) if in_question(w))
+    return out
+
+
+def needed(question: str) -> set[tuple[str, str]]:
+    """(kind, key) of all counts that decide a question; kinds as in ``count_words``, 'h' for heads."""
+    kind, *parts = question.split("\x01")
+    if kind == "c":
+        a, b = parts[0].lower(), parts[2].lower()
+        return {("w", x) for x in (a + b, b, *restored(a + b))} | {("c", x) for x in (f"{a}-{b}", *restored(f"{a}-{b}"))} | {("h", a)}
+    w = parts[0].lower()
+    forms = [w] if kind == "f" else [w, *restored(w)]
+    return {("w", x) for x in forms} | {("g", g) for x in forms for g in groups(x)}
+
+
+def answer(question: str, counts: list[tuple[str, str, int]], scale: float) -> str | None:
+    """None: no; else what a question's answer carries."""
+    kept: dict[str, dict[str, int]] = {"w": {}, "c": {}, "g": {}, "h": {}}
+    for kind, key, n in counts:
+        kept[kind][key] = n
+    corpus = Corpus(kept["w"], kept["c"], kept["g"], kept["h"], scale)
+    kind, *parts = question.split("\x01")
+    if kind == "c":
+        return "" if corpus.cut_word(*parts) else None
+    if kind == "f":
+        return "" if corpus.is_name(parts[0]) else None
+    return corpus.restore(parts[0]) if corpus.misread(parts[0]) else None
+
 
 def restored(w: str) -> list[str]:
     """Forms of ``w`` with one to three confusions undone (all occurrences of sure ones at once)."""
@@ -263,15 +360,36 @@ def restored(w: str) -> list[str]:
     return sorted(out)
 
 
-def corpus_of(blocks: DataFrame) -> Corpus:
+def answers_to(asked: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(question, value) of each distinct question in ``asked`` whose answer is not no."""
     counted = materialise(count_words(blocks), "words")
-    total = {r["kind"]: r["n"] for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    kept: dict[str, dict[str, int]] = {"w": {}, "c": {}, "g": {}}
-    for kind in kept:
-        least = max(2, -(-total.get(kind, 0) // WORDS))
-        for r in counted.where((F.col("kind") == kind) & (F.col("n") >= least)).collect():
-            kept[kind][r["key"]] = r["n"]
-    return Corpus(kept["w"], kept["c"], kept["g"])
+    total = counted.where("kind = 'w'").agg(F.sum("n")).first()[0] or 0
+    scale = max(1.0, total / AT)
+    known = counted.where(F.col("n") >= LEAST)
+    parts = F.split("key", "-")
+    ends = known.where("kind = 'c'").select("n", parts.alias("p")).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("p") - 1)))
+    heads = ends.groupBy(F.lit("h").alias("kind"), F.array_join(F.slice("p", F.lit(1), F.col("i")), "-").alias("key")).agg(F.sum("n").alias("n"))
+
+    def keys(batches):
+        for b in batches:
+            rows = [(q, *k) for q in b.column(0).to_pylist() for k in sorted(needed(q))]
+            for a in range(0, len(rows), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows[a : a + 20_000])], names=["question", "kind", "key"])
+
+    def decide(batches):
+        for b in batches:
+            out = []
+            for q, counts in zip(*(c.to_pylist() for c in b.columns)):
+                value = answer(q, [(c["kind"], c["key"], c["n"]) for c in counts], scale)
+                if value is not None:
+                    out.append((q, value))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string()) for k in (0, 1)], names=["question", "value"])
+
+    needs = asked.select("question").distinct().mapInArrow(keys, "question string, kind string, key string")
+    found = needs.join(known.unionByName(heads), ["kind", "key"], "left")
+    # a count that is missing leaves no entry; the question stays
+    facts = found.groupBy("question").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("kind", "key", "n"))).alias("counts"))
+    return facts.mapInArrow(decide, "question string, value string")
 
 
 def is_raw(text: str, malformed: bool | None) -> bool:
@@ -292,7 +410,7 @@ def repair(text: str, corpus: Corpus, misread: bool = True) -> str:
         w = m.group()
         if not corpus.misread(w) or any(a <= m.start() < z for a, z in spans):
             return w
-        best = max(restored(w.lower()), key=lambda x: (corpus.words.get(x, 0), corpus._weakest(x)), default=w)
+        best = corpus.restore(w)
         return best.capitalize() if w[0].isupper() else best
 
     return WORD.sub(fix, text)
@@ -306,7 +424,6 @@ def examine(blocks: DataFrame) -> DataFrame:
     b = blocks.select("block_id", "revision_id", "block_index", "page", "kind", "text", "malformed_math").where(F.col("kind").isNull() | (F.col("kind") != "furniture"))
     b = b.dropDuplicates(["block_id"])
     everything = blocks.select("block_id", "revision_id", "block_index", "page", "kind", "text")
-    corpus = blocks.sparkSession.sparkContext.broadcast(corpus_of(everything))
     title = everything.where((F.col("kind") == "heading") & (F.col("page") == 0)).groupBy("revision_id").agg(F.min("block_index").alias("title"))
     known = furniture(everything).join(title, "revision_id", "full")
     joined = b.join(known, "revision_id", "left").select(
@@ -331,12 +448,22 @@ def examine(blocks: DataFrame) -> DataFrame:
     tails = ends.join(after, ["revision_id", "page"]).select(F.col("last.block_id").alias("block_id"), "head", "next")
     both = stripped.join(tails, "block_id", "left")
 
+    def inquire(batches):
+        for x in batches:
+            c = x.to_pydict()
+            rows = [(i, q) for i, kind, text, head, gone in zip(*(c[k] for k in ("block_id", "kind", "clean", "head", "removed"))) for q in sorted(questions(kind, text or "", head, gone or ""))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["block_id", "question"])
+
+    asked = materialise(both.select("block_id", "kind", "clean", "head", "removed").mapInArrow(inquire, "block_id long, question string"), "questions")
+    told = asked.join(answers_to(asked, everything), "question").groupBy(F.col("block_id").alias("told")).agg(F.collect_list(F.struct("question", "value")).alias("answers"))
+    both = both.join(told, F.col("block_id").eqNullSafe(F.col("told")), "left")
+
     def look(batches):
-        corp = corpus.value
         for x in batches:
             c = x.to_pydict()
             noise, text, goes = [], [], []
             for k in range(x.num_rows):
+                corp = Answers({a["question"]: a["value"] for a in c["answers"][k] or ()})
                 n, t, go = _look(corp, c["kind"][k], c["clean"][k] or "", c["malformed_math"][k], c["head"][k], c["removed"][k] or "")
                 noise.append([*n, *(["header"] if c["header"][k] else []), *(["page_number"] if c["number"][k] else [])])
                 text.append(t)
@@ -346,7 +473,7 @@ def examine(blocks: DataFrame) -> DataFrame:
                 names=["block_id", "revision_id", "page", "block_index", "kind", "noise", "clean", "next"],
             )
 
-    both = both.select("block_id", "revision_id", "page", "block_index", "kind", "malformed_math", "clean", "header", "number", "head", "next", "removed")
+    both = both.select("block_id", "revision_id", "page", "block_index", "kind", "malformed_math", "clean", "header", "number", "head", "next", "removed", "answers")
     return both.mapInArrow(look, "block_id long, revision_id long, page int, block_index int, kind string, noise array<string>, clean string, next long")
 
 
@@ -357,8 +484,7 @@ def goes_on(text: str, head: str | None, corpus: Corpus) -> bool:
         return False
     if not head[0].isupper():
         return head[0].islower() or head[0] in "$([" or head[0].isdigit()
-    first = WORD.match(head).group().lower()
-    return first not in corpus.words or not first.isalpha() or (len(first) > 3 and corpus._weakest(first) >= 6 and corpus.words[first] < 50 and first not in STARTERS)
+    return corpus.is_name(WORD.match(head).group().lower())
 
 
 # Words that begin a sentence.

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from lectern.llm.scans import Corpus, canonical, find_noise, groups, paragraphs_of, parse_edge, repair, strip_furniture
+from lectern.llm.scans import Corpus, _look, ask, canonical, find_noise, groups, in_question, paragraphs_of, parse_edge, questions, repair, strip_furniture
 
 SCHEMA = "block_id long, revision_id long, block_index int, page int, kind string, text string, malformed_math boolean, bbox array<float>"
 
@@ -72,3 +74,41 @@ def test_noise_of_a_small_document(spark):
     assert text[stops] == "The algorithm selects the boundary, while the algorithm of the counter selects the boundary of the algorithm."
     assert goes not in text and number not in text and head not in text and empty not in text and text[good]
     assert find_noise(df.limit(0)).count() == 0 and paragraphs_of(df.limit(0)).count() == 0
+
+
+def test_rare_words_of_a_large_corpus_are_known(spark):
+    rows = [(1, 1, 0, 9, "text", "the " * 700_000 + "end.", None, None), (2, 1, 1, 20, "text", "So Karstin holds.", None, None)]
+    rows += [(3, 2, 0, 0, "text", "The system selects the", None, None), (4, 2, 1, 1, "text", "Karstin ends.", None, None)]
+    assert (3, "continued") not in {tuple(r) for r in find_noise(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def test_thresholds_grow_with_the_corpus():
+    letters = {g: 40 for g in groups("rentavan")}
+    assert not Corpus({"rentavan": 60}, {}, letters).is_name("rentavan") and Corpus({"rentavan": 60}, {}, letters, scale=2.0).is_name("rentavan")
+    assert not Corpus({"rentavan": 60}, {}, letters, scale=10.0).is_name("rentavan")
+
+
+def test_every_lookup_is_asked_before(corpus):
+    asked = set()
+
+    class Recording(Corpus):
+        def cut_word(self, *parts):
+            asked.add(ask("c", *parts))
+            return random.random() < 0.5
+
+        def misread(self, word):
+            if in_question(word):
+                asked.add(ask("m", word))
+            return super().misread(word)
+
+        def is_name(self, first):
+            asked.add(ask("f", first))
+            return super().is_name(first)
+
+    random.seed(6)
+    for _ in range(300):
+        text = "".join(random.choice(["al", "Cl1", "rnin", "-\n", "-\n", " ", ". ", "$x-\ny$", "`a", "<b>"]) for _ in range(25))
+        head = random.choice(["Clem a", "cl", "", None])
+        _look(Recording(corpus.words, corpus.compounds, corpus.groups), "text", text, None, head, "Clinic")
+        assert asked <= questions("text", text, head, "Clinic"), text
+        asked.clear()
