@@ -619,3 +619,40 @@ def formula_report(spark, d):
 def scores_by_source_and_rater(spark, d):
     j = table(spark, d, "reading_labels", "doc_id", "rater", "grade").where("grade IS NOT NULL").join(table(spark, d, "documents", "doc_id", "source"), "doc_id")
     return reports.pivoted(j, "source", "rater", ["rater-00", "rater-01"], "grade")
+
+
+# The three above that take two raters equal their SQL; these take every rater of the table.
+
+
+@query(
+    "score_disagreements_of_all_raters",
+    """
+    WITH g AS (SELECT doc_id, rater, min(grade) AS grade FROM reading_labels WHERE grade IS NOT NULL AND rater IS NOT NULL GROUP BY 1, 2)
+    SELECT a.doc_id, a.rater AS first_rater, b.rater AS second_rater, a.grade AS first, b.grade AS second FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.rater < b.rater WHERE a.grade <> b.grade
+    """,
+)
+def score_disagreements_of_all_raters(spark, d):
+    return reports.disagreements_of_all(_graded(spark, d), ["doc_id"], "rater", "grade")
+
+
+@query(
+    "final_scores_of_all_raters",
+    """
+    WITH g AS (SELECT doc_id, rater, min(grade) AS grade FROM reading_labels WHERE grade IS NOT NULL AND rater IS NOT NULL GROUP BY 1, 2)
+    SELECT doc_id, arg_max(grade, rater) AS grade FROM g GROUP BY 1
+    """,
+)
+def final_scores_of_all_raters(spark, d):
+    return reports.overridden_by_all(_graded(spark, d), ["doc_id"], "rater", "grade")
+
+
+@query(
+    "scores_by_source_and_every_rater",
+    """
+    SELECT d.source, l.rater, round(avg(grade), 6) AS mean FROM reading_labels l JOIN documents d USING (doc_id)
+    WHERE grade IS NOT NULL GROUP BY GROUPING SETS ((d.source, l.rater), (l.rater))
+    """,
+)
+def scores_by_source_and_every_rater(spark, d):
+    j = table(spark, d, "reading_labels", "doc_id", "rater", "grade").where("grade IS NOT NULL").join(table(spark, d, "documents", "doc_id", "source"), "doc_id")
+    return reports.means_by_column(j, "source", "rater", "grade")

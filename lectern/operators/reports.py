@@ -24,6 +24,18 @@ def overridden(base: DataFrame, override: DataFrame, keys: list[str], value: str
     return base.select(*keys, F.col(value).alias("b")).join(override.select(*keys, F.col(value).alias("o")), keys, "full").select(*keys, F.coalesce("o", "b").alias(value))
 
 
+def disagreements_of_all(scores: DataFrame, keys: list[str], rater: str, value: str) -> DataFrame:
+    """Every two raters of a key that differ, the smaller name first; a null rater compares with nobody."""
+    a = scores.select(*keys, F.col(rater).alias("first_rater"), F.col(value).alias("first"))
+    b = scores.select(*keys, F.col(rater).alias("second_rater"), F.col(value).alias("second"))
+    return a.join(b, keys).where("first_rater < second_rater AND first <> second").select(*keys, "first_rater", "second_rater", "first", "second")
+
+
+def overridden_by_all(scores: DataFrame, keys: list[str], rater: str, value: str) -> DataFrame:
+    """``overridden`` from rater to rater in order of their names: the last one who has a value wins."""
+    return scores.where(F.col(rater).isNotNull()).groupBy(*keys).agg(F.max_by(value, rater).alias(value))
+
+
 def status_counts(revisions: DataFrame, spark) -> DataFrame:
     """Revisions by stage, with zero for stages that have none."""
     stages = spark.createDataFrame([(s,) for s in STAGES], "stage string")
@@ -51,6 +63,13 @@ def pivoted(scores: DataFrame, group: str, column: str, values: list[str], value
     return scores.rollup(group).agg(*[F.round(F.avg(F.when(F.col(column) == v, F.col(value))), 6).alias(v) for v in values])
 
 
+def means_by_column(scores: DataFrame, group: str, column: str, value: str) -> DataFrame:
+    """``pivoted`` in long form, for every value of the column: (group, column, mean), with rows for all (group null)."""
+    mean = F.round(F.avg(value), 6).alias("mean")
+    each = scores.groupBy(group, column).agg(mean)
+    return each.unionByName(scores.groupBy(column).agg(mean).select(F.lit(None).cast(each.schema[group].dataType).alias(group), column, "mean"))
+
+
 def formula_counts(texts: DataFrame, group: str) -> DataFrame:
     """(group, formulas, undelimited): formulas between dollar signs, and equations without any."""
     from lectern.functions.latex import math_udf

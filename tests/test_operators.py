@@ -154,6 +154,18 @@ def test_sample_does_not_depend_on_order(spark):
     assert a == b and len(a) == 42
 
 
+def test_reports_take_every_rater(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(1, "rater-00", 2), (1, "rater-01", 3), (1, "rater-07", 5), (2, "rater-07", 4), (2, "rater-11", 4), (3, "rater-05", None), (2, None, 1)]
+    spark.createDataFrame(rows, "doc_id long, rater string, grade int").write.parquet(str(tmp_path / "reading_labels.parquet"))
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "doc_id long, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {n: {tuple(r) for r in entry.queries()[n](spark, str(tmp_path)).collect()} for n in ("final_scores_of_all_raters", "score_disagreements_of_all_raters", "scores_by_source_and_every_rater")}
+    assert got["final_scores_of_all_raters"] == {(1, 5), (2, 4)}
+    assert got["score_disagreements_of_all_raters"] == {(1, "rater-00", "rater-01", 2, 3), (1, "rater-00", "rater-07", 2, 5), (1, "rater-01", "rater-07", 3, 5)}
+    assert {r for r in got["scores_by_source_and_every_rater"] if r[1] in ("rater-07", "rater-11")} == {("a", "rater-07", 5.0), ("b", "rater-07", 4.0), (None, "rater-07", 4.5), ("b", "rater-11", 4.0), (None, "rater-11", 4.0)}
+
+
 def test_catalog(spark, tmp_path):
     w = WriteCatalog(spark, str(tmp_path))
     w.commit({"t": spark.range(3)}, meta={"k": "1"}, events=spark.createDataFrame([(1, "ready")], "id long, what string"))
