@@ -28,7 +28,7 @@ BREAKING = frozenset("address article aside blockquote br center dd div dl dt fi
 TEXT_COMMANDS = frozenset("emph textbf textit texttt textsc textrm textsf underline section subsection subsubsection chapter paragraph part label ref eqref cite citep citet footnote item caption title author begin end it bf tt em sc rm sf url href includegraphics input include centering noindent newline linebreak pagebreak par maketitle documentclass usepackage bibliography bibliographystyle vspace hspace index".split())
 FORMULA = re.compile(r"(?<!\\)\$\$?[^$]{1,600}?(?<!\\)\$\$?")
 PROSE = re.compile(r"[A-Za-z]{3,}(?:\s+[A-Za-z]{2,}){3}")
-ANY = re.compile(r"<[a-zA-Z/!]|&#?\w+;|\*|`|^\s{0,3}#|\]\(|^>|^\s{0,3}[-+] |\[\[|\{\{|\{\||''|^=|\\[a-zA-Z\[(]|^\s*\|", re.M)
+ANY = re.compile(r"<[a-zA-Z/!]|&#?\w+;|\*|`|^\s{0,3}#|\]\(|^ {0,3}>|^\s{0,3}[-+][ \t]|^\s*:?-{3}|^ {0,3}={3}|(?<!\w)_|\[\[|\{\{|\{\||''|^=|\\[a-zA-Z\[(]|^\s*\|", re.M)
 RULES = [
     ("html", "comment", re.compile(r"<!--.*?-->", re.S)),
     ("html", "tag", re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)((?:\s+[a-zA-Z_:][\w:.-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>=]+))?)*)\s*/?>")),

@@ -3,7 +3,7 @@ from itertools import product
 
 import pytest
 
-from lectern.llm.markup import clean, clean_texts, find_markup, languages, languages_in_html, min_cut
+from lectern.llm.markup import ANY, RULES, clean, clean_texts, find_markup, languages, languages_in_html, min_cut
 
 
 @pytest.mark.parametrize(
@@ -35,6 +35,27 @@ def test_clean_keeps_structure():
     assert clean(long).endswith("x") and len(clean(long)) == len(long) - 7
 
 
+EXAMPLES = {
+    ("html", "comment"): ["<!-- a -->"], ("html", "tag"): ["<b>", "</b>"], ("html", "entity"): ["&amp;", "&#44;"],
+    ("markdown", "image"): ["![a](b)"], ("markdown", "link"): ["[a](b)"], ("markdown", "heading"): ["# T", "   ## T"], ("markdown", "setext"): ["T\n===", "T\n---", "T\n   ==="],
+    ("markdown", "rule"): ["a | b\n--- | ---", "a | b\n:---: | :---", "|---|---|"], ("markdown", "row"): ["| a | b |"], ("markdown", "strong"): ["a **b** c", "a __b__ c"], ("markdown", "emphasis"): ["a *b* c", "a _b_ c"],
+    ("markdown", "span"): ["`a`"], ("markdown", "quote"): ["> a", "  > a"], ("markdown", "bullet"): ["- a", "-\ta", " \t+ a"],
+    ("wiki", "bold"): ["'''a'''"], ("wiki", "italic"): ["''a''"], ("wiki", "heading"): ["== T =="], ("wiki", "link"): ["[[a]]"], ("wiki", "template"): ["{{a}}"], ("wiki", "table"): ["{|\n|}"], ("wiki", "list"): ["* [[a]]", ": ''a''"],
+    ("latex", "display"): [r"\[ a \]", r"\( a \)"], ("latex", "environment"): [r"\begin{a}"], ("latex", "command"): [r"\emph"],
+}
+
+
+@pytest.mark.parametrize("language, name, rule", RULES)
+def test_cheap_test_lets_every_rule_through(language, name, rule):
+    for text in EXAMPLES[language, name]:
+        assert rule.search(text) and ANY.search(text), text
+
+
+@pytest.mark.parametrize("text", ["a __strong__ word", "an _old_ word", "Title\n---\n\ntext", "a | b\n--- | ---\n1 | 2", "t\n\n  > quoted", "t\n\n-\tone\n-\ttwo"])
+def test_markup_without_another_trigger(text):
+    assert languages(text) == ["markdown"] and clean(text) != text
+
+
 def test_min_cut_is_the_cheapest_labelling():
     r = random.Random(1)
     for _ in range(200):
