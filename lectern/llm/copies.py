@@ -12,9 +12,10 @@ Weights: every word weighs the same, as in the cases' definition, so the places
 asked for whatever the collection holds; a family of edited texts that fills much of it makes none of its words light.
 Records that have nothing in common but frequent words seldom meet because a band asks for ``ROWS`` places.
 
-Records with the same set of words are one class and take part once, by their smallest id. A band key that holds more
-than a share ``HOT`` of all rows is found by a bounded count (frequent items, none missed) and split into blocks that are
-compared pair by pair in tasks of their own.
+Records with the same set of words are one class and take part once, by their smallest id. Band keys that hold
+more than ``BLOCK_ROWS`` rows are looked for among the keys of a share of the records (all of them where ``BLOCK_ROWS`` is
+small) that is expected to hold ``SEEN`` rows of each, and split into blocks that are compared pair by pair in tasks of
+their own; an overlooked key would cost time and no pair.
 
 Defined results: null, empty and short texts (under ``MIN_CHARS`` characters) and texts without a word belong to no
 pair; ids are taken once; equal texts are pairs; the similarity is that of the sets of words (maximal runs of letters or
@@ -23,6 +24,7 @@ digits, lower-cased); other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 from lectern.sources.tables import materialise
 
 SIZE, ROWS, BANDS, LEVELS, SIFT = 128, 6, 56, 16, 74
-MIN_CHARS, HOT, BLOCK_ROWS = 80, 1e-4, 20_000
+MIN_CHARS, BLOCK_ROWS, SEEN = 80, 20_000, 400
+#: No longer read (keys are judged by ``BLOCK_ROWS`` alone); kept for those who set it.
+HOT = 1e-4
 #: Fewer pairs (or ids, 8 to 16 bytes each) than this are broadcast, more are joined by shuffling.
 BROADCAST_ROWS = 500_000
 WORDS = re.compile(r"[^\W_]+")
@@ -282,6 +286,15 @@ def _verify(least: float):
     return run
 
 
+def hot_keys(texts: DataFrame) -> dict[int, int]:
+    """Band key -> number of blocks, of the keys with more than ``BLOCK_ROWS`` rows; found from half of that on."""
+    share = min(1.0, SEEN / BLOCK_ROWS)
+    some = texts if share == 1 else texts.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000))
+    most = BLOCK_ROWS if share == 1 else BLOCK_ROWS * share / 2
+    rows = _bands(some).groupBy("key").count().where(F.col("count") > most).collect()
+    return {r["key"]: max(2, math.ceil(r["count"] / share / BLOCK_ROWS)) for r in rows}
+
+
 def near_copies(records: DataFrame, id_column: str, text_column: str, least: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """(links, members): links (a, b, similarity) between class representatives, a < b; members (id, rep), one row per
     record that takes part. Records of one class have the same set of words."""
@@ -299,13 +312,7 @@ def near_copies(records: DataFrame, id_column: str, text_column: str, least: flo
     texts = texts.where(F.col("text").rlike(r"[\p{L}\p{N}]")).join(others, "id", "left_anti")
 
     bands = _bands(texts)
-    # keys that hold more than their share; frequent items miss none
-    rows = n * BANDS
-    hot: dict[int, int] = {}
-    if rows * HOT > BLOCK_ROWS:
-        found = bands.stat.freqItems(["key"], HOT).first()[0]
-        if found:
-            hot = {r["key"]: -(-r["count"] // BLOCK_ROWS) for r in bands.where(F.col("key").isin(found)).groupBy("key").count().where(F.col("count") > BLOCK_ROWS).collect()}
+    hot = hot_keys(texts) if n > BLOCK_ROWS else {}  # a key has a record once
     plain = bands.select("key", F.lit(0).alias("block"), "id", F.lit(0).cast("byte").alias("side"), "bits")
     if hot:
         # block i meets block j in task (i, j), i <= j

@@ -64,6 +64,18 @@ def test_hot_keys_are_split_without_loss(spark, monkeypatch):
     assert got == want and want
 
 
+def test_hot_keys_of_a_small_collection_are_found(spark, monkeypatch):
+    rows = made(2, 100) + [(7000 + i, " ".join([f"family{k}" for k in range(60)] + [f"edit{i}"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "pid long, text string")
+    found, links, search = [], [], copies.hot_keys
+    monkeypatch.setattr(copies, "hot_keys", lambda texts: found.append(search(texts)) or found[-1])
+    for rows_in_block in (20_000, 50):
+        monkeypatch.setattr(copies, "BLOCK_ROWS", rows_in_block)
+        links.append({(r["a"], r["b"]) for r in near_copies(df, "pid", "text")[0].collect()})
+    assert links[0] == links[1] and links[0]
+    assert len(found) == 1 and max(found[0].values()) >= 5  # 300 records that share most keys, in blocks of 50
+
+
 def test_agreement_is_weighted_jaccard():
     levels = {f"w{i}": 1 + i % 16 for i in range(64)}
     r = random.Random(3)
@@ -89,3 +101,11 @@ def test_points_have_the_rate_of_the_weight():
 def test_empty(spark):
     links, members = near_copies(spark.createDataFrame([], "pid long, text string"), "pid", "text")
     assert links.count() == 0 and members.count() == 0 and expand(links, members).count() == 0
+
+
+def test_hot_keys_are_found_in_a_share_of_the_records(spark, monkeypatch):
+    monkeypatch.setattr(copies, "BLOCK_ROWS", 1000)
+    monkeypatch.setattr(copies, "SEEN", 250)
+    rows = [(i, " ".join(f"family{k}" for k in range(60))) for i in range(3000)] + [(9000 + i, f"one{i} two{i} three{i}") for i in range(500)]
+    hot = copies.hot_keys(spark.createDataFrame(rows, "id long, text string"))
+    assert len(hot) == copies.BANDS and set(hot.values()) <= {3, 4}
