@@ -656,3 +656,9 @@ def final_scores_of_all_raters(spark, d):
 def scores_by_source_and_every_rater(spark, d):
     j = table(spark, d, "reading_labels", "doc_id", "rater", "grade").where("grade IS NOT NULL").join(table(spark, d, "documents", "doc_id", "source"), "doc_id")
     return reports.means_by_column(j, "source", "rater", "grade")
+
+
+@query("formula_report_of_all")
+def formula_report_of_all(spark, d):
+    """``formula_report`` over all paragraphs, those with an escaped dollar sign too (its SQL has no form for them)."""
+    return reports.formula_counts(table(spark, d, "paragraphs", "revision_id", "block_kind", "text"), "revision_id")

@@ -166,6 +166,15 @@ def test_reports_take_every_rater(spark, tmp_path):
     assert {r for r in got["scores_by_source_and_every_rater"] if r[1] in ("rater-07", "rater-11")} == {("a", "rater-07", 5.0), ("b", "rater-07", 4.0), (None, "rater-07", 4.5), ("b", "rater-11", 4.0), (None, "rater-11", 4.0)}
 
 
+def test_formulas_beside_escaped_dollars_are_counted(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(1, "text", r"it costs \$5, $x$ and $$y$$"), (1, "text", "so $z$"), (2, "equation", r"\$5 alone"), (3, "text", None)]
+    spark.createDataFrame(rows, "revision_id long, block_kind string, text string").write.parquet(str(tmp_path / "paragraphs.parquet"))
+    got = {tuple(r) for r in entry.queries()["formula_report_of_all"](spark, str(tmp_path)).collect()}
+    assert {(1, 3, 0), (2, 0, 1)} <= got and {r[0] for r in got} == {1, 2, 3}
+
+
 def test_catalog(spark, tmp_path):
     w = WriteCatalog(spark, str(tmp_path))
     w.commit({"t": spark.range(3)}, meta={"k": "1"}, events=spark.createDataFrame([(1, "ready")], "id long, what string"))
