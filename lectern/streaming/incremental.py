@@ -4,7 +4,8 @@ Deliveries form a log that is split into partitions by a hash of the record key.
 delivery is ``(arrived_at, delivery_id)``, which orders it without a sequence number that a single writer would hand
 out. A run
 
-1. writes its *plan* (per partition the offset it starts after and the offset it ends at) before it touches a record,
+1. writes its *plan* (per partition the offset it starts after and the offset it ends at, and the appends it can see)
+   before it touches a record; what was appended since the last commit is taken up to the end whatever its offset,
 2. reduces the planned slice of the log to one winner per key (greatest ``modified_at``, then ``delivery_id``),
 3. merges the winners into the state and gives out the keys whose value is new or changed,
 4. writes the changes under their key and offset, then the new state, then the commit mark.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -105,7 +107,7 @@ def changes_by_run(rows: DataFrame, runs: DataFrame, in_plan: int = RUNS_IN_PLAN
 class IncrementalRuns:
     """Runs one after another over a growing log, each under a write-ahead plan.
 
-    ``root`` is a folder that all executors share. Layout: ``log/`` (parquet, appended), ``plans/<run>.json``,
+    ``root`` is a folder that all executors share. Layout: ``log/append=<id>/`` (parquet, moved in whole), ``plans/<run>.json``,
     ``state/<run>/``, ``sink/run=<run>/``, ``commits/<run>.json``. ``fail_at`` is for tests: the step to die before.
     """
 
@@ -115,7 +117,10 @@ class IncrementalRuns:
             (self.root / d).mkdir(parents=True, exist_ok=True)
 
     def append(self, rows: DataFrame) -> None:
-        capture(rows, self.partitions).write.mode("append").parquet(str(self.root / "log"))
+        name = f"a{uuid.uuid4().hex}"
+        capture(rows, self.partitions).write.parquet(str(self.root / "incoming" / name))
+        (self.root / "log").mkdir(exist_ok=True)
+        os.replace(self.root / "incoming" / name, self.root / "log" / f"append={name}")
 
     def committed(self) -> list[dict]:
         found = [json.loads(p.read_text()) for p in (self.root / "commits").glob("*.json")]
@@ -129,11 +134,12 @@ class IncrementalRuns:
         last = self.committed()
         start = last[-1]["ends"] if last else {}
         ends = dict(start)
-        log = self._log()
+        seen = sorted(p.name.partition("=")[2] for p in (self.root / "log").glob("append=*"))
+        log = self._log(seen)
         if log is not None:  # one row per partition, a fixed number
             for r in log.where(F.col("offset.arrived_at") <= F.lit(upto)).groupBy("part").agg(F.max("offset").alias("o")).collect():
                 ends[str(r["part"])] = [r["o"]["arrived_at"].isoformat(), r["o"]["delivery_id"]]
-        made = {"run_id": run_id, "seq": len(last), "after": start, "ends": ends, "state": last[-1]["run_id"] if last else None}
+        made = {"run_id": run_id, "seq": len(last), "after": start, "ends": ends, "seen": seen, "before": last[-1]["seen"] if last else [], "state": last[-1]["run_id"] if last else None}
         self._swap(path, made)
         return made
 
@@ -143,7 +149,7 @@ class IncrementalRuns:
         plan = self.plan(run_id, upto)
         if fail_at == "process":
             raise RuntimeError("died before processing")
-        log = self._log()
+        log = self._log(plan["seen"])
         if log is None or not plan["ends"]:
             self._swap(self.root / "commits" / f"{run_id}.json", plan | {"empty": True})
             return
@@ -174,8 +180,10 @@ class IncrementalRuns:
             return None
         return self.spark.read.option("basePath", str(self.root / "sink")).parquet(*done)
 
-    def _log(self) -> DataFrame | None:
-        return self.spark.read.parquet(str(self.root / "log")) if (self.root / "log").exists() else None
+    def _log(self, appends: list[str]) -> DataFrame | None:
+        if not appends:
+            return None
+        return self.spark.read.option("basePath", str(self.root / "log")).parquet(*[str(self.root / "log" / f"append={a}") for a in appends])
 
     def _state(self, run_id) -> DataFrame | None:
         while run_id is not None:
@@ -186,6 +194,7 @@ class IncrementalRuns:
         return None
 
     def _within(self, plan: dict) -> Column:
+        old = F.col("append").isin(plan["before"])
         rows = [(int(p), *(plan["after"].get(p) or (None, None)), *end) for p, end in plan["ends"].items()]
         hit = F.lit(False)
         t = lambda x: F.to_timestamp(F.lit(x))
@@ -193,7 +202,7 @@ class IncrementalRuns:
         for part, a_at, a_id, e_at, e_id in rows:
             inside = offset <= F.struct(t(e_at).alias("arrived_at"), F.lit(e_id).cast("long").alias("delivery_id"))
             if a_at is not None:
-                inside = inside & (offset > F.struct(t(a_at).alias("arrived_at"), F.lit(a_id).cast("long").alias("delivery_id")))
+                inside = inside & (~old | (offset > F.struct(t(a_at).alias("arrived_at"), F.lit(a_id).cast("long").alias("delivery_id"))))
             hit = hit | ((F.col("part") == part) & inside)
         return hit
 

@@ -85,3 +85,16 @@ def test_a_run_that_never_comes_back_leaves_its_records_to_the_next(spark, tmp_p
         job.run(1, at(2), fail_at="commit")
     job.run(2, at(3))
     assert [(r["run"], r["content_hash"]) for r in job.sink().collect()] == [(2, "aa")]
+
+
+def test_late_deliveries_below_the_committed_offset_are_taken_once(spark, tmp_path):
+    job = IncrementalRuns(spark, str(tmp_path), partitions=1)
+    job.append(spark.createDataFrame([(5, 1, 1, "aa", at(5), at(5), "x")], ROWS))
+    job.run(1, at(6))
+    job.append(spark.createDataFrame([(6, 1, 2, "bb", at(3), at(3), "x"), (4, 1, 3, "cc", at(5), at(5), "x")], ROWS))
+    with pytest.raises(RuntimeError):
+        job.run(2, at(7), fail_at="commit")
+    job.append(spark.createDataFrame([(7, 1, 4, "dd", at(2), at(2), "x")], ROWS))  # not in the plan that is replayed
+    job.run(2, at(7))
+    job.run(3, at(8))
+    assert sorted((r["run"], r["position"]) for r in job.sink().collect()) == [(1, 1), (2, 2), (2, 3), (3, 4)]
