@@ -662,3 +662,8 @@ def scores_by_source_and_every_rater(spark, d):
 def formula_report_of_all(spark, d):
     """``formula_report`` over all paragraphs, those with an escaped dollar sign too (its SQL has no form for them)."""
     return reports.formula_counts(table(spark, d, "paragraphs", "revision_id", "block_kind", "text"), "revision_id")
+
+
+@query("flag_histogram")
+def flag_histogram(spark, d):
+    return reports.flag_counts(quality_flags(spark, d))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PER_STRATUM = 14
+VERDICTS, BOUNDARIES = ("faithful", "overstated", "wrong", "unclear"), ("sensible", "too_narrow", "too_broad", "not_sensible")
+FREEZE_FAITHFUL = 0.9
 STAGES = ("parse", "segment", "embed", "ready", "failed")
 
 
@@ -70,6 +72,37 @@ def means_by_column(scores: DataFrame, group: str, column: str, value: str) -> D
     return each.unionByName(scores.groupBy(column).agg(mean).select(F.lit(None).cast(each.schema[group].dataType).alias(group), column, "mean"))
 
 
+def gloss_report(judged: DataFrame) -> DataFrame:
+    """One row of counters over judgements (stratum, verdict, boundaries, source), and whether the freeze criterion is met:
+    a share of at least ``FREEZE_FAITHFUL`` faithful of those on readable text, no wrong theorem or definition. Rows without
+    a verdict are not reviewed."""
+    readable = F.col("source") == "readable"
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    n = judged.where(F.length("verdict") > 0).agg(
+        F.count("*").alias("reviewed"),
+        *[count(F.col("verdict") == v).alias(v) for v in VERDICTS],
+        count(readable).alias("readable"),
+        count(readable & (F.col("verdict") == "faithful")).alias("readable_faithful"),
+        count(F.col("source") == "garbled").alias("garbled"),
+        count((F.col("verdict") == "wrong") & F.col("stratum").isin("theorem", "definition")).alias("wrong_formal"),
+        count(F.length("boundaries") > 0).alias("bounded"),
+        *[count(F.col("boundaries") == b).alias(b) for b in BOUNDARIES],
+    )
+    share = F.when(F.col("reviewed") > 0, F.col("faithful") / F.col("reviewed")).otherwise(0.0)
+    met = (F.col("readable") > 0) & (F.col("readable_faithful") / F.nullif("readable", F.lit(0)) >= FREEZE_FAITHFUL) & (F.col("wrong_formal") == 0)
+    return n.select("*", share.alias("faithful_share"), F.coalesce(met, F.lit(False)).alias("frozen"))
+
+
+def verdicts_by_stratum(judged: DataFrame) -> DataFrame:
+    """(stratum, reviewed, one column per verdict) of the strata that have a reviewed unit."""
+    return judged.where(F.length("verdict") > 0).groupBy("stratum").agg(F.count("*").alias("reviewed"), *[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS])
+
+
+def flag_counts(flagged: DataFrame) -> DataFrame:
+    """(flag, n) over an array column ``flags``."""
+    return flagged.select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+
+
 def formula_counts(texts: DataFrame, group: str) -> DataFrame:
     """(group, formulas, undelimited): formulas between dollar signs, and equations without any."""
     from lectern.functions.latex import math_udf

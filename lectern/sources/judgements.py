@@ -7,7 +7,7 @@ import tomllib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-JUDGEMENT = "map<string,struct<excerpt:string,page:int,parser:string,score:int,first_pos:int,last_pos:int,anchor_label:string,verdict:string,boundaries:string,note:string,at:string>>"
+JUDGEMENT = "map<string,struct<excerpt:string,page:int,parser:string,score:int,first_pos:int,last_pos:int,anchor_label:string,verdict:string,boundaries:string,source:string,note:string,at:string>>"
 
 
 def read_judgements(spark: SparkSession, *paths: str) -> DataFrame:

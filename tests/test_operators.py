@@ -175,6 +175,19 @@ def test_formulas_beside_escaped_dollars_are_counted(spark, tmp_path):
     assert {(1, 3, 0), (2, 0, 1)} <= got and {r[0] for r in got} == {1, 2, 3}
 
 
+def test_gloss_reports(spark):
+    rows = [("theorem", "faithful", "sensible", "readable")] * 9 + [("plain", "wrong", "too_broad", "readable"), ("plain", "unclear", None, "garbled"), ("game", "", "sensible", "readable"), ("game", None, None, None)]
+    schema = "stratum string, verdict string, boundaries string, source string"
+    got = reports.gloss_report(spark.createDataFrame(rows, schema)).first()
+    assert (got["reviewed"], got["faithful"], got["wrong"], got["unclear"], got["overstated"]) == (11, 9, 1, 1, 0)
+    assert (got["readable"], got["readable_faithful"], got["garbled"], got["wrong_formal"], got["bounded"], got["too_broad"], got["frozen"]) == (10, 9, 1, 0, 10, 1, True)
+    more = spark.createDataFrame([*rows, *[rows[0]] * 9, ("definition", "wrong", None, "garbled")], schema)
+    assert not reports.gloss_report(more).first()["frozen"] and not reports.gloss_report(more.limit(0)).first()["frozen"]
+    assert {tuple(r) for r in reports.verdicts_by_stratum(more).collect()} == {("theorem", 18, 18, 0, 0, 0), ("plain", 2, 0, 0, 1, 1), ("definition", 1, 0, 0, 1, 0)}
+    flags = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, [])], "unit_id long, flags array<string>")
+    assert {tuple(r) for r in reports.flag_counts(flags).collect()} == {("a", 2), ("b", 1)}
+
+
 def test_catalog(spark, tmp_path):
     w = WriteCatalog(spark, str(tmp_path))
     w.commit({"t": spark.range(3)}, meta={"k": "1"}, events=spark.createDataFrame([(1, "ready")], "id long, what string"))
