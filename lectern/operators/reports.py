@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.latex import maths
+
 PER_STRATUM = 14
 VERDICTS, BOUNDARIES = ("faithful", "overstated", "wrong", "unclear"), ("sensible", "too_narrow", "too_broad", "not_sensible")
 FREEZE_FAITHFUL = 0.9
@@ -105,9 +107,7 @@ def flag_counts(flagged: DataFrame) -> DataFrame:
 
 def formula_counts(texts: DataFrame, group: str) -> DataFrame:
     """(group, formulas, undelimited): formulas between dollar signs, and equations without any."""
-    from lectern.functions.latex import math_udf
-
-    m = texts.select(group, (F.col("block_kind") == "equation").alias("eq"), F.size(math_udf("text")).alias("n"))
+    m = texts.select(group, (F.col("block_kind") == "equation").alias("eq"), F.when(F.contains("text", F.lit("$")), F.size(maths("text"))).otherwise(0).alias("n"))
     return m.groupBy(group).agg(F.sum("n").alias("formulas"), F.count_if(F.coalesce("eq", F.lit(False)) & (F.col("n") == 0)).alias("undelimited"))
 
 

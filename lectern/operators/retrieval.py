@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.latex import latex_norm_udf, normalize
+from lectern.functions.latex import normalize, normalized
 from lectern.functions.text import matches, rank_udf, websearch, word_similarity_udf, words
 
 CANDIDATES, RRF = 50, 60
@@ -121,7 +121,7 @@ def latex_channel(scope: DataFrame, query: str, k=CANDIDATES, least=SIMILAR) ->
     math = scope.where(F.col("text").contains("$") | F.coalesce(F.col("block_kind") == "equation", F.lit(False)))
     if not wanted:
         return top(math.select("pid", F.lit(0.0).alias("score")).where(F.lit(False)), "score", "pid", k)
-    norm = math.select("pid", latex_norm_udf("text", "block_kind").alias("norm")).where("norm IS NOT NULL")
+    norm = math.select("pid", normalized(F.col("text"), F.col("block_kind")).alias("norm")).where("norm IS NOT NULL")
     scored = norm.select("pid", F.round(word_similarity_udf(wanted)("norm"), 9).alias("score"))
     return top(scored.where(F.col("score") >= least), "score", "pid", k)
 

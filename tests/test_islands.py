@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators.islands import islands, running_sum
-from lectern.operators.segment import chunk_spans, greedy_spans
+from lectern.operators.segment import chunk_spans
+
+P = "revision_id long, position int, section_path array<string>, block_kind string, text string"
 
 
 def brute(rows):
@@ -32,22 +34,41 @@ def test_against_brute_force(spark, block):
 
 
 def test_empty(spark):
-    df = spark.createDataFrame([], "revision_id long, position int, section_path array<string>")
+    df = spark.createDataFrame([], P)
     assert islands(df, "revision_id", "position", F.col("section_path"), F.lit(True)).count() == 0
+    assert chunk_spans(df).count() == 0
+
+
+def by_definition(sizes, limit, shared):
+    """Chunks of one section by trying every end and every start."""
+    out, a, n = [], 0, len(sizes)
+    while a is not None:
+        z = max([a, *(k for k in range(a, n) if sum(sizes[a : k + 1]) <= limit)])
+        starts = [k for k in range(a + 1, z + 1) if sum(sizes[k : z + 1]) <= shared]
+        following = None if z == n - 1 else min([*starts, z + 1])
+        out.append((a, z, following))
+        a = following
+    return out
 
 
-def test_greedy_chunks():
-    assert greedy_spans([3] * 7, 10, 4) == [(0, 2, 2), (2, 4, 4), (4, 6, None)]
-    assert greedy_spans([50, 50], 10, 4) == [(0, 0, 1), (1, 1, None)]
-    assert greedy_spans([5], 10, 4) == [(0, 0, None)]
+@pytest.mark.parametrize("seed", range(3))
+def test_chunks_against_the_definition(spark, seed):
+    r = random.Random(seed)
+    limit, shared = r.choice([(12, 5), (20, 19), (9, 0)])
+    rows, want = [], set()
+    for rev in range(12):
+        sizes = [r.choice([0, 1, 2, 3, 7, 30]) for _ in range(r.randrange(1, 50))]
+        if rev == 0:
+            sizes = [r.randrange(4) for _ in range(600)]
+        start = r.randrange(5)
+        rows += [(rev, start + k, ["s"], None, "y" * size) for k, size in enumerate(sizes)]
+        want |= {(rev, start + a, start + z, None if k is None else start + k) for a, z, k in by_definition(sizes, limit, shared)}
+    rows.append((3, None, ["s"], None, "y"))
+    got = [tuple(x) for x in chunk_spans(spark.createDataFrame(rows, P), limit, shared).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_references_break_runs_and_sections_do_too(spark):
-    kinds = [None, "reference", "reference", None]
-    df = spark.createDataFrame([(1, i, [], k, "abc") for i, k in enumerate(kinds)], "revision_id long, position int, section_path array<string>, block_kind string, text string")
-    assert sorted((r[1], r[2]) for r in chunk_spans(df).collect()) == [(0, 0), (3, 3)]
-    paths = [[], ["A"], ["A"], ["S"]]
-    df = spark.createDataFrame([(1, i, p, None, "abc") for i, p in enumerate(paths)], "revision_id long, position int, section_path array<string>, block_kind string, text string")
-    assert sorted((r[1], r[2]) for r in chunk_spans(df).collect()) == [(0, 0), (1, 2), (3, 3)]
-    over = spark.createDataFrame([(1, i, [], None, "abc") for i in range(7)], "revision_id long, position int, section_path array<string>, block_kind string, text string")
-    assert sorted(tuple(r)[1:] for r in chunk_spans(over, 10, 4).collect()) == [(0, 2, 2), (2, 4, 4), (4, 6, None)]
+def test_sections_end_at_other_paths_gaps_and_bibliographies(spark):
+    rows = [(7, 3, ["One"], None), (7, 4, ["One"], "equation"), (7, 5, ["One"], "reference"), (7, 6, ["One"], None), (7, 8, ["One"], None), (7, 9, ["Two"], None), (8, 9, ["Two"], None)]
+    got = chunk_spans(spark.createDataFrame([(*x, "some words") for x in rows] + [(8, 10, ["Two"], None, None)], P))
+    assert {tuple(x) for x in got.collect()} == {(7, 3, 4, None), (7, 6, 6, None), (7, 8, 8, None), (7, 9, 9, None), (8, 9, 10, None)}
