@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import content_hash, words
 from lectern.operators import ingest, lookup, reports, retrieval, segment
 from lectern.sources.tables import table
-from lectern.streaming.incremental import changes_by_run
+from lectern.streaming.incremental import history
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -39,7 +39,7 @@ def query(name: str, sql: str | None = None):
 )
 def p5_found(spark, d):
     rows = table(spark, d, "import_rows", "delivery_id", "revision_id", "position", "content_hash", "modified_at", "arrived_at")
-    return changes_by_run(rows, table(spark, d, "import_runs", "run_id", "started_at", "status"))
+    return history(rows, table(spark, d, "import_runs", "run_id", "started_at", "status"))
 
 
 # --- retrieval ---------------------------------------------------------------------------------------------------
@@ -580,10 +580,10 @@ def outbox_cursor(spark, d):
     """The events table read as a stream through a cursor, then counted."""
     import uuid
 
-    from lectern.sources.tables import shared_dir
+    from lectern.sources.tables import shared_dir, temporary
     from lectern.streaming.outbox import collected
 
-    work = f"{shared_dir(spark)}/lectern-outbox-{uuid.uuid4().hex}"
+    work = temporary(f"{shared_dir(spark)}/lectern-outbox-{uuid.uuid4().hex}", spark)
     schema = table(spark, d, "events").schema
     events = collected(spark, f"{d}/events.parquet*", schema, f"{work}/cursor", f"{work}/events")
     return events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

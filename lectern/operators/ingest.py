@@ -143,7 +143,7 @@ def read_trees(documents: DataFrame, key: str, raw: str) -> DataFrame:
     doc = documents.select(F.col(name).alias(key), F.from_json(raw, f"struct<children:array<{_tree_schema(DEPTH)}>>", {"mode": "PERMISSIVE"}).alias("d"))
     blocks = F.flatten(F.transform("d.children", lambda page, i: F.coalesce(_leaves(page["children"], i, DEPTH - 1), F.array().cast(_LEAF))))
     complete = lambda n: n["node"].isNotNull() & n["html"].isNotNull() & n["label"].isNotNull() & (F.size(n["bbox"]) == 4)
-    pages = F.forall("d.children", lambda p: p["id"].isNotNull() & p["block_type"].isNotNull())
+    pages = F.forall("d.children", lambda p: p["id"].isNotNull() | p["children"].isNotNull())
     deep = F.exists("blocks", lambda b: b["label"].isin(*TREE_GROUPS))
     opened = _opened(doc, key, blocks, pages & F.forall("blocks", complete) & ~deep, TREE_KINDS)
     good = opened.where("error IS NULL").select(key, "blocks", F.transform("blocks", lambda b: b["html"]).alias("source"))

@@ -35,11 +35,16 @@ def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(temporary(path, spark))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def temporary(path: str, spark: SparkSession) -> str:
+    """``path``, which is removed when the driver ends."""
     if not _made:
         atexit.register(_clean, spark)
     _made.add(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def _clean(spark: SparkSession) -> None:
@@ -54,7 +59,3 @@ def _clean(spark: SparkSession) -> None:
         for path in _made:
             if path.startswith("file:"):
                 shutil.rmtree("/" + path.split(":", 1)[1].lstrip("/"), ignore_errors=True)
-
-
-def data_root() -> str:
-    return os.environ.get("LECTERN_DATA", "/root/testdata")

@@ -1,216 +1,279 @@
 """Processing only new or changed records: log-based change capture.
 
-Deliveries form a log that is split into partitions by a hash of the record key. Within a partition the offset of a
-delivery is ``(arrived_at, delivery_id)``, which orders it without a sequence number that a single writer would hand
-out. A run
+Deliveries are appended to a log. Each append has a number, handed out by creating a file of that name, and is split
+into partitions by a hash of the record key; a row's *offset* in its partition is (number of the append, row number in
+the append), both given when it is appended. Event times have no part in it: what arrives late lies at the log's end.
 
-1. writes its *plan* (per partition the offset it starts after and the offset it ends at, and the appends it can see)
-   before it touches a record; what was appended since the last commit is taken up to the end whatever its offset,
-2. reduces the planned slice of the log to one winner per key (greatest ``modified_at``, then ``delivery_id``),
-3. merges the winners into the state and gives out the keys whose value is new or changed,
-4. writes the changes under their key and offset, then the new state, then the commit mark.
+A run
 
-A run that dies leaves a plan without a commit mark. The next call replays exactly that plan (same offsets) if it has
-the same run id; another run id starts from the last *committed* offsets, so the dead run's records are taken again and
-none is skipped. The sink drops what it holds already by key and offset, so a replay repeats nothing.
+1. writes its *plan* before it touches a record: for each partition the offset it starts after (where the last committed
+   run ended) and the offset it ends at, the appends between them, and the commit it builds upon,
+2. reads those appends only and reduces them to one version per key (greatest ``modified_at``, then ``delivery_id``),
+3. looks up the same keys in the state and finds those whose value is new or changed,
+4. writes the winners under their key and offset, marked if changed; they are both the sink's rows and the next layer of
+   the state,
+5. creates the commit mark, whose number is one more than that of the commit it builds upon.
 
-``changes_by_run`` is the same computation over all runs of a history at once: every committed run's plan becomes a
-batch number, and the merge becomes a running maximum per key.
+A run that dies leaves a plan without a mark, and its rows are not visible. The next call with the same run id replays
+exactly that plan; another run id plans anew from the last commit, so nothing is skipped. Once a later run has committed,
+an older plan is void and its run plans anew. The sink holds a (key, offset) once: rows of a dead attempt at the same
+commit number are removed before they are written again, and rows at or below a partition's committed offset are
+dropped.
+
+The state is a base and the layers of the commits since; every ``compact_every`` commits a new base is written. So a run
+reads its own appends, at most ``compact_every`` layers and the base's partitions that it touches, however long the
+history is.
+
+``replay`` does the same for many runs of a known history (catching up): all plans are written ahead, those of runs that
+did not succeed stay void, and the others are processed in one pass, in order, each with its own commit.
 
 Defined results: deliveries with a null key part or a null ``arrived_at`` belong to no run; a null ``modified_at`` loses
 against any other; a null hash means withdrawn and gives no change; hashes are compared without letter case and outer
-whitespace; repeated deliveries count once; empty inputs give empty outputs; extra columns are ignored.
+whitespace; repeated deliveries count once; empty inputs give empty outputs; extra columns are ignored. Of runs that
+started at the same moment the one with the smallest id takes the changes.
 """
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
-from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lectern.sources.files import Folder
+from lectern.sources.tables import shared_dir, temporary
 
 KEY = ["revision_id", "position"]
-#: Up to so many runs the boundaries travel inside the expression; beyond, they are joined through the log's order.
-RUNS_IN_PLAN = 1000
+VERSION = "struct<modified_at:timestamp,delivery_id:bigint,hash:string>"
+LAYER = f"revision_id long, position int, version {VERSION}, append long, n long, changed boolean, commit long, part int"
+
+
+class Void(RuntimeError):
+    """Another run has committed since the plan was written."""
 
 
 def clean_hash(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
 
 
-def capture(rows: DataFrame, partitions: int = 64) -> DataFrame:
-    """The log: key, partition, offset and cleaned value of each delivery."""
-    return rows.where(
-        F.col("revision_id").isNotNull() & F.col("position").isNotNull() & F.col("arrived_at").isNotNull()
-    ).select(
-        *KEY,
-        F.pmod(F.xxhash64(*KEY), F.lit(partitions)).cast("int").alias("part"),
-        F.struct("arrived_at", "delivery_id").alias("offset"),
-        F.struct("modified_at", "delivery_id", clean_hash(F.col("content_hash")).alias("hash")).alias("version"),
+def capture(rows: DataFrame, partitions: int, *also: str) -> DataFrame:
+    """What the log keeps of each delivery: partition, key and version."""
+    usable = F.col("revision_id").isNotNull() & F.col("position").isNotNull() & F.col("arrived_at").isNotNull()
+    version = F.struct("modified_at", F.col("delivery_id").cast("long").alias("delivery_id"), clean_hash(F.col("content_hash")).alias("hash"))
+    return rows.where(usable).select(
+        F.col("revision_id").cast("long").alias("revision_id"), F.col("position").cast("int").alias("position"), F.pmod(F.xxhash64(*KEY), F.lit(partitions)).cast("int").alias("part"), version.alias("version"), *also
     )
 
 
-def reduce_batch(log: DataFrame, *by: str) -> DataFrame:
-    """One winner per key (and batch); the maximum is combined before the shuffle, so a hot key sends a few rows."""
-    return log.groupBy(*KEY, *by).agg(F.max("version").alias("version"))
-
-
 def is_change(old: Column, new: Column) -> Column:
     """``new`` and ``old`` are versions; a missing old one is null."""
     return new["hash"].isNotNull() & (old.isNull() | old["hash"].isNull() | (old["hash"] != new["hash"]))
 
 
-def number_batches(log: DataFrame, runs: DataFrame, in_plan: int = RUNS_IN_PLAN) -> DataFrame:
-    """Give each log row the first run (0-based among ``runs``, by start) whose plan covers its offset."""
-    found = [r[0] for r in runs.select("started_at").orderBy("started_at").limit(in_plan + 1).collect()]
-    at = F.col("offset.arrived_at")
-    if len(found) <= in_plan:
-        if not found:
-            return log.withColumn("batch", F.lit(0)).where(F.lit(False))
-        bounds = F.array(*[F.lit(t) for t in found])
-        # a delivery that arrived at the start of a run belongs to it
-        n = F.size(F.filter(bounds, lambda b: b < at))
-        return log.withColumn("batch", n).where(F.col("batch") < len(found))
-    # beyond: runs carry their rank; both sides meet per day, runs also reach back to the day after their predecessor
-    ranked = runs.select(F.col("started_at").alias("upto"))
-    w = Window.orderBy("upto")
-    ranked = ranked.withColumn("batch", F.row_number().over(w) - 1).withColumn("after", F.lag("upto").over(w))
-    first = log.agg(F.min(F.col("offset.arrived_at")).alias("t"))
-    ranked = ranked.crossJoin(F.broadcast(first)).withColumn("lo", F.least(F.coalesce("after", "t"), "upto"))
-    days = F.sequence(F.to_date("lo"), F.to_date("upto"))
-    ranked = ranked.select("batch", "after", "upto", F.explode(days).alias("day"))
-    joined = log.withColumn("day", F.to_date(at)).join(ranked, "day")
-    return joined.where((at <= F.col("upto")) & (F.col("after").isNull() | (at > F.col("after")))).drop("day", "after", "upto")
-
-
-def changes_by_run(rows: DataFrame, runs: DataFrame, in_plan: int = RUNS_IN_PLAN) -> DataFrame:
-    """(run_id, revision_id, position): what each run that succeeded took, over the whole history at once.
-
-    Of runs that started at the same moment the one with the smallest id takes the changes.
-    """
-    done = runs.where((F.col("status") == "succeeded") & F.col("started_at").isNotNull())
-    done = done.groupBy("started_at").agg(F.min("run_id").alias("run_id"))
-    batches = reduce_batch(number_batches(capture(rows), done, in_plan), "batch")
-    w = Window.partitionBy(*KEY).orderBy("batch")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    merged = batches.select(
-        *KEY, "batch", F.max("version").over(upto).alias("new"), F.max("version").over(before).alias("old")
-    ).where(is_change(F.col("old"), F.col("new")))
-    ids = done.select("run_id", (F.row_number().over(Window.orderBy("started_at")) - 1).alias("batch"))
-    return merged.join(ids, "batch").select("run_id", *KEY)
+def number(k: int) -> str:
+    return f"{k:012d}"
 
 
 class IncrementalRuns:
-    """Runs one after another over a growing log, each under a write-ahead plan.
+    """Runs over a growing log, each under a write-ahead plan. One driver runs at a time; two that race for a plan or a
+    commit get ``Void``. ``root`` is a folder that driver and executors share; ``partitions`` is fixed when it is made.
 
-    ``root`` is a folder that all executors share. Layout: ``log/append=<id>/`` (parquet, moved in whole), ``plans/<run>.json``,
-    ``state/<run>/``, ``sink/run=<run>/``, ``commits/<run>.json``. ``fail_at`` is for tests: the step to die before.
+    Layout: ``log/append=<n>/part=<p>``, ``appends/<n>.json`` (makes an append visible, with its last offsets),
+    ``plans/<n>.json``, ``layers/commit=<n>/part=<p>``, ``base/<n>/part=<p>``, ``commits/<n>.json``.
     """
 
-    def __init__(self, spark: SparkSession, root: str, partitions: int = 16):
-        self.spark, self.root, self.partitions = spark, Path(root), partitions
-        for d in ("plans", "commits"):
-            (self.root / d).mkdir(parents=True, exist_ok=True)
-
-    def append(self, rows: DataFrame) -> None:
-        name = f"a{uuid.uuid4().hex}"
-        capture(rows, self.partitions).write.parquet(str(self.root / "incoming" / name))
-        (self.root / "log").mkdir(exist_ok=True)
-        os.replace(self.root / "incoming" / name, self.root / "log" / f"append={name}")
-
-    def committed(self) -> list[dict]:
-        found = [json.loads(p.read_text()) for p in (self.root / "commits").glob("*.json")]
-        return sorted(found, key=lambda c: c["seq"])
-
-    def plan(self, run_id: int, upto) -> dict:
-        """The plan of a run, from disk if it was written before (replay), else new from the last commit."""
-        path = self.root / "plans" / f"{run_id}.json"
-        if path.exists():
-            return json.loads(path.read_text())
-        last = self.committed()
-        start = last[-1]["ends"] if last else {}
-        ends = dict(start)
-        seen = sorted(p.name.partition("=")[2] for p in (self.root / "log").glob("append=*"))
-        log = self._log(seen)
-        if log is not None:  # one row per partition, a fixed number
-            for r in log.where(F.col("offset.arrived_at") <= F.lit(upto)).groupBy("part").agg(F.max("offset").alias("o")).collect():
-                ends[str(r["part"])] = [r["o"]["arrived_at"].isoformat(), r["o"]["delivery_id"]]
-        made = {"run_id": run_id, "seq": len(last), "after": start, "ends": ends, "seen": seen, "before": last[-1]["seen"] if last else [], "state": last[-1]["run_id"] if last else None}
-        self._swap(path, made)
+    def __init__(self, spark: SparkSession, root: str, partitions: int = 16, compact_every: int = 16):
+        self.spark, self.folder, self.compact_every = spark, Folder(spark, root), compact_every
+        self.folder.create("log.json", {"partitions": partitions})
+        self.partitions = self.folder.read("log.json")["partitions"]
+
+    # --- the log -------------------------------------------------------------------------------------------------
+
+    def append(self, rows: DataFrame, turn: Column | None = None) -> None:
+        """Put deliveries at the log's end, as one append, or as one for each value of ``turn`` (numbers from 0)."""
+        first = int((self.folder.names("appends") or ["-1"])[-1].removesuffix(".json")) + 1
+        stage = f"incoming/{uuid.uuid4().hex}"
+        turned = rows.withColumn("_turn", F.lit(0) if turn is None else turn).where("_turn IS NOT NULL")
+        captured = capture(turned, self.partitions, "_turn")
+        spread = captured.withColumn("append", (F.col("_turn") + first).cast("long")).drop("_turn").repartition("append", "part")
+        spread.withColumn("n", F.monotonically_increasing_id()).write.partitionBy("append", "part").parquet(self.folder.at(stage))
+        if not any(x.startswith("append=") for x in self.folder.names(stage)):
+            return
+        written = self.spark.read.schema("n long, append long, part int").parquet(self.folder.at(stage))
+        ends: dict[int, dict[str, list[int]]] = {}
+        for r in written.groupBy("append", "part").agg(F.max("n").alias("last"), F.count("*").alias("rows")).collect():  # one row per append and partition
+            ends.setdefault(r["append"], {})[str(r["part"])] = [r["last"], r["rows"]]
+        for a in sorted(ends):
+            if not self.folder.move(f"{stage}/append={a}", f"log/append={a}") or not self.folder.create(f"appends/{number(a)}.json", {"ends": ends[a]}):
+                raise Void(f"append {a} was written by another driver")
+        self.folder.remove(stage)
+
+    def appends(self) -> list[int]:
+        return [int(x.removesuffix(".json")) for x in self.folder.names("appends")]
+
+    # --- plans and commits ---------------------------------------------------------------------------------------
+
+    def commits(self) -> list[dict]:
+        return [self.folder.read(f"commits/{x}") for x in self.folder.names("commits")]
+
+    def last(self) -> dict:
+        """The last commit; before the first one, where it would have ended."""
+        names = self.folder.names("commits")
+        return self.folder.read(f"commits/{names[-1]}") if names else {"commit": -1, "plan": -1, "append": -1, "ends": {}}
+
+    def plan(self, run_id: int, since: dict | None = None, upto: int | None = None) -> dict:
+        """The plan of a run: the pending one of this run (replay), or a new one from ``since`` (the last commit) to the
+        log's end (or the append ``upto``). It is on disk before it is returned."""
+        plans = self.folder.names("plans")
+        last = since or self.last()
+        if plans and since is None:
+            pending = self.folder.read(f"plans/{plans[-1]}")
+            if pending["run_id"] == run_id and pending["base"] == last["commit"] and pending["plan"] > last["plan"]:
+                return pending
+        new = [a for a in self.appends() if a > last["append"] and (upto is None or a <= upto)]
+        ends = dict(last["ends"])
+        for a in new:
+            ends |= {part: [a, n] for part, (n, _) in self.folder.read(f"appends/{number(a)}.json")["ends"].items()}
+        touched = sorted(p for p in ends if ends[p] != last["ends"].get(p))
+        made = {"plan": len(plans), "run_id": run_id, "base": last["commit"], "after": last["ends"], "ends": ends, "appends": new, "append": max([last["append"], *new]), "parts": touched}
+        if not self.folder.create(f"plans/{number(made['plan'])}.json", made):
+            raise Void(f"plan {made['plan']} was written by another driver")
         return made
 
-    def run(self, run_id: int, upto, fail_at: str | None = None) -> None:
-        if (self.root / "commits" / f"{run_id}.json").exists():
+    def run(self, run_id: int, fail_at: str | None = None) -> None:
+        """One run; nothing happens if it has committed before. ``fail_at`` is for tests: the step to die before."""
+        if any(c["run_id"] == run_id for c in self.commits()):
+            return
+        self.process([self.plan(run_id)], fail_at)
+
+    def replay(self, runs: list[tuple[int, int, bool]], fail_at: str | None = None) -> None:
+        """Catch up on (run id, last append it saw, whether it succeeded), in order."""
+        last, plans = self.last(), []
+        done = {c["run_id"] for c in self.commits()}
+        for run_id, upto, succeeded in runs:
+            if run_id in done:
+                continue
+            plan = self.plan(run_id, last, upto)
+            if succeeded:
+                plans.append(plan)
+                last = {"commit": last["commit"] + 1, "plan": plan["plan"], "append": plan["append"], "ends": plan["ends"]}
+        self.process(plans, fail_at)
+
+    def process(self, plans: list[dict], fail_at: str | None = None) -> None:
+        """Execute plans that follow each other; the first one builds upon the last commit."""
+        base = self.last()["commit"]
+        if not plans:
             return
-        plan = self.plan(run_id, upto)
+        if [p["base"] for p in plans] != [base + k for k in range(len(plans))]:
+            raise Void(f"plan {plans[0]['plan']} builds upon commit {plans[0]['base']}, the last one is {base}")
         if fail_at == "process":
             raise RuntimeError("died before processing")
-        log = self._log(plan["seen"])
-        if log is None or not plan["ends"]:
-            self._swap(self.root / "commits" / f"{run_id}.json", plan | {"empty": True})
-            return
-        batch = reduce_batch(log.where(self._within(plan)))
-        state = self._state(plan["state"])
-        if state is None:
-            old = batch.select(*KEY).limit(0).withColumn("version", F.lit(None).cast(batch.schema["version"].dataType))
-        else:
-            old = state
-        both = batch.withColumnRenamed("version", "new").join(old.withColumnRenamed("version", "old"), KEY, "full")
-        merged = both.select(*KEY, "old", F.when(F.col("old").isNull() | (F.col("new") > F.col("old")), F.col("new")).otherwise(F.col("old")).alias("new"))
-        changes = merged.where(is_change(F.col("old"), F.col("new"))).select(*KEY, F.col("new.hash").alias("content_hash"), F.col("new.delivery_id").alias("delivery_id"))
-        held = self.sink()
-        if held is not None:  # by key and offset
-            changes = changes.join(held.select(*KEY, "delivery_id"), [*KEY, "delivery_id"], "left_anti")
-        changes.write.mode("overwrite").parquet(str(self.root / "sink" / f"run={run_id}"))
-        if fail_at == "state":
-            raise RuntimeError("died before the state was written")
-        merged.select(*KEY, F.col("new").alias("version")).write.mode("overwrite").parquet(str(self.root / "state" / str(run_id)))
+        for k in range(len(plans)):  # rows of a dead attempt at these commits
+            self.folder.remove(f"layers/commit={base + 1 + k}")
+        turn = {a: base + 1 + k for k, p in enumerate(plans) for a in p["appends"]}
+        if turn:
+            self.layers(turn, plans).write.mode("append").partitionBy("commit", "part").parquet(self.folder.at("layers"))
         if fail_at == "commit":
             raise RuntimeError("died before the commit")
-        self._swap(self.root / "commits" / f"{run_id}.json", plan)
-
-    def sink(self) -> DataFrame | None:
-        """What committed runs gave out."""
-        done = [str(self.root / "sink" / f"run={c['run_id']}") for c in self.committed() if not c.get("empty")]
-        if not done:
-            return None
-        return self.spark.read.option("basePath", str(self.root / "sink")).parquet(*done)
-
-    def _log(self, appends: list[str]) -> DataFrame | None:
-        if not appends:
+        for k, p in enumerate(plans):
+            if not self.folder.create(f"commits/{number(base + 1 + k)}.json", p | {"commit": base + 1 + k}):
+                raise Void(f"commit {base + 1 + k} was made by another driver")
+        self.compact()
+
+    def layers(self, turn: dict[int, int], plans: list[dict]) -> DataFrame:
+        """The rows of the commits of ``turn`` (append -> commit): one per key and commit, with what it became."""
+        log = self.spark.read.schema(f"revision_id long, position int, version {VERSION}, n long, append long, part int").option("basePath", self.folder.at("log"))
+        log = log.parquet(*[self.folder.at(f"log/append={a}") for a in sorted(turn)])
+        # one row per partition: what the sink has already
+        held = self.spark.createDataFrame([(int(p), a, n) for p, (a, n) in plans[0]["after"].items()], "part int, held_append long, held_n long")
+        beyond = F.col("held_append").isNull() | (F.col("append") > F.col("held_append")) | ((F.col("append") == F.col("held_append")) & (F.col("n") > F.col("held_n")))
+        log = log.join(F.broadcast(held), "part", "left").where(beyond)
+        commit = self.spark.createDataFrame(list(turn.items()), "append long, commit long")  # one row per append of these plans
+        batch = log.join(F.broadcast(commit), "append").groupBy(*KEY, "part", "commit").agg(F.max(F.struct("version", "append", "n")).alias("w"))
+        batch = batch.select(*KEY, "part", "commit", "w.*")
+        state = self.state(sorted({p for plan in plans for p in plan["parts"]}))
+        if state is not None:
+            known = state.join(batch.select(*KEY).distinct(), KEY, "left_semi")
+            none = F.lit(None).cast("long")
+            batch = batch.unionByName(known.select(*KEY, "part", F.lit(-1).cast("long").alias("commit"), "version", none.alias("append"), none.alias("n")))
+        # few rows per key are left; a log partition is one task from here on, which writes one file per commit
+        batch = batch.repartition(self.partitions, "part")
+        w = Window.partitionBy("part", *KEY).orderBy("commit")
+        now = F.max("version").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        old = F.max("version").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        merged = batch.withColumn("now", now).withColumn("old", old).where("commit >= 0")
+        return merged.select(*KEY, F.col("now").alias("version"), "append", "n", is_change(F.col("old"), F.col("now")).alias("changed"), "commit", "part")
+
+    # --- state and sink ------------------------------------------------------------------------------------------
+
+    def sources(self) -> tuple[str | None, list[str]]:
+        """(folder of the base, folders of the layers since): all that the state is read from."""
+        base = self.folder.read("base.json") if self.folder.exists("base.json") else None
+        since = base["commit"] if base else -1
+        made = {int(x.partition("=")[2]) for x in self.folder.names("layers")}
+        layers = [f"layers/commit={c}" for c in range(since + 1, self.last()["commit"] + 1) if c in made]
+        return (base["folder"] if base else None), layers
+
+    def state(self, parts: list[str] | None = None) -> DataFrame | None:
+        """(key, part, version) of every key that was ever delivered, or of some partitions."""
+        base, layers = self.sources()
+        found = []
+        if base:
+            found.append(self.spark.read.schema(f"revision_id long, position int, version {VERSION}, part int").parquet(self.folder.at(base)))
+        if layers:
+            found.append(self._layers(layers).select(*KEY, "version", "part"))
+        if not found:
             return None
-        return self.spark.read.option("basePath", str(self.root / "log")).parquet(*[str(self.root / "log" / f"append={a}") for a in appends])
-
-    def _state(self, run_id) -> DataFrame | None:
-        while run_id is not None:
-            commit = json.loads((self.root / "commits" / f"{run_id}.json").read_text())
-            if not commit.get("empty"):
-                return self.spark.read.parquet(str(self.root / "state" / str(run_id)))
-            run_id = commit["state"]
-        return None
-
-    def _within(self, plan: dict) -> Column:
-        old = F.col("append").isin(plan["before"])
-        rows = [(int(p), *(plan["after"].get(p) or (None, None)), *end) for p, end in plan["ends"].items()]
-        hit = F.lit(False)
-        t = lambda x: F.to_timestamp(F.lit(x))
-        offset = F.col("offset")
-        for part, a_at, a_id, e_at, e_id in rows:
-            inside = offset <= F.struct(t(e_at).alias("arrived_at"), F.lit(e_id).cast("long").alias("delivery_id"))
-            if a_at is not None:
-                inside = inside & (~old | (offset > F.struct(t(a_at).alias("arrived_at"), F.lit(a_id).cast("long").alias("delivery_id"))))
-            hit = hit | ((F.col("part") == part) & inside)
-        return hit
-
-    @staticmethod
-    def _swap(path: Path, content: dict) -> None:
-        tmp = path.with_suffix(".tmp")
-        with tmp.open("w") as f:
-            json.dump(content, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(tmp, path)
+        both = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        if parts is not None:
+            both = both.where(F.col("part").isin([int(p) for p in parts]))
+        return both.groupBy(*KEY, "part").agg(F.max("version").alias("version"))
+
+    def _layers(self, names: list[str]) -> DataFrame:
+        return self.spark.read.schema(LAYER).option("basePath", self.folder.at("layers")).parquet(*[self.folder.at(x) for x in names])
+
+    def compact(self) -> None:
+        """Write a new base if enough layers have gathered; the layers stay, as they are the sink."""
+        _, layers = self.sources()
+        if len(layers) < self.compact_every:
+            return
+        commit, name = self.last()["commit"], f"base/{uuid.uuid4().hex}"
+        self.state().repartition("part").write.partitionBy("part").parquet(self.folder.at(name))
+        self.folder.replace("base.json", {"commit": commit, "folder": name})
+
+    def sink(self) -> DataFrame:
+        """(run_id, key, content_hash, part, append, n): what committed runs gave out, once per key and offset."""
+        runs = [(c["commit"], c["run_id"]) for c in self.commits()]
+        made = {int(x.partition("=")[2]) for x in self.folder.names("layers")}
+        names = [f"layers/commit={c}" for c, _ in runs if c in made]
+        rows = self._layers(names) if names else self.spark.createDataFrame([], LAYER)
+        run = self.spark.createDataFrame(runs, "commit long, run_id int")  # one row per commit
+        return rows.where("changed").join(F.broadcast(run), "commit").select("run_id", *KEY, F.col("version.hash").alias("content_hash"), "part", "append", "n")
+
+
+def history(rows: DataFrame, runs: DataFrame, partitions: int = 8, root: str | None = None) -> DataFrame:
+    """(run_id, revision_id, position): what each run that succeeded took.
+
+    The deliveries are appended in the order in which the runs saw them (what arrived up to a run's start and after the
+    one before), then the runs are replayed: plans of all, commits of those that succeeded. The list of runs is the
+    driver's own record, one plan file each. ``partitions`` is the number of log partitions, which is also the number of
+    tasks that keep the state.
+    """
+    spark = rows.sparkSession
+    order = [(r["run_id"], r["at"], r["status"] == "succeeded") for r in runs.where("started_at IS NOT NULL").select("run_id", F.unix_micros("started_at").alias("at"), "status").orderBy("started_at", "run_id").collect()]
+    bounds = np.array([at for _, at, _ in order], np.int64)
+    last = len(bounds)
+
+    @F.arrow_udf(T.LongType())
+    def seen_by(at: pa.Array) -> pa.Array:
+        """The first run that started when or after a delivery arrived; null if none did."""
+        k = np.searchsorted(bounds, at.to_numpy(zero_copy_only=False), side="left")
+        return pa.array(k, pa.int64(), mask=k == last)
+
+    job = IncrementalRuns(spark, root or temporary(f"{shared_dir(spark)}/lectern-runs-{uuid.uuid4().hex}", spark), partitions, compact_every=64)
+    job.append(rows.where("arrived_at IS NOT NULL"), seen_by(F.unix_micros("arrived_at")))
+    job.replay([(run_id, k, succeeded) for k, (run_id, _, succeeded) in enumerate(order)])
+    return job.sink().select("run_id", *KEY)
