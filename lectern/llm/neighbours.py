@@ -5,10 +5,17 @@ rotated residual to the cell's centre, packed into 64-bit words, with two correc
 per dimension; masked bit counts estimate its inner product with every code, and an error bound (``SPREAD`` standard
 deviations) says which vectors can still be among the wanted ones. Only those are compared exactly, in double precision.
 
-Cells: spherical k-means centres per group (``set_name``, ``target``), fitted on at most ``SAMPLE`` vectors in all (a
-documented bound; every vector is indexed). A vector belongs to its nearest centre and is also compared in every cell
-whose centre is at most ``margin`` farther. A cell that is expected to be large is split by query, so that no task gets
-an unbounded one. Exact copies are compared once, through the copy with the smallest id, and each keeps its own list.
+Cells: spherical k-means centres per group (``set_name``, ``target``), one for every ``cell`` vectors but at most
+``CENTRES`` in all, fitted on the driver with ``PER_CENTRE`` vectors a centre (at most ``CENTRES * PER_CENTRE``, a documented
+bound; one per group is added). Every vector is indexed: it belongs to its nearest centre and is also compared in every
+cell whose centre is at most ``margin`` farther (the nearest ``probes`` of them). Cells are counted; one that holds more
+than ``LARGE`` times ``cell`` is divided by centres of its own, fitted in a task on a sample of ``PER_CENTRE`` vectors a
+centre (at most ``CENTRES`` centres), and its vectors are placed in them in salted parts, so that the comparisons a vector
+takes part in stay the same whatever the collection's size. What is still larger than ``SPLIT`` is split on both sides: a
+task gets one block of queries and one of targets. ``margin=EXACT`` with ``probes=None`` compares every vector with every
+other one of its group.
+
+Exact copies are compared once, through the copy with the smallest id, and each keeps its own list.
 
 Defined results: unusable vectors (null, wrong length, not finite, all zero) are neither queries nor results; ties go to
 the smaller id; a group of one gives nothing; copies list each other with similarity 1; equal ids are taken once;
@@ -22,7 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIM, CELL, SAMPLE, CENTRES, SPLIT, SPREAD, SEED = 64, 1200, 30_000, 4096, 30_000, 3.0, 20240229
+from lectern.sources.tables import materialise
+
+DIM, CELL, CENTRES, PER_CENTRE, LARGE, SPLIT, SPREAD, SEED, EXACT = 64, 1200, 1024, 64, 3, 30_000, 3.0, 20240229, 2.0
+#: Vectors of a large cell that one task places in its smaller cells.
+PLACED = 200_000
 #: Copies fewer than this are dropped through a broadcast list, more through a join.
 BROADCAST_ROWS = 500_000
 
@@ -41,18 +52,21 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return m[good], rows[good]
 
 
-def usable(vectors: DataFrame, dim: int = DIM) -> DataFrame:
-    """(id, grp, vec): usable vectors as packed floats; grp is set and target."""
+def named(vectors: DataFrame) -> DataFrame:
+    """(id, grp, emb) of the vectors that have an id and numbers; grp is set and target."""
+    rows = vectors.select(F.col("vector_id").cast("long").alias("id"), F.concat_ws("/", F.coalesce("set_name", F.lit("")), F.coalesce("target", F.lit(""))).alias("grp"), "emb")
+    return rows.where(F.col("emb").isNotNull() & F.col("id").isNotNull())
+
+
+def usable(rows: DataFrame, dim: int = DIM) -> DataFrame:
+    """(id, grp, vec): the usable ones of ``named`` vectors, as packed floats."""
 
     def run(batches):
         for b in batches:
-            m, rows = _matrix(b.column(2), dim)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array([x.tobytes() for x in m], pa.binary())], names=["id", "grp", "vec"]
-            )
+            m, at = _matrix(b.column(2), dim)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array([x.tobytes() for x in m], pa.binary())], names=["id", "grp", "vec"])
 
-    named = vectors.select(F.col("vector_id").cast("long").alias("id"), F.concat_ws("/", F.coalesce("set_name", F.lit("")), F.coalesce("target", F.lit(""))).alias("grp"), "emb")
-    return named.where(F.col("emb").isNotNull() & F.col("id").isNotNull()).mapInArrow(run, "id long, grp string, vec binary")
+    return rows.mapInArrow(run, "id long, grp string, vec binary")
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -61,43 +75,47 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def fitted(x: np.ndarray, c: int) -> np.ndarray:
+    """``c`` spherical k-means centres of unit vectors."""
+    centres = x[np.random.default_rng(SEED).choice(len(x), c, replace=False)]
+    for _ in range(10):
+        near = (x @ centres.T).argmax(1)
+        total = np.zeros_like(centres)
+        np.add.at(total, near, x)
+        some = np.linalg.norm(total, axis=1) > 1e-9
+        centres[some] = total[some] / np.linalg.norm(total[some], axis=1, keepdims=True)
+    return centres
+
+
 class Cells:
-    """Centres per group, fitted on a sample, with the expected number of vectors of each cell."""
+    """Centres per group, and the number of each group's first cell."""
 
     def __init__(self, sample: dict[str, np.ndarray], counts: dict[str, int], cell: int):
-        self.centres, self.first, self.size, total = {}, {}, [], 0
-        rng = np.random.default_rng(SEED)
+        self.centres, self.first, total = {}, {}, 0
+        fine = min(1.0, CENTRES * cell / max(1, sum(counts.values())))
         for g in sorted(sample):
-            x, n = unit(sample[g]), counts[g]
-            c = int(np.clip(round(n / cell), 1, min(CENTRES, max(1, len(x) // 8))))
-            centres = x[rng.choice(len(x), c, replace=False)]
-            for _ in range(10):
-                near = (x @ centres.T).argmax(1)
-                total_of = np.zeros_like(centres)
-                np.add.at(total_of, near, x)
-                some = np.linalg.norm(total_of, axis=1) > 1e-9
-                centres[some] = total_of[some] / np.linalg.norm(total_of[some], axis=1, keepdims=True)
-            near = np.bincount((x @ centres.T).argmax(1), minlength=c)
-            self.centres[g], self.first[g] = centres, total
-            self.size += list(near / len(x) * n)
-            total += c
-        self.parts = [max(1, -(-int(s) // SPLIT)) for s in self.size]
-        self.all = np.concatenate([self.centres[g] for g in sorted(sample)]) if sample else np.zeros((0, DIM))
-
-
-def fit_cells(rows: DataFrame, cell: int, most: int = SAMPLE) -> Cells:
+            x = unit(sample[g])
+            self.centres[g] = fitted(x, int(np.clip(round(counts[g] * fine / cell), 1, max(1, len(x) // 2))))
+            self.first[g] = total
+            total += len(self.centres[g])
+
+
+def fit_cells(rows: DataFrame, cell: int, dim: int) -> Cells:
+    """Counts per group (one row each) and a sample of bounded size come to the driver."""
     counts = {r["grp"]: r["n"] for r in rows.groupBy("grp").agg(F.count("*").alias("n")).collect()}
     n = sum(counts.values())
+    most = PER_CENTRE * min(CENTRES, max(1, n // cell) + len(counts))
     share = min(1.0, most / max(1, n))
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
-    got: dict[str, list] = {}
-    for r in chosen.limit(2 * most).collect():
-        got.setdefault(r["grp"], []).append((r["id"], r["vec"]))
-    for g in counts:  # a group that the sample misses gets one cell around one of its own
-        if g not in got:
-            r = rows.where(F.col("grp") == g).first()
-            got[g] = [(r["id"], r["vec"])]
-    sample = {g: np.frombuffer(b"".join(v for _, v in sorted(x)), np.float32).reshape(len(x), -1) for g, x in got.items()}
+    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    got: dict[str, dict] = {}
+    for r in usable(chosen, dim).limit(2 * most).collect():
+        got.setdefault(r["grp"], {})[r["id"]] = r["vec"]
+    missed = [g for g in counts if g not in got]
+    if missed:  # groups that the sample misses get one cell around one of their own
+        first = usable(rows.where(F.col("grp").isin(missed)), dim).groupBy("grp").agg(F.min(F.struct("id", "vec")).alias("v"))
+        for r in first.collect():
+            got[r["grp"]] = {r["v"]["id"]: r["v"]["vec"]}
+    sample = {g: np.frombuffer(b"".join(x[i] for i in sorted(x)), np.float32).reshape(len(x), -1) for g, x in got.items()}
     return Cells(sample, counts, cell)
 
 
@@ -168,9 +186,8 @@ class Codes:
         return np.nonzero(inside + np.float32(0.01) >= of_query.astype(np.float32) @ of_code.astype(np.float32))
 
 
-def search_cell(ids, vecs, is_query, is_target, is_home, centre, turn, k, least):
-    """(query, target, similarity): for each query the k best of the cell with at least ``least``."""
-    x = unit(vecs)
+def search_cell(ids, x, is_query, is_target, is_home, centre, turn, k, least):
+    """(query, target, similarity): for each query the k best of the unit vectors ``x`` with at least ``least``."""
     q_at, t_at = np.flatnonzero(is_query), np.flatnonzero(is_target)
     if not len(q_at) or not len(t_at):
         return [], [], []
@@ -211,76 +228,163 @@ def search_cell(ids, vecs, is_query, is_target, is_home, centre, turn, k, least)
     return out_q, out_t, out_s
 
 
-def nearest(vectors: DataFrame, k: int = 5, least: float | None = None, margin: float = 0.1, probes: int = 64, queries=None, cell: int = CELL, dim: int = DIM) -> DataFrame:
-    """(id, other, similarity, rank): the k most similar vectors of each query (all usable ones, or those that meet
-    ``queries``, a condition on ``id``) within its group, those under ``least`` left out."""
-    rows = usable(vectors, dim)
-    hashed = rows.select("id", "grp", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(7), "vec").alias("h2"))
-    classes = hashed.groupBy("grp", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1")
-    copies = hashed.join(classes.select("grp", "h1", "h2", "rep"), ["grp", "h1", "h2"]).select("id", "rep").distinct()
-    cells = fit_cells(rows, cell)
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(cells)
-    extra = copies.where("id <> rep").select("id")
-    if extra.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        extra = F.broadcast(extra)
-    singles = rows.join(extra, "id", "left_anti")
-    wanted = F.lit(True) if queries is None else queries
-    if queries is not None:  # a copy that is asked for asks through its class
-        asked = copies.where(queries).select(F.col("rep").alias("id")).distinct()
-        singles = singles.join(asked.withColumn("asked", F.lit(True)), "id", "left")
-        wanted = wanted | F.col("asked").isNotNull()
-    every = queries is None
+def within_reach(near: np.ndarray, margin: float, probes: int | None) -> np.ndarray:
+    """Of similarities to centres (vectors x centres): which cells a vector is compared in."""
+    out = near >= near.max(1, keepdims=True) - margin
+    if probes is not None and near.shape[1] > probes:
+        out &= near >= np.partition(near, -probes, axis=1)[:, -probes, None]
+    return out
 
-    def place(batches):
-        c = shared.value
+
+def _unpacked(column: pa.Array, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
+
+
+def located(vectors: DataFrame, cells, margin: float, probes: int | None, every: bool, asked, dim: int) -> DataFrame:
+    """(id, grp, vec, cells, near): usable vectors with the numbers of their cells, the own one first, and how near its
+    centre is; those that ask nothing are in their own cell alone."""
+
+    def run(batches):
+        c = cells.value
         for b in batches:
-            vec = b.column(2)
-            grp, asked = np.array(b.column(1).to_pylist(), dtype=object), np.asarray(b.column(3).to_numpy(zero_copy_only=False), bool)
-            m = np.frombuffer(b"".join(vec.to_pylist()), np.float32).reshape(b.num_rows, dim)
-            ids = b.column(0).to_numpy()
-            parts = []
+            m, at = _matrix(b.column(2), dim)
+            if not len(at):
+                continue
+            grp, asks = np.array(b.column(1).to_pylist(), dtype=object)[at], np.asarray(b.column(3).to_numpy(zero_copy_only=False), bool)[at]
+            found: list = [None] * len(at)
+            best = np.zeros(len(at))
             for g in dict.fromkeys(grp.tolist()):
                 own = np.flatnonzero(grp == g)
                 near = unit(m[own]) @ c.centres[g].T
                 home = near.argmax(1)
-                best = near[np.arange(len(own)), home]
-                within = near >= best[:, None] - margin
-                if near.shape[1] > probes:
-                    cut = np.partition(near, -probes, axis=1)[:, -probes]
-                    within &= near >= cut[:, None]
-                if not every:
-                    within &= asked[own][:, None]
-                within[np.arange(len(own)), home] = True
-                r, z = np.nonzero(within)
-                parts.append((own[r], z + c.first[g], z == home[r]))
-            if not parts:
-                continue
-            r, z, at_home = (np.concatenate(x) for x in zip(*parts))
-            query = asked[r]
-            target = at_home | every
-            split = np.array(c.parts)[z] if len(c.parts) else np.ones(len(z), int)
-            own_part = ids[r] % np.maximum(1, split)
-            rep = np.repeat(np.arange(len(r)), np.where(target, split, 1))
-            part = np.arange(len(rep)) - np.searchsorted(rep, rep, side="left")
-            part = np.where(target[rep], part, own_part[rep])
-            flags = (query[rep] & (part == own_part[rep])) * 1 + target[rep] * 2 + at_home[rep] * 4
+                best[own] = near[np.arange(len(own)), home]
+                if near.shape[1] == 1:
+                    reach = np.ones_like(near, bool)
+                else:
+                    reach = within_reach(near, margin, probes)
+                    if not every:
+                        reach &= asks[own][:, None]
+                for i, r, h in zip(own, reach, home):
+                    found[i] = [h + c.first[g], *(z + c.first[g] for z in np.flatnonzero(r) if z != h)]
+            take = pa.array(at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(z[rep].astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(ids[r[rep]]), pa.array(flags.astype(np.int8)), vec.take(pa.array(r[rep]))],
-                names=["cell", "part", "id", "flags", "vec"],
+                [b.column(0).take(take), b.column(1).take(take), pa.array([x.tobytes() for x in m], pa.binary()), pa.array(found, pa.list_(pa.int32())), pa.array(best)], names=["id", "grp", "vec", "cells", "near"]
             )
 
+    return vectors.select("id", "grp", "emb", asked.alias("asked")).mapInArrow(run, "id long, grp string, vec binary, cells array<int>, near double")
+
+
+def divided(rows: DataFrame, large: DataFrame, cell: int, margin: float, probes: int | None, dim: int) -> DataFrame:
+    """(cell, sub, id, flags, vec): rows (cell, id, flags, near, vec) of large cells in the smaller cells of each.
+
+    ``large`` has (cell, n, salts). Flag 4 (at home) is kept in the nearest smaller cell of the own large cell only.
+    """
+    inside = rows.join(F.broadcast(large), "cell")
+    share = F.lit(PER_CENTRE) * F.least(F.ceil(F.col("n") / cell), F.lit(CENTRES)) / F.col("n")
+    sample = inside.where((F.col("flags").bitwiseAND(4) > 0) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)).select("cell", "n", "id", "vec")
+
+    def fit(t: pa.Table) -> pa.Table:  # one large cell's sample, bounded by CENTRES * PER_CENTRE
+        t = t.sort_by("id")
+        x = unit(_unpacked(t.column("vec").combine_chunks(), dim))
+        centres = fitted(x, int(np.clip(-(-t.column("n")[0].as_py() // cell), 1, min(CENTRES, max(1, len(x) // 2)))))
+        return pa.table({"cell": pa.array([t.column("cell")[0].as_py()] * len(centres), pa.int32()), "sub": pa.array(range(len(centres)), pa.int32()), "vec": pa.array([v.astype(np.float32).tobytes() for v in centres], pa.binary())})
+
+    centres = materialise(sample.groupBy("cell").applyInArrow(fit, "cell int, sub int, vec binary"), "centres")
+    # centres travel ahead of the rows, once for each salted part of their cell
+    ahead = centres.join(F.broadcast(large), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "sub", F.lit(None).cast("long").alias("id"), F.lit(0).cast("byte").alias("flags"), F.lit(0.0).alias("near"), "vec")
+    behind = inside.select("cell", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(None).cast("int").alias("sub"), "id", "flags", "near", "vec")
+
+    def place(batches):
+        key, held = None, []
+        for b in batches:
+            z, salt = b.column(0).to_numpy(), b.column(1).to_numpy()
+            starts = np.flatnonzero(np.r_[True, (z[1:] != z[:-1]) | (salt[1:] != salt[:-1])]) if len(z) else []
+            for a, e in zip(starts, np.r_[starts[1:], len(z)] if len(z) else []):
+                if key != (z[a], salt[a]):
+                    key, held = (z[a], salt[a]), []
+                part = b.slice(int(a), int(e - a))
+                centre = np.asarray(part.column(3).is_null())
+                held += [np.frombuffer(v, np.float32) for v in part.column(6).filter(pa.array(centre)).to_pylist()]
+                own = part.filter(pa.array(~centre))
+                if not own.num_rows:
+                    continue
+                if not held:  # a cell whose sample is empty stays whole
+                    held = [np.zeros(dim, np.float32)]
+                flags, home = own.column(4).to_numpy(), own.column(5).to_numpy()
+                near = unit(_unpacked(own.column(6), dim)) @ np.array(held, np.float64).T
+                best = near.argmax(1)
+                at_home = (flags & 4) > 0
+                reach = within_reach(near, margin, probes) & ((near >= home[:, None] - margin) | at_home[:, None])
+                reach &= ((flags & 1) > 0)[:, None]  # only what asks looks into other cells
+                reach[at_home, best[at_home]] = True
+                r, sub = np.nonzero(reach)
+                kept = flags[r] & np.where(at_home[r] & (sub == best[r]), 7, np.where((flags[r] & 2) > 0, 3, 1))
+                take = pa.array(r)
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0).take(take), pa.array(sub.astype(np.int32)), own.column(3).take(take), pa.array(kept.astype(np.int8)), own.column(6).take(take)], names=["cell", "sub", "id", "flags", "vec"]
+                )
+
+    both = ahead.unionByName(behind).repartition("cell", "salt").sortWithinPartitions("cell", "salt", F.col("id").asc_nulls_first(), "sub")
+    return both.mapInArrow(place, "cell int, sub int, id long, flags byte, vec binary")
+
+
+def nearest(vectors: DataFrame, k: int = 5, least: float | None = None, margin: float = 0.15, probes: int | None = 64, queries=None, cell: int = CELL, dim: int = DIM) -> DataFrame:
+    """(id, other, similarity, rank): the k most similar vectors of each query (all usable ones, or those that meet
+    ``queries``, a condition on ``id``) within its group, those under ``least`` left out."""
+    spark = vectors.sparkSession
+    source = named(vectors)
+    cells = fit_cells(source, cell, dim)
+    every = queries is None
+    # copies are found by their numbers' bits; both hashes are of the packed form
+    wanted = F.lit(True) if every else queries
+    shared = spark.sparkContext.broadcast(cells)
+    rows = materialise(located(source, shared, margin, probes, every, wanted, dim), "located")
+    hashed = rows.select("id", "grp", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(7), "vec").alias("h2"))
+    classes = hashed.groupBy("grp", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    copies = materialise(hashed.join(classes.select("grp", "h1", "h2", "rep"), ["grp", "h1", "h2"]).select("id", "rep").distinct(), "copies")
+    extra = copies.where("id <> rep").select("id")
+    if extra.count() <= BROADCAST_ROWS:
+        extra = F.broadcast(extra)
+    singles = rows.join(extra, "id", "left_anti")
+    asked = wanted
+    if not every:  # a copy that is asked for asks through its class
+        through = copies.where(queries).select(F.col("rep").alias("id")).distinct().withColumn("through", F.lit(True))
+        singles = singles.join(through, "id", "left")
+        asked = wanted | F.col("through").isNotNull()
+    flags = F.when(asked, 1).otherwise(0) + F.when((F.col("z") == 0) | F.lit(every), 2).otherwise(0) + F.when(F.col("z") == 0, 4).otherwise(0)
+    placed = singles.select("*", F.posexplode("cells").alias("z", "cell")).select("cell", "id", flags.cast("byte").alias("flags"), "near", "vec")
+    sizes = singles.groupBy(F.col("cells")[0].alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > LARGE * cell)
+    large = sizes.withColumn("salts", F.ceil(F.col("n") / PLACED).cast("int")).collect()  # at most one row per centre
+    small = placed.select("cell", F.lit(0).alias("sub"), "id", "flags", "vec")
+    if large:
+        large = spark.createDataFrame(large, "cell int, n long, salts int")
+        fine = materialise(divided(placed, large, cell, margin, probes, dim), "divided")
+        small = small.join(F.broadcast(large.select("cell")), "cell", "left_anti").unionByName(fine)
+        over = fine.groupBy("cell", "sub").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")).where("parts > 1")
+        small = small.join(over, ["cell", "sub"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    else:
+        small = small.withColumn("parts", F.lit(1))
+    # block i of the queries meets block j of the targets in part i * parts + j
+    own, asks, aimed = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.col("flags").bitwiseAND(1) > 0, F.col("flags").bitwiseAND(2) > 0
+    every_block = F.sequence(F.lit(0), F.col("parts") - 1)
+    as_query = F.when(asks, F.transform(every_block, lambda j: own * F.col("parts") + j)).otherwise(F.array().cast("array<int>"))
+    as_target = F.when(aimed, F.transform(every_block, lambda i: i * F.col("parts") + own)).otherwise(F.array().cast("array<int>"))
+    split = small.select("cell", "sub", "parts", "id", "flags", "vec", own.alias("own"), F.explode(F.array_union(as_query, as_target)).alias("part"))
+    asks_here, aimed_here = asks & (F.floor(F.col("part") / F.col("parts")) == F.col("own")), aimed & (F.col("part") % F.col("parts") == F.col("own"))
+    here = F.when(asks_here, 1).otherwise(0) + F.when(aimed_here, 2).otherwise(0) + F.col("flags").bitwiseAND(4)
+    blocks = split.select("cell", "sub", "part", "id", here.cast("byte").alias("flags"), "vec")
+
     def work(batches):
-        c, turn = shared.value, rotation(dim)
+        turn = rotation(dim)
         held, key = [], None
 
         def flush():
             if not held:
                 return None
-            ids = np.concatenate([h[0] for h in held])
-            flags = np.concatenate([h[1] for h in held])
-            vecs = np.concatenate([h[2] for h in held])
-            q, t, s = search_cell(ids, vecs, (flags & 1) > 0, (flags & 2) > 0, (flags & 4) > 0, c.all[key[0]], turn, k, least)
+            ids, flags, vecs = (np.concatenate(x) for x in zip(*held))
+            x = unit(vecs)
+            centre = x[(flags & 2) > 0].mean(0) if ((flags & 2) > 0).any() else x.mean(0)
+            q, t, s = search_cell(ids, x, (flags & 1) > 0, (flags & 2) > 0, (flags & 4) > 0, centre, turn, k, least)
             if not q:
                 return None
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(q)), pa.array(np.concatenate(t)), pa.array(np.concatenate(s))], names=["id", "other", "similarity"])
@@ -288,37 +392,35 @@ def nearest(vectors: DataFrame, k: int = 5, least: float | None = None, margin:
         for b in batches:
             if not b.num_rows:
                 continue
-            z, p = b.column(0).to_numpy(), b.column(1).to_numpy()
-            ids, flags = b.column(2).to_numpy(), b.column(3).to_numpy()
-            vecs = np.frombuffer(b"".join(b.column(4).to_pylist()), np.float32).reshape(-1, dim)
-            starts = np.flatnonzero(np.r_[True, (z[1:] != z[:-1]) | (p[1:] != p[:-1])])
-            for a, e in zip(starts, np.r_[starts[1:], len(z)]):
-                if key != (z[a], p[a]):
+            at = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
+            ids, flags, vecs = b.column(3).to_numpy(), b.column(4).to_numpy(), _unpacked(b.column(5), dim)
+            starts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(1)])
+            for a, e in zip(starts, np.r_[starts[1:], len(at)]):
+                if key != tuple(at[a]):
                     if (done := flush()) is not None:
                         yield done
-                    held, key = [], (z[a], p[a])
+                    held, key = [], tuple(at[a])
                 held.append((ids[a:e], flags[a:e], vecs[a:e]))
         if (done := flush()) is not None:
             yield done
 
-    placed = singles.select("id", "grp", "vec", wanted.alias("asked")).mapInArrow(place, "cell int, part int, id long, flags byte, vec binary")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(cells.parts) // 8)
-    pairs = placed.repartition(n, "cell", "part").sortWithinPartitions("cell", "part", "id").mapInArrow(work, "id long, other long, similarity double")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(map(len, cells.centres.values())) // 8)
+    pairs = blocks.repartition(n, "cell", "sub", "part").sortWithinPartitions("cell", "sub", "part", "id").mapInArrow(work, "id long, other long, similarity double")
     best = _top(pairs.groupBy("id", "other").agg(F.max("similarity").alias("similarity")), k)
     # copies: a class lists its own first k + 1 members and those of its neighbours; each member skips itself
     ranked = copies.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("n") <= k + 1).select("id", "rep")
-    few = ranked.limit(BROADCAST_ROWS + 1).count()
+    few = ranked.count()
     if not few:
-        return best if queries is None else best.where(queries)
-    small = F.broadcast(ranked) if few <= BROADCAST_ROWS else ranked
-    opened = best.join(small.withColumnsRenamed({"id": "copy", "rep": "other"}), "other", "left")
+        return best if every else best.where(queries)
+    opening = F.broadcast(ranked) if few <= BROADCAST_ROWS else ranked
+    opened = best.join(opening.withColumnsRenamed({"id": "copy", "rep": "other"}), "other", "left")
     opened = opened.select("id", F.coalesce("copy", "other").alias("other"), "similarity")
     classes_own = ranked.select(F.col("rep").alias("id"), F.col("id").alias("other"), F.lit(1.0).alias("similarity"))
     lists = _top(opened.unionByName(classes_own), k + 1)
     members = copies.withColumnsRenamed({"id": "member"}).withColumnsRenamed({"rep": "id"})
     held_by = lists.join(members, "id", "left").select(F.coalesce("member", "id").alias("id"), "other", "similarity")
     held_by = held_by.where(F.col("id") != F.col("other"))
-    if queries is not None:
+    if not every:
         held_by = held_by.where(queries)
     return _top(held_by, k)
 

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.llm import neighbours
 from lectern.llm.neighbours import Codes, nearest, rotation, unit
 
 SCHEMA = "vector_id long, set_name string, target string, owner_id long, model string, emb array<float>"
@@ -69,3 +70,40 @@ def test_bounds_hold():
 
 def test_empty(spark):
     assert nearest(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("stated", [False, True])
+def test_large_cells_are_divided_and_split(spark, monkeypatch, stated):
+    rows = made(1800)
+    df, want = spark.createDataFrame(rows, SCHEMA), brute(rows, 5, -1)
+    monkeypatch.setattr(neighbours, "CENTRES", 4)  # too few for the groups, so that their cells grow large
+    monkeypatch.setattr(neighbours, "PLACED", 100)
+    monkeypatch.setattr(neighbours, "LARGE", 2)
+    seen = []
+    divide = neighbours.divided
+    monkeypatch.setattr(neighbours, "divided", lambda *a: seen.append(divide(*a)) or seen[-1])
+    queries = F.col("id") % 10 == 0 if stated else None
+    wanted = {(i, j) for i, x in want.items() if not stated or i % 10 == 0 for j in x}
+    for split in (30_000, 60):
+        monkeypatch.setattr(neighbours, "SPLIT", split)
+        got = {(r["id"], r["other"]) for r in nearest(df, k=5, margin=0.3, cell=60, queries=queries).collect()}
+        assert len(got & wanted) >= 0.9 * len(wanted) and {i for i, _ in got} == {i for i, _ in wanted}
+        seen.append(got)
+    assert seen[1] == seen[3] and seen[0].select("cell", "sub").distinct().count() > 8  # parts change nothing
+
+
+def test_exact_setting(spark):
+    rows = made(600, 10)
+    want = {(i, j) for i, x in brute(rows, 4, -1).items() for j in x}
+    got = nearest(spark.createDataFrame(rows, SCHEMA), k=4, margin=neighbours.EXACT, probes=None, cell=50)
+    assert {(r["id"], r["other"]) for r in got.collect()} == want
+
+
+def test_comparisons_per_vector_do_not_grow(monkeypatch):
+    """Cells per vector and vectors per cell, from the counts that decide them: both stay as the collection grows."""
+    for n in (10**5, 10**6, 10**9):
+        first = min(max(1, n // neighbours.CELL), neighbours.CENTRES)
+        size = n / first
+        if size > neighbours.LARGE * neighbours.CELL:
+            size /= min(-(-size // neighbours.CELL), neighbours.CENTRES)
+        assert size <= neighbours.LARGE * neighbours.CELL
