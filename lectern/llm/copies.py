@@ -6,16 +6,20 @@ drawn hierarchically: first the points of the whole range of weights, which are
 range, so that words share their points at every weight they both have. A place keeps the smallest point over all words,
 and the chance that two records agree in a place is their weighted Jaccard similarity. ``BANDS`` bands of ``ROWS`` places
 are grouped (they share places, every band has its own choice of them); within a group, pairs are sifted by the last two
-bits of all ``SIZE`` places (at least ``SIFT`` must agree), and what is left is verified on the sets of words.
+bits of all ``SIZE`` places, and what is left is verified on the sets of words. The sift asks for the number of agreeing
+places that a pair at the wanted similarity has, less ``SIGMAS`` standard deviations, so it loses fewer than one in ten
+million of the pairs that the bands find.
 
 Weights: every word weighs the same, as in the cases' definition, so the places agree with the chance of the similarity
 asked for whatever the collection holds; a family of edited texts that fills much of it makes none of its words light.
 Records that have nothing in common but frequent words seldom meet because a band asks for ``ROWS`` places.
 
-Records with the same set of words are one class and take part once, by their smallest id. Band keys that hold
-more than ``BLOCK_ROWS`` rows are looked for among the keys of a share of the records (all of them where ``BLOCK_ROWS`` is
-small) that is expected to hold ``SEEN`` rows of each, and split into blocks that are compared pair by pair in tasks of
-their own; an overlooked key would cost time and no pair.
+Records with the same set of words are one class and take part once, by their smallest id. Band rows travel packed, in
+one piece per bucket of keys and some thousands of records; a task reads one bucket of about ``BUCKET`` bytes and finds
+the groups in it by sorting. Band keys that hold more than ``block_rows(n)`` rows are looked for among the keys of a share
+of the records (all of them where that is small) that is expected to hold ``SEEN`` rows of each, and split into blocks that
+are compared pair by pair under keys of their own, in other buckets; an overlooked key would cost time and no pair. There
+are at most ``HOT_KEYS`` of them by the definition of ``block_rows``.
 
 Defined results: null, empty and short texts (under ``MIN_CHARS`` characters) and texts without a word belong to no
 pair; ids are taken once; equal texts are pairs; the similarity is that of the sets of words (maximal runs of letters or
@@ -34,10 +38,12 @@ from pyspark.sql import functions as F
 
 from lectern.sources.tables import materialise
 
-SIZE, ROWS, BANDS, LEVELS, SIFT = 128, 6, 56, 16, 74
+SIZE, ROWS, BANDS, LEVELS, SIGMAS = 128, 6, 56, 16, 5.3
 MIN_CHARS, BLOCK_ROWS, SEEN = 80, 20_000, 400
-#: No longer read (keys are judged by ``BLOCK_ROWS`` alone); kept for those who set it.
-HOT = 1e-4
+#: Bound of the list of split keys (12 bytes each), and bytes of band rows in a bucket.
+HOT_KEYS, BUCKET = 1_000_000, 32_000_000
+#: A band row: its key, its record, on which side of a split key it stands (0: on none), and the sifting bits.
+ROW = np.dtype([("key", "<i8"), ("id", "<i8"), ("side", "i1"), ("bits", "<u8", SIZE // 32)])
 #: Fewer pairs (or ids, 8 to 16 bytes each) than this are broadcast, more are joined by shuffling.
 BROADCAST_ROWS = 500_000
 WORDS = re.compile(r"[^\W_]+")
@@ -47,6 +53,17 @@ def word_set(text: str) -> list[str]:
     return sorted(set(WORDS.findall(text.lower())))
 
 
+def block_rows(n: int) -> int:
+    """From how many rows on a band key is split: so that no more than ``HOT_KEYS`` can be, out of ``n`` records."""
+    return max(BLOCK_ROWS, BANDS * n // HOT_KEYS)
+
+
+def sift_at(least: float) -> int:
+    """The number of places whose two bits must agree."""
+    p = least + (1 - least) / 4
+    return math.floor(SIZE * p - SIGMAS * math.sqrt(SIZE * p * (1 - p)))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (SplitMix64)."""
     x = x.astype(np.uint64)
@@ -114,7 +131,7 @@ class Signer:
         self.index: dict[str, int] = {}
         self.table = np.zeros((0, SIZE), np.float32)
 
-    def sign(self, bags: list[list[str]]) -> np.ndarray:
+    def sign(self, bags: list) -> np.ndarray:
         """uint64 (bags x SIZE): a hash of the smallest point of each place; bags must not be empty."""
         new = sorted(set().union(*bags).difference(self.index))
         if len(self.index) + len(new) > self.most and self.index:
@@ -175,99 +192,115 @@ def survey(records: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return materialise(fit.mapInArrow(run, "id long, set binary"), "survey")
 
 
-def _bands(texts: DataFrame) -> DataFrame:
-    kept: list[Signer] = []
+def _signed(batches):
+    """(ids, band keys, sifting bits) of the records (id, text) of Arrow batches."""
+    signer = Signer({})
+    for whole in batches:
+        for a in range(0, whole.num_rows, 256):
+            b = whole.slice(a, 256)
+            sig = signer.sign([set(WORDS.findall(t.lower())) for t in b.column(1).to_pylist()])
+            bits = np.hstack([np.packbits((sig & np.uint64(1)).astype(np.uint8), axis=1), np.packbits((sig & np.uint64(2)).astype(bool), axis=1)])
+            yield b.column(0).to_numpy(), band_keys(sig), bits.view(np.uint64)
+
+
+def split_rows(rows: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Rows of split keys are put into the blocks they take part in: block i meets block j under key (i, j), i <= j."""
+    keys, parts = hot
+    if not len(keys):
+        return rows
+    at = np.minimum(np.searchsorted(keys, rows["key"]), len(keys) - 1)
+    is_hot = keys[at] == rows["key"]
+    own, n = rows[is_hot], parts[at[is_hot]]
+    if not len(own):
+        return rows
+    out = np.repeat(own, n)
+    n_of, block = np.repeat(n, n).astype(np.int64), np.repeat((mix(own["id"].astype(np.uint64)) % n.astype(np.uint64)).astype(np.int64), n)
+    other = np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
+    lo, hi = np.minimum(block, other), np.maximum(block, other)
+    with np.errstate(over="ignore"):
+        out["key"] = mix(out["key"].astype(np.uint64) + (lo * n_of + hi + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    out["side"] = np.where(block == other, 0, np.where(block < other, 1, 2))
+    return np.concatenate([rows[~is_hot], out])
+
+
+def packed_bands(texts: DataFrame, hot, buckets: int) -> DataFrame:
+    """(bucket, rows): the band rows of all records, packed."""
 
     def run(batches):
-        if not kept:
-            kept.append(Signer({}))
-        for whole in batches:
-            for a in range(0, whole.num_rows, 256):
-                b = whole.slice(a, 256)
-                bags = [word_set(t) for t in b.column(1).to_pylist()]
-                sig = kept[0].sign(bags)
-                keys = band_keys(sig)
-                sift = np.hstack([np.packbits((sig & np.uint64(1)).astype(np.uint8), axis=1), np.packbits((sig & np.uint64(2)).astype(bool), axis=1)])
-                n = b.num_rows
-                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIZE // 4), n * BANDS, [None, pa.py_buffer(np.repeat(sift, BANDS, axis=0).tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), raw.cast(pa.binary())], names=["key", "id", "bits"])
-
-    return texts.mapInArrow(run, "key long, id long, bits binary")
-
-
-def _sift(batches):
-    """Pairs within runs of equal (key, block); ``side`` 0: with all, 1 and 2: only with the other side."""
-    held: list[tuple] = []
-    key = None
-
-    def groups(ids, bits, side, start):
-        size = np.diff(np.r_[start, len(ids)])
-        for n in np.unique(size):  # all runs of one length at a time
-            if n < 2:
-                continue
+        held, n = [], 0
+
+        def out():
+            rows = np.concatenate(held)
+            bucket = ((mix(rows["key"].astype(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[order], bucket[order]
+            start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            blobs = [rows[a:e].tobytes() for a, e in zip(start, np.r_[start[1:], len(rows)])]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[start]), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
+
+        for ids, keys, bits in _signed(batches):
+            rows = np.zeros(keys.size, ROW)
+            rows["key"], rows["id"], rows["bits"] = keys.ravel(), np.repeat(ids, BANDS), np.repeat(bits, BANDS, axis=0)
+            held.append(split_rows(rows, hot.value))
+            n += len(held[-1])
+            if n > 200_000:
+                yield out()
+                held, n = [], 0
+        if held:
+            yield out()
+
+    return texts.mapInArrow(run, "bucket int, rows binary")
+
+
+def _sift(needed: int):
+    """For ``mapInArrow``: pairs of records whose rows have one key, in the rows of one bucket."""
+
+    def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Agreeing places of bits that are broadcast against each other."""
+        half, out = SIZE // 64, None
+        for w in range(half):
+            n = np.bitwise_count((x[..., w] ^ y[..., w]) | (x[..., half + w] ^ y[..., half + w]))
+            out = n if out is None else out + n
+        return SIZE - out.astype(np.int32)
+
+    def pairs(rows, i, j):
+        ok = (rows["id"][i] != rows["id"][j]) & ((rows["side"][i] == 0) | (rows["side"][i] != rows["side"][j]))
+        a, b = rows["id"][i[ok]], rows["id"][j[ok]]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def found(rows):
+        rows = rows[np.argsort(rows["key"], kind="stable")]
+        start = np.flatnonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1]])
+        size = np.diff(np.r_[start, len(rows)])
+        bits = np.ascontiguousarray(rows["bits"])
+        for n in np.unique(size[size > 1]):
             first = start[size == n]
-            i, j = np.triu_indices(n, 1)
-            step = max(1, 2_000_000 // len(i))
+            if n > 1000:  # row against row, in blocks
+                for s in first:
+                    for a in range(s, s + n, 1024):
+                        e = min(a + 1024, s + n)
+                        i, j = np.nonzero(alike(bits[a:e, None], bits[None, a : s + n]) >= needed)
+                        yield pairs(rows, i[i < j] + a, j[i < j] + a)
+                continue
+            i, j = np.triu_indices(n, 1)  # all groups of one size at a time
+            step = max(1, 1_000_000 // len(i))
             for a in range(0, len(first), step):
-                x = (first[a : a + step, None] + i).ravel()
-                y = (first[a : a + step, None] + j).ravel()
-                yield x, y
-
-    def compare(ids, bits, side, start):
-        out = []
-        for x, y in groups(ids, bits, side, start):
-            differ = bits[x] ^ bits[y]
-            same = SIZE - np.bitwise_count(differ[:, : SIZE // 64] | differ[:, SIZE // 64 :]).sum(1)
-            ok = (same >= SIFT) & (ids[x] != ids[y]) & ((side[x] == 0) | (side[x] != side[y]))
-            out.append((np.minimum(ids[x[ok]], ids[y[ok]]), np.maximum(ids[x[ok]], ids[y[ok]])))
-        if not out:
-            return None
-        lo, hi = (np.concatenate(c) for c in zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
-
-    def large(ids, bits, side):
-        for a in range(0, len(ids), 1024):
-            x = slice(a, a + 1024)
-            half = SIZE // 64
-            same = SIZE - sum(np.bitwise_count((bits[x, w, None] ^ bits[None, a:, w]) | (bits[x, half + w, None] ^ bits[None, a:, half + w])).astype(np.int32) for w in range(half))
-            i, j = np.nonzero((same >= SIFT) & ((side[x, None] == 0) | (side[x, None] != side[None, a:])))
-            i, j = i + a, j + a
-            ok = (i < j) & (ids[i] != ids[j])
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i[ok]], ids[j[ok]])), pa.array(np.maximum(ids[i[ok]], ids[j[ok]]))], names=["a", "b"])
-
-    def emit(parts):
-        k, blk, ids, side, bits = (np.concatenate(c) for c in zip(*parts))
-        start = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (blk[1:] != blk[:-1])])
-        size = np.diff(np.r_[start, len(k)])
-        big = size > 1000
-        for s, n in zip(start[big], size[big]):
-            yield from large(ids[s : s + n], bits[s : s + n], side[s : s + n])
-        small = np.repeat(~big, size)
-        if small.any():
-            k, blk, ids, side, bits = k[small], blk[small], ids[small], side[small], bits[small]
-            start = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (blk[1:] != blk[:-1])])
-            if (done := compare(ids, bits, side, start)) is not None:
-                yield done
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k, blk = b.column(0).to_numpy(), b.column(1).to_numpy()
-        part = (k, blk, b.column(2).to_numpy(), b.column(3).to_numpy(), np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(-1, SIZE // 32))
-        # everything up to the last run is complete
-        last = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (blk[1:] != blk[:-1])])[-1]
-        if held and (key != (k[0], blk[0]) or last > 0):
-            if key != (k[0], blk[0]):
-                yield from emit(held)
-                held = []
-        if last > 0:
-            held.append(tuple(c[:last] for c in part))
-            yield from emit(held)
-            held = []
-        held.append(tuple(c[last:] for c in part))
-        key = (k[-1], blk[-1])
-    if held:
-        yield from emit(held)
+                x, y = (first[a : a + step, None] + i).ravel(), (first[a : a + step, None] + j).ravel()
+                ok = alike(bits[x], bits[y]) >= needed
+                yield pairs(rows, x[ok], y[ok])
+
+    def run(batches):
+        held: dict[int, list[bytes]] = {}
+        for b in batches:
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held.setdefault(bucket, []).append(blob)
+        for bucket in sorted(held):
+            seen = [p for p in found(np.frombuffer(b"".join(held.pop(bucket)), ROW)) if len(p[0])]
+            if seen:
+                ab = np.unique(np.stack([np.concatenate(x) for x in zip(*seen)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
+
+    return run
 
 
 def _verify(least: float):
@@ -286,51 +319,46 @@ def _verify(least: float):
     return run
 
 
-def hot_keys(texts: DataFrame) -> dict[int, int]:
-    """Band key -> number of blocks, of the keys with more than ``BLOCK_ROWS`` rows; found from half of that on."""
-    share = min(1.0, SEEN / BLOCK_ROWS)
+def hot_keys(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The band keys with more than ``block_rows`` rows, sorted, and into how many blocks each is split; they are found
+    from half of that on."""
+    limit = block_rows(n)
+    share = min(1.0, SEEN / limit)
     some = texts if share == 1 else texts.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000))
-    most = BLOCK_ROWS if share == 1 else BLOCK_ROWS * share / 2
-    rows = _bands(some).groupBy("key").count().where(F.col("count") > most).collect()
-    return {r["key"]: max(2, math.ceil(r["count"] / share / BLOCK_ROWS)) for r in rows}
+
+    def keys(batches):
+        for _, k, _ in _signed(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(k.ravel())], names=["key"])
+
+    most = limit if share == 1 else limit * share / 2
+    rows = sorted((r["key"], max(2, math.ceil(r["count"] / share / limit))) for r in some.mapInArrow(keys, "key long").groupBy("key").count().where(F.col("count") > most).collect())
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
 def near_copies(records: DataFrame, id_column: str, text_column: str, least: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """(links, members): links (a, b, similarity) between class representatives, a < b; members (id, rep), one row per
     record that takes part. Records of one class have the same set of words."""
+    spark = records.sparkSession
     sets = survey(records, id_column, text_column)
     by_set = sets.groupBy("set").agg(F.min("id").alias("rep"))
     members = materialise(sets.join(by_set, "set").select("id", "rep").distinct(), "members")
-    n, taken = members.where("id = rep").count(), members.count()
+    taken, n = members.agg(F.count("*"), F.count_if(F.col("id") == F.col("rep"))).first()
     others = members.where("id <> rep").select("id")
     if taken - n <= BROADCAST_ROWS:
         others = F.broadcast(others)
     texts = records.where(F.length(text_column) >= MIN_CHARS).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    others = members.where("id <> rep").select("id")
-    if members.count() - n <= BROADCAST_ROWS:
-        others = F.broadcast(others)
-    texts = texts.where(F.col("text").rlike(r"[\p{L}\p{N}]")).join(others, "id", "left_anti")
-
-    bands = _bands(texts)
-    hot = hot_keys(texts) if n > BLOCK_ROWS else {}  # a key has a record once
-    plain = bands.select("key", F.lit(0).alias("block"), "id", F.lit(0).cast("byte").alias("side"), "bits")
-    if hot:
-        # block i meets block j in task (i, j), i <= j
-        parts = F.create_map(*[F.lit(x) for kv in hot.items() for x in kv])
-        own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-        cold = plain.where(~F.col("key").isin(list(hot)))
-        split = bands.where(F.col("key").isin(list(hot))).withColumn("parts", parts[F.col("key")]).withColumn("own", own)
-        split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        lo, hi = F.least("own", "other"), F.greatest("own", "other")
-        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-        plain = cold.unionByName(split.select("key", (lo * F.col("parts") + hi + 1).cast("int").alias("block"), "id", side.cast("byte").alias("side"), "bits"))
-    grouped = plain.repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block")
-    pairs = materialise(grouped.mapInArrow(_sift, "a long, b long").distinct(), "pairs")
-    small = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
-    a = texts.withColumnsRenamed({"id": "a", "text": "text_a"}).join(small, "a")
-    b = texts.withColumnsRenamed({"id": "b", "text": "text_b"}).join(small, "b")
-    joined = a.join(b, ["a", "b"]).select("a", "b", "text_a", "text_b")
-    links = joined.mapInArrow(_verify(least), "a long, b long, similarity double")
+    texts = texts.where(F.col("id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]")).join(others, "id", "left_anti")
+    hot = hot_keys(texts, n) if n > BLOCK_ROWS else (np.zeros(0, np.int64), np.zeros(0, np.int64))  # a key has a record once
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * BANDS * ROW.itemsize // BUCKET)
+    bands = packed_bands(texts, spark.sparkContext.broadcast(hot), buckets)
+    pairs = materialise(bands.repartitionById(buckets, F.col("bucket")).mapInArrow(_sift(sift_at(least)), "a long, b long").distinct(), "pairs")
+    # texts of the records that are in a pair are read once
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    few = pairs.count() <= BROADCAST_ROWS
+    involved = materialise(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "involved")
+    small = F.broadcast(pairs) if few else pairs
+    joined = involved.withColumnsRenamed({"id": "a", "text": "text_a"}).join(small, "a").join(involved.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
+    links = joined.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a long, b long, similarity double")
     return links.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), members
 
 

@@ -126,11 +126,22 @@ def p4_found(spark, d):
     return expand(links, members).select(F.col("a").alias("pid_a"), F.col("b").alias("pid_b"))
 
 
-@query("p4_classes")
+@query(
+    "p4_classes",
+    r"""
+    WITH s AS (SELECT pid, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS w FROM paragraphs WHERE length(text) >= 80),
+    m AS (SELECT pid, min(pid) OVER (PARTITION BY w) AS rep, w FROM s WHERE len(w) > 0),
+    u AS (SELECT pid, len(w) AS n, unnest(w) AS w FROM m WHERE pid = rep),
+    c AS (SELECT a.pid AS a, b.pid AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM u a JOIN u b ON a.w = b.w AND a.pid < b.pid GROUP BY 1, 2),
+    l AS (SELECT a, b FROM c WHERE k * 10 >= 7 * (na + nb - k)),
+    e AS (SELECT rep, count(*) AS links FROM (SELECT a AS rep FROM l UNION ALL SELECT b FROM l) GROUP BY 1)
+    SELECT pid, rep AS class_id, coalesce(links, 0) AS links FROM m LEFT JOIN e USING (rep)
+    """,
+)
 def p4_classes(spark, d):
-    """Links between representatives of equal word sets at the similarity that shingle operators take."""
-    links, members = near_copies(table(spark, d, "paragraphs", "pid", "text"), "pid", "text", 0.8)
-    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
+    """Each record with its class (equal word sets) and the number of classes that its class is linked to."""
+    links, members = near_copies(table(spark, d, "paragraphs", "pid", "text"), "pid", "text", 0.7)
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     return members.join(ends, "rep", "left").select(F.col("id").alias("pid"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 

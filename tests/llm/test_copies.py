@@ -59,7 +59,6 @@ def test_hot_keys_are_split_without_loss(spark, monkeypatch):
     df = spark.createDataFrame(rows, "pid long, text string")
     want = {(r["a"], r["b"]) for r in near_copies(df, "pid", "text")[0].collect()}
     monkeypatch.setattr(copies, "BLOCK_ROWS", 2)
-    monkeypatch.setattr(copies, "HOT", 1e-3)
     got = {(r["a"], r["b"]) for r in near_copies(df, "pid", "text")[0].collect()}
     assert got == want and want
 
@@ -68,12 +67,12 @@ def test_hot_keys_of_a_small_collection_are_found(spark, monkeypatch):
     rows = made(2, 100) + [(7000 + i, " ".join([f"family{k}" for k in range(60)] + [f"edit{i}"])) for i in range(300)]
     df = spark.createDataFrame(rows, "pid long, text string")
     found, links, search = [], [], copies.hot_keys
-    monkeypatch.setattr(copies, "hot_keys", lambda texts: found.append(search(texts)) or found[-1])
+    monkeypatch.setattr(copies, "hot_keys", lambda texts, n: found.append(search(texts, n)) or found[-1])
     for rows_in_block in (20_000, 50):
         monkeypatch.setattr(copies, "BLOCK_ROWS", rows_in_block)
         links.append({(r["a"], r["b"]) for r in near_copies(df, "pid", "text")[0].collect()})
     assert links[0] == links[1] and links[0]
-    assert len(found) == 1 and max(found[0].values()) >= 5  # 300 records that share most keys, in blocks of 50
+    assert len(found) == 1 and max(found[0][1]) >= 5  # 300 records that share most keys, in blocks of 50
 
 
 def test_agreement_is_weighted_jaccard():
@@ -107,5 +106,26 @@ def test_hot_keys_are_found_in_a_share_of_the_records(spark, monkeypatch):
     monkeypatch.setattr(copies, "BLOCK_ROWS", 1000)
     monkeypatch.setattr(copies, "SEEN", 250)
     rows = [(i, " ".join(f"family{k}" for k in range(60))) for i in range(3000)] + [(9000 + i, f"one{i} two{i} three{i}") for i in range(500)]
-    hot = copies.hot_keys(spark.createDataFrame(rows, "id long, text string"))
-    assert len(hot) == copies.BANDS and set(hot.values()) <= {3, 4}
+    keys, parts = copies.hot_keys(spark.createDataFrame(rows, "id long, text string"), len(rows))
+    assert len(keys) == copies.BANDS and set(parts) <= {3, 4} and list(keys) == sorted(keys)
+
+
+def test_texts_of_common_words_are_found():
+    """Records from one template: fourteen of sixteen words are in nearly every record."""
+    r = random.Random(9)
+    signer, needed, hits = Signer({}), copies.sift_at(0.7), 0
+    for k in range(200):
+        shared = [f"template{i}" for i in range(14)]
+        sig = signer.sign([[*shared, f"a{k}", f"b{k}"][: 14 + r.randrange(1, 3)], [*shared, f"c{k}"]])
+        keys = copies.band_keys(sig)
+        agree = ((sig[0] ^ sig[1]) & np.uint64(3) == 0).sum()
+        hits += bool((keys[0] == keys[1]).any() and agree >= needed)
+    assert hits >= 198
+
+
+def test_the_sift_follows_the_similarity():
+    assert copies.sift_at(0.7) < copies.sift_at(0.8) < copies.sift_at(0.9)
+    p, needed = 0.7 + 0.3 / 4, copies.sift_at(0.7)
+    lost = sum(np.exp(sum(np.log((SIZE - i) / (i + 1)) for i in range(k)) + k * np.log(p) + (SIZE - k) * np.log(1 - p)) for k in range(needed))
+    assert lost < 1e-6
+    assert copies.BANDS * 10**10 / copies.block_rows(10**10) <= copies.HOT_KEYS * 1.01
