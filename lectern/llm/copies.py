@@ -305,10 +305,22 @@ def _sift(needed: int):
 
 def _verify(least: float):
     def run(batches):
+        known: dict[str, frozenset] = {}  # a text is in several pairs; long texts are not kept
+
+        def split(text: str) -> frozenset:
+            found = known.get(text)
+            if found is None:
+                found = frozenset(WORDS.findall(text.lower()))
+                if len(known) > 4000:
+                    known.clear()
+                if len(text) < 10_000:
+                    known[text] = found
+            return found
+
         for b in batches:
             keep, score = [], []
             for k, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                x, y = set(WORDS.findall(x.lower())), set(WORDS.findall(y.lower()))
+                x, y = split(x), split(y)
                 both = len(x & y)
                 if both >= least * (len(x) + len(y) - both) - 1e-9:
                     keep.append(k)
