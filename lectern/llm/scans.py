@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 from itertools import product
 
 import pyarrow as pa
@@ -31,12 +32,18 @@ from lectern.operators.islands import running_sum
 from lectern.sources.tables import materialise
 
 AT, LEAST, EDGE = 260_000, 2, 2
+#: Longest line that can be furniture, and longest one that two pages are enough for; math.inf sets no bound.
+LINE_CHARS, PAIR_CHARS = 100, 45
+#: Longest formula between dollar signs whose inside is not read as words (a lone sign would hide what follows it).
+FORMULA_CHARS = 600
+#: Places of a word that can be confused and are tried, and how many of them may be at once.
+SPOTS, CHANGES = 6, 3
 PROSE = ("text", "list_item")
 # What scanners read, and the letters that were there.
 CONFUSIONS = {"0": "o", "1": "l", "5": "s", "í": "i", "rn": "m", "cl": "d", "ii": "u", "li": "h", "vv": "w", "c": "e", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st"}
 SURE = frozenset("íﬁﬂﬀﬃﬄﬅ")  # characters that the corpus' own words do not have
 HYPHENS = "-­¬‐‑"
-MARKUP = re.compile(r"\$[^$]{0,600}\$|<[^<>]*>|&#?\w+;|\\cite\{[^}]*\}|\\(?:label|ref)\{[^}]*\}|\\[a-zA-Z]+|https?://\S+|\]\([^)]*\)|`[^`]*`|\{\{.*?\}\}", re.S)
+MARKUP = re.compile(rf"\$[^$]{{0,{FORMULA_CHARS}}}\$" r"|<[^<>]*>|&#?\w+;|\\cite\{[^}]*\}|\\(?:label|ref)\{[^}]*\}|\\[a-zA-Z]+|https?://\S+|\]\([^)]*\)|`[^`]*`|\{\{.*?\}\}", re.S)
 WORD = re.compile(r"[^\W_]+")
 CUT = re.compile(rf"(?<![^\W_])([^\W_]++)(?<=[^\W\d_])([{HYPHENS}])[ \t]*\n\s*([^\W_]++)")
 CUT_AT_END = re.compile(rf"(?<![^\W_])([^\W_]++)([{HYPHENS}])\s*\Z")
@@ -77,32 +84,38 @@ def own_lines(text: str) -> list[str]:
 
 
 def edges(blocks: DataFrame) -> DataFrame:
-    """(revision_id, page, key, offset, kind): lines at the edges of pages that can be a header or a number."""
+    """(revision_id, page, key, offset, furniture): lines at the edges of pages that can be a header or a number.
+
+    Only the first and the last line of each block go through the window that finds the edges of a page.
+    """
     by = Window.partitionBy("revision_id", "page")
-    at = blocks.where(F.col("revision_id").isNotNull() & F.col("page").isNotNull() & ~F.coalesce(F.col("kind").isin("code", "equation", "table", "figure"), F.lit(False)))
+    at = blocks.where(F.col("revision_id").isNotNull() & F.col("page").isNotNull() & (F.length("text") > 0) & ~F.coalesce(F.col("kind").isin("code", "equation", "table", "figure"), F.lit(False)))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"(?U)\S"))
+    outer = F.array_distinct(F.array_compact(F.array(F.try_element_at(lines, F.lit(1)), F.try_element_at(lines, F.lit(-1)))))
+    outer = F.filter(outer, lambda x: F.length(x) <= F.lit(float(LINE_CHARS)))
+    at = at.select(F.col("revision_id").cast("long").alias("revision_id"), F.col("page").cast("int").alias("page"), "block_index", (F.coalesce("kind", F.lit("")) == "furniture").alias("furniture"), outer.alias("lines"))
     at = at.withColumn("top", F.row_number().over(by.orderBy("block_index"))).withColumn("bottom", F.row_number().over(by.orderBy(F.desc("block_index"))))
-    at = at.where((F.col("top") <= EDGE) | (F.col("bottom") <= EDGE) | (F.col("kind") == "furniture")).where(F.length("text") > 0)
+    at = at.where((F.col("top") <= EDGE) | (F.col("bottom") <= EDGE) | F.col("furniture")).select("revision_id", "page", "furniture", F.explode("lines").alias("line"))
 
     def run(batches):
         for b in batches:
-            out = []
-            for rev, page, kind, text in zip(*(c.to_pylist() for c in b.columns)):
-                lines = own_lines(text)
-                for line in dict.fromkeys(lines[:1] + lines[-1:]):
-                    if len(line) <= 100:
-                        rest, number = parse_edge(line)
-                        title_like = not rest[:1].islower() and rest[-1:] not in ".,;:?!-"
-                        out.append((rev, page, (canonical(rest) or None) if title_like else None, None if number is None else number - page, kind == "furniture"))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.bool_()))], names=["revision_id", "page", "key", "offset", "furniture"])
+            keys, offsets = [], []
+            for page, line in zip(b.column(1).to_pylist(), b.column(3).to_pylist()):
+                rest, number = parse_edge(line)
+                title_like = not rest[:1].islower() and rest[-1:] not in ".,;:?!-"
+                keys.append((canonical(rest) or None) if title_like else None)
+                offsets.append(None if number is None else number - page)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.string()), pa.array(offsets, pa.int32()), b.column(2)], names=["revision_id", "page", "key", "offset", "furniture"])
 
-    return at.select(F.col("revision_id").cast("long"), F.col("page").cast("int"), "kind", "text").mapInArrow(run, "revision_id long, page int, key string, offset int, furniture boolean")
+    return at.mapInArrow(run, "revision_id long, page int, key string, offset int, furniture boolean")
 
 
 def furniture(blocks: DataFrame) -> DataFrame:
     """(revision_id, headers, offset) of each revision that has any."""
-    found = edges(blocks)
+    found = materialise(edges(blocks), "edges")
     lines = found.where(F.length("key") >= 5).groupBy("revision_id", "key", "page").agg(F.max(F.col("furniture").cast("int")).alias("f"))
-    lines = lines.groupBy("revision_id", "key").agg(F.count("*").alias("pages"), F.max("f").alias("f")).where("pages >= 3 OR f = 1 OR (pages = 2 AND length(key) <= 45)")
+    often = (F.col("pages") >= 3) | (F.col("f") == 1) | ((F.col("pages") == 2) & (F.length("key") <= F.lit(float(PAIR_CHARS))))
+    lines = lines.groupBy("revision_id", "key").agg(F.count("*").alias("pages"), F.max("f").alias("f")).where(often)
     headers = lines.groupBy("revision_id").agg(F.collect_list("key").alias("headers"))
     steps = found.where("offset IS NOT NULL").groupBy("revision_id", "offset", "page").agg(F.max(F.col("furniture").cast("int")).alias("f"))
     steps = steps.groupBy("revision_id", "offset").agg(F.count("*").alias("pages"), F.max("f").alias("f")).where("pages >= 2 OR f = 1")
@@ -116,7 +129,7 @@ def strip_furniture(text: str, page: int | None, headers: set[str], offset: int
     if title:
         return text, False, False, ""
     for k, line in enumerate(lines):
-        if line.strip() and len(line) <= 100:
+        if line.strip() and len(line) <= LINE_CHARS:
             rest, n = parse_edge(line)
             is_number = n is not None and offset is not None and page is not None and n - page == offset
             is_header = bool(headers) and canonical(rest if n is not None else line) in headers
@@ -133,24 +146,32 @@ def count_words(blocks: DataFrame) -> DataFrame:
     """(kind, key, n): words 'w', compounds 'c' and letter groups of capitalised words 'g' of prose, by part of the input."""
 
     def run(batches):
-        seen: Counter = Counter()
+        words: Counter = Counter()
+        names: Counter = Counter()
+        compounds: Counter = Counter()
 
         def out():
-            b = pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["kind", "key", "n"])
-            seen.clear()
+            letters: Counter = Counter()
+            for w, n in names.items():
+                for g in groups(w):
+                    letters[g] += n
+            kinds = (("w", words), ("c", compounds), ("g", letters))
+            b = pa.RecordBatch.from_arrays(
+                [pa.array([k for k, c in kinds for _ in c], pa.string()), pa.array([x for _, c in kinds for x in c], pa.string()), pa.array([n for _, c in kinds for n in c.values()], pa.int64())], names=["kind", "key", "n"]
+            )
+            for c in (words, names, compounds):
+                c.clear()
             return b
 
         for b in batches:
             for text in b.column(0).to_pylist():
                 text = CUT.sub(" ", MARKUP.sub(" ", text))
-                for w in WORD.findall(text):
-                    seen["w", w.lower()] += 1
-                    if w[0].isupper() and len(w) > 3:
-                        for g in groups(w.lower()):
-                            seen["g", g] += 1
-                for c in COMPOUND.findall(text.lower()):
-                    seen["c", c] += 1
-            if len(seen) > 300_000:
+                found = WORD.findall(text)
+                words.update([w.lower() for w in found])
+                names.update([w.lower() for w in found if len(w) > 3 and w[0].isupper()])
+                if "-" in text:
+                    compounds.update(COMPOUND.findall(text.lower()))
+            if len(words) + len(names) + len(compounds) > 200_000:
                 yield out()
         yield out()
 
@@ -272,6 +293,7 @@ class Answers(Corpus):
         return ask("f", first) in self.answers
 
 
+@lru_cache(100_000)
 def in_question(word: str) -> bool:
     """Whether a word's form lets it be misread."""
     w = word.lower()
@@ -345,9 +367,9 @@ def restored(w: str) -> list[str]:
     base = "".join(CONFUSIONS[c] if c in SURE else c for c in w)
     spots = [(m.start(), a) for a in ("0", "1", "5", "rn", "cl", "ii", "li", "vv", "c") for m in re.finditer(a, base)]
     out = set() if base == w else {base}
-    for pick in product((False, True), repeat=min(len(spots), 6)):
+    for pick in product((False, True), repeat=min(len(spots), SPOTS)):
         chosen = sorted((s for s, p in zip(spots, pick) if p), reverse=True)
-        if not 0 < len(chosen) <= 3 or any(b[0] < a[0] + 0 + len(a[1]) and a[0] < b[0] + len(b[1]) for i, a in enumerate(chosen) for b in chosen[i + 1 :]):
+        if not 0 < len(chosen) <= CHANGES or any(b[0] < a[0] + 0 + len(a[1]) and a[0] < b[0] + len(b[1]) for i, a in enumerate(chosen) for b in chosen[i + 1 :]):
             continue
         x = base
         for at, a in chosen:
@@ -399,9 +421,21 @@ def is_raw(text: str, malformed: bool | None) -> bool:
     return bool(malformed) or not re.search(r"\\[a-zA-Z|\\,;:!{]|[\^_]\{", text)
 
 
+FENCE = re.compile(r"(^ {0,3}```[^\n]*\n(?:[^\n]*\n)*? {0,3}```[ \t]*$)", re.M)
+LINE_END = re.compile(r"[ \t]*\n(?!\s*[-*+•] )\s*")
+
+
+def one_line(text: str) -> str:
+    """Lines joined, but for fenced code and list items."""
+    if "```" not in text:
+        return LINE_END.sub(" ", text)
+    parts = FENCE.split(text)
+    return "\n".join(x for k, part in enumerate(parts) if (x := part if k % 2 else LINE_END.sub(" ", part).strip()))
+
+
 def repair(text: str, corpus: Corpus, misread: bool = True) -> str:
     """Lines joined, cut words made whole, misread words restored where the corpus knows the word."""
-    text = re.sub(r"[ \t]*\n\s*", " ", corpus.joined(text))
+    text = one_line(corpus.joined(text))
     if not misread:
         return text
     spans = [m.span() for m in MARKUP.finditer(text)]
@@ -417,9 +451,10 @@ def repair(text: str, corpus: Corpus, misread: bool = True) -> str:
 
 
 def examine(blocks: DataFrame) -> DataFrame:
-    """(block_id, revision_id, page, block_index, kind, noise, clean, next): one row per block that is not furniture.
+    """(block_id, revision_id, page, block_index, kind, noise, clean, next, joint): one row per block that is not furniture.
 
-    ``noise`` is an array of its kinds of noise, ``clean`` the repaired text, ``next`` the block it goes on in.
+    ``noise`` is an array of its kinds of noise, ``clean`` the repaired text, ``next`` the block it goes on in, ``joint``
+    what comes between the two texts: nothing where the page cuts a word or a compound, else a blank.
     """
     b = blocks.select("block_id", "revision_id", "block_index", "page", "kind", "text", "malformed_math").where(F.col("kind").isNull() | (F.col("kind") != "furniture"))
     b = b.dropDuplicates(["block_id"])
@@ -443,7 +478,7 @@ def examine(blocks: DataFrame) -> DataFrame:
     fields = "block_id long, revision_id long, page int, block_index int, kind string, malformed_math boolean, clean string, header boolean, number boolean, removed string"
     stripped = materialise(joined.mapInArrow(strip, fields), "stripped")
     prose = stripped.where(F.col("kind").isin(*PROSE) & F.col("clean").rlike(r"\S"))
-    ends = prose.groupBy("revision_id", "page").agg(F.max(F.struct("block_index", "block_id")).alias("last"), F.min(F.struct("block_index", "block_id", F.substring("clean", 1, 200).alias("head"))).alias("first"))
+    ends = prose.groupBy("revision_id", "page").agg(F.max(F.struct("block_index", "block_id")).alias("last"), F.min(F.struct("block_index", "block_id", F.regexp_extract("clean", r"(?U)^\s*(\S+)", 1).alias("head"))).alias("first"))
     after = ends.select("revision_id", (F.col("page") - 1).alias("page"), F.col("first.head").alias("head"), F.col("first.block_id").alias("next"))
     tails = ends.join(after, ["revision_id", "page"]).select(F.col("last.block_id").alias("block_id"), "head", "next")
     both = stripped.join(tails, "block_id", "left")
@@ -461,20 +496,33 @@ def examine(blocks: DataFrame) -> DataFrame:
     def look(batches):
         for x in batches:
             c = x.to_pydict()
-            noise, text, goes = [], [], []
+            noise, text, goes, joint = [], [], [], []
             for k in range(x.num_rows):
                 corp = Answers({a["question"]: a["value"] for a in c["answers"][k] or ()})
                 n, t, go = _look(corp, c["kind"][k], c["clean"][k] or "", c["malformed_math"][k], c["head"][k], c["removed"][k] or "")
+                t, between = page_joint(t, c["head"][k], corp) if go else (t, "")
+                joint.append(between)
                 noise.append([*n, *(["header"] if c["header"][k] else []), *(["page_number"] if c["number"][k] else [])])
                 text.append(t)
                 goes.append(c["next"][k] if go else None)
             yield pa.RecordBatch.from_arrays(
-                [*(x.column(i) for i in range(5)), pa.array(noise, pa.list_(pa.string())), pa.array(text, pa.string()), pa.array(goes, pa.int64())],
-                names=["block_id", "revision_id", "page", "block_index", "kind", "noise", "clean", "next"],
+                [*(x.column(i) for i in range(5)), pa.array(noise, pa.list_(pa.string())), pa.array(text, pa.string()), pa.array(goes, pa.int64()), pa.array(joint, pa.string())],
+                names=["block_id", "revision_id", "page", "block_index", "kind", "noise", "clean", "next", "joint"],
             )
 
     both = both.select("block_id", "revision_id", "page", "block_index", "kind", "malformed_math", "clean", "header", "number", "head", "next", "removed", "answers")
-    return both.mapInArrow(look, "block_id long, revision_id long, page int, block_index int, kind string, noise array<string>, clean string, next long")
+    return both.mapInArrow(look, "block_id long, revision_id long, page int, block_index int, kind string, noise array<string>, clean string, next long, joint string")
+
+
+def page_joint(text: str, head: str | None, corpus: Corpus) -> tuple[str, str]:
+    """A text that goes on on the next page, and what joins it to what begins with ``head``. A cut word loses its hyphen,
+    a compound keeps it; neither gets a blank."""
+    m = CUT_AT_END.search(text)
+    if m is None:
+        return text, " "
+    follow = WORD.match((head or "").lstrip())
+    cut = corpus.cut_word(m.group(1), m.group(2), follow.group() if follow else "")
+    return (text[: m.end(1)] if cut else text.rstrip()), ""
 
 
 def goes_on(text: str, head: str | None, corpus: Corpus) -> bool:
@@ -529,8 +577,8 @@ def paragraphs_of(blocks: DataFrame) -> DataFrame:
     prose = kept.where(F.col("kind").isin(*PROSE)).join(carried, "block_id", "left")
     starts = running_sum(prose, ["revision_id"], "block_index", F.when(F.col("carried"), 0).otherwise(1))
     starts = starts.withColumn("paragraph", F.col("before") + F.when(F.col("carried"), 0).otherwise(1))
-    parts = starts.groupBy("revision_id", "paragraph").agg(F.array_sort(F.collect_list(F.struct("block_index", "block_id", "page", "kind", "clean"))).alias("p"))
-    joined = F.aggregate(F.expr("transform(p, x -> x.clean)"), F.lit(""), lambda a, x: F.when(a == "", x).when(a.rlike(f"[{HYPHENS}]$"), F.concat(F.regexp_replace(a, f"[{HYPHENS}]$", ""), x)).otherwise(F.concat_ws(" ", a, x)))
+    parts = starts.groupBy("revision_id", "paragraph").agg(F.array_sort(F.collect_list(F.struct("block_index", "block_id", "page", "kind", "clean", "joint"))).alias("p"))
+    joined = F.trim(F.array_join(F.transform("p", lambda x: F.concat(x["clean"], x["joint"])), ""))
     prose = parts.select("revision_id", F.expr("p[0].block_index").alias("block_index"), F.expr("p[0].block_id").alias("first_block"), F.expr("p[0].kind").alias("kind"), F.expr("p[0].page").alias("page"), joined.alias("text"))
     rest = kept.where(F.col("kind").isNull() | ~F.col("kind").isin(*PROSE)).select("revision_id", "block_index", F.col("block_id").alias("first_block"), "kind", "page", F.col("clean").alias("text"))
     return prose.unionByName(rest)

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lectern.llm.scans import Corpus, _look, ask, canonical, find_noise, groups, in_question, paragraphs_of, parse_edge, questions, repair, strip_furniture
+from lectern.llm.scans import Corpus, _look, ask, canonical, find_noise, groups, in_question, page_joint, paragraphs_of, parse_edge, questions, repair, strip_furniture
 
 SCHEMA = "block_id long, revision_id long, block_index int, page int, kind string, text string, malformed_math boolean, bbox array<float>"
 
@@ -112,3 +112,18 @@ def test_every_lookup_is_asked_before(corpus):
         _look(Recording(corpus.words, corpus.compounds, corpus.groups), "text", text, None, head, "Clinic")
         assert asked <= questions("text", text, head, "Clinic"), text
         asked.clear()
+
+
+def test_words_and_compounds_across_pages(spark, corpus):
+    assert page_joint("of a structure-", "preserving and", corpus) == ("of a structure-", "")
+    assert page_joint("an algo-", "rithm is", corpus) == ("an algo", "") and page_joint("of the", "hash", corpus) == ("of the", " ")
+    rows = [(k, 1, k, 0, "text", "A structure-preserving hash and an algorithm of the hash.", None, None) for k in range(12)]
+    rows += [(20, 2, 0, 0, "text", "The hash is structure-", None, None), (21, 2, 1, 1, "text", "preserving and the algo-", None, None), (22, 2, 2, 2, "text", "rithm ends.", None, None)]
+    got = {r["first_block"]: r["text"] for r in paragraphs_of(spark.createDataFrame(rows, SCHEMA)).collect() if r["revision_id"] == 2}
+    assert got == {20: "The hash is structure-preserving and the algorithm ends."}
+
+
+def test_code_and_lists_keep_their_lines(corpus):
+    assert repair("The system\nis:\n```py\na = 1\nb = 2\n```\nand the\nhash.", corpus) == "The system is:\n```py\na = 1\nb = 2\n```\nand the hash."
+    assert repair("The system\n- one\n- two\nmore", corpus) == "The system\n- one\n- two more"
+
