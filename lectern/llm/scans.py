@@ -19,6 +19,7 @@ the text; repeated rows give repeated results once; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from functools import lru_cache
@@ -44,6 +45,8 @@ CONFUSIONS = {"0": "o", "1": "l", "5": "s", "í": "i", "rn": "m", "cl": "d", "ii
 SURE = frozenset("íﬁﬂﬀﬃﬄﬅ")  # characters that the corpus' own words do not have
 HYPHENS = "-­¬‐‑"
 MARKUP = re.compile(rf"\$[^$]{{0,{FORMULA_CHARS}}}\$" r"|<[^<>]*>|&#?\w+;|\\cite\{[^}]*\}|\\(?:label|ref)\{[^}]*\}|\\[a-zA-Z]+|https?://\S+|\]\([^)]*\)|`[^`]*`|\{\{.*?\}\}", re.S)
+#: What any markup, any cut word and any cut at the end of a text has; texts without it are not searched for them.
+MAY_MARK, MAY_CUT = re.compile(r"[$<&\\`{]|://|\]\("), re.compile(rf"[{HYPHENS}]\s*(?:\n|\Z)")
 WORD = re.compile(r"[^\W_]+")
 CUT = re.compile(rf"(?<![^\W_])([^\W_]++)(?<=[^\W\d_])([{HYPHENS}])[ \t]*\n\s*([^\W_]++)")
 CUT_AT_END = re.compile(rf"(?<![^\W_])([^\W_]++)([{HYPHENS}])\s*\Z")
@@ -54,6 +57,11 @@ ENDS = re.compile(r"[.?!:。！？][\"'”’)\]]*$|[>}]$|^={2,}|={2,}$|\|$|```$
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 
 
+def unmarked(text: str) -> str:
+    """The text with a blank for every piece of markup."""
+    return MARKUP.sub(" ", text) if MAY_MARK.search(text) else text
+
+
 def to_number(s: str) -> int:
     if s[0].isdigit():
         return int(s)
@@ -125,11 +133,12 @@ def furniture(blocks: DataFrame) -> DataFrame:
 
 def strip_furniture(text: str, page: int | None, headers: set[str], offset: int | None, title: bool) -> tuple[str, bool, bool, str]:
     """(text without furniture, had a header, had its page's number, the furniture)."""
-    lines, kept, removed, header, number = text.split("\n"), [], [], False, False
-    if title:
+    if title or (not headers and offset is None):
         return text, False, False, ""
+    lines, kept, removed, header, number = text.split("\n"), [], [], False, False
+    shortest = min(map(len, headers), default=math.inf)  # a ligature becomes up to three letters
     for k, line in enumerate(lines):
-        if line.strip() and len(line) <= LINE_CHARS:
+        if len(line) <= LINE_CHARS and line.strip() and (3 * len(line) >= shortest or (offset is not None and k in (0, len(lines) - 1))):
             rest, n = parse_edge(line)
             is_number = n is not None and offset is not None and page is not None and n - page == offset
             is_header = bool(headers) and canonical(rest if n is not None else line) in headers
@@ -165,7 +174,8 @@ def count_words(blocks: DataFrame) -> DataFrame:
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                text = CUT.sub(" ", MARKUP.sub(" ", text))
+                text = unmarked(text)
+                text = CUT.sub(" ", text) if MAY_CUT.search(text) else text
                 found = WORD.findall(text)
                 words.update([w.lower() for w in found])
                 names.update([w.lower() for w in found if len(w) > 3 and w[0].isupper()])
@@ -197,6 +207,7 @@ class Corpus:
             parts = c.split("-")
             for i in range(1, len(parts)):
                 self.heads["-".join(parts[:i])] += n
+        self.any_misread = True
         self.known: dict[str, bool] = {}
         self.cuts: dict[tuple[str, str, str], bool] = {}
 
@@ -216,7 +227,7 @@ class Corpus:
         def join(m: re.Match) -> str:
             return m.group(1) + ("" if self.cut_word(m.group(1), m.group(2), m.group(3)) else "-") + m.group(3)
 
-        return CUT.sub(join, CUT.sub(join, text))
+        return CUT.sub(join, CUT.sub(join, text)) if MAY_CUT.search(text) else text
 
     def _cut_word(self, left: str, sign: str, right: str) -> bool:
         """Whether ``left`` and ``right`` are one word that the line end cut (not a compound at its own hyphen)."""
@@ -279,12 +290,13 @@ class Answers(Corpus):
     def __init__(self, answers: dict[str, str]):
         super().__init__({}, {}, {})
         self.answers = answers
+        self.any_misread = any(q[0] == "m" for q in answers)
 
     def cut_word(self, left: str, sign: str, right: str) -> bool:
         return ask("c", left, sign, right) in self.answers
 
     def misread(self, word: str) -> bool:
-        return ask("m", word) in self.answers
+        return self.any_misread and ask("m", word) in self.answers
 
     def restore(self, word: str) -> str:
         return self.answers[ask("m", word)]
@@ -318,22 +330,25 @@ def questions(kind: str | None, text: str, head: str | None, removed: str = "")
     first = WORD.match(head)
     if first:
         out.add(ask("f", first.group().lower()))
-    if m := CUT_AT_END.search(text):
+    may_cut = MAY_CUT.search(text) is not None
+    if may_cut and (m := CUT_AT_END.search(text)):
         out.add(ask("c", m.group(1), m.group(2), first.group() if first else ""))
     forms = {text}
-    for _ in range(2):  # as ``joined``; a cut touches at most two neighbours of the round before, so parity gives all cases
+    for _ in range(2 if may_cut else 0):  # as ``joined``; a cut touches at most two neighbours of the round before, so parity gives all cases
         found = set()
         for form in forms:
             cuts = list(CUT.finditer(form))
             out.update(ask("c", *m.groups()) for m in cuts)
             for even, odd in product(("", "-"), repeat=2) if cuts else [("", "")]:
                 signs = iter((even, odd) * (len(cuts) // 2 + 1))
-                found.add(CUT.sub(lambda m: m.group(1) + next(signs) + m.group(3), form))  # noqa: B023
+                found.add(CUT.sub(lambda m: m.group(1) + next(signs) + m.group(3), form) if cuts else form)  # noqa: B023
         forms = found
+    words = set(WORD.findall(removed))
     for form in forms:
-        whole = re.sub(r"[ \t]*\n\s*", " ", form)
-        for part in (MARKUP.sub(" ", form), removed, whole):
-            out.update(ask("m", w) for w in WORD.findall(part) if in_question(w))
+        words.update(WORD.findall(form))  # joining lines changes no word
+        if MAY_MARK.search(form):
+            words.update(WORD.findall(MARKUP.sub(" ", form)))
+    out.update(["m\x01" + w for w in words if in_question(w)])
     return out
 
 
@@ -438,7 +453,7 @@ def repair(text: str, corpus: Corpus, misread: bool = True) -> str:
     text = one_line(corpus.joined(text))
     if not misread:
         return text
-    spans = [m.span() for m in MARKUP.finditer(text)]
+    spans = [m.span() for m in MARKUP.finditer(text)] if MAY_MARK.search(text) else []
 
     def fix(m: re.Match) -> str:
         w = m.group()
@@ -486,10 +501,11 @@ def examine(blocks: DataFrame) -> DataFrame:
     def inquire(batches):
         for x in batches:
             c = x.to_pydict()
-            rows = [(i, q) for i, kind, text, head, gone in zip(*(c[k] for k in ("block_id", "kind", "clean", "head", "removed"))) for q in sorted(questions(kind, text or "", head, gone or ""))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["block_id", "question"])
+            found = [sorted(questions(kind, text or "", head, gone or "")) for kind, text, head, gone in zip(*(c[k] for k in ("kind", "clean", "head", "removed")))]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(found, pa.list_(pa.string()))], names=["block_id", "questions"])
 
-    asked = materialise(both.select("block_id", "kind", "clean", "head", "removed").mapInArrow(inquire, "block_id long, question string"), "questions")
+    inquired = both.select("block_id", "kind", "clean", "head", "removed").mapInArrow(inquire, "block_id long, questions array<string>")
+    asked = materialise(inquired.select("block_id", F.explode("questions").alias("question")), "questions")
     told = asked.join(answers_to(asked, everything), "question").groupBy(F.col("block_id").alias("told")).agg(F.collect_list(F.struct("question", "value")).alias("answers"))
     both = both.join(told, F.col("block_id").eqNullSafe(F.col("told")), "left")
 
@@ -548,8 +564,9 @@ def _look(corpus: Corpus, kind: str | None, text: str, malformed: bool | None, h
     if kind in PROSE and text.strip():
         go = goes_on(text, head, corpus)
         plain = text
-        cut = any(corpus.cut_word(m.group(1), m.group(2), m.group(3)) for m in CUT.finditer(plain))
-        m = CUT_AT_END.search(plain)
+        may_cut = MAY_CUT.search(plain) is not None
+        cut = may_cut and any(corpus.cut_word(m.group(1), m.group(2), m.group(3)) for m in CUT.finditer(plain))
+        m = CUT_AT_END.search(plain) if may_cut else None
         if m and not cut:
             follow = WORD.match((head or "").lstrip())
             cut = corpus.cut_word(m.group(1), m.group(2), follow.group() if follow else "")
@@ -558,8 +575,8 @@ def _look(corpus: Corpus, kind: str | None, text: str, malformed: bool | None, h
         if go:
             noise.append("continued")
 
-    whole = MARKUP.sub(" ", corpus.joined(text))
-    misread = any(corpus.misread(w) for w in WORD.findall(f"{whole}\n{removed}"))
+    whole = corpus.joined(text)
+    misread = corpus.any_misread and any(corpus.misread(w) for w in WORD.findall(f"{unmarked(whole)}\n{removed}"))
     if misread:
         noise.append("misread")
     return noise, repair(text, corpus, misread), go
