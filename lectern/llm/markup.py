@@ -6,7 +6,9 @@ capacities; constructs that lie close together and are of one language, and the
 are joined by smoothness edges. The maximum flow separates markup from content that only looks like it, such as
 ``a < b``, ``2 * 3``, ``R&D``, ``max_count`` or ``p == q``. What is labelled markup is converted, the rest stays as it is.
 
-Left out of the search: formulas between dollar signs, and everything inside code (fences, verbatim, ``pre``).
+A region of code (a fence, ``verbatim``, ``pre``) is a node like any other; what lies inside it is not searched, nor are
+formulas between dollar signs. Every rule looks at a character a bounded number of times, whatever is left unclosed:
+constructs that run up to a closing sign are only tried where one follows.
 
 Defined results: null, empty and blank texts have no markup and give themselves; unclosed constructs stay content unless
 their neighbours say otherwise; very long texts are processed whole; the result of a text depends on nothing else.
@@ -26,16 +28,50 @@ from pyspark.sql import functions as F
 ELEMENTS = frozenset("a abbr address article aside b big blockquote body br button caption center cite code col dd del details div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd li link main mark math meta nav ol option p pre q s samp script section select small span strike strong style sub summary sup svg table tbody td textarea tfoot th thead time title tr tt u ul var video".split())
 BREAKING = frozenset("address article aside blockquote br center dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
 TEXT_COMMANDS = frozenset("emph textbf textit texttt textsc textrm textsf underline section subsection subsubsection chapter paragraph part label ref eqref cite citep citet footnote item caption title author begin end it bf tt em sc rm sf url href includegraphics input include centering noindent newline linebreak pagebreak par maketitle documentclass usepackage bibliography bibliographystyle vspace hspace index".split())
-FORMULA = re.compile(r"(?<!\\)\$\$?[^$]{1,600}?(?<!\\)\$\$?")
+FORMULA = re.compile(r"(?<!\\)\$\$?[^$]+?(?<!\\)\$\$?")
 PROSE = re.compile(r"[A-Za-z]{3,}(?:\s+[A-Za-z]{2,}){3}")
-ANY = re.compile(r"<[a-zA-Z/!]|&#?\w+;|\*|`|^\s{0,3}#|\]\(|^ {0,3}>|^\s{0,3}[-+][ \t]|^\s*:?-{3}|^ {0,3}={3}|(?<!\w)_|\[\[|\{\{|\{\||''|^=|\\[a-zA-Z\[(]|^\s*\|", re.M)
+ANY = re.compile(r"<[a-zA-Z/!]|&#?\w+;|\*|`|^\s{0,3}#|\]\(|^ {0,3}>|^\s{0,3}[-+][ \t]|^[ \t]*:?-{3}|^ {0,3}={3}|(?<!\w)_|\[\[|\{\{|\{\||''|^=|\\[a-zA-Z\[(]|^[ \t]*\|", re.M)
+
+
+class Delimited:
+    """A lazily closed rule; ``finditer`` tries it only at openers that a closer follows, and jumps past what it found."""
+
+    def __init__(self, rule: str, opener: str, closer: str, flags: int = re.S):
+        self.rule, self.opener, self.closer = (re.compile(x, flags | re.M) for x in (rule, opener, closer))
+
+    def finditer(self, text: str):
+        openers = list(self.opener.finditer(text))
+        if not openers:
+            return
+        closers, at, k = [m.start() for m in self.closer.finditer(text)], 0, 0
+        for o in openers:
+            if o.start() < at:
+                continue
+            while k < len(closers) and closers[k] < o.end():
+                k += 1
+            if k == len(closers):
+                return
+            m = self.rule.match(text, o.start())
+            if m is not None:
+                at = m.end()
+                yield m
+
+    def sub(self, new: str, text: str) -> str:
+        parts, at = [], 0
+        for m in self.finditer(text):
+            parts += [text[at : m.start()], new]
+            at = m.end()
+        return "".join([*parts, text[at:]])
+
+
+COMMENT, PRE = Delimited(r"<!--.*?-->", "<!--", "-->"), Delimited(r"<pre\b[^<>]*>(?:\s*<code\b[^<>]*>)?(.*?)(?:</code>\s*)?</pre>", r"<pre\b[^<>]*>", "</pre>", re.S | re.I)
 RULES = [
-    ("html", "comment", re.compile(r"<!--.*?-->", re.S)),
+    ("html", "comment", COMMENT),
     ("html", "tag", re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)((?:\s+[a-zA-Z_:][\w:.-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>=]+))?)*)\s*/?>")),
     ("html", "entity", re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});")),
     ("markdown", "image", re.compile(r"!\[([^\]\n]*)\]\(([^()\s]+(?:\s+\"[^\"]*\")?)\)")),
     ("markdown", "link", re.compile(r"(?<!!)\[([^\[\]]+)\]\(([^()\s]+(?:\s+\"[^\"]*\")?)\)")),
-    ("markdown", "heading", re.compile(r"^ {0,3}(#{1,6})[ \t]+(\S[^\n]*?)[ \t]*#*[ \t]*$", re.M)),
+    ("markdown", "heading", re.compile(r"^ {0,3}(#{1,6})[ \t]+(\S[^\n]*)$", re.M)),
     ("markdown", "setext", re.compile(r"^(\S[^\n]*)\n {0,3}(={3,}|-{3,})[ \t]*$", re.M)),
     ("markdown", "rule", re.compile(r"^ {0,3}(?:\|?[ \t]*:?-{3,}:?[ \t]*)(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*$", re.M)),
     ("markdown", "row", re.compile(r"^ {0,3}\|(?![-}+])[^\n]*\|[ \t]*$", re.M)),
@@ -44,21 +80,22 @@ RULES = [
     ("markdown", "span", re.compile(r"(?<!`)`(?!`)([^`\n]+)`(?!`)")),
     ("markdown", "quote", re.compile(r"^ {0,3}>[ \t]?", re.M)),
     ("markdown", "bullet", re.compile(r"^[ \t]{0,3}[-+*][ \t]+(?=\S)", re.M)),
-    ("wiki", "bold", re.compile(r"'''(?=\S)(.+?)(?<=\S)'''", re.S)),
+    ("wiki", "bold", Delimited(r"'''(?=\S)(.+?)(?<=\S)'''", r"'''\S", r"(?<=\S)'''")),
     ("wiki", "italic", re.compile(r"(?<!')''(?!')(?=\S)([^'\n]+?)(?<=\S)''(?!')")),
-    ("wiki", "heading", re.compile(r"^(={2,6})[ \t]*([^=\n]+?)[ \t]*\1[ \t]*$", re.M)),
+    ("wiki", "heading", re.compile(r"^(={2,6})(?=[ \t]*[^=\s])([^=\n]+)\1[ \t]*$", re.M)),
     ("wiki", "link", re.compile(r"\[\[([^\[\]|]+)(?:\|([^\[\]]*))?\]\]")),
     ("wiki", "template", re.compile(r"\{\{[^{}]*\}\}", re.S)),
-    ("wiki", "table", re.compile(r"^\{\|.*?^\|\}", re.M | re.S)),
+    ("wiki", "table", Delimited(r"^\{\|.*?^\|\}", r"^\{\|", r"^\|\}")),
     ("wiki", "list", re.compile(r"^[*#:;]+[ \t]*(?=\[\[|'')", re.M)),
-    ("latex", "display", re.compile(r"\\\[(.+?)\\\]|\\\((.+?)\\\)", re.S)),
+    ("latex", "display", Delimited(r"\\\[(.+?)\\\]", r"\\\[.", r"\\\]")),
+    ("latex", "inline", Delimited(r"\\\((.+?)\\\)", r"\\\(.", r"\\\)")),
     ("latex", "environment", re.compile(r"\\(?:begin|end)\{[a-zA-Z*]+\}(?:\[[^\]\n]*\])?")),
     ("latex", "command", re.compile(r"\\([a-zA-Z]+)\*?")),
 ]
 CODE = [
     ("markdown", re.compile(r"^ {0,3}```[^\n]*\n(.*?)(?:^ {0,3}```[ \t]*$|\Z)", re.M | re.S)),
-    ("latex", re.compile(r"\\begin\{(verbatim|lstlisting)\}\n?(.*?)\\end\{\1\}", re.S)),
-    ("html", re.compile(r"<pre\b[^>]*>(?:\s*<code\b[^>]*>)?(.*?)(?:</code>\s*)?</pre>", re.S | re.I)),
+    *(("latex", Delimited(rf"\\begin\{{{x}\}}\n?(.*?)\\end\{{{x}\}}", rf"\\begin\{{{x}\}}", rf"\\end\{{{x}\}}")) for x in ("verbatim", "lstlisting")),
+    ("html", PRE),
 ]
 NEAR, CLOSE, PAIR = 160, 0.6, 3.0
 
@@ -133,9 +170,8 @@ def _costs(language: str, form: str, m: re.Match, text: str) -> tuple[float, flo
     if form == "bullet":  # a list: after a blank line or another item; not a wiki item, nor a number between dashes
         if re.compile(r"\[\[|''|\d+[ \t]+[-–]").match(text, m.end()):
             return 0.2, 3.0
-        before = text[: m.start()].rstrip(" \t")
-        line = before.rstrip("\n").rpartition("\n")[2] if before else ""
-        fresh = not before or before.endswith("\n\n") or bool(re.match(r"[ \t]{0,3}[-+*][ \t]", line))
+        line = text[text.rfind("\n", 0, max(0, m.start() - 1)) + 1 : max(0, m.start() - 1)]
+        fresh = not line.strip() or bool(re.match(r"[ \t]{0,3}[-+*][ \t]", line))
         return (2.0, 0.8) if fresh else (0.4, 1.5)
     if form == "quote":
         return (2.0, 0.8)
@@ -149,6 +185,9 @@ def _costs(language: str, form: str, m: re.Match, text: str) -> tuple[float, flo
         return (2.0, 0.8)
     if form == "heading" and language == "wiki":
         return (3.0, 0.7)
+    if form == "code":  # a fence that nothing closes may be three signs in prose
+        closed = language != "markdown" or m.group().rstrip(" \t").endswith("```")
+        return (4.0, 0.5) if closed else (1.6, 1.2)
     return 3.0, 0.6
 
 
@@ -173,16 +212,16 @@ def _blank(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def label(text: str) -> tuple[list[Node], list[tuple[str, int, int, int, int]]]:
-    """The constructs that are markup, and code regions (language, start, end, inner start, inner end)."""
+def label(text: str) -> list[Node]:
+    """The constructs that are markup, regions of code among them."""
     if not text or not ANY.search(text):
-        return [], []
-    code, seen = [], text
+        return []
+    code: list[Node] = []
+    seen = text
     for language, rule in CODE:
-        for m in rule.finditer(seen):
-            g = m.lastindex
-            code.append((language, m.start(), m.end(), m.start(g), m.end(g)))
-        seen = _blank(seen, [(c[1], c[2]) for c in code if c[0] == language])
+        found = [Node(language, "code", m, *_costs(language, "code", m, seen)) for m in rule.finditer(seen)]
+        code += found
+        seen = _blank(seen, [(n.start, n.end) for n in found])
     seen = _blank(seen, masked(seen))
     nodes: list[Node] = []
     taken = bytearray(len(seen))  # 1 where a construct that bars others lies
@@ -197,8 +236,9 @@ def label(text: str) -> tuple[list[Node], list[tuple[str, int, int, int, int]]]:
                 nodes.append(Node(language, form, m, *_costs(language, form, m, seen)))
                 if form in ("comment", "tag", "template", "table", "rule", "setext", "list", "environment", "heading"):
                     taken[a:z] = b"\x01" * (z - a)
+    nodes += code
     if not nodes:
-        return [], code
+        return []
     nodes.sort(key=lambda n: (n.start, -n.end))
     edges = []
     for i, a in enumerate(nodes):
@@ -225,20 +265,18 @@ def label(text: str) -> tuple[list[Node], list[tuple[str, int, int, int, int]]]:
         if n.form == "row":
             edges += [(i, r, PAIR) for r in rules[:1]]
     chosen = min_cut([(n.content, n.markup) for n in nodes], edges)
-    return [n for n, c in zip(nodes, chosen) if c], code
+    return [n for n, c in zip(nodes, chosen) if c]
 
 
 def languages(text: str | None) -> list[str]:
-    nodes, code = label(text or "")
-    return sorted({n.language for n in nodes} | {c[0] for c in code})
+    return sorted({n.language for n in label(text or "")})
 
 
 def languages_in_html(text: str | None) -> list[str]:
     """Markup other than HTML in a text that is HTML anyway."""
     if not text or not ANY.search(text):
         return []
-    plain = re.sub(r"<pre\b.*?</pre>", " ", text, flags=re.S | re.I)
-    plain = re.sub(r"<!--.*?-->", "", plain, flags=re.S)
+    plain = COMMENT.sub("", PRE.sub(" ", text))
     plain = RULES[1][2].sub(lambda m: "\n" if m.group(1).lower() in BREAKING else "", plain)
     return [x for x in languages(html_lib.unescape(plain)) if x != "html"]
 
@@ -248,27 +286,38 @@ def clean(text: str | None) -> str | None:
     fenced, formulas stand between dollar signs."""
     if not text:
         return text
-    nodes, code = label(text)
-    if not nodes and not code:
+    nodes = label(text)
+    if not nodes:
         return text
     parts, put = [], []
-    for _, a, z, x, y in code:
-        inner = text[x:y]
-        put.append((a, z, "\n```\n" + html_lib.unescape(inner).strip("\n") + "\n```\n"))
+    closing = braces(text) if any(n.form == "command" for n in nodes) else {}
     for n in nodes:
-        put += _replace(n, text)
+        put += _replace(n, text, closing)
     at = 0
     for a, z, new in sorted(put, key=lambda p: (p[0], -p[1])):
         if a >= at:
             parts += [text[at:a], new]
             at = z
     out = "".join([*parts, text[at:]])
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", out)).strip()
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?<![ \t])[ \t]+\n", "\n", out)).strip()
 
 
-def _replace(n: Node, text: str) -> list[tuple[int, int, str]]:
+def braces(text: str) -> dict[int, int]:
+    """Where each brace that is closed is closed, in one pass."""
+    out, stack = {}, []
+    for m in re.finditer(r"[{}]", text):
+        if m.group() == "{":
+            stack.append(m.start())
+        elif stack:
+            out[stack.pop()] = m.start()
+    return out
+
+
+def _replace(n: Node, text: str, closing: dict[int, int]) -> list[tuple[int, int, str]]:
     m, a, z, form = n.match, n.start, n.end, n.form
     g = lambda k: text[m.start(k) : m.end(k)]
+    if form == "code":
+        return [(a, z, "\n```\n" + html_lib.unescape(g(1)).strip("\n") + "\n```\n")]
     if form == "tag":
         name, closing = m.group(1).lower(), m.group().startswith("</")
         if re.fullmatch(r"h[1-6]", name):
@@ -281,7 +330,10 @@ def _replace(n: Node, text: str) -> list[tuple[int, int, str]]:
     if form == "entity":
         return [(a, z, html_lib.unescape(m.group()).replace("\xa0", " "))]
     if form == "heading":
-        return [(a, m.start(2), "#" * len(m.group(1)) + " "), (m.end(2), z, "")]
+        inner = g(2).rstrip(" \t")
+        inner = inner.rstrip("#").rstrip(" \t") if n.language == "markdown" else inner
+        lead = len(inner) - len(inner.lstrip(" \t"))
+        return [(a, m.start(2) + lead, "#" * len(m.group(1)) + " "), (m.start(2) + len(inner), z, "")]
     if form == "setext":
         return [(a, a, "# " if m.group(2)[0] == "=" else "## "), (m.end(1), z, "")]
     if form in ("strong", "emphasis", "span", "bold", "italic", "image"):
@@ -297,26 +349,21 @@ def _replace(n: Node, text: str) -> list[tuple[int, int, str]]:
         return [(a, z, "\n".join(rows))]
     if form in ("bullet", "list"):
         return [(a, z, "- ")]
-    if form == "display":
-        k = 1 if m.group(1) is not None else 2
-        return [(a, z, "$$" + g(k).strip() + "$$" if k == 1 else "$" + g(k).strip() + "$")]
+    if form in ("display", "inline"):
+        sign = "$$" if form == "display" else "$"
+        return [(a, z, sign + g(1).strip() + sign)]
     if form == "command":
-        return _command(m, text)
+        return _command(m, text, closing)
     return [(a, z, "\n" if form == "environment" else "")]
 
 
-def _command(m: re.Match, text: str) -> list[tuple[int, int, str]]:
+def _command(m: re.Match, text: str, closing: dict[int, int]) -> list[tuple[int, int, str]]:
     """A command with its braced argument: kept for commands that set text, dropped for those that name something."""
     name, a, z = m.group(1), m.start(), m.end()
     if name == "item":
         return [(a, z + (text[z : z + 1] == " "), "\n- ")]
     if text[z : z + 1] == "{":
-        depth, end = 0, None
-        for k in range(z, len(text)):
-            depth += (text[k] == "{") - (text[k] == "}")
-            if not depth:
-                end = k
-                break
+        end = closing.get(z)
         if end is not None:
             if name in ("label", "cite", "citep", "citet", "ref", "eqref", "input", "include", "includegraphics", "bibliography", "bibliographystyle", "vspace", "hspace", "index", "usepackage", "documentclass"):
                 return [(a - (text[a - 1 : a] == "~"), end + 1, "")]
@@ -324,8 +371,8 @@ def _command(m: re.Match, text: str) -> list[tuple[int, int, str]]:
             lead = "#" * level + " " if level else " (" if name == "footnote" else ""
             return [(a, z + 1, lead), (end, end + 1, "\n" if level else ")" if name == "footnote" else "")]
     if text[a - 1 : a] == "{" and name in ("it", "bf", "tt", "em", "sc", "rm", "sf"):
-        end = text.find("}", z)
-        if end >= 0:
+        end = closing.get(a - 1)
+        if end is not None:
             return [(a - 1, z + (text[z : z + 1] == " "), ""), (end, end + 1, "")]
     return [(a, z, "")]
 

@@ -3,7 +3,7 @@ from itertools import product
 
 import pytest
 
-from lectern.llm.markup import ANY, RULES, clean, clean_texts, find_markup, languages, languages_in_html, min_cut
+from lectern.llm.markup import ANY, RULES, clean, clean_texts, find_markup, label, languages, languages_in_html, min_cut
 
 
 @pytest.mark.parametrize(
@@ -41,14 +41,14 @@ EXAMPLES = {
     ("markdown", "rule"): ["a | b\n--- | ---", "a | b\n:---: | :---", "|---|---|"], ("markdown", "row"): ["| a | b |"], ("markdown", "strong"): ["a **b** c", "a __b__ c"], ("markdown", "emphasis"): ["a *b* c", "a _b_ c"],
     ("markdown", "span"): ["`a`"], ("markdown", "quote"): ["> a", "  > a"], ("markdown", "bullet"): ["- a", "-\ta", " \t+ a"],
     ("wiki", "bold"): ["'''a'''"], ("wiki", "italic"): ["''a''"], ("wiki", "heading"): ["== T =="], ("wiki", "link"): ["[[a]]"], ("wiki", "template"): ["{{a}}"], ("wiki", "table"): ["{|\n|}"], ("wiki", "list"): ["* [[a]]", ": ''a''"],
-    ("latex", "display"): [r"\[ a \]", r"\( a \)"], ("latex", "environment"): [r"\begin{a}"], ("latex", "command"): [r"\emph"],
+    ("latex", "display"): [r"\[ a \]"], ("latex", "inline"): [r"\( a \)"], ("latex", "environment"): [r"\begin{a}"], ("latex", "command"): [r"\emph"],
 }
 
 
 @pytest.mark.parametrize("language, name, rule", RULES)
 def test_cheap_test_lets_every_rule_through(language, name, rule):
     for text in EXAMPLES[language, name]:
-        assert rule.search(text) and ANY.search(text), text
+        assert list(rule.finditer(text)) and ANY.search(text), text
 
 
 @pytest.mark.parametrize("text", ["a __strong__ word", "an _old_ word", "Title\n---\n\ntext", "a | b\n--- | ---\n1 | 2", "t\n\n  > quoted", "t\n\n-\tone\n-\ttwo"])
@@ -74,3 +74,23 @@ def test_tables(spark):
     assert languages_in_html("<p>plain</p>") == []
     assert {(r["field"], r["row_id"]): r["text"] for r in clean_texts(blocks, paragraphs).collect()}["paragraphs.html", 7] == "x y z"
     assert find_markup(blocks.limit(0), paragraphs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("piece", [r"\emph{", "<!--", "{|\n", "'''a ", r"\[x ", r"\(x ", "- a\n", "<pre>", "<pre ", "# a   ", "== a", "**a ", "{{a", "```\n", "$a ", "<a b=\"", r"\begin{verbatim}", r"\begin{x}", "{\\bf ", "<b>", "`a", "# x" + " " * 50])
+def test_unclosed_constructs_take_linear_time(piece):
+    import time
+
+    def took(n):
+        start = time.process_time()
+        clean(piece * n)
+        languages_in_html(piece * n)
+        return time.process_time() - start
+
+    assert took(16_000) < 0.5 + 3 * took(8_000)
+
+
+def test_code_is_part_of_the_cut():
+    assert languages("```py\na < b\n```") == ["markdown"] and clean("<pre>a &lt; b</pre>") == "```\na < b\n```"
+    assert clean("\\begin{verbatim}\n**a**\n\\end{verbatim}") == "```\n**a**\n```"
+    nodes = label("Text **strong**\n```\n$x$ # not a heading\n```\n")
+    assert [n.form for n in nodes] == ["strong", "code"]
