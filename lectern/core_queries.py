@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from lectern.functions.text import content_hash, words
+from lectern.functions.text import content_hash, matches, websearch, words
 from lectern.operators import ingest, lookup, reports, retrieval, segment
-from lectern.sources.tables import table
+from lectern.sources.tables import shared_dir, table, temporary
 from lectern.streaming.incremental import history
 
 QUERIES: dict = {}
@@ -95,7 +97,7 @@ def _scopes(spark, d):
 
 @query("rrf_search", f"WITH {_QUERY_VECTOR}, {_SCOPE}, {_CHANNELS}, {_FUSED} SELECT item_type, item_id, score, n_channels FROM fused")
 def rrf_search(spark, d):
-    hits = retrieval.search(_tables(spark, d), TERM, query_vector(spark, d), channels=("paragraph", "fulltext", "gloss", "question"))
+    hits = retrieval.search(_tables(spark, d), TERM, query_vector(spark, d))
     return hits.select("item_type", "item_id", "score", F.size("channels").cast("bigint").alias("n_channels"))
 
 
@@ -105,7 +107,12 @@ def rrf_search_all_channels(spark, d):
     return hits.select("item_type", "item_id", "score", F.map_keys("channels").alias("channels"), "matched_positions")
 
 
-@query("rrf_search_kinds")
+_KINDS = _SCOPE.replace("coalesce(block_kind, '') <> 'reference'", "block_kind IN ('lemma', 'theorem', 'equation')").replace(
+    "coalesce(anchor_kind, '') <> 'reference' AND coalesce(anchor_term, '') <> 'reference'", "anchor_kind IN ('lemma', 'theorem', 'equation') OR anchor_term IN ('lemma', 'theorem', 'equation')"
+)
+
+
+@query("rrf_search_kinds", f"WITH {_QUERY_VECTOR}, {_KINDS}, {_CHANNELS}, {_FUSED} SELECT item_type, item_id, score FROM fused")
 def rrf_search_kinds(spark, d):
     hits = retrieval.search(_tables(spark, d), TERM, query_vector(spark, d), kinds=("lemma", "theorem", "equation"))
     return hits.select("item_type", "item_id", "score")
@@ -147,8 +154,6 @@ def channel_fulltext_phrase_not(spark, d):
     """,
 )
 def fulltext_matches(spark, d):
-    from lectern.functions.text import matches, websearch
-
     p = _scopes(spark, d)[1]
     return p.where(matches(words(F.col("text")), websearch('"zero knowledge" lattice -quorum'))).select("pid")
 
@@ -177,10 +182,69 @@ def enclosing_units(spark, d):
     return retrieval.enclosing(table(spark, d, "paragraphs", "pid", "revision_id", "position"), table(spark, d, "units")).select("pid", "unit_id")
 
 
-@query("search_hydrated")
+_HYDRATED = """
+    h AS (SELECT f.*, u.revision_id, first_pos, last_pos, anchor_label FROM fused f JOIN units u ON item_type = 'unit' AND unit_id = item_id
+          UNION ALL SELECT f.*, p.revision_id, position, position, NULL FROM fused f JOIN paragraphs p ON item_type = 'paragraph' AND pid = item_id),
+    hp AS (SELECT item_type, item_id, string_agg(p.position::VARCHAR, ',' ORDER BY p.position) AS positions,
+                  coalesce(string_agg(p.position::VARCHAR, ',' ORDER BY p.position) FILTER (p.pid IN (SELECT pid FROM ph)), '') AS matched
+           FROM h JOIN paragraphs p ON p.revision_id = h.revision_id AND p.position BETWEEN first_pos AND last_pos GROUP BY 1, 2)
+"""
+
+
+@query(
+    "search_hydrated",
+    f"""
+    WITH {_QUERY_VECTOR}, {_SCOPE}, {_CHANNELS}, {_FUSED}, {_HYDRATED}
+    SELECT item_type, item_id, name, first_pos, last_pos, anchor_label, positions, matched FROM h JOIN hp USING (item_type, item_id) JOIN revisions r USING (revision_id) JOIN papers USING (paper_id)
+    """,
+)
 def search_hydrated(spark, d):
     t = _tables(spark, d)
-    return retrieval.hydrate(retrieval.search(t, TERM, query_vector(spark, d)), t).select("item_type", "item_id", "name", "first_pos", "last_pos", "anchor_label", F.transform("paragraphs", lambda p: p["position"]).alias("positions"))
+    full = retrieval.hydrate(retrieval.search(t, TERM, query_vector(spark, d)), t)
+    at = lambda x: F.array_join(F.transform(x, lambda p: p["position"]), ",")
+    return full.select("item_type", "item_id", "name", "first_pos", "last_pos", "anchor_label", at("paragraphs").alias("positions"), at(F.filter("paragraphs", lambda p: p["matched"])).alias("matched"))
+
+
+_BATCH = """
+    qs AS (SELECT question_id AS question, arg_min(emb, vector_id) AS emb FROM unit_questions JOIN vectors ON set_name = 'primary' AND target = 'question' AND owner_id = question_id
+           WHERE question_id % 100 = 0 AND emb IS NOT NULL AND len(emb) = 64 AND len(list_filter(emb, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(emb, lambda x: x <> 0)) > 0 GROUP BY 1),
+    v AS (SELECT owner_id, target, list_transform(emb, lambda x: x::DOUBLE) AS e FROM vectors
+          WHERE set_name = 'primary' AND emb IS NOT NULL AND len(emb) = 64 AND len(list_filter(emb, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(emb, lambda x: x <> 0)) > 0),
+    o AS (SELECT 'paragraph' AS channel, pid AS item, e FROM ps JOIN v ON owner_id = pid AND target = 'paragraph' UNION ALL SELECT 'gloss', unit_id, e FROM us JOIN v ON owner_id = unit_id AND target = 'gloss'
+          UNION ALL SELECT 'question', us.unit_id, e FROM us JOIN unit_questions q ON q.unit_id = us.unit_id JOIN v ON owner_id = question_id AND target = 'question'),
+    s AS (SELECT question, channel, item, max(round(list_cosine_similarity(e, list_transform(emb, lambda x: x::DOUBLE)), 9)) AS score FROM o, qs GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY question, channel ORDER BY score DESC, item) AS rank FROM s QUALIFY rank <= 50),
+    items AS (SELECT question, CASE WHEN u.unit_id IS NULL THEN 'paragraph' ELSE 'unit' END AS item_type, coalesce(u.unit_id, p.pid) AS item_id, channel, rank
+              FROM r JOIN paragraphs p ON p.pid = r.item LEFT JOIN units u ON u.revision_id = p.revision_id AND p.position BETWEEN u.first_pos AND u.last_pos WHERE channel = 'paragraph'
+              UNION ALL SELECT question, 'unit', item, channel, rank FROM r WHERE channel <> 'paragraph'),
+    b AS (SELECT question, item_type, item_id, channel, min(rank) AS rank FROM items GROUP BY ALL),
+    f AS (SELECT question, item_type, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM b GROUP BY ALL)
+"""
+
+
+def _asked(spark, d):
+    """The stored questions whose id is divisible by 100, with their first usable vectors."""
+    v = table(spark, d, "vectors", "vector_id", "set_name", "target", "owner_id", "emb").where("set_name = 'primary' AND target = 'question' AND size(emb) = 64")
+    v = v.where(F.forall("emb", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("emb", lambda x: x != 0))
+    q = table(spark, d, "unit_questions", "question_id", "question").where("question_id % 100 = 0").withColumnRenamed("question", "text")
+    first = v.join(F.broadcast(q.select(F.col("question_id").alias("owner_id"))), "owner_id").groupBy("owner_id").agg(F.min_by("emb", "vector_id").alias("emb"))
+    return q.join(first, q["question_id"] == first["owner_id"]).select(F.col("question_id").alias("question"), "text", "emb")
+
+
+@query("search_batch", f"WITH {_SCOPE}, {_BATCH} SELECT question, item_type, item_id, score, row_number() OVER (PARTITION BY question ORDER BY score DESC, item_type, item_id) AS place FROM f QUALIFY place <= 10")
+def search_batch(spark, d):
+    """The fused hits of the three vector channels for many questions in one plan."""
+    hits = retrieval.search_many(_tables(spark, d), _asked(spark, d), channels=("paragraph", "gloss", "question"))
+    return hits.select("question", "item_type", "item_id", "score", F.col("place").cast("bigint").alias("place"))
+
+
+@query("search_batch_all_channels")
+def search_batch_all_channels(spark, d):
+    """The same with all five channels, over stored postings and normal forms."""
+    t = _tables(spark, d)
+    t |= retrieval.write_index(t["paragraphs"], temporary(f"{shared_dir(spark)}/lectern-index-{uuid.uuid4().hex}", spark))
+    hits = retrieval.search_many(t, _asked(spark, d))
+    return hits.select("question", "item_type", "item_id", "score", "place", F.map_keys("channels").alias("channels"))
 
 
 # --- tools -------------------------------------------------------------------------------------------------------
@@ -257,9 +321,18 @@ def citation_check(spark, d):
     return _checked(spark, d)
 
 
-@query("citations_by_place")
+@query(
+    "citations_by_place",
+    f"""
+    WITH {_LOCATION}, c AS ({_CITED}), r AS (SELECT DISTINCT pid FROM paragraphs WHERE position % 2 = 0),
+    k AS (SELECT c.marker, CASE WHEN r.pid IS NULL THEN 'not retrieved' WHEN location IS NULL THEN 'no location' END AS removed, location FROM c LEFT JOIN r ON r.pid = c.pid LEFT JOIN located ON located.pid = c.pid)
+    SELECT location AS place, string_agg(DISTINCT marker::VARCHAR, ',' ORDER BY marker::VARCHAR) AS markers, min(marker) AS ord FROM k WHERE removed IS NULL GROUP BY 1
+    UNION ALL SELECT DISTINCT 'removed: ' || removed, marker::VARCHAR, marker + 1000000 FROM k WHERE removed IS NOT NULL
+    """,
+)
 def citations_by_place(spark, d):
-    return lookup.citations_by_place(_checked(spark, d))
+    c = lookup.citations_by_place(_checked(spark, d))
+    return c.select("place", F.array_join(F.array_sort(F.transform("markers", lambda m: m.cast("string"))), ",").alias("markers"), "ord")
 
 
 @query(
@@ -578,9 +651,6 @@ def newest_ready_antijoin(spark, d):
 @query("outbox_cursor", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def outbox_cursor(spark, d):
     """The events table read as a stream through a cursor, then counted."""
-    import uuid
-
-    from lectern.sources.tables import shared_dir, temporary
     from lectern.streaming.outbox import collected
 
     work = temporary(f"{shared_dir(spark)}/lectern-outbox-{uuid.uuid4().hex}", spark)

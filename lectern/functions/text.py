@@ -5,7 +5,7 @@ import hashlib
 import json
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,10 +28,15 @@ def canonical_hash(value) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True).encode()).hexdigest()
 
 
-@F.udf(T.StringType())
-def input_hash(title, section_path, paragraphs, prompt, model):
-    """Hash of what a chunk's request depends on; paragraphs are (position, content_hash, kind)."""
-    return canonical_hash({"title": title, "section": list(section_path or []), "paragraphs": [[p[0], p[1], p[2]] for p in paragraphs or []], "prompt": prompt, "model": model})
+@F.arrow_udf(T.StringType())
+def input_hash(request: pa.Array) -> pa.Array:
+    """Hash of what a chunk's request depends on: structs (title, section, paragraphs, prompt, model), the paragraphs
+    being structs (position, content_hash, kind)."""
+    made = []
+    for r in request.to_pylist():
+        held = [[p["position"], p["content_hash"], p["kind"]] for p in r["paragraphs"] or []]
+        made.append(canonical_hash({"title": r["title"], "section": list(r["section"] or []), "paragraphs": held, "prompt": r["prompt"], "model": r["model"]}))
+    return pa.array(made, pa.string())
 
 
 def words(text: Column) -> Column:
@@ -89,37 +94,51 @@ def matches(tokens: Column, query: Terms) -> Column:
     return hit
 
 
-def cover_density(tokens: list[str], query: Terms) -> float:
-    """Sum over minimal covers of (terms / sum of 1 / weight) / (1 + words between); weight 0.1 each.
+def split_words(text: str) -> list[str]:
+    """As ``words``, in Python."""
+    return re.findall(r"[^\W_]+", text.lower())
 
-    With one term that is 0.1 per occurrence.
-    """
-    total = 0.0
-    for must, _ in query.alternatives:
-        wanted = {w for p in must for w in p}
-        if not wanted:
-            continue
-        at = [(i, w) for i, w in enumerate(tokens) if w in wanted]
-        last: dict[str, int] = {}
-        covers = []
-        for i, w in at:
-            last[w] = i
-            if len(last) == len(wanted):
-                start = min(last.values())
-                if not covers or start > covers[-1][0]:
-                    covers.append((start, i))
-                else:
-                    continue
-        total += sum(0.1 * len(wanted) / len(wanted) / (1 + (end - start + 1 - len(wanted))) for start, end in covers)
+
+def _phrase_at(positions: dict[str, list[int]], phrase: list[str]) -> bool:
+    if len(phrase) == 1:
+        return phrase[0] in positions
+    if any(w not in positions for w in phrase):
+        return False
+    starts = set(positions[phrase[0]])
+    for k, w in enumerate(phrase[1:], 1):
+        starts &= {i - k for i in positions[w]}
+    return bool(starts)
+
+
+def _covers(positions: dict[str, list[int]], wanted: set[str]) -> float:
+    """Sum over minimal covers of (terms / sum of 1 / weight) / (1 + words between); weight 0.1 each."""
+    last: dict[str, int] = {}
+    total, begun = 0.0, -1
+    for i, w in sorted((i, w) for w in wanted for i in positions.get(w, ())):
+        last[w] = i
+        if len(last) == len(wanted) and (start := min(last.values())) > begun:
+            begun = start
+            total += 0.1 / (1 + (i - start + 1 - len(wanted)))
     return total
 
 
-def rank_udf(query: Terms):
-    @F.pandas_udf(T.DoubleType())
-    def rank(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda t: cover_density(list(t), query)).astype(float)
+def terms_score(positions: dict[str, list[int]], query: Terms) -> float | None:
+    """The rank of a text given where the query's words stand in it; null if it does not match. With one term that is
+    0.1 per occurrence."""
+    hit, total = False, 0.0
+    for must, barred in query.alternatives:
+        if all(_phrase_at(positions, p) for p in must) and not any(_phrase_at(positions, p) for p in barred):
+            hit = True
+        wanted = {w for p in must for w in p}
+        total += _covers(positions, wanted) if wanted else 0.0
+    return total if hit else None
 
-    return rank
+
+def cover_density(tokens: list[str], query: Terms) -> float:
+    positions: dict[str, list[int]] = {}
+    for i, w in enumerate(tokens):
+        positions.setdefault(w, []).append(i)
+    return sum(_covers(positions, {w for p in must for w in p}) for must, _ in query.alternatives if must)
 
 
 # --- trigrams ----------------------------------------------------------------------------------------------------
@@ -154,11 +173,3 @@ def word_similarity(a: str, b: str) -> float:
             if both == len(wanted) or len(wanted) / (len(seen) or 1) <= best:
                 break  # a longer extent only adds foreign trigrams
     return best
-
-
-def word_similarity_udf(query: str):
-    @F.pandas_udf(T.DoubleType())
-    def similarity(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: word_similarity(query, t) if t else 0.0)
-
-    return similarity

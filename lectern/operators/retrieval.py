@@ -1,24 +1,67 @@
-"""Five-channel retrieval over current paragraphs and units, fused by reciprocal ranks.
+"""Five-channel retrieval over current paragraphs and units, fused by reciprocal ranks, for many questions at once.
 
 Channels give ids only; texts are fetched for the few hits at the end. Ranks are those of a channel's raw list. A
 paragraph credits every unit that holds it, or itself if none does; an item keeps its best rank per channel.
+
+The questions are a stated set: blocks of at most ``AT_ONCE`` of them travel to the tasks, and each block takes one pass
+over the vectors (for all three vector channels), one over the texts or postings and one over the normal forms. Every
+Arrow batch sends on no more than its own best ``CANDIDATES`` per question and channel.
+
+Defined results: unusable vectors (null, wrong length, not finite, all zero) are no hits, and a question without a usable
+vector has none in those channels; null texts match nothing; equal scores go to the smaller id; repeated rows count once;
+an empty table, question or scope gives no hits; other columns are ignored.
 """
 
+from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.latex import normalize, normalized
-from lectern.functions.text import matches, rank_udf, websearch, word_similarity_udf, words
+from lectern.functions.text import Terms, split_words, terms_score, trigrams, websearch, word_similarity
 
-CANDIDATES, RRF = 50, 60
+CANDIDATES, RRF, AT_ONCE = 50, 60, 256
 CHANNELS = ("paragraph", "fulltext", "latex", "gloss", "question")
 EXCLUDED = ("reference",)
 SIMILAR = 0.6
+BUCKETS = 64
+
+
+def term_bucket(word: str) -> int:
+    """Which of the ``BUCKETS`` parts of the stored postings a word is in."""
+    return xxhash.xxh3_64_intdigest(word) % BUCKETS
+
+
+def postings_of(paragraphs: DataFrame) -> DataFrame:
+    """(bucket, term, pid, positions): where each word of each text stands; written by ``bucket``, it is the full-text index."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for pid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at: dict[str, list[int]] = {}
+                for i, w in enumerate(split_words(text)):
+                    at.setdefault(w, []).append(i)
+                out += [(term_bucket(w), w, pid, x) for w, x in at.items()]
+            for a in range(0, len(out), 50_000):
+                part = out[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in part], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int32())))], names=["bucket", "term", "pid", "positions"])
+
+    return paragraphs.where("text IS NOT NULL").select(F.col("pid").cast("long").alias("pid"), "text").mapInArrow(run, "bucket int, term string, pid long, positions array<int>")
+
+
+def write_index(paragraphs: DataFrame, root: str) -> dict[str, DataFrame]:
+    """Store ``postings`` (by bucket, sorted by term, so that a question reads the parts of its words) and ``norms`` under
+    ``root``; what it returns is what ``search_block`` takes beside the tables."""
+    spark = paragraphs.sparkSession
+    postings_of(paragraphs).repartition("bucket", F.pmod(F.xxhash64("pid"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
+    paragraphs.select("pid", normalized(F.col("text"), F.col("block_kind")).alias("norm")).where("norm IS NOT NULL").write.mode("overwrite").parquet(f"{root}/norms")
+    return {"postings": spark.read.schema("term string, pid long, positions array<int>, bucket int").parquet(f"{root}/postings"), "norms": spark.read.parquet(f"{root}/norms")}
 
 
 def current(revisions: DataFrame) -> DataFrame:
@@ -52,142 +95,255 @@ def unit_scope(units, revisions, papers=None, kinds=None, exclude=EXCLUDED) -> D
     return units.where(_kinds(kinds, exclude, "anchor_kind", "anchor_term")).join(rev, "revision_id")
 
 
-def cosine_to(emb: str, query: Sequence[float]) -> Column:
-    """Cosine to a fixed vector, in blocks of double precision; null for unusable vectors (null, wrong length, not
-    finite, all zero)."""
-    q = np.array(query, np.float64)
-    dim, length = len(q), float(np.sqrt(q @ q))
+def _usable(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, in double precision, of the usable rows, and which rows they are."""
+    offsets = column.offsets.to_numpy()
+    rows = np.flatnonzero((np.diff(offsets) == dim) & ~np.asarray(column.is_null()))
+    values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    m = values[offsets[:-1][rows][:, None] + np.arange(dim)] if len(rows) else np.zeros((0, dim))
+    good = np.isfinite(m).all(1) & (m != 0).any(1)
+    m, rows = m[good], rows[good]
+    return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None] if len(m) else m, rows
+
+
+def ranked(scored: DataFrame, *by: str, k: int = CANDIDATES) -> DataFrame:
+    """The k best items of each list by score, then id, with ``rank`` from 1."""
+    w = Window.partitionBy(*by).orderBy(F.desc("score"), "item")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+class Question:
+    """One question: its number, its text and its vector (or none)."""
+
+    def __init__(self, number: int, text: str | None, vector: Sequence[float] | None):
+        self.number, self.text = number, text or ""
+        v = np.array([np.nan if x is None else x for x in vector], np.float64) if vector is not None else np.zeros(0)
+        self.vector = v / np.sqrt(v @ v) if len(v) and np.isfinite(v).all() and v.any() else None
+
+
+def vector_hits(owners: DataFrame, vectors: DataFrame, set_name: str, questions: list[Question], k: int = CANDIDATES) -> DataFrame:
+    """(question, channel, item, score, rank): ``owners`` (channel, owner, item) says whose vectors count for which item;
+    an item's score is that of its best vector."""
+    asked = [q for q in questions if q.vector is not None]
+    dim = len(asked[0].vector) if asked else 1
+    asked = [q for q in asked if len(q.vector) == dim]
+    numbers, matrix = np.array([q.number for q in asked], np.int64), np.array([q.vector for q in asked], np.float64).reshape(len(asked), dim)
+
+    def run(batches):
+        for b in batches:
+            m, rows = _usable(b.column(2), dim)
+            if not len(rows) or not len(numbers):
+                continue
+            channel, item = np.array(b.column(0).to_pylist(), object)[rows], b.column(1).to_numpy()[rows]
+            out = []
+            for c in dict.fromkeys(channel.tolist()):
+                own = np.flatnonzero(channel == c)
+                own = own[np.argsort(item[own], kind="stable")]
+                start = np.flatnonzero(np.r_[True, item[own][1:] != item[own][:-1]])
+                score = np.maximum.reduceat((m[own] @ matrix.T).round(9), start, axis=0)
+                ids = item[own][start]
+                for q in range(len(numbers)):
+                    s = score[:, q]
+                    best = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                    out.append((np.full(len(best), numbers[q]), [c] * len(best), ids[best], s[best]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([o[0] for o in out])), pa.array([c for o in out for c in o[1]], pa.string()), pa.array(np.concatenate([o[2] for o in out])), pa.array(np.concatenate([o[3] for o in out]))], names=["question", "channel", "item", "score"]
+            )
+
+    v = vectors.where(F.col("set_name") == set_name).select(F.col("target").alias("channel"), F.col("owner_id").alias("owner"), "emb")
+    of_items = v.join(owners, ["channel", "owner"]).select("channel", F.col("item").cast("long").alias("item"), "emb")
+    hits = of_items.mapInArrow(run, "question long, channel string, item long, score double")
+    return ranked(hits.groupBy("question", "channel", "item").agg(F.max("score").alias("score")), "question", "channel", k=k)
+
+
+def _texts_near(asked: list[tuple[int, Terms]]) -> Column:
+    """A cheap test on the raw text, so that only texts that hold all words of an alternative are split."""
+    near = F.lit(False)
+    for _, terms in asked:
+        for must, _ in terms.alternatives:
+            near = near | F.forall(F.array(*[F.lit(w) for w in sorted({w for p in must for w in p})] or [F.lit("")]), lambda w: F.contains(F.lower("text"), w))
+    return near
+
+
+def fulltext_hits(scope: DataFrame, questions: list[Question], k: int = CANDIDATES, postings: DataFrame | None = None) -> DataFrame:
+    """(question, channel, item, score, rank). With ``postings`` (term, pid, positions) no text is read, unless a question
+    only bars words."""
+    asked = [(q.number, t) for q in questions if (t := websearch(q.text))]
+    wanted = sorted({w for _, t in asked for must, barred in t.alternatives for p in [*must, *barred] for w in p})
+    whole = any(not must for _, t in asked for must, _ in t.alternatives)
+
+    def scored(positions_of):
+        """Arrow batches of (pid, what ``positions_of`` reads) to hits."""
+
+        def run(batches):
+            for b in batches:
+                out = []
+                for pid, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    positions = positions_of(held)
+                    for number, terms in asked:
+                        s = terms_score(positions, terms)
+                        if s is not None:
+                            out.append((number, pid, round(s, 9)))
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["question", "item", "score"])
+
+        return run
+
+    def of_text(text: str) -> dict[str, list[int]]:
+        out: dict[str, list[int]] = {}
+        keep = frozenset(wanted)
+        for i, w in enumerate(split_words(text)):
+            if w in keep:
+                out.setdefault(w, []).append(i)
+        return out
+
+    fields = "question long, item long, score double"
+    pids = scope.select(F.col("pid").cast("long").alias("pid"), "text").where("text IS NOT NULL")
+    if not asked:
+        hits = pids.where(F.lit(False)).select(F.lit(0).cast("long").alias("question"), F.col("pid").alias("item"), F.lit(0.0).alias("score"))
+    elif postings is None or whole:
+        hits = (pids.where(_texts_near(asked)) if len(asked) <= 16 else pids).mapInArrow(scored(of_text), fields)
+    else:
+        held = postings.where(F.col("term").isin(wanted) & F.col("bucket").isin(sorted({term_bucket(w) for w in wanted})))
+        held = held.join(scope.select("pid"), "pid", "left_semi").groupBy("pid").agg(F.collect_list(F.struct("term", "positions")).alias("t"))
+        hits = held.mapInArrow(scored(lambda t: {x["term"]: x["positions"] for x in t}), fields)
+    best = hits.groupBy("question", "item").agg(F.max("score").alias("score"))
+    return ranked(best.withColumn("channel", F.lit("fulltext")).select("question", "channel", "item", "score"), "question", k=k)
+
+
+def latex_hits(scope: DataFrame, questions: list[Question], k: int = CANDIDATES, least: float = SIMILAR, norms: DataFrame | None = None) -> DataFrame:
+    """(question, channel, item, score, rank) by word similarity to the normal forms of formulas, stored (pid, norm) or
+    made here. A form is compared in full only with questions of whose trigrams it holds the share that ``least`` needs."""
+    asked = [(q.number, w, frozenset(trigrams(w))) for q in questions if (w := normalize(q.text))]
+    if norms is None:
+        norms = scope.select("pid", normalized(F.col("text"), F.col("block_kind")).alias("norm"))
+    else:
+        norms = norms.join(scope.select("pid"), "pid", "left_semi")
 
-    @F.arrow_udf("double")
-    def cosine(v: pa.Array) -> pa.Array:
-        if isinstance(v, pa.ChunkedArray):
-            v = v.combine_chunks()
-        out = np.full(len(v), np.nan)
-        offsets = v.offsets.to_numpy()
-        rows = np.flatnonzero((np.diff(offsets) == dim) & ~np.asarray(v.is_null()))
-        if len(rows) and length:
-            values = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            m = values[offsets[:-1][rows][:, None] + np.arange(dim)]
-            with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
-                out[rows] = (m @ q) / (np.sqrt(np.einsum("ij,ij->i", m, m)) * length)
-        return pa.array(out, mask=~np.isfinite(out))
+    def run(batches):
+        for b in batches:
+            out = []
+            for pid, norm in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                have = set(trigrams(norm))
+                for number, text, parts in asked:
+                    if parts and len(parts & have) >= least * len(parts) and (s := round(word_similarity(text, norm), 9)) >= least:
+                        out.append((number, pid, s))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["question", "item", "score"])
 
-    return cosine(F.col(emb))
+    rows = norms.where(F.col("norm").isNotNull() & F.lit(bool(asked))).select(F.col("pid").cast("long").alias("pid"), "norm")
+    hits = rows.mapInArrow(run, "question long, item long, score double").groupBy("question", "item").agg(F.max("score").alias("score"))
+    return ranked(hits.withColumn("channel", F.lit("latex")).select("question", "channel", "item", "score"), "question", k=k)
 
 
-def top(df: DataFrame, score: str, key: str, k: int = CANDIDATES) -> DataFrame:
-    """The k best by score, then key, with ``rank`` from 1. The window runs over the k rows that are left."""
-    best = df.orderBy(F.desc(score), key).limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)))
+def _one(hits: DataFrame, key: str) -> DataFrame:
+    return hits.select(F.col("item").alias(key), "score", "rank")
 
 
 def vector_channel(scope: DataFrame, key: str, vectors: DataFrame, set_name: str, target: str, query, k=CANDIDATES) -> DataFrame:
-    v = vectors.where((F.col("set_name") == set_name) & (F.col("target") == target))
-    v = v.select(F.col("owner_id").alias(key), F.round(cosine_to("emb", query), 9).alias("score")).where("score IS NOT NULL")
-    best = v.groupBy(key).agg(F.max("score").alias("score"))
-    return top(scope.select(key).join(best, key), "score", key, k)
+    owners = scope.select(F.lit(target).alias("channel"), F.col(key).alias("owner"), F.col(key).alias("item"))
+    return _one(vector_hits(owners, vectors, set_name, [Question(0, None, query)], k), key)
 
 
 def question_channel(scope: DataFrame, questions: DataFrame, vectors: DataFrame, set_name: str, query, k=CANDIDATES) -> DataFrame:
-    v = vectors.where((F.col("set_name") == set_name) & (F.col("target") == "question"))
-    v = v.select(F.col("owner_id").alias("question_id"), F.round(cosine_to("emb", query), 9).alias("score")).where("score IS NOT NULL")
-    best = v.join(questions.select("question_id", "unit_id"), "question_id").groupBy("unit_id").agg(F.max("score").alias("score"))
-    return top(scope.select("unit_id").join(best, "unit_id"), "score", "unit_id", k)
+    owners = scope.select("unit_id").join(questions.select("question_id", "unit_id"), "unit_id").select(F.lit("question").alias("channel"), F.col("question_id").alias("owner"), F.col("unit_id").alias("item"))
+    return _one(vector_hits(owners, vectors, set_name, [Question(0, None, query)], k), "unit_id")
 
 
-def fulltext_channel(scope: DataFrame, query: str, k=CANDIDATES) -> DataFrame:
-    terms = websearch(query)
-    if not terms:
-        return top(scope.select("pid", F.lit(0.0).alias("score")).where(F.lit(False)), "score", "pid", k)
-    # a cheap test on the raw text first; the words are split only where it holds
-    near = F.lit(False)
-    for must, _ in terms.alternatives:
-        one = F.lit(True)
-        for w in {w for p in must for w in p}:
-            one = one & F.contains(F.lower("text"), F.lit(w))
-        near = near | one
-    hits = scope.where(near).select("pid", words(F.col("text")).alias("w")).where(matches(F.col("w"), terms))
-    single = len(terms.alternatives) == 1 and len(terms.alternatives[0][0]) == 1 and len(terms.alternatives[0][0][0]) == 1
-    if single:  # 0.1 per occurrence
-        term = terms.alternatives[0][0][0][0]
-        score = F.size(F.filter("w", lambda x: x == term)) * F.lit(0.1)
-    else:
-        score = rank_udf(terms)("w")
-    return top(hits.select("pid", F.round(score, 9).alias("score")), "score", "pid", k)
+def fulltext_channel(scope: DataFrame, query: str, k=CANDIDATES, postings: DataFrame | None = None) -> DataFrame:
+    return _one(fulltext_hits(scope, [Question(0, query, None)], k, postings), "pid")
 
 
-def latex_channel(scope: DataFrame, query: str, k=CANDIDATES, least=SIMILAR) -> DataFrame:
-    wanted = normalize(query)
-    math = scope.where(F.col("text").contains("$") | F.coalesce(F.col("block_kind") == "equation", F.lit(False)))
-    if not wanted:
-        return top(math.select("pid", F.lit(0.0).alias("score")).where(F.lit(False)), "score", "pid", k)
-    norm = math.select("pid", normalized(F.col("text"), F.col("block_kind")).alias("norm")).where("norm IS NOT NULL")
-    scored = norm.select("pid", F.round(word_similarity_udf(wanted)("norm"), 9).alias("score"))
-    return top(scored.where(F.col("score") >= least), "score", "pid", k)
+def latex_channel(scope: DataFrame, query: str, k=CANDIDATES, least=SIMILAR, norms: DataFrame | None = None) -> DataFrame:
+    return _one(latex_hits(scope, [Question(0, query, None)], k, least, norms), "pid")
 
 
 def enclosing(candidates: DataFrame, units: DataFrame) -> DataFrame:
     """Each candidate paragraph (pid, revision_id, position) with every unit that holds its position; unit_id is null
-    where none does. Equal revision is the join key, the span the residual; the candidates are few."""
-    u = units.select("unit_id", F.col("revision_id").alias("_r"), "first_pos", "last_pos")
-    on = (F.col("revision_id") == F.col("_r")) & F.col("position").between(F.col("first_pos"), F.col("last_pos"))
-    return candidates.join(u, on, "left").drop("_r", "first_pos", "last_pos")
+    where none does. Units are spread over their positions, so it is an equi-join on revision and position."""
+    at = units.select("unit_id", "revision_id", F.explode(F.sequence("first_pos", "last_pos")).alias("position")).distinct()
+    return candidates.join(at, ["revision_id", "position"], "left")
 
 
-def fuse(paragraph_hits: DataFrame, unit_hits: DataFrame, paragraphs: DataFrame, units: DataFrame, k: int = 10) -> DataFrame:
-    """(item_type, item_id, score, channels, matched_positions) from (channel, pid, rank) and (channel, unit_id, rank)."""
-    at = paragraph_hits.join(paragraphs.select("pid", "revision_id", "position"), "pid")
-    opened = enclosing(at, units)
+def fuse(hits: DataFrame, paragraphs: DataFrame, units: DataFrame, k: int = 10) -> DataFrame:
+    """(question, item_type, item_id, score, channels, matched_positions, place) of hits (question, channel, item, rank);
+    items of the channels ``gloss`` and ``question`` are units, others paragraphs."""
+    of_unit = F.col("channel").isin("gloss", "question")
+    found = hits.where(~of_unit).select("question", "channel", "rank", F.col("item").alias("pid"))
+    opened = enclosing(found.join(paragraphs.select("pid", "revision_id", "position"), "pid"), units)
     item = opened.select(
-        F.when(F.col("unit_id").isNull(), "paragraph").otherwise("unit").alias("item_type"), F.coalesce("unit_id", "pid").alias("item_id"), "channel", "rank", "position"
+        "question", F.when(F.col("unit_id").isNull(), "paragraph").otherwise("unit").alias("item_type"), F.coalesce("unit_id", "pid").alias("item_id"), "channel", "rank", "position"
     )
-    item = item.unionByName(unit_hits.select(F.lit("unit").alias("item_type"), F.col("unit_id").alias("item_id"), "channel", "rank", F.lit(None).cast("int").alias("position")))
-    best = item.groupBy("item_type", "item_id", "channel").agg(F.min("rank").alias("rank"), F.min_by("position", F.struct("rank", "position")).alias("position"))
-    fused = best.groupBy("item_type", "item_id").agg(
-        F.sum(F.lit(1.0) / (F.lit(float(RRF)) + F.col("rank"))).alias("score"),
+    item = item.unionByName(hits.where(of_unit).select("question", F.lit("unit").alias("item_type"), F.col("item").alias("item_id"), "channel", "rank", F.lit(None).cast("int").alias("position")))
+    key = ["question", "item_type", "item_id"]
+    best = item.groupBy(*key, "channel").agg(F.min("rank").alias("rank"), F.min_by("position", F.struct("rank", "position")).alias("position"))
+    fused = best.groupBy(*key).agg(
+        F.round(F.sum(F.lit(1.0) / (F.lit(float(RRF)) + F.col("rank"))), 9).alias("score"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("channel", "rank")))).alias("channels"),
         F.array_sort(F.collect_set("position")).alias("matched_positions"),
     )
-    return fused.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "item_type", "item_id").limit(k)
+    w = Window.partitionBy("question").orderBy(F.desc("score"), "item_type", "item_id")
+    return fused.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def search(tables: dict[str, DataFrame], text: str, query, k=10, channels=CHANNELS, papers=None, kinds=None, exclude=EXCLUDED, set_name="primary") -> DataFrame:
-    """The fused hits of one query: its text, and its vector."""
+def search_block(tables: dict[str, DataFrame], questions: list[Question], k=10, channels=CHANNELS, papers=None, kinds=None, exclude=EXCLUDED, set_name="primary") -> DataFrame:
+    """The fused hits of a block of questions. ``tables`` may hold stored ``postings`` and ``norms``."""
     p = paragraph_scope(tables["paragraphs"], tables["revisions"], papers, kinds, exclude)
     u = unit_scope(tables["units"], tables["revisions"], papers, kinds, exclude)
-    v, by_p, by_u = tables["vectors"], [], []
+    parts, owners = [], []
     if "paragraph" in channels:
-        by_p.append(vector_channel(p, "pid", v, set_name, "paragraph", query).withColumn("channel", F.lit("paragraph")))
-    if "fulltext" in channels:
-        by_p.append(fulltext_channel(p, text).withColumn("channel", F.lit("fulltext")))
-    if "latex" in channels:
-        by_p.append(latex_channel(p, text).withColumn("channel", F.lit("latex")))
+        owners.append(p.select(F.lit("paragraph").alias("channel"), F.col("pid").alias("owner"), F.col("pid").alias("item")))
     if "gloss" in channels:
-        by_u.append(vector_channel(u, "unit_id", v, set_name, "gloss", query).withColumn("channel", F.lit("gloss")))
+        owners.append(u.select(F.lit("gloss").alias("channel"), F.col("unit_id").alias("owner"), F.col("unit_id").alias("item")))
     if "question" in channels:
-        by_u.append(question_channel(u, tables["unit_questions"], v, set_name, query).withColumn("channel", F.lit("question")))
+        asked = tables["unit_questions"].select("question_id", "unit_id").join(u.select("unit_id"), "unit_id")
+        owners.append(asked.select(F.lit("question").alias("channel"), F.col("question_id").alias("owner"), F.col("unit_id").alias("item")))
+    if owners:
+        both = owners[0]
+        for x in owners[1:]:
+            both = both.unionByName(x)
+        parts.append(vector_hits(both, tables["vectors"], set_name, questions))
+    if "fulltext" in channels:
+        parts.append(fulltext_hits(p, questions, postings=tables.get("postings")))
+    if "latex" in channels:
+        parts.append(latex_hits(p, questions, norms=tables.get("norms")))
+    hits = p.select(F.lit(0).cast("long").alias("question"), F.lit("").alias("channel"), F.col("pid").alias("item"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where(F.lit(False))
+    for x in parts:
+        hits = hits.unionByName(x)
+    # expansion knows no filters: a hit brings its unit of any kind
+    return fuse(hits, tables["paragraphs"], tables["units"], k)
 
-    def union(parts, key, empty):
-        out = empty.select(F.col(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank"), F.lit("").alias("channel")).where(F.lit(False))
-        for x in parts:
-            out = out.unionByName(x)
-        return out
 
-    # expansion knows no filters: a hit brings its unit of any kind
-    return fuse(union(by_p, "pid", p), union(by_u, "unit_id", u), tables["paragraphs"], tables["units"], k)
+def search_many(tables: dict[str, DataFrame], questions: DataFrame, **settings) -> DataFrame:
+    """The fused hits of every question (question, text, emb), in blocks of ``AT_ONCE``."""
+    asked = questions.select(F.col("question").cast("long").alias("question"), "text", "emb").where("question IS NOT NULL").dropDuplicates(["question"])
+    n = asked.count()
+    blocks = max(1, -(-n // AT_ONCE * 2)) if n > AT_ONCE else 1
+    out = None
+    for b in range(blocks):
+        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("question"), F.lit(blocks)) == b)
+        part = search_block(tables, [Question(r["question"], r["text"], r["emb"]) for r in own.orderBy("question").collect()], **settings)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def search(tables: dict[str, DataFrame], text: str, query, k=10, **settings) -> DataFrame:
+    """The fused hits of one question: its text, and its vector."""
+    return search_block(tables, [Question(0, text, query)], k=k, **settings).drop("question", "place")
 
 
 def hydrate(hits: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """Hits with paper, span and their paragraphs in order."""
+    """Hits with paper, span and their paragraphs in order, each with whether a channel found it."""
     rev = tables["revisions"].select("revision_id", "paper_id").join(tables["papers"].select("paper_id", "name"), "paper_id")
     u = hits.where("item_type = 'unit'").join(tables["units"].select(F.col("unit_id").alias("item_id"), "revision_id", "first_pos", "last_pos", "anchor_label", "anchor_kind", "anchor_term", "gloss"), "item_id")
     s = hits.where("item_type = 'paragraph'").join(tables["paragraphs"].select(F.col("pid").alias("item_id"), "revision_id", F.col("position").alias("first_pos"), F.col("position").alias("last_pos")), "item_id")
     none = [F.lit(None).cast("string").alias(c) for c in ("anchor_label", "anchor_kind", "anchor_term", "gloss")]
-    both = F.broadcast(u.unionByName(s.select("*", *none)))
-    p = tables["paragraphs"].select(F.col("revision_id").alias("_r"), "pid", "position", "page", "text", "block_kind", "block_label")
-    joined = both.join(p, (F.col("revision_id") == F.col("_r")) & F.col("position").between(F.col("first_pos"), F.col("last_pos")))
-    keys = ["item_type", "item_id", "score", "revision_id", "first_pos", "last_pos", "anchor_label", "anchor_kind", "anchor_term", "gloss"]
-    rows = joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", "page", "pid", "text", "block_kind", "block_label"))).alias("paragraphs"))
+    both = u.unionByName(s.select("*", *none))
+    p = tables["paragraphs"].select("revision_id", "pid", "position", "page", "text", "block_kind", "block_label")
+    # hits are few (k for each question); their positions meet the paragraphs in an equi-join
+    joined = both.withColumn("position", F.explode(F.sequence("first_pos", "last_pos"))).join(p, ["revision_id", "position"])
+    by = [c for c in both.columns if c not in ("channels", "matched_positions")]
+    matched = F.array_contains("matched_positions", F.col("position"))  # the channels found it here
+    one = F.struct("position", "page", "pid", "text", "block_kind", "block_label", matched.alias("matched"))
+    rows = joined.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("paragraphs"), F.first("channels").alias("channels"), F.first("matched_positions").alias("matched_positions"))
     return rows.join(rev, "revision_id")
 
 

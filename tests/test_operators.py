@@ -216,3 +216,33 @@ def test_nothing_outside_llm_imports_it():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert "lectern.llm" not in f.read_text(), f
+
+
+def test_many_questions_and_stored_indexes_change_nothing(spark, corpus, tmp_path):
+    e = SeededEmbedder(64)
+    texts = ["quorum", '"the only" -plain', "lattice or plain", "-quorum", r"\alpha^{2}+\beta", "", None]
+    vectors = [[float(x) for x in e.queries([f"q{i}"], "ask")[0]] for i in range(5)] + [None, [0.0] * 64]
+    asked = list(zip(range(len(texts)), texts, vectors))
+    questions = spark.createDataFrame([*asked, asked[0]], "question long, text string, emb array<double>")
+    index = retrieval.write_index(corpus["paragraphs"], str(tmp_path))
+    for stored in ({}, index):
+        got: dict = {}
+        for r in retrieval.search_many(corpus | stored, questions, exclude=()).collect():
+            got.setdefault(r["question"], set()).add((r["item_type"], r["item_id"], r["score"], tuple(sorted(r["channels"].items()))))
+        for q, text, v in asked:
+            alone = {(r["item_type"], r["item_id"], r["score"], tuple(sorted(r["channels"].items()))) for r in retrieval.search(corpus, text, v, exclude=()).collect()}
+            assert got.get(q, set()) == alone, (q, bool(stored))
+    retrieval_blocks = retrieval.AT_ONCE
+    retrieval.AT_ONCE = 2
+    try:
+        again = {(r["question"], r["item_type"], r["item_id"], r["score"]) for r in retrieval.search_many(corpus, questions, exclude=()).collect()}
+    finally:
+        retrieval.AT_ONCE = retrieval_blocks
+    assert again == {(q, t, i, s) for q, x in got.items() for t, i, s, _ in x}
+
+
+def test_paper_filter_and_matched_positions(corpus):
+    query = SeededEmbedder(64).queries(["find"], "ask")[0]
+    assert ask(corpus, "quorum", papers=["Q"]) == [] and ask(corpus, "quorum", papers=["P"]) == ask(corpus, "quorum")
+    full = {r["item_id"]: r for r in retrieval.hydrate(retrieval.search(corpus, "quorum", query, channels=("fulltext",)), corpus).collect()}
+    assert [(p["position"], p["matched"]) for p in full[10]["paragraphs"]] == [(0, True), (1, False)]
