@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from lectern.functions.text import content_hash, matches, websearch, words
-from lectern.operators import ingest, lookup, reports, retrieval, segment
+from lectern import ports
+from lectern.operators import glossing, ingest, lookup, reports, retrieval, segment
 from lectern.sources.tables import shared_dir, table, temporary
 from lectern.streaming.incremental import history
 
@@ -273,14 +274,14 @@ def narrowest_unit_label(spark, d):
 
 
 _LOCATION = f"""{_LABEL},
-    loc AS (SELECT p.pid, list_filter([pa.name, 'p. ' || (p.page + 1), p.section_path[-1]], lambda x: x IS NOT NULL) AS parts, l.label
+    loc AS (SELECT p.pid, list_filter([pa.name, 'p. ' || (p.page + 1), p.section_path[-1]], lambda x: x IS NOT NULL) AS parts, coalesce(p.block_label, l.label) AS label
             FROM paragraphs p JOIN revisions r USING (revision_id) JOIN papers pa USING (paper_id) JOIN l ON l.pid = p.pid AND l.n = 1),
     located AS (SELECT pid, array_to_string(CASE WHEN label IS NOT NULL AND NOT list_contains(parts, label) THEN list_append(parts, label) ELSE parts END, ', ') AS location FROM loc)
 """
 
 
 def _locations(spark, d):
-    return lookup.locations(table(spark, d, "paragraphs", "pid", "revision_id", "position", "page", "section_path"), table(spark, d, "units"), table(spark, d, "revisions"), table(spark, d, "papers"))
+    return lookup.locations(table(spark, d, "paragraphs", "pid", "revision_id", "position", "page", "section_path", "block_label"), table(spark, d, "units"), table(spark, d, "revisions"), table(spark, d, "papers"))
 
 
 @query("location_render", f"WITH {_LOCATION} SELECT pid, location FROM located")
@@ -581,30 +582,6 @@ def _graded(spark, d):
     return one
 
 
-@query(
-    "score_disagreements",
-    """
-    WITH g AS (SELECT doc_id, rater, min(grade) AS grade FROM reading_labels WHERE grade IS NOT NULL GROUP BY 1, 2)
-    SELECT a.doc_id, a.grade AS first, b.grade AS second FROM g a JOIN g b USING (doc_id) WHERE a.rater = 'rater-00' AND b.rater = 'rater-01' AND a.grade <> b.grade
-    """,
-)
-def score_disagreements(spark, d):
-    g = _graded(spark, d)
-    return reports.disagreements(g.where("rater = 'rater-00'"), g.where("rater = 'rater-01'"), ["doc_id"], "grade")
-
-
-@query(
-    "final_scores",
-    """
-    WITH g AS (SELECT doc_id, rater, min(grade) AS grade FROM reading_labels WHERE grade IS NOT NULL GROUP BY 1, 2), a AS (SELECT * FROM g WHERE rater = 'rater-00'), b AS (SELECT * FROM g WHERE rater = 'rater-01')
-    SELECT doc_id, coalesce(b.grade, a.grade) AS grade FROM a FULL JOIN b USING (doc_id)
-    """,
-)
-def final_scores(spark, d):
-    g = _graded(spark, d)
-    return reports.overridden(g.where("rater = 'rater-00'"), g.where("rater = 'rater-01'"), ["doc_id"], "grade")
-
-
 @query(
     "report_by_group",
     """
@@ -670,28 +647,12 @@ def document_titles(spark, d):
 @query(
     "formula_report",
     r"""
-    WITH m AS (SELECT revision_id, block_kind, len(regexp_extract_all(regexp_replace(text, '\$\$[^$]+\$\$', '$x$', 'g'), '\$[^$]+\$')) AS n FROM paragraphs WHERE NOT contains(text, '\$'))
+    WITH m AS (SELECT revision_id, block_kind, len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text, '`+[^`]*`+', ' ', 'g'), '\\\$', ' ', 'g'), '\$\$[^$]+\$\$', '$x$', 'g'), '\$[^$]+\$')) AS n FROM paragraphs)
     SELECT revision_id, sum(n)::BIGINT AS formulas, count(*) FILTER (block_kind = 'equation' AND n = 0) AS undelimited FROM m GROUP BY 1
     """,
 )
 def formula_report(spark, d):
-    p = table(spark, d, "paragraphs", "revision_id", "block_kind", "text").where(~F.contains("text", F.lit(r"\$")))
-    return reports.formula_counts(p, "revision_id")
-
-
-@query(
-    "scores_by_source_and_rater",
-    """
-    SELECT d.source, round(avg(grade) FILTER (rater = 'rater-00'), 6) AS "rater-00", round(avg(grade) FILTER (rater = 'rater-01'), 6) AS "rater-01"
-    FROM reading_labels l JOIN documents d USING (doc_id) WHERE grade IS NOT NULL GROUP BY ROLLUP (d.source)
-    """,
-)
-def scores_by_source_and_rater(spark, d):
-    j = table(spark, d, "reading_labels", "doc_id", "rater", "grade").where("grade IS NOT NULL").join(table(spark, d, "documents", "doc_id", "source"), "doc_id")
-    return reports.pivoted(j, "source", "rater", ["rater-00", "rater-01"], "grade")
-
-
-# The three above that take two raters equal their SQL; these take every rater of the table.
+    return reports.formula_counts(table(spark, d, "paragraphs", "revision_id", "block_kind", "text"), "revision_id")
 
 
 @query(
@@ -728,12 +689,332 @@ def scores_by_source_and_every_rater(spark, d):
     return reports.means_by_column(j, "source", "rater", "grade")
 
 
-@query("formula_report_of_all")
-def formula_report_of_all(spark, d):
-    """``formula_report`` over all paragraphs, those with an escaped dollar sign too (its SQL has no form for them)."""
-    return reports.formula_counts(table(spark, d, "paragraphs", "revision_id", "block_kind", "text"), "revision_id")
+_FLAGS = r"""
+    q AS (SELECT unit_id, count(question) AS n FROM unit_questions GROUP BY 1),
+    g AS (SELECT u.*, trim(coalesce(gloss, '')) AS g, coalesce(q.n, 0) AS n FROM units u LEFT JOIN q USING (unit_id))
+"""
+
+
+@query(
+    "flag_histogram_plain",
+    f"""
+    WITH {_FLAGS} SELECT * FROM (SELECT 'gloss_empty' AS flag, count(*) AS n FROM g WHERE g = '' UNION ALL SELECT 'gloss_long', count(*) FROM g WHERE length(g) > 600
+    UNION ALL SELECT 'question_count', count(*) FROM g WHERE n NOT BETWEEN 3 AND 5) WHERE n > 0
+    """,
+)
+def flag_histogram_plain(spark, d):
+    """Of the flags that SQL can say."""
+    return reports.flag_counts(quality_flags(spark, d)).where(F.col("flag").isin("gloss_empty", "gloss_long", "question_count"))
 
 
 @query("flag_histogram")
 def flag_histogram(spark, d):
     return reports.flag_counts(quality_flags(spark, d))
+
+
+# --- glossing ----------------------------------------------------------------------------------------------------
+
+
+def _text_rows(spark, d):
+    return table(spark, d, "paragraphs", "revision_id", "position", "section_path", "block_kind", "content_hash", "text")
+
+
+def _titles(spark, d):
+    r = table(spark, d, "revisions", "revision_id", "paper_id").join(table(spark, d, "papers", "paper_id", "title"), "paper_id")
+    return r.select("revision_id", "title")
+
+
+@query(
+    "chunk_requests",
+    SQL["chunks"].replace("SELECT f.revision_id, f.first_pos, f.last_pos, CASE", ", spans AS (SELECT f.revision_id, f.first_pos, f.last_pos, CASE") + """)
+    SELECT s.revision_id, first_pos AS chunk_first, last_pos AS chunk_last, count(*) AS paragraphs, sum(length(text))::BIGINT AS chars, count(block_kind) AS kinds
+    FROM spans s JOIN paragraphs p ON p.revision_id = s.revision_id AND position BETWEEN first_pos AND last_pos GROUP BY 1, 2, 3
+    """,
+)
+def chunk_requests(spark, d):
+    """The requests of all chunks, read back."""
+    r = glossing.chunk_requests(_text_rows(spark, d), _titles(spark, d), "v1", "scripted")
+    r = r.withColumn("p", F.from_json("request", "struct<paragraphs:array<struct<pos:int,text:string,kind:string>>>")["paragraphs"])
+    chars = F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x["text"]))
+    return r.select("revision_id", "chunk_first", "chunk_last", F.size("p").cast("bigint").alias("paragraphs"), chars.alias("chars"), F.size(F.filter("p", lambda x: x["kind"].isNotNull())).cast("bigint").alias("kinds"))
+
+
+@query(
+    "segment_stage",
+    """
+    SELECT revision_id, position AS first_pos, position AS last_pos, array_to_string(list_filter(string_split_regex(trim(text, E' \\t\\n\\r'), '\\s+'), lambda x: x <> '')[1:12], ' ') AS gloss, 'scripted' AS gloss_model
+    FROM paragraphs WHERE block_kind IS DISTINCT FROM 'reference'
+    """,
+)
+def segment_stage(spark, d):
+    """Every chunk of the corpus through requests, a scripted model, checks, merging and provenance."""
+    none = spark.createDataFrame([], "revision_id long, input_hash string, gloss_model string, reply string")
+    done = glossing.gloss(_text_rows(spark, d), _titles(spark, d), none, ports.OnePerParagraphInBatches, "v1", "scripted")
+    return done.units.select("revision_id", "first_pos", "last_pos", "gloss", "gloss_model")
+
+
+# the next version of the units: every ninth is gone, every fifth has another gloss, every fourth other questions
+_NEXT = """
+    n AS (SELECT * REPLACE (CASE WHEN unit_id % 5 = 0 THEN gloss || '.' ELSE gloss END AS gloss) FROM units WHERE unit_id % 9 <> 0),
+    nq AS (SELECT unit_id, list(question ORDER BY question_id) FILTER (question IS NOT NULL) AS qs FROM unit_questions WHERE unit_id IN (SELECT unit_id FROM n) GROUP BY 1)
+"""
+
+
+def _next_units(spark, d):
+    old = table(spark, d, "units")
+    new = old.where("unit_id % 9 <> 0").withColumn("gloss", F.when(F.col("unit_id") % 5 == 0, F.concat("gloss", F.lit("."))).otherwise(F.col("gloss")))
+    return old, glossing.next_units(old, new)
+
+
+def _next_questions(spark, d):
+    q, (_, units) = table(spark, d, "unit_questions"), _next_units(spark, d)
+    had = q.groupBy("unit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("question_id", "question"))), lambda x: x["question"]).alias("questions"))
+    told = units.select("unit_id").join(had, "unit_id").withColumn("questions", F.when(F.col("unit_id") % 4 == 0, F.reverse("questions")).otherwise(F.col("questions")))
+    return glossing.next_questions(q, told)
+
+
+@query("unit_snapshot", f"WITH {_NEXT} SELECT n.unit_id, CASE WHEN n.gloss IS NOT DISTINCT FROM u.gloss THEN 'kept' ELSE 'gloss_changed' END AS change, n.gloss FROM n JOIN units u USING (unit_id)")
+def unit_snapshot(spark, d):
+    return _next_units(spark, d)[1].select("unit_id", "change", "gloss")
+
+
+@query("unit_events", "SELECT unit_id, revision_id, first_pos, last_pos, anchor_label, 'deleted' AS change FROM units WHERE unit_id % 9 = 0")
+def unit_events(spark, d):
+    return glossing.unit_events(*_next_units(spark, d))
+
+
+_KEPT_QUESTIONS = "kq AS (SELECT q.*, nq.unit_id % 4 <> 0 OR nq.qs = list_reverse(nq.qs) AS kept FROM unit_questions q JOIN nq USING (unit_id))"
+
+
+@query("question_snapshot", f"WITH {_NEXT}, {_KEPT_QUESTIONS} SELECT unit_id, question, kept, count(*) AS n FROM kq GROUP BY ALL")
+def question_snapshot(spark, d):
+    return _next_questions(spark, d).groupBy("unit_id", "question", "kept").agg(F.count("*").alias("n"))
+
+
+@query(
+    "vector_snapshot",
+    f"""
+    WITH {_NEXT}, {_KEPT_QUESTIONS}
+    SELECT vector_id FROM vectors v WHERE target NOT IN ('gloss', 'question') OR (target = 'gloss' AND owner_id IN (SELECT unit_id FROM n WHERE unit_id % 5 <> 0)) OR (target = 'question' AND owner_id IN (SELECT question_id FROM kq WHERE kept))
+    """,
+)
+def vector_snapshot(spark, d):
+    """Vectors that still hold after glosses and questions have changed, in both sets."""
+    return glossing.next_vectors(table(spark, d, "vectors"), _next_units(spark, d)[1], _next_questions(spark, d)).select("vector_id")
+
+
+@query(
+    "vectors_filled",
+    """
+    WITH u AS (SELECT *, emb IS NOT NULL AND len(emb) > 0 AND len(list_filter(emb, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(emb, lambda x: x <> 0)) > 0 AS ok FROM vectors),
+    h AS (SELECT DISTINCT owner_id FROM u WHERE set_name = 'alt' AND target = 'gloss' AND ok)
+    SELECT v.set_name, v.target, count(*) AS n FROM (SELECT set_name, target FROM u WHERE NOT (set_name = 'alt' AND target = 'gloss' AND NOT ok AND owner_id IN (SELECT unit_id FROM units) AND owner_id NOT IN (SELECT owner_id FROM h))
+    UNION ALL SELECT 'alt', 'gloss' FROM units WHERE unit_id NOT IN (SELECT owner_id FROM h)) v GROUP BY 1, 2
+    """,
+)
+def vectors_filled(spark, d):
+    """The alternate set after an embedding run over glosses that had no vector in it."""
+    v, u = table(spark, d, "vectors"), table(spark, d, "units", "unit_id", "gloss")
+    todo = segment.missing_vectors(u, "unit_id", v, "alt", "gloss").join(u.select("unit_id", F.coalesce("gloss", F.lit("")).alias("gloss")), "unit_id")
+    made = ports.embed(todo, "unit_id", "gloss", ports.SeededEmbedder(64)).withColumnRenamed("unit_id", "owner_id")
+    return glossing.filled_vectors(v, made, "alt", "gloss", "seeded").groupBy("set_name", "target").agg(F.count("*").alias("n"))
+
+
+@query(
+    "vectors_cleared",
+    """
+    WITH r AS (SELECT revision_id FROM revisions WHERE stage = 'ready' AND revision % 2 = 1), u AS (SELECT unit_id FROM units JOIN r USING (revision_id))
+    SELECT set_name, target, count(emb) AS n FROM vectors WHERE NOT ((target = 'paragraph' AND owner_id IN (SELECT pid FROM paragraphs JOIN r USING (revision_id))) OR (target = 'gloss' AND owner_id IN (SELECT unit_id FROM u))
+      OR (target = 'question' AND owner_id IN (SELECT question_id FROM unit_questions JOIN u USING (unit_id)))) GROUP BY 1, 2
+    """,
+)
+def vectors_cleared(spark, d):
+    """What is left of the vectors after the ready first, third ... revisions are cleared."""
+    rev = table(spark, d, "revisions", "revision_id", "stage", "revision").where("stage = 'ready' AND revision % 2 = 1")
+    left = glossing.cleared_vectors(table(spark, d, "vectors"), rev, table(spark, d, "paragraphs", "pid", "revision_id"), table(spark, d, "units", "unit_id", "revision_id"), table(spark, d, "unit_questions", "question_id", "unit_id"))
+    return glossing.vectors_left(left)
+
+
+@query("replies_purged", "SELECT DISTINCT u.revision_id, u.input_hash FROM units u WHERE EXISTS (SELECT 1 FROM units v WHERE v.revision_id = u.revision_id AND v.input_hash = u.input_hash AND v.first_pos % 3 = 0)")
+def replies_purged(spark, d):
+    """Stored replies (one per input hash of the units) whose chunk is still there: that of a unit at every third position."""
+    u = table(spark, d, "units", "revision_id", "input_hash", "first_pos")
+    stored = u.select("revision_id", "input_hash").distinct()
+    return glossing.purged_replies(stored, u.where("first_pos % 3 = 0"))
+
+
+# --- more tools and reports --------------------------------------------------------------------------------------
+
+
+@query("document_counts", "SELECT r.paper_id, pa.name, max(position) + 1 AS paragraphs FROM paragraphs p JOIN revisions r USING (revision_id) JOIN papers pa USING (paper_id) WHERE is_current AND stage = 'ready' GROUP BY 1, 2")
+def document_counts(spark, d):
+    return lookup.document_counts(table(spark, d, "paragraphs", "revision_id", "position"), table(spark, d, "revisions"), table(spark, d, "papers"))
+
+
+@query(
+    "opened_units",
+    """
+    SELECT unit_id, pid, position, page + 1 AS page FROM units u JOIN revisions r USING (revision_id) JOIN paragraphs p ON p.revision_id = u.revision_id AND position BETWEEN first_pos AND least(last_pos, first_pos + 19)
+    WHERE is_current AND stage = 'ready'
+    """,
+)
+def opened_units(spark, d):
+    return lookup.opened_units(table(spark, d, "units"), table(spark, d, "revisions"), table(spark, d, "paragraphs", "revision_id", "position", "pid", "page"))
+
+
+# sessions: each client's deliveries as calls by hour, each delivered paragraph as returned
+_CALLS = "c AS (SELECT client AS session, date_diff('hour', TIMESTAMPTZ '2024-01-01 00:00:00+00', date_trunc('hour', arrived_at)) AS call, revision_id * 1000000 + position AS pid FROM import_rows WHERE client IS NOT NULL AND arrived_at IS NOT NULL)"
+
+
+def _calls(spark, d):
+    rows = table(spark, d, "import_rows", "client", "arrived_at", "revision_id", "position").where("client IS NOT NULL AND arrived_at IS NOT NULL")
+    hour = F.floor((F.unix_seconds("arrived_at") - F.unix_seconds(F.lit("2024-01-01 00:00:00+00:00").cast("timestamp"))) / 3600)
+    return rows.select(F.col("client").alias("session"), hour.alias("call"), (F.col("revision_id") * 1000000 + F.col("position")).alias("pid"))
+
+
+@query("session_accounting", f"WITH {_CALLS}, f AS (SELECT session, pid, min(call) AS call FROM c GROUP BY 1, 2), n AS (SELECT session, call, count(*) AS new FROM f GROUP BY 1, 2) SELECT DISTINCT c.session, c.call, coalesce(new, 0) AS new FROM c LEFT JOIN n USING (session, call)")
+def session_accounting(spark, d):
+    """How many paragraphs each call of a session returned that the session had not seen."""
+    return lookup.new_in_session(_calls(spark, d))
+
+
+@query("session_retrieved", f"WITH {_CALLS} SELECT DISTINCT pid FROM c")
+def session_retrieved(spark, d):
+    c = _calls(spark, d)
+    return lookup.retrieved(c.where("call % 2 = 0"), c.where("call % 2 <> 0"))
+
+
+@query("html_safe", "SELECT pid, replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;'), chr(10), '<br>') AS html FROM paragraphs")
+def html_safe(spark, d):
+    return table(spark, d, "paragraphs", "pid", "text").select("pid", lookup.html_safe(F.col("text")).alias("html"))
+
+
+@query("documents_newest_first", "SELECT paper_id, row_number() OVER (ORDER BY created_at DESC NULLS LAST, name, paper_id) AS ord FROM papers")
+def documents_newest_first(spark, d):
+    return reports.newest_first(table(spark, d, "papers", "paper_id", "name", "created_at")).select("paper_id", F.col("ord").cast("bigint").alias("ord"))
+
+
+@query("stored_files", "SELECT r.pdf_sha256, r.paper_id, name, revision_id, revision, stage FROM revisions r JOIN papers USING (paper_id) WHERE revision_id % 3 = 0")
+def stored_files(spark, d):
+    """What is stored of some known hashes and of unknown ones."""
+    r = table(spark, d, "revisions")
+    asked = r.select(F.when(F.col("revision_id") % 3 == 0, F.col("pdf_sha256")).otherwise(F.concat(F.lit("unknown"), "pdf_sha256")).alias("pdf_sha256"))
+    return ingest.stored_files(asked, r, table(spark, d, "papers"))
+
+
+@query("imported_files", "SELECT count(*) AS papers, count(DISTINCT h) AS revisions, count(*) FILTER (name = 'untitled') AS untitled FROM (SELECT sha256(coalesce(text, '')) AS h, coalesce(nullif(trim((list(title ORDER BY doc_id))[1]), ''), 'untitled') AS name FROM documents GROUP BY 1)")
+def imported_files(spark, d):
+    """The documents as files: each distinct text becomes a paper with its first revision."""
+    f = table(spark, d, "documents", "doc_id", "text", "title").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), "title")
+    f = f.groupBy("sha256").agg(F.min_by("title", "doc_id").alias("name"))
+    papers, revisions = ingest.new_papers(f, "2024-01-01 00:00:00")
+    p = papers.agg(F.count("*").alias("papers"), F.count_if(F.col("name") == "untitled").alias("untitled"))
+    return p.crossJoin(F.broadcast(revisions.agg(F.countDistinct("pdf_sha256").alias("revisions")))).select("papers", "revisions", "untitled")
+
+
+@query("strata_counts", "SELECT coalesce(anchor_kind, 'plain') AS stratum, count(*) AS n FROM units GROUP BY 1")
+def strata_counts(spark, d):
+    return reports.strata_counts(table(spark, d, "units", "anchor_kind").select(F.coalesce("anchor_kind", F.lit("plain")).alias("stratum")), "stratum")
+
+
+@query("chosen_items", "WITH s AS (SELECT DISTINCT revision_id, first_pos, last_pos, anchor_label FROM units WHERE unit_id % 10 = 0) SELECT unit_id FROM units u WHERE EXISTS (SELECT 1 FROM s WHERE s.revision_id = u.revision_id AND s.first_pos = u.first_pos AND s.last_pos = u.last_pos AND s.anchor_label IS NOT DISTINCT FROM u.anchor_label)")
+def chosen_items(spark, d):
+    """Units that a sample names by its keys (every tenth unit's)."""
+    u = table(spark, d, "units", "unit_id", *segment.SAME_KEY)
+    return reports.chosen_items(u, u.where("unit_id % 10 = 0").drop("unit_id"), segment.SAME_KEY).select("unit_id")
+
+
+@query(
+    "items_that_differ",
+    "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM reading_labels WHERE grade IS NOT NULL AND rater IS NOT NULL GROUP BY 1 HAVING min(grade) <> max(grade))",
+)
+def items_that_differ(spark, d):
+    """Documents that raters disagree about."""
+    g = table(spark, d, "reading_labels", "doc_id", "rater", "grade").where("grade IS NOT NULL AND rater IS NOT NULL")
+    differ = g.groupBy("doc_id").agg(F.min("grade").alias("lo"), F.max("grade").alias("hi")).where("lo <> hi")
+    return reports.items_that_differ(table(spark, d, "documents", "doc_id"), differ, ["doc_id"])
+
+
+@query("unjudged_items", "SELECT doc_id FROM documents WHERE lang = 'en' AND doc_id NOT IN (SELECT doc_id FROM reading_labels WHERE doc_id IS NOT NULL)")
+def unjudged_items(spark, d):
+    items = table(spark, d, "documents", "doc_id", "lang").where("lang = 'en'").select("doc_id")
+    return items.join(table(spark, d, "reading_labels", "doc_id"), "doc_id", "left_anti")
+
+
+@query(
+    "unit_items",
+    """
+    SELECT unit_id, count(*) AS paragraphs, string_agg(DISTINCT coalesce(block_kind, 'text'), ',' ORDER BY coalesce(block_kind, 'text')) AS kinds, count(DISTINCT page) AS pages, min(page) AS first_page
+    FROM units u JOIN paragraphs p ON p.revision_id = u.revision_id AND position BETWEEN first_pos AND last_pos GROUP BY 1
+    """,
+)
+def unit_items(spark, d):
+    i = reports.unit_items(table(spark, d, "units", "unit_id", "revision_id", "first_pos", "last_pos"), table(spark, d, "paragraphs", "revision_id", "position", "page", "block_kind", "html", "text"))
+    return i.select("unit_id", F.size("paragraphs").cast("bigint").alias("paragraphs"), F.array_join("kinds", ",").alias("kinds"), F.size("pages").cast("bigint").alias("pages"), F.array_min("pages").alias("first_page"))
+
+
+@query("page_items", "SELECT revision_id, page, count(*) FILTER (kind IS DISTINCT FROM 'furniture') AS blocks, coalesce(sum(length(text)) FILTER (kind IS DISTINCT FROM 'furniture'), 0)::BIGINT AS chars FROM blocks WHERE page IS NOT NULL GROUP BY 1, 2")
+def page_items(spark, d):
+    i = reports.page_items(table(spark, d, "blocks", "revision_id", "page", "block_index", "kind", "text"))
+    chars = F.aggregate("blocks", F.lit(0).cast("bigint"), lambda a, b: a + F.coalesce(F.length(b["text"]), F.lit(0)))
+    return i.select("revision_id", "page", F.size("blocks").cast("bigint").alias("blocks"), chars.alias("chars"))
+
+
+# judgements of units, made of their ids: verdict, boundaries and whether the text was readable
+_JUDGED = """
+    j AS (SELECT coalesce(anchor_kind, 'plain') AS stratum, ['faithful', 'faithful', 'overstated', 'wrong', 'unclear', NULL][unit_id % 6 + 1] AS verdict, ['sensible', 'too_narrow', 'too_broad', 'not_sensible', NULL][unit_id % 5 + 1] AS boundaries,
+                 CASE WHEN unit_id % 7 = 0 THEN 'garbled' ELSE 'readable' END AS source FROM units)
+"""
+
+
+def _judged(spark, d):
+    pick = lambda values, n: F.array(*[F.lit(v) for v in values])[(F.col("unit_id") % n).cast("int")]
+    u = table(spark, d, "units", "unit_id", "anchor_kind")
+    return u.select(
+        F.coalesce("anchor_kind", F.lit("plain")).alias("stratum"), pick(["faithful", "faithful", "overstated", "wrong", "unclear", None], 6).alias("verdict"), pick([*reports.BOUNDARIES, None], 5).alias("boundaries"),
+        F.when(F.col("unit_id") % 7 == 0, "garbled").otherwise("readable").alias("source"),
+    )
+
+
+@query(
+    "gloss_report",
+    f"""
+    WITH {_JUDGED}, r AS (SELECT * FROM j WHERE verdict IS NOT NULL)
+    SELECT count(*) AS reviewed, count(*) FILTER (verdict = 'faithful') AS faithful, count(*) FILTER (verdict = 'wrong') AS wrong, count(*) FILTER (source = 'readable') AS readable,
+           count(*) FILTER (source = 'readable' AND verdict = 'faithful') AS readable_faithful, count(*) FILTER (verdict = 'wrong' AND stratum IN ('theorem', 'definition')) AS wrong_formal, count(*) FILTER (boundaries IS NOT NULL) AS bounded,
+           round(count(*) FILTER (verdict = 'faithful') / count(*)::DOUBLE, 6) AS faithful_share, count(*) FILTER (source = 'readable' AND verdict = 'faithful') >= 0.9 * count(*) FILTER (source = 'readable') AND count(*) FILTER (verdict = 'wrong' AND stratum IN ('theorem', 'definition')) = 0 AS frozen
+    FROM r
+    """,
+)
+def gloss_report(spark, d):
+    r = reports.gloss_report(_judged(spark, d))
+    return r.select("reviewed", "faithful", "wrong", "readable", "readable_faithful", "wrong_formal", "bounded", F.round("faithful_share", 6).alias("faithful_share"), "frozen")
+
+
+@query("verdicts_by_stratum", f"WITH {_JUDGED} SELECT stratum, count(*) AS reviewed, count(*) FILTER (verdict = 'faithful') AS faithful, count(*) FILTER (verdict = 'overstated') AS overstated, count(*) FILTER (verdict = 'wrong') AS wrong, count(*) FILTER (verdict = 'unclear') AS unclear FROM j WHERE verdict IS NOT NULL GROUP BY 1")
+def verdicts_by_stratum(spark, d):
+    return reports.verdicts_by_stratum(_judged(spark, d))
+
+
+_SCORED = """
+    s AS (SELECT d.source, l.rater, l.grade AS score FROM reading_labels l JOIN documents d USING (doc_id) WHERE l.grade IS NOT NULL AND l.rater IS NOT NULL AND d.source IS NOT NULL),
+    f AS (SELECT DISTINCT d.doc_id, d.source, l.rater, d.n_chars FROM reading_labels l JOIN documents d USING (doc_id) WHERE l.grade IS NOT NULL AND l.rater IS NOT NULL AND d.source IS NOT NULL)
+"""
+
+
+@query(
+    "score_report",
+    f"""
+    WITH {_SCORED}, e AS (SELECT source, rater, avg(score) AS mean, count(*) AS n FROM s GROUP BY 1, 2), m AS (SELECT source, min(n) AS scored FROM e GROUP BY 1),
+    c AS (SELECT source, rater, count(*) AS formulas, count(*) FILTER (n_chars % 5 = 0) AS failed FROM f GROUP BY 1, 2), t AS (SELECT rater, sum(formulas)::BIGINT AS formulas, sum(failed)::BIGINT AS failed FROM c GROUP BY 1)
+    SELECT e.source, e.rater, round(mean, 6) AS mean, scored, formulas, failed, round(failed / formulas::DOUBLE, 6) AS failed_share FROM e JOIN m USING (source) LEFT JOIN c ON c.source = e.source AND c.rater = e.rater
+    UNION ALL SELECT NULL, a.rater, round(a.mean, 6), (SELECT sum(scored)::BIGINT FROM m), formulas, failed, round(failed / formulas::DOUBLE, 6) FROM (SELECT rater, avg(score) AS mean FROM s GROUP BY 1) a LEFT JOIN t USING (rater)
+    """,
+)
+def score_report(spark, d):
+    """Mean grade, least number of grades, and totals with their failing share, by source and rater, with rows for all."""
+    docs = table(spark, d, "documents", "doc_id", "source", "n_chars").where("source IS NOT NULL")
+    j = table(spark, d, "reading_labels", "doc_id", "rater", "grade").where("grade IS NOT NULL AND rater IS NOT NULL").join(docs, "doc_id")
+    once = j.select("doc_id", "source", "rater", "n_chars").distinct()
+    counted = once.select("source", "rater", F.lit(1).cast("bigint").alias("formulas"), F.coalesce((F.col("n_chars") % 5 == 0).cast("bigint"), F.lit(0)).alias("failed"))
+    return reports.score_report(j.select("source", "rater", F.col("grade").alias("score")), counted, "source", "rater")

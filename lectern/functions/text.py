@@ -39,6 +39,11 @@ def input_hash(request: pa.Array) -> pa.Array:
     return pa.array(made, pa.string())
 
 
+def casefold(text: Column) -> Column:
+    """The text without differences of case, letters that become two among them (sharp s, ligatures)."""
+    return F.translate(F.lower(F.upper(text)), "\u03c2", "\u03c3")
+
+
 def words(text: Column) -> Column:
     """Lower-cased maximal runs of letters or digits, in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)

@@ -202,6 +202,23 @@ def new_files(files: DataFrame, revisions: DataFrame, key: str = "pdf_sha256") -
     return files.dropDuplicates([key]).join(revisions.select(key), key, "left_anti")
 
 
+def stored_files(files: DataFrame, revisions: DataFrame, papers: DataFrame, key: str = "pdf_sha256") -> DataFrame:
+    """(hash, paper_id, name, revision_id, revision, stage): what is stored of files, by hash."""
+    r = revisions.select(key, "paper_id", "revision_id", "revision", "stage").join(papers.select("paper_id", "name"), "paper_id")
+    return files.select(key).distinct().join(r, key)
+
+
+def new_papers(files: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """(papers, revisions): the rows of files (sha256, name) that are to be stored, a paper and its revision 1 for each.
+    Ids are derived from the hash, so a repeated import makes the same rows; a blank name becomes 'untitled'."""
+    paper = F.concat_ws("-", *[F.substring("sha256", a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    f = files.dropDuplicates(["sha256"]).withColumn("paper_id", paper).withColumn("at", F.lit(at).cast("timestamp"))
+    name = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.lit("untitled"))
+    papers = f.select("paper_id", name.alias("name"), F.lit(None).cast("string").alias("title"), F.col("at").alias("created_at"), F.col("at").alias("updated_at"))
+    revisions = f.select(F.xxhash64("sha256").alias("revision_id"), "paper_id", F.lit(1).alias("revision"), F.col("sha256").alias("pdf_sha256"), F.lit("parse").alias("stage"), F.lit(False).alias("is_current"), F.lit(0).alias("attempts"), F.col("at").alias("created_at"))
+    return papers, revisions
+
+
 def reconcile(old: DataFrame, new: DataFrame, carried: list[str]) -> DataFrame:
     """The next snapshot of paragraphs: a row with the same position and hash keeps its id and the carried columns, a
     changed or new one gets a new id, one that is gone is left out. ``status`` says which."""

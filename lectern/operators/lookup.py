@@ -27,11 +27,11 @@ def render(name: Column, page: Column, section_path: Column, label: Column) -> C
 
 
 def locations(paragraphs: DataFrame, units: DataFrame, revisions: DataFrame, papers: DataFrame) -> DataFrame:
-    """(pid, location) of every paragraph."""
+    """(pid, location) of every paragraph; its own label comes before that of the narrowest labelled unit around it."""
     named = revisions.select("revision_id", "paper_id").join(papers.select("paper_id", "name"), "paper_id")
     label = narrowest_label(paragraphs, units)
-    p = paragraphs.select("pid", "revision_id", "page", "section_path").join(named, "revision_id").join(label, "pid")
-    return p.select("pid", render(F.col("name"), F.col("page"), F.col("section_path"), F.col("label")).alias("location"))
+    p = paragraphs.select("pid", "revision_id", "page", "section_path", "block_label").join(named, "revision_id").join(label, "pid")
+    return p.select("pid", render(F.col("name"), F.col("page"), F.col("section_path"), F.coalesce("block_label", "label")).alias("location"))
 
 
 def outline(paragraphs: DataFrame) -> DataFrame:
@@ -51,6 +51,48 @@ def unit_paragraphs(paragraphs: DataFrame, units: DataFrame) -> DataFrame:
     return rows.groupBy("unit_id").agg(F.array_join(F.array_sort(F.collect_list("position")), ",").alias("positions"), F.sum("n").alias("chars"))
 
 
+def current_units(units: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Units that can be opened: those of current revisions that are ready."""
+    return units.join(revisions.where(F.col("is_current") & (F.col("stage") == "ready")).select("revision_id", "paper_id"), "revision_id")
+
+
+def opened_units(units: DataFrame, revisions: DataFrame, paragraphs: DataFrame, cap: int = PAGE) -> DataFrame:
+    """(unit_id, pid, position, page): the paragraphs of units that can be opened, ``cap`` positions at most; others have
+    no row."""
+    u = current_units(units, revisions).select("unit_id", "revision_id", F.explode(F.sequence("first_pos", F.least("last_pos", F.col("first_pos") + cap - 1))).alias("position"))
+    return u.join(paragraphs.select("revision_id", "position", "pid", "page"), ["revision_id", "position"]).select("unit_id", "pid", "position", (F.col("page") + 1).alias("page"))
+
+
+def document_counts(paragraphs: DataFrame, revisions: DataFrame, papers: DataFrame) -> DataFrame:
+    """(paper_id, name, paragraphs): each document that can be opened, with its number of paragraphs (greatest position + 1)."""
+    rev = revisions.where(F.col("is_current") & (F.col("stage") == "ready")).select("revision_id", "paper_id")
+    last = paragraphs.groupBy("revision_id").agg(F.max("position").alias("last")).join(rev, "revision_id")
+    return last.groupBy("paper_id").agg((F.max("last") + 1).alias("paragraphs")).join(papers.select("paper_id", "name"), "paper_id").select("paper_id", "name", "paragraphs")
+
+
+def retrieved(*returned: DataFrame) -> DataFrame:
+    """(pid): what a session has seen, the union of what its tools returned."""
+    out = returned[0].select("pid")
+    for r in returned[1:]:
+        out = out.unionByName(r.select("pid"))
+    return out.distinct()
+
+
+def new_in_session(calls: DataFrame) -> DataFrame:
+    """(session, call, new): how many paragraphs each call of a session (session, call, pid) returned that no earlier call had."""
+    first = calls.groupBy("session", "pid").agg(F.min("call").alias("call"))
+    n = first.groupBy("session", "call").agg(F.count("*").alias("new"))
+    return calls.select("session", "call").distinct().join(n, ["session", "call"], "left").select("session", "call", F.coalesce("new", F.lit(0)).alias("new"))
+
+
+def html_safe(text: Column) -> Column:
+    """Text for a page: characters that HTML reads are references, line breaks are elements."""
+    out = text
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"), ("\n", "<br>")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
 def check_citations(cited: DataFrame, retrieved: DataFrame, located: DataFrame) -> DataFrame:
     """(marker, pid, location, removed): a citation stays if its paragraph was retrieved and has a location."""
     seen = retrieved.select("pid").distinct().withColumn("seen", F.lit(True))

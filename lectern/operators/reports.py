@@ -118,3 +118,68 @@ def markdown_table(df: DataFrame, rows: int = 1000) -> str:
         raise ValueError(f"a report of more than {rows} rows")
     head = [f"| {' | '.join(df.columns)} |", f"|{'---|' * len(df.columns)}"]
     return "\n".join([*head, *(f"| {' | '.join('' if v is None else str(v) for v in r)} |" for r in found)])
+
+
+def score_report(scores: DataFrame, formulas: DataFrame, group: str, column: str) -> DataFrame:
+    """(group, column, mean, scored, formulas, failed, failed_share), with rows for all (group null).
+
+    ``scores`` has one row per judged page, ``formulas`` (group, column, formulas, failed) one per document and column;
+    ``scored`` is the number of pages that every column of the group has at least. The row for all weighs every score
+    alike; a group without scores is left out, formulas of a column without any are null.
+    """
+    each = scores.groupBy(group, column).agg(F.avg("score").alias("mean"), F.count("score").alias("n"))
+    least = each.groupBy(group).agg(F.min("n").alias("scored"))
+    counted = formulas.groupBy(group, column).agg(F.sum("formulas").alias("formulas"), F.sum("failed").alias("failed"))
+    rows = each.join(least, group).join(counted, [group, column], "left")
+    every = scores.groupBy(column).agg(F.avg("score").alias("mean")).crossJoin(F.broadcast(least.agg(F.sum("scored").alias("scored"))))
+    total = formulas.groupBy(column).agg(F.sum("formulas").alias("formulas"), F.sum("failed").alias("failed"))
+    every = every.join(total, column, "left").withColumn(group, F.lit(None).cast(scores.schema[group].dataType))
+    both = rows.select(group, column, "mean", "scored", "formulas", "failed").unionByName(every.select(group, column, "mean", "scored", "formulas", "failed"))
+    return both.withColumn("mean", F.round("mean", 6)).withColumn("failed_share", F.round(F.try_divide("failed", "formulas"), 6))
+
+
+def strata_counts(units: DataFrame, stratum: str) -> DataFrame:
+    return units.groupBy(stratum).agg(F.count("*").alias("n"))
+
+
+def chosen_items(items: DataFrame, sample: DataFrame, keys: list[str]) -> DataFrame:
+    """Items that a sample names by keys of which any may be null."""
+    s = sample.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return items.join(s, same, "left_semi")
+
+
+def all_judged(items: DataFrame, judged: DataFrame, keys: list[str]) -> bool:
+    """Whether every item has a judgement: no key of the items is missing among those of the judgements."""
+    return items.select(*keys).join(judged.select(*keys), keys, "left_anti").isEmpty()
+
+
+def items_that_differ(items: DataFrame, differ: DataFrame, keys: list[str]) -> DataFrame:
+    """Items with a key among those that raters disagree about."""
+    return items.join(differ.select(*keys).distinct(), keys, "left_semi")
+
+
+def newest_first(papers: DataFrame) -> DataFrame:
+    """Papers with ``ord``, their place in the list: newest first, then by name, then by id."""
+    w = Window.orderBy(F.desc_nulls_last("created_at"), "name", "paper_id")
+    return papers.withColumn("ord", F.row_number().over(w))
+
+
+def unit_items(units: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """(unit_id, pages, kinds, paragraphs): what a reviewer sees of each unit: the distinct pages of its span in order,
+    its kinds, and its paragraphs (position, page, kind, html)."""
+    from lectern.operators.lookup import html_safe
+
+    at = units.select("unit_id", "revision_id", F.explode(F.sequence("first_pos", "last_pos")).alias("position"))
+    p = paragraphs.select("revision_id", "position", "page", F.coalesce("block_kind", F.lit("text")).alias("kind"), F.coalesce("html", html_safe(F.col("text"))).alias("html"))
+    rows = at.join(p, ["revision_id", "position"])
+    return rows.groupBy("unit_id").agg(F.array_sort(F.collect_set("page")).alias("pages"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.array_sort(F.collect_list(F.struct("position", "page", "kind", "html"))).alias("paragraphs"))
+
+
+def page_items(blocks: DataFrame) -> DataFrame:
+    """(revision_id, page, blocks): what a reviewer sees of each page: kind and text of its blocks in order, without
+    furniture; a page of furniture alone is there, empty."""
+    shown = F.when(F.coalesce("kind", F.lit("")) != "furniture", F.struct("block_index", "kind", "text"))
+    return blocks.where("page IS NOT NULL").groupBy("revision_id", "page").agg(F.array_sort(F.collect_list(shown)).alias("blocks"))

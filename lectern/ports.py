@@ -25,6 +25,10 @@ class LanguageModel(Protocol):
     def complete(self, request: dict) -> dict: ...
 
 
+class BatchLanguageModel(LanguageModel, Protocol):
+    def batch(self, requests: Sequence[dict]) -> Sequence[dict]: ...
+
+
 class Embedder(Protocol):
     name: str
     dim: int
@@ -98,23 +102,54 @@ class Canned:
 
 
 def complete_missing(requests: DataFrame, known: DataFrame, model_of, key: str = "input_hash", attempts: int = 2) -> DataFrame:
-    """(key, reply, error): replies of requests that are not known yet. ``model_of()`` makes a client, once per task;
-    a request that fails ``attempts`` times has an error instead of a reply and stops no other."""
+    """(key, reply, error): replies of requests that are not known yet. ``model_of()`` makes a client, once per task.
+
+    A client that takes batches gets the requests of an Arrow batch as one, if there is more than one; if the batch fails,
+    all of them have its error. Otherwise they are asked one by one: a request that fails ``attempts`` times has an error
+    instead of a reply and stops no other.
+    """
+
+    def failure(e: Exception) -> str:
+        return f"{type(e).__name__}: {e}"[:300]
 
     def run(parts):
         client = model_of()
         for pdf in parts:
-            rows = []
-            for k, body in zip(pdf[key], pdf["request"]):
-                reply = error = None
-                for _ in range(attempts):
-                    try:
-                        reply, error = json.dumps(client.complete(json.loads(body))), None
-                        break
-                    except Exception as e:  # a client's failures are data here
-                        error = f"{type(e).__name__}: {e}"[:300]
-                rows.append((k, reply, error))
+            rows, asked = [], list(zip(pdf[key], map(json.loads, pdf["request"])))
+            if len(asked) > 1 and hasattr(client, "batch"):
+                try:
+                    rows = [(k, json.dumps(r), None) for (k, _), r in zip(asked, client.batch([q for _, q in asked]), strict=True)]
+                except Exception as e:  # a client's failures are data here
+                    rows = [(k, None, failure(e)) for k, _ in asked]
+            else:
+                for k, q in asked:
+                    reply = error = None
+                    for _ in range(attempts):
+                        try:
+                            reply, error = json.dumps(client.complete(q)), None
+                            break
+                        except Exception as e:
+                            error = failure(e)
+                    rows.append((k, reply, error))
             yield pd.DataFrame(rows, columns=[key, "reply", "error"])
 
     todo = requests.dropDuplicates([key]).join(known.select(key), key, "left_anti")
     return todo.select(key, "request").mapInPandas(run, f"{key} string, reply string, error string")
+
+
+class OnePerParagraph:
+    """A scripted model: a unit for every paragraph of a request, with its first words as gloss."""
+
+    def complete(self, request: dict) -> dict:
+        units = []
+        for p in request["paragraphs"]:
+            start = (p["text"] or "").split()[:12]
+            units.append(
+                {"first_pos": p["pos"], "last_pos": p["pos"], "anchor_label": None, "anchor_pos": None, "anchor_kind": None, "anchor_term": None, "gloss": " ".join(start), "key_terms": start[:2], "questions": [f"What of {w}?" for w in start[:3]]}
+            )
+        return {"units": units}
+
+
+class OnePerParagraphInBatches(OnePerParagraph):
+    def batch(self, requests: Sequence[dict]) -> list[dict]:
+        return [self.complete(r) for r in requests]

@@ -171,7 +171,7 @@ def test_formulas_beside_escaped_dollars_are_counted(spark, tmp_path):
 
     rows = [(1, "text", r"it costs \$5, $x$ and $$y$$"), (1, "text", "so $z$"), (2, "equation", r"\$5 alone"), (3, "text", None)]
     spark.createDataFrame(rows, "revision_id long, block_kind string, text string").write.parquet(str(tmp_path / "paragraphs.parquet"))
-    got = {tuple(r) for r in entry.queries()["formula_report_of_all"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in entry.queries()["formula_report"](spark, str(tmp_path)).collect()}
     assert {(1, 3, 0), (2, 0, 1)} <= got and {r[0] for r in got} == {1, 2, 3}
 
 
