@@ -39,8 +39,8 @@ LINE, GAP = re.compile(r"\n\s*"), re.compile(r"\s+")
 BROADCAST_ROWS = 200_000
 
 
-def oversized(paragraphs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(revision_id, first_pos, last_pos, chars): sections whose texts have more than ``limit`` characters.
+def sectioned(paragraphs: DataFrame) -> DataFrame:
+    """(revision_id, position, island, chars): each paragraph with the first position of its section.
 
     Only lengths and a 128-bit hash of the section path are moved.
     """
@@ -50,9 +50,18 @@ def oversized(paragraphs: DataFrame, limit: int = LIMIT) -> DataFrame:
         "pid", "revision_id", "position", same.alias("path"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"), F.coalesce(F.col("block_kind") == "reference", F.lit(False)).alias("apart")
     )
     one = light.groupBy("revision_id", "position").agg(F.min_by(F.struct("path", "chars", "apart"), "pid").alias("p")).select("revision_id", "position", "p.*")
-    s = islands(one, "revision_id", "position", F.col("path"), ~F.col("apart"))
-    s = s.groupBy("revision_id", F.col("island").alias("first_pos")).agg(F.max("position").alias("last_pos"), F.sum("chars").alias("chars"))
-    return s.where(F.col("chars") > limit)
+    return islands(one, "revision_id", "position", F.col("path"), ~F.col("apart")).select("revision_id", "position", "island", "chars")
+
+
+def long_sections(sections: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(revision_id, island, last_pos, total) of ``sectioned`` paragraphs: sections with more than ``limit`` characters."""
+    s = sections.groupBy("revision_id", "island").agg(F.max("position").alias("last_pos"), F.sum("chars").alias("total"))
+    return s.where(F.col("total") > limit)
+
+
+def oversized(paragraphs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(revision_id, first_pos, last_pos, chars): sections whose texts have more than ``limit`` characters."""
+    return long_sections(sectioned(paragraphs), limit).select("revision_id", F.col("island").alias("first_pos"), "last_pos", F.col("total").alias("chars"))
 
 
 def piece_count(chars: int, limit: int, overlap: int) -> int:
@@ -97,11 +106,12 @@ def chunks(paragraphs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
         raise ValueError("the overlap must be smaller than the limit")
     room = limit - overlap
     cols = paragraphs.select("pid", "revision_id", "position", "section_path", "block_kind", "block_label", "text")
-    long = materialise(oversized(cols, limit).select("revision_id", F.col("first_pos").alias("island"), F.col("last_pos"), F.col("chars").alias("total")), "long")
+    where = materialise(sectioned(cols), "sectioned")
+    long = materialise(long_sections(where, limit), "long")
     small = F.broadcast(long) if long.count() <= BROADCAST_ROWS else long
-    # texts of those sections alone; a reference ends a section, so the span holds none
-    span = small.select(F.col("revision_id").alias("r"), "island", "last_pos", "total")
-    own = cols.join(span, (F.col("revision_id") == F.col("r")) & F.col("position").between(F.col("island"), F.col("last_pos"))).drop("r", "block_kind")
+    # texts of those sections alone, found by the positions of their paragraphs
+    at = where.join(small, ["revision_id", "island"]).select("revision_id", "position", "island", "last_pos", "total")
+    own = cols.drop("block_kind").join(at, ["revision_id", "position"])
     own = own.groupBy("revision_id", "island", "last_pos", "total", "position").agg(F.min_by(F.struct("section_path", "block_label", F.coalesce("text", F.lit("")).alias("text")), "pid").alias("p"))
     own = own.select("revision_id", "island", "last_pos", "total", "position", "p.*").withColumn("n", F.length("text")).where("n > 0")
     own = materialise(running_sum(own, ["revision_id", "island"], "position", F.col("n")), "sections")

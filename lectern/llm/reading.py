@@ -4,7 +4,7 @@ Measures (``MEASURES``) cover length, vocabulary (word lengths, repetition, how
 syntax (sentence and clause lengths, punctuation) and cohesion (words shared by neighbouring sentences, pronouns), each
 as a distribution over the words, the sentences or quarters of the text, so that a text is judged as a whole.
 
-Training: at most ``TRAIN_ROWS`` labelled documents (those with the smallest hash of their id; a documented bound), one
+Training: at most ``TRAIN_ROWS`` labelled documents of ``TRAIN_CHARS`` characters in all (those with the smallest hash of their id; a documented bound), one
 label per document: the median of its raters' grades. Cross-validation leaves out whole sources; the left-out
 predictions fit an isotonic curve (calibration), and the final model is trained on all rows. Everything else covers all
 documents: the measures are taken from every whole text, in one pass without a shuffle. The model (some 100 kB) and the
@@ -22,9 +22,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+TRAIN_CHARS = 50_000_000
 TRAIN_ROWS, WORDS, FOLDS, TREES, RATE, DEPTH, BINS, LEAF = 2000, 20_000, 5, 160, 0.08, 4, 48, 6
 TOKEN = re.compile(r"[^\W_]+|[.!?。！？]+|[,;:、，；]|\n+")
 # English words that join or refer.
@@ -242,6 +243,12 @@ class Levels:
         self.trees = Boosted().fit(x, y)
         self.curve = isotonic(out[ok], y[ok]) if ok.sum() > 50 else None
         self.left_out = (out, y, folds)
+        # a source's predictions are calibrated by a curve of the other sources' ones
+        self.left_out_calibrated = out.copy()
+        for k in range(FOLDS):
+            own, rest = ok & (folds == k), ok & (folds != k)
+            if own.any() and rest.sum() > 50:
+                self.left_out_calibrated[own] = np.interp(out[own], *isotonic(out[rest], y[rest]))
         return self
 
     @staticmethod
@@ -261,12 +268,15 @@ class Levels:
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Levels | None:
-    """Fit on at most ``rows`` labelled documents; None if there are too few."""
+    """Fit on at most ``rows`` labelled documents with at most ``TRAIN_CHARS`` characters; None if there are too few."""
     grade = labels.where(F.col("grade").isNotNull()).groupBy("doc_id").agg(F.median("grade").alias("grade"))
     chosen = grade.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     if chosen.isEmpty():
         return None
-    got = documents.select("doc_id", "text", "source").join(F.broadcast(chosen), "doc_id").where(F.col("text").rlike(r"\w")).dropDuplicates(["doc_id"]).collect()
+    known = documents.select("doc_id", "text", "source").join(F.broadcast(chosen), "doc_id").where(F.col("text").rlike(r"\w")).dropDuplicates(["doc_id"])
+    # whole texts, as many as fit; the window runs over at most ``rows`` rows
+    upto = known.select("doc_id", F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")).alias("upto")).where(F.col("upto") <= TRAIN_CHARS)
+    got = known.join(F.broadcast(upto.select("doc_id")), "doc_id", "left_semi").collect()
     got.sort(key=lambda r: r["doc_id"])
     if len(got) < 8 * LEAF:
         return None
