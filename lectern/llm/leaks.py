@@ -9,8 +9,16 @@ holds a window holds its terms, so its score reaches the threshold. Weights are
 makes the threshold 1 for all. What is retrieved is verified word by word, and the overlap with the item's question
 (its last sentence) and with the rest is reported.
 
+With ``RAREST`` = 1 a document that holds an indexed term often enough reaches an item by that term alone, so the score
+works nearly as a yes or no; larger values make the index larger and what is retrieved smaller, and lose nothing.
+
 Passages are ``PASSAGE`` words long and overlap by ``RUN - 1``. The index is broadcast; it holds a block of at most
-``ITEMS`` items and ``ITEM_CHARS`` characters, and further items make further blocks, each with its own pass.
+``ITEMS`` items and ``ITEM_CHARS`` characters, in arrays (some 10 bytes a character), and further items make further
+blocks, each with its own pass.
+
+``question_share`` is the share of the item's question that the document holds, ``item_share`` that of the whole item: a
+caller that drops training text should drop by ``item_share`` or ``longest_run``, and treat a document with a large
+``item_share`` and a ``question_share`` of zero as one in which the rest (the answer) leaked without its question.
 
 Defined results: null, empty and short texts leak nothing; items with fewer than ``RUN`` words are never found; items
 with equal text are all reported; repeated documents give repeated rows once (rows are distinct by document and item);
@@ -23,14 +31,16 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN, RAREST, PASSAGE, BLOCK = 12, 1, 64, 16
 K1, B = 1.2, 0.75
 ITEMS, ITEM_CHARS = 20_000, 16_000_000
-WORDS = re.compile(r"[^\W_]+")
+WORDS, SEP = re.compile(r"[^\W_]+"), "\x1f"
 SENTENCE_END = re.compile(r"[.!?。！？]+\s")
 
 
@@ -38,6 +48,14 @@ def words(text: str | None) -> list[str]:
     return WORDS.findall(text.lower()) if text else []
 
 
+def windows(w: list[str]):
+    return (w[k : k + RUN] for k in range(len(w) - RUN + 1))
+
+
+def window_hash(words_: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest(SEP.join(words_))
+
+
 class ItemIndex:
     """Postings (item, weight) by term, in blocks with their greatest weight."""
 
@@ -50,25 +68,46 @@ class ItemIndex:
                 self.ids.append(i)
                 self.words.append(w)
                 self.question.append(len(words(text[: ends[-1]])) if ends else 0)
-        tf = [Counter(w) for w in self.words]
-        df = Counter(t for c in tf for t in c)
+        df: Counter = Counter()
+        for w in self.words:
+            df.update(set(w))
         n, mean = len(self.ids), sum(map(len, self.words)) / max(1, len(self.words))
         idf = {t: math.log(1 + (n - k + 0.5) / (k + 0.5)) for t, k in df.items()}
-        windows = [[set(w[k : k + RUN]) for k in range(len(w) - RUN + 1)] for w in self.words]
-        held = {t for item in windows for win in item for t in sorted(win, key=lambda t: (df[t], t))[:RAREST]}
+        held = {t for w in self.words for win in windows(w) for t in sorted(set(win), key=lambda t: (df[t], t))[:RAREST]}
         self.postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        for i, c in enumerate(tf):
-            norm = K1 * (1 - B + B * len(self.words[i]) / mean)
-            weight = {t: idf[t] * k * (K1 + 1) / (k + norm) for t, k in c.items() if t in held}
-            least = min(sum(weight.get(t, 0) for t in win) for win in windows[i])
+        for i, w in enumerate(self.words):
+            norm = K1 * (1 - B + B * len(w) / mean)
+            weight = {t: idf[t] * k * (K1 + 1) / (k + norm) for t, k in Counter(w).items() if t in held}
+            least = min(sum(weight.get(t, 0) for t in set(win)) for win in windows(w))
             for t, v in weight.items():
                 self.postings[t].append((i, v / least))
         self.best = {t: max(v for _, v in p) for t, p in self.postings.items()}
         self.blocks = {t: [(p[min(k + BLOCK, len(p)) - 1][0], max(v for _, v in p[k : k + BLOCK])) for k in range(0, len(p), BLOCK)] for t, p in self.postings.items()}
-        self.runs = [defaultdict(list) for _ in self.ids]
-        for i, w in enumerate(self.words):
-            for k in range(len(w) - RUN + 1):
-                self.runs[i][tuple(w[k : k + RUN])].append(k)
+        # windows by hash, in sorted arrays; the words of an item as one string with the places of its words
+        self.hash = np.array([window_hash(win) for w in self.words for win in windows(w)], np.uint64)
+        self.of = np.array([i for i, w in enumerate(self.words) for _ in range(len(w) - RUN + 1)], np.int32)
+        self.at = np.array([k for w in self.words for k in range(len(w) - RUN + 1)], np.int32)
+        order = np.argsort(self.hash, kind="stable")
+        self.hash, self.of, self.at = self.hash[order], self.of[order], self.at[order]
+        self.length = [len(w) for w in self.words]
+        self.text = [SEP.join(w) for w in self.words]
+        self.place = [np.cumsum([0, *(len(t) + 1 for t in w)]).astype(np.int64) for w in self.words]
+        del self.words
+
+    def matches(self, passage: list[str], items: set[int]) -> list[tuple[int, int, int]]:
+        """(item, place in the passage, place in the item) of all windows of the passage that are windows of the items."""
+        if len(passage) < RUN:
+            return []
+        keys = np.array([window_hash(win) for win in windows(passage)], np.uint64)
+        first, last = np.searchsorted(self.hash, keys, "left"), np.searchsorted(self.hash, keys, "right")
+        out = []
+        for k in np.flatnonzero(last > first):
+            same = SEP.join(passage[k : k + RUN])
+            for j in range(first[k], last[k]):
+                i, p = int(self.of[j]), int(self.at[j])
+                if i in items and self.text[i][self.place[i][p] : self.place[i][p + RUN] - 1] == same:  # hashes may collide
+                    out.append((i, int(k), p))
+        return out
 
     def above(self, terms: set[str], threshold: float = 1 - 1e-9) -> list[int]:
         """Items whose score against ``terms`` reaches the threshold: WAND with block maxima."""
@@ -128,11 +167,9 @@ class ItemIndex:
             terms = best.keys() & set(passage)
             if not terms or sum(best[t] for t in terms) < 1 - 1e-9:
                 continue
-            for item in self.above(terms):
-                runs = self.runs[item]
-                for k in range(len(passage) - RUN + 1):
-                    for p in runs.get(tuple(passage[k : k + RUN]), ()):
-                        found.setdefault(item, set()).add((at + k, p))
+            reached = set(self.above(terms))
+            for item, k, p in self.matches(passage, reached) if reached else ():
+                found.setdefault(item, set()).add((at + k, p))
         out = {}
         for item, starts in found.items():
             longest, covered = RUN, set()
@@ -142,7 +179,7 @@ class ItemIndex:
                 longest = max(longest, chain[a, p])
                 covered.update(range(p, p + RUN))
             q = self.question[item]
-            out[item] = (longest, len(covered), sum(c >= q for c in covered), len(self.words[item]) - q)
+            out[item] = (longest, len(covered), sum(c >= q for c in covered), self.length[item] - q)
         return out
 
 
@@ -169,7 +206,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, id_column: str = "doc_id"
                 rows = []
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     for item, (longest, covered, asked, question) in ix.leaks(text).items():
-                        rows.append((doc, ix.ids[item], longest, covered / len(ix.words[item]), asked / question if question else 0.0))
+                        rows.append((doc, ix.ids[item], longest, covered / ix.length[item], asked / question if question else 0.0))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64()))],
                     names=[id_column, "item_id", "longest_run", "item_share", "question_share"],

@@ -57,3 +57,20 @@ def test_wand_gives_what_scoring_all_gives():
 def test_empty(spark):
     d, i = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert find_leaks(d, i).count() == 0
+
+
+def test_an_answer_that_leaks_without_its_question(spark):
+    rest = " ".join(f"answer{i}" for i in range(30))
+    item = f"{rest}. What does the prover send in the very last round of this long protocol run?"
+    docs = spark.createDataFrame([(1, f"before {rest} after"), (2, f"before {item} after"), (3, "What does the prover send in the very last round of this long protocol run?")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["question_share"], round(r["item_share"], 3)) for r in find_leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert got == {1: (0.0, round(30 / 45, 3)), 2: (1.0, 1.0), 3: (1.0, round(15 / 45, 3))}
+
+
+def test_the_index_is_small():
+    import pickle
+    import random
+
+    r = random.Random(2)
+    items = [(i, " ".join(f"w{r.randrange(30_000)}" for _ in range(800))) for i in range(200)]
+    assert len(pickle.dumps(ItemIndex(items))) < 12 * sum(len(t) for _, t in items)
