@@ -1,8 +1,8 @@
 """Markup residue in text: HTML, Markdown, wiki and LaTeX become clean text that keeps headings, lists, code and formulas.
 
 Method: minimum-cut labelling. Every construct that could be markup (a tag, an emphasis mark, a command ...) is a node.
-A classifier's two costs, from the construct's own form (known name, closed pair, place in the line), are its terminal
-capacities; constructs that lie close together and are of one language, and the two ends of a pair (the DOM's nesting),
+Its terminal capacity is the log odds of a fitted classifier (``markup_costs``) over the construct's own form (known name,
+attributes, place in the line); constructs that lie close together and are of one language, and the two ends of a pair (the DOM's nesting),
 are joined by smoothness edges. The maximum flow separates markup from content that only looks like it, such as
 ``a < b``, ``2 * 3``, ``R&D``, ``max_count`` or ``p == q``. What is labelled markup is converted, the rest stays as it is.
 
@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Names of HTML elements, those that break a line, and LaTeX commands that mark up text or are formula signs.
+from lectern.llm.markup_costs import Model, features, fitted
+
+# Names of HTML elements, those that break a line, and LaTeX commands that mark up text.
 ELEMENTS = frozenset("a abbr address article aside b big blockquote body br button caption center cite code col dd del details div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd li link main mark math meta nav ol option p pre q s samp script section select small span strike strong style sub summary sup svg table tbody td textarea tfoot th thead time title tr tt u ul var video".split())
 BREAKING = frozenset("address article aside blockquote br center dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
-TEXT_COMMANDS = frozenset("emph textbf textit texttt textsc textrm textsf underline section subsection subsubsection chapter paragraph part label ref eqref cite citep citet footnote item caption title author begin end it bf tt em sc rm sf url href includegraphics input include centering noindent newline linebreak pagebreak par maketitle documentclass usepackage bibliography bibliographystyle vspace hspace index".split())
+COMMANDS = frozenset("emph textbf textit texttt textsc textrm textsf underline section subsection subsubsection chapter paragraph part label ref eqref cite citep citet footnote item caption title author begin end it bf tt em sc rm sf url href includegraphics input include centering noindent newline linebreak pagebreak par maketitle documentclass usepackage bibliography bibliographystyle vspace hspace index".split())
 FORMULA = re.compile(r"(?<!\\)\$\$?[^$]+?(?<!\\)\$\$?")
 PROSE = re.compile(r"[A-Za-z]{3,}(?:\s+[A-Za-z]{2,}){3}")
 ANY = re.compile(r"<[a-zA-Z/!]|&#?\w+;|\*|`|^\s{0,3}#|\]\(|^ {0,3}>|^\s{0,3}[-+][ \t]|^[ \t]*:?-{3}|^ {0,3}={3}|(?<!\w)_|\[\[|\{\{|\{\||''|^=|\\[a-zA-Z\[(]|^[ \t]*\|", re.M)
@@ -150,45 +152,10 @@ def min_cut(cost: list[tuple[float, float]], edges: list[tuple[int, int, float]]
 class Node:
     __slots__ = ("language", "form", "start", "end", "content", "markup", "match")
 
-    def __init__(self, language, form, match, content, markup):
+    def __init__(self, language, form, match, odds):
+        """``content`` and ``markup`` are the costs of calling it so."""
         self.language, self.form, self.match = language, form, match
-        self.start, self.end, self.content, self.markup = match.start(), match.end(), content, markup
-
-
-def _costs(language: str, form: str, m: re.Match, text: str) -> tuple[float, float] | None:
-    """(cost of content, cost of markup): how much the construct's own form speaks for and against markup."""
-    if form == "tag":
-        name = m.group(1).lower()
-        return (4.0, 0.5) if name in ELEMENTS else (1.0, 1.5) if m.group(2) else (0.3, 2.0)
-    if form == "entity":
-        return (4.0, 0.5) if html_lib.unescape(m.group()) != m.group() else (0.2, 3.0)
-    if form == "command":
-        name = m.group(1)
-        if name in TEXT_COMMANDS:
-            return 4.0, 0.5
-        return (1.2, 1.5) if text[m.end() : m.end() + 1] == "{" and name not in ("mathbb", "frac", "mathcal", "mathrm", "sqrt", "sum", "text", "mathbf") else (0.2, 3.0)
-    if form == "bullet":  # a list: after a blank line or another item; not a wiki item, nor a number between dashes
-        if re.compile(r"\[\[|''|\d+[ \t]+[-–]").match(text, m.end()):
-            return 0.2, 3.0
-        line = text[text.rfind("\n", 0, max(0, m.start() - 1)) + 1 : max(0, m.start() - 1)]
-        fresh = not line.strip() or bool(re.match(r"[ \t]{0,3}[-+*][ \t]", line))
-        return (2.0, 0.8) if fresh else (0.4, 1.5)
-    if form == "quote":
-        return (2.0, 0.8)
-    if form == "row":
-        return (0.8, 1.0)  # a table needs its rule
-    if form == "emphasis":
-        return (1.6, 1.2) if re.search(r"[^\W\d_]", m.group()) else (0.3, 2.0)
-    if form == "setext":
-        return (3.0, 0.7) if m.group(2)[0] == "=" or len(m.group(2)) >= 3 else (0.4, 1.0)
-    if form == "list":
-        return (2.0, 0.8)
-    if form == "heading" and language == "wiki":
-        return (3.0, 0.7)
-    if form == "code":  # a fence that nothing closes may be three signs in prose
-        closed = language != "markdown" or m.group().rstrip(" \t").endswith("```")
-        return (4.0, 0.5) if closed else (1.6, 1.2)
-    return 3.0, 0.6
+        self.start, self.end, self.content, self.markup = match.start(), match.end(), max(0.0, odds), max(0.0, -odds)
 
 
 def masked(text: str) -> list[tuple[int, int]]:
@@ -212,18 +179,28 @@ def _blank(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def label(text: str) -> list[Node]:
-    """The constructs that are markup, regions of code among them."""
-    if not text or not ANY.search(text):
-        return []
-    code: list[Node] = []
+_given: list[Model] = []
+
+
+def use(model: Model) -> None:
+    """Label with a model that was fitted elsewhere."""
+    _given[:] = [model]
+
+
+def classifier() -> Model:
+    """The model that tasks were given, or one fitted here."""
+    return _given[-1] if _given else fitted()
+
+
+def constructs(text: str) -> tuple[str, list[tuple[str, str, re.Match]]]:
+    """(the text with code and formulas blanked, what could be markup as (language, form, match))."""
+    out: list[tuple[str, str, re.Match]] = []
     seen = text
     for language, rule in CODE:
-        found = [Node(language, "code", m, *_costs(language, "code", m, seen)) for m in rule.finditer(seen)]
-        code += found
-        seen = _blank(seen, [(n.start, n.end) for n in found])
+        found = list(rule.finditer(seen))
+        out += [(language, "code", m) for m in found]
+        seen = _blank(seen, [m.span() for m in found])
     seen = _blank(seen, masked(seen))
-    nodes: list[Node] = []
     taken = bytearray(len(seen))  # 1 where a construct that bars others lies
     for language, form, rule in RULES:
         for m in rule.finditer(seen):
@@ -233,10 +210,19 @@ def label(text: str) -> list[Node]:
             else:
                 barred = form not in ("quote", "list", "environment") and taken.find(1, a, z) >= 0
             if not barred:
-                nodes.append(Node(language, form, m, *_costs(language, form, m, seen)))
+                out.append((language, form, m))
                 if form in ("comment", "tag", "template", "table", "rule", "setext", "list", "environment", "heading"):
                     taken[a:z] = b"\x01" * (z - a)
-    nodes += code
+    return seen, out
+
+
+def label(text: str) -> list[Node]:
+    """The constructs that are markup, regions of code among them."""
+    if not text or not ANY.search(text):
+        return []
+    seen, found = constructs(text)
+    model = classifier()
+    nodes = [Node(language, form, m, model.log_odds(features(language, form, m, text if form == "code" else seen, ELEMENTS, COMMANDS))) for language, form, m in found]
     if not nodes:
         return []
     nodes.sort(key=lambda n: (n.start, -n.end))
@@ -392,8 +378,10 @@ def _rows(blocks: DataFrame, paragraphs: DataFrame) -> DataFrame:
 
 def find_markup(blocks: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(field, row_id, markup): each language of markup in each text."""
+    model = fitted()
 
     def run(batches):
+        use(model)
         for b in batches:
             f, r, m = [], [], []
             for field, row, text in zip(*(c.to_pylist() for c in b.columns)):
@@ -408,8 +396,10 @@ def find_markup(blocks: DataFrame, paragraphs: DataFrame) -> DataFrame:
 
 def clean_texts(blocks: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(field, row_id, text): every prose text cleaned."""
+    model = fitted()
 
     def run(batches):
+        use(model)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([clean(t) for t in b.column(2).to_pylist()], pa.string())], names=["field", "row_id", "text"])
 

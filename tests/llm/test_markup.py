@@ -1,9 +1,11 @@
 import random
 from itertools import product
 
+import numpy as np
 import pytest
 
 from lectern.llm.markup import ANY, RULES, clean, clean_texts, find_markup, label, languages, languages_in_html, min_cut
+from lectern.llm.markup_costs import examples, fitted, found_in
 
 
 @pytest.mark.parametrize(
@@ -94,3 +96,23 @@ def test_code_is_part_of_the_cut():
     assert clean("\\begin{verbatim}\n**a**\n\\end{verbatim}") == "```\n**a**\n```"
     nodes = label("Text **strong**\n```\n$x$ # not a heading\n```\n")
     assert [n.form for n in nodes] == ["strong", "code"]
+
+
+def test_the_classifier_on_examples_it_has_not_seen():
+    rows, y = found_in(2100, seed=77)
+    odds = np.array([fitted().log_odds(r) for r in rows])
+    p = odds > 0
+    assert (p & (y > 0)).sum() >= 0.98 * p.sum() and (p & (y > 0)).sum() >= 0.97 * (y > 0).sum()
+    near = (np.abs(odds) < 2) & ~np.isnan(odds)  # log odds mean what they say where they are not sure
+    assert near.sum() == 0 or abs((1 / (1 + np.exp(-odds[near]))).mean() - y[near].mean()) < 0.25
+
+
+def test_whole_texts_of_examples():
+    got = [(set(languages(t)), {want} if want else set()) for t, want in examples(700, seed=5)]
+    assert sum(a == b for a, b in got) >= 0.96 * len(got)
+
+
+def test_tasks_take_the_model_they_are_given(spark):
+    b = spark.createDataFrame([(1, "a **b** c", "text")], "block_id long, text string, kind string")
+    p = spark.createDataFrame([(2, "a [[b]] c", None, None)], "pid long, text string, html string, block_kind string")
+    assert {tuple(r) for r in find_markup(b, p).collect()} == {("blocks.text", 1, "markdown"), ("paragraphs.text", 2, "wiki")}
