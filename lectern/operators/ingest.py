@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lectern.functions.latex import PLAIN, html_texts, maths
 from lectern.functions.text import content_hash
-from lectern.sources.tables import materialise
 
 # Block labels of the parser that writes trees, with their kinds, and the labels of its containers.
 TREE_KINDS = {
@@ -67,6 +66,8 @@ DEPTH = 5
 _PAGES = "struct<pages:array<struct<page_index:int,parsing_res_list:array<struct<block_label:string,block_content:string,block_bbox:array<double>>>>>>"
 _NODE = "id:string,block_type:string,html:string,bbox:array<double>,section_hierarchy:map<string,string>"
 _LEAF = "array<struct<page:int,label:string,node:string,html:string,bbox:array<double>,section_hierarchy:map<string,string>>>"
+#: Papers that one part of a shared hash holds.
+HELD = 1000
 _STRINGS = "array<string>"
 _MATH = "array<struct<tex:string,display:boolean>>"
 
@@ -185,14 +186,18 @@ def shared_content(paragraphs: DataFrame, revisions: DataFrame, least_chars: int
     """(revision_id, similar_paper_id, similarity): for each revision the other paper that shares most of its distinct
     hashes of long paragraphs, ties by paper id. All revisions of other papers count, with paragraphs of any length.
 
-    Hashes are reduced to one row per paper first, so copies inside a paper cost nothing. A hash that p papers hold
-    still gives p pairs per revision, as each of them is a possible answer.
+    Hashes are reduced to one row per paper first, so copies inside a paper cost nothing. A hash that p papers hold still
+    gives p pairs per revision, as each of them is a possible answer; its pairs are spread over a part for every
+    ``HELD`` papers, so that no task makes more than that for each of its revisions, and they are summed before they move.
     """
     p = paragraphs.join(revisions.select("revision_id", "paper_id"), "revision_id")
     mine = p.where(F.length("text") >= least_chars).select("revision_id", "paper_id", "content_hash").distinct()
     total = mine.groupBy("revision_id").agg(F.count("*").alias("n"))
     theirs = p.select(F.col("paper_id").alias("other"), "content_hash").distinct()
-    pairs = mine.join(theirs, "content_hash").where(F.col("paper_id") != F.col("other")).groupBy("revision_id", "other").agg(F.count("*").alias("shared"))
+    parts = theirs.groupBy("content_hash").agg(F.ceil(F.count("*") / HELD).cast("int").alias("parts")).where("parts > 1")
+    theirs = theirs.join(parts, "content_hash", "left").withColumn("part", F.pmod(F.xxhash64("other"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    mine = mine.join(parts, "content_hash", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    pairs = mine.join(theirs, ["content_hash", "part"]).where(F.col("paper_id") != F.col("other")).groupBy("revision_id", "other").agg(F.count("*").alias("shared"))
     best = pairs.groupBy("revision_id").agg(F.max("shared").alias("shared"), F.min_by("other", F.struct(-F.col("shared"), "other")).alias("similar_paper_id"))
     return best.join(total, "revision_id").select("revision_id", "similar_paper_id", (F.col("shared") / F.col("n")).cast("float").alias("similarity"))
 

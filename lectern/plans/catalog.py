@@ -1,18 +1,19 @@
 """Versioned tables: every change is a new snapshot, and one swap of the manifest commits all of a step's tables.
 
 Readers pin a manifest when they open the catalog, so they see one state however long they read; only ``WriteCatalog``
-has methods that change it. A single writer (the driver) commits.
+has methods that change it. A single writer (the driver) commits. Everything lies in one folder of any file system that
+driver and executors share.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.sources.files import Folder
+
 FORMAT = 1
 
 
@@ -22,18 +23,17 @@ class Conflict(RuntimeError):
 
 class ReadCatalog:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
+        self.spark, self.folder = spark, Folder(spark, root)
         self.manifest = self._load()
 
     def _load(self) -> dict:
-        path = self.root / "manifest.json"
-        found = json.loads(path.read_text()) if path.exists() else {"format": FORMAT, "version": 0, "tables": {}, "meta": {}, "events": 0}
+        found = self.folder.read("manifest.json") if self.folder.exists("manifest.json") else {"format": FORMAT, "version": 0, "tables": {}, "meta": {}, "events": 0}
         if found["format"] != FORMAT:
             raise RuntimeError(f"the catalog has format {found['format']}, this code reads {FORMAT}")
         return found
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(str(self.root / self.manifest["tables"][name]))
+        return self.spark.read.parquet(self.folder.at(self.manifest["tables"][name]))
 
     def __contains__(self, name: str) -> bool:
         return name in self.manifest["tables"]
@@ -48,10 +48,11 @@ class WriteCatalog(ReadCatalog):
         paths = {}
         for name, df in (tables or {}).items():
             paths[name] = f"{name}/v-{uuid.uuid4().hex}"
-            df.write.parquet(str(self.root / paths[name]))
+            df.write.parquet(self.folder.at(paths[name]))
+        at = self.manifest["events"] + 1
         if events is not None:  # numbered within the commit; readers follow the directory
-            at = self.manifest["events"] + 1
-            events.coalesce(1).write.parquet(str(self.root / "events-staged" / f"{at:012d}"))
+            self.folder.remove(f"events-staged/{at:012d}")  # of a commit that died
+            events.coalesce(1).write.parquet(self.folder.at(f"events-staged/{at:012d}"))
         now = self._load()
         if now["version"] != self.manifest["version"]:
             raise Conflict(f"version {now['version']} was committed since {self.manifest['version']}")
@@ -64,23 +65,19 @@ class WriteCatalog(ReadCatalog):
                 new["meta"][k] = v
         new["version"] += 1
         new["events"] += events is not None
-        self._swap(new)
+        self.folder.replace("manifest.json", new)
         self.manifest = new
         self.publish()
         return new["version"]
 
     def publish(self) -> None:
         """Move staged events of committed steps to where streams read them; after a crash the next commit does it."""
-        staged = self.root / "events-staged"
-        out = self.root / "events"
-        out.mkdir(parents=True, exist_ok=True)
-        for d in sorted(staged.glob("*")) if staged.exists() else []:
-            if int(d.name) <= self.manifest["events"]:
-                for f in sorted(d.glob("*.parquet")):
-                    os.replace(f, out / f"{d.name}-{f.name}")
-                for f in list(d.iterdir()):
-                    f.unlink()
-                d.rmdir()
+        for step in self.folder.names("events-staged"):
+            if int(step) <= self.manifest["events"]:
+                for f in self.folder.names(f"events-staged/{step}"):
+                    if f.endswith(".parquet"):
+                        self.folder.move(f"events-staged/{step}/{f}", f"events/{step}-{f}")
+                self.folder.remove(f"events-staged/{step}")
 
     def register_model(self, key: str, model: str) -> None:
         """The first model that fills a vector set is its model; another one is refused."""
@@ -89,12 +86,3 @@ class WriteCatalog(ReadCatalog):
             self.commit(meta={key: model})
         elif have != model:
             raise RuntimeError(f"{key} holds vectors of {have}, not of {model}")
-
-    def _swap(self, manifest: dict) -> None:
-        self.root.mkdir(parents=True, exist_ok=True)
-        tmp = self.root / f"manifest.{uuid.uuid4().hex}"
-        with tmp.open("w") as f:
-            json.dump(manifest, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(tmp, self.root / "manifest.json")

@@ -20,8 +20,7 @@ def read_judgements(spark: SparkSession, *paths: str) -> DataFrame:
 
 def read_sample(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(sources, excerpts) of a TOML list. An excerpt must name a source and lie within its pages."""
-    with open(path, "rb") as f:
-        found = tomllib.load(f)
+    found = tomllib.loads(spark.read.text(path, wholetext=True).first()[0])
     sources = [(s["name"], s["sha256"], int(s["pages"]), s.get("license"), s.get("url")) for s in found.get("source", [])]
     pages = {s[0]: s[2] for s in sources}
     excerpts = [(e["name"], e["source"], int(e["first_page"]), int(e["last_page"]), e.get("stresses")) for e in found.get("excerpt", [])]

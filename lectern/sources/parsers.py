@@ -8,10 +8,8 @@ from __future__ import annotations
 
 import os
 import subprocess
-import tempfile
 import uuid
 from collections.abc import Callable, Mapping, Sequence
-from pathlib import Path
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -26,24 +24,22 @@ class ParserFailed(RuntimeError):
 
 
 def run_to_json(command: Sequence[str], content: bytes, seconds: float, environment: Mapping[str, str] | None = None) -> bytes:
-    """Run ``command`` with two more arguments, a file of ``content`` and the path for its result, and give the result.
+    """Run ``command`` with ``content`` as its input and give what it writes; nothing is put on the machine's disk.
 
     The message of a failure has the last five lines of what the program said.
     """
-    with tempfile.TemporaryDirectory() as work:  # a program's own files, on the machine it runs on
-        source, result = Path(work, "source"), Path(work, "result.json")
-        source.write_bytes(content)
-        try:
-            done = subprocess.run([*command, str(source), str(result)], capture_output=True, text=True, timeout=seconds, env=os.environ | dict(environment or {}))
-        except subprocess.TimeoutExpired:
-            raise ParserFailed(f"{command[0]} took more than {seconds:g} seconds") from None
-        except OSError as e:
-            raise ParserFailed(f"{command[0]} cannot be run: {e.strerror}") from None
-        if done.returncode:
-            raise ParserFailed(f"{command[0]} ended with {done.returncode}: " + "\n".join(done.stderr.strip().splitlines()[-5:]))
-        if not result.exists():
-            raise ParserFailed(f"{command[0]} wrote no result")
-        return result.read_bytes()
+    try:
+        done = subprocess.run(list(command), input=content, capture_output=True, timeout=seconds, env=os.environ | dict(environment or {}))
+    except subprocess.TimeoutExpired:
+        raise ParserFailed(f"{command[0]} took more than {seconds:g} seconds") from None
+    except OSError as e:
+        raise ParserFailed(f"{command[0]} cannot be run: {e.strerror}") from None
+    if done.returncode:
+        said = done.stderr.decode(errors="replace").strip().splitlines()
+        raise ParserFailed(f"{command[0]} ended with {done.returncode}: " + "\n".join(said[-5:]))
+    if not done.stdout.strip():
+        raise ParserFailed(f"{command[0]} wrote no result")
+    return done.stdout
 
 
 class ProgramParser:

@@ -246,3 +246,11 @@ def test_paper_filter_and_matched_positions(corpus):
     assert ask(corpus, "quorum", papers=["Q"]) == [] and ask(corpus, "quorum", papers=["P"]) == ask(corpus, "quorum")
     full = {r["item_id"]: r for r in retrieval.hydrate(retrieval.search(corpus, "quorum", query, channels=("fulltext",)), corpus).collect()}
     assert [(p["position"], p["matched"]) for p in full[10]["paragraphs"]] == [(0, True), (1, False)]
+
+
+def test_a_hash_that_many_papers_hold_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "HELD", 3)
+    rows = [(i, "w" * 100, "common") for i in range(20)] + [(i, "v" * 90 + str(i // 2), f"pair{i // 2}") for i in range(20)]
+    p, r = spark.createDataFrame(rows, "revision_id long, text string, content_hash string"), spark.createDataFrame([(i, f"P{i:02d}") for i in range(20)], "revision_id long, paper_id string")
+    got = {x["revision_id"]: (x["similar_paper_id"], x["similarity"]) for x in ingest.shared_content(p, r).collect()}
+    assert got == {i: (f"P{i ^ 1:02d}", 1.0) for i in range(20)}

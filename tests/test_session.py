@@ -50,7 +50,7 @@ def test_outcomes_are_logged_whatever_happens(tables):
 
 
 def test_programs_as_parsers(spark, tmp_path):
-    good = [sys.executable, "-c", "import sys; open(sys.argv[2], 'w').write(open(sys.argv[1]).read().upper())"]
+    good = [sys.executable, "-c", "import sys; sys.stdout.write(sys.stdin.read().upper())"]
     assert run_to_json(good, b'{"a": 1}', 20) == b'{"A": 1}'
     for command, says in (
         ([sys.executable, "-c", "import sys; sys.exit('one\\ntwo\\nthree\\nfour\\nfive\\nsix')"], "ended with 1: two\nthree\nfour\nfive\nsix"),
