@@ -4,7 +4,7 @@ Method: prefix dynamic programming. For every byte prefix of a word there is exa
 that prefix can end with. ``PrefixTable`` stores it: the token ``t`` of the bytes ``[i-n, i)`` ends prefix ``i`` exactly
 when the pair (last token of prefix ``i-n``, ``t``) is one that merging would leave alone. The encoding is read off
 backwards, an append only adds entries, and an edit needs new entries only from the edit on until the words meet the
-old ones again (``reencode``).
+old ones again (``Encoded``).
 
 Splitting: the vocabulary's own pattern cuts a text into words. As the pattern looks at nothing before a match, a text
 may also be cut before any single blank that a non-blank follows; the pieces between such cuts repeat so often that each
@@ -132,7 +132,8 @@ class PrefixTable:
 
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, pieces: int = PIECES):
-        self.v, self.split, self.most = vocabulary, regex.compile(PATTERN).findall, pieces
+        self.v, self.pattern, self.most = vocabulary, regex.compile(PATTERN), pieces
+        self.split = self.pattern.findall
         self.words: dict[str, array] = {}
         self.after_blank: dict[str, array] = {}
 
@@ -179,22 +180,50 @@ class Encoder:
         return out
 
     def reencode(self, text: str, ids: list[list[int]], start: int, end: int, new: str) -> tuple[str, list[list[int]]]:
-        """Replace ``text[start:end]`` by ``new``; ``ids`` are those of each word of ``text``. Only words from the
-        last cut before the edit to the first common cut behind it are encoded anew."""
-        words = self.split(text)
-        cuts = [0]
-        for w in words:
-            cuts.append(cuts[-1] + len(w))
-        k = max(0, next((i for i, c in enumerate(cuts) if c > start), len(cuts)) - 1)
-        k = max(0, k - 1)  # the word before may have stopped because of what follows it
-        changed = text[:start] + new + text[end:]
-        shift, old_cut = len(new) - (end - start), {c: i for i, c in enumerate(cuts)}
-        out, at = ids[:k], cuts[k]
-        for m in regex.compile(PATTERN).finditer(changed, at):
-            if m.start() >= start + len(new) and (i := old_cut.get(m.start() - shift)) is not None and m.start() - shift >= end:
-                return changed, out + ids[i:]
-            out = [*out, list(self.word(m.group()))]
-        return changed, out
+        """Replace ``text[start:end]`` by ``new``; ``ids`` are those of each word of ``text``."""
+        document = Encoded(self, text, ids)
+        document.edit(start, end, new)
+        return document.text, document.words
+
+
+class Encoded:
+    """A text with the ids of its words, kept up to date under edits and appends.
+
+    Only words from the last cut before an edit to the first common cut behind it are split and encoded anew; the rest of
+    the text is copied, not looked at.
+    """
+
+    def __init__(self, encoder: Encoder, text: str, words: list[list[int]] | None = None):
+        pieces = encoder.split(text)
+        self.encoder, self.text = encoder, text
+        self.words = [list(encoder.word(w)) for w in pieces] if words is None else list(words)
+        self.starts = np.cumsum([0, *map(len, pieces)])[:-1]
+
+    def ids(self) -> list[int]:
+        return [t for w in self.words for t in w]
+
+    def append(self, new: str) -> int:
+        return self.edit(len(self.text), len(self.text), new)
+
+    def edit(self, start: int, end: int, new: str) -> int:
+        """Replace ``text[start:end]`` by ``new``; gives how many words were encoded."""
+        # the word before the one that is hit may have stopped because of what follows it
+        k = max(0, int(np.searchsorted(self.starts, start, "right")) - 2)
+        changed, shift = self.text[:start] + new + self.text[end:], len(new) - (end - start)
+        words, starts, i = [], [], len(self.words)
+        for m in self.encoder.pattern.finditer(changed, int(self.starts[k]) if len(self.starts) else 0):
+            old = m.start() - shift
+            if m.start() >= start + len(new) and old >= end:
+                j = int(np.searchsorted(self.starts, old))
+                if j < len(self.starts) and self.starts[j] == old:
+                    i = j
+                    break
+            words.append(list(self.encoder.word(m.group())))
+            starts.append(m.start())
+        self.words[k:i] = words
+        self.starts = np.concatenate([self.starts[:k], np.array(starts, self.starts.dtype), self.starts[i:] + shift])
+        self.text = changed
+        return len(words)
 
 
 def encode_corpus(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None) -> DataFrame:

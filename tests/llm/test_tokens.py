@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from lectern.llm.tokens import Encoder, PrefixTable, Vocabulary, encode_corpus, vocabulary_path
+from lectern.llm.tokens import Encoded, Encoder, PrefixTable, Vocabulary, encode_corpus, vocabulary_path
 
 LETTERS = "abcdefghij klmnop THE’é中\n\t  '0123456789<|>😀 ́\x1c"
 
@@ -50,3 +50,19 @@ def test_table(spark):
     by = {r["doc_id"]: r["ids"] for r in got}
     assert len(got) == 5 and by[2] == by[3] == [] and len(by[1]) == 2 and len(by[4]) > 50_000
     assert encode_corpus(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_edits_cost_their_neighbourhood(encoder):
+    r = random.Random(4)
+    document = Encoded(encoder, " ".join(r.choice(["hash", "proof", "a  b", "x1", "\n", "don't"]) for _ in range(5000)))
+    for k in range(40):
+        if k % 4 == 0:
+            n = document.append(r.choice([" more", "s", "  ", "", "'s"]))
+        else:
+            a = r.randrange(len(document.text))
+            n = document.edit(a, min(len(document.text), a + r.randrange(6)), r.choice(["", " ", "x", "'re", " two words"]))
+        assert n <= 12 and document.ids() == list(encoder.encode(document.text))
+    empty = Encoded(encoder, "")
+    empty.append("first")
+    empty.append("")
+    assert empty.ids() == list(encoder.encode("first"))
