@@ -37,6 +37,8 @@ LINE, GAP = re.compile(r"\n\s*"), re.compile(r"\s+")
 
 #: Fewer sections than this are broadcast (some 40 bytes each), more are joined by shuffling.
 BROADCAST_ROWS = 200_000
+#: Fewer paragraphs of such sections than this (some 40 bytes each) are broadcast, so that other texts do not move.
+BROADCAST_POSITIONS = 500_000
 
 
 def sectioned(paragraphs: DataFrame) -> DataFrame:
@@ -110,8 +112,8 @@ def chunks(paragraphs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
     long = materialise(long_sections(where, limit), "long")
     small = F.broadcast(long) if long.count() <= BROADCAST_ROWS else long
     # texts of those sections alone, found by the positions of their paragraphs
-    at = where.join(small, ["revision_id", "island"]).select("revision_id", "position", "island", "last_pos", "total")
-    own = cols.drop("block_kind").join(at, ["revision_id", "position"])
+    at = materialise(where.join(small, ["revision_id", "island"]).select("revision_id", "position", "island", "last_pos", "total"), "positions")
+    own = cols.drop("block_kind").join(F.broadcast(at) if at.count() <= BROADCAST_POSITIONS else at, ["revision_id", "position"])
     own = own.groupBy("revision_id", "island", "last_pos", "total", "position").agg(F.min_by(F.struct("section_path", "block_label", F.coalesce("text", F.lit("")).alias("text")), "pid").alias("p"))
     own = own.select("revision_id", "island", "last_pos", "total", "position", "p.*").withColumn("n", F.length("text")).where("n > 0")
     own = materialise(running_sum(own, ["revision_id", "island"], "position", F.col("n")), "sections")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from lectern.llm import pieces
 from lectern.llm.pieces import boundary, chunks, oversized, piece_count
 
 SCHEMA = "pid long, revision_id long, position int, section_path array<string>, block_kind string, block_label string, text string"
@@ -74,3 +75,13 @@ def test_empty(spark):
     assert chunks(df).count() == 0 and oversized(df).count() == 0
     with pytest.raises(ValueError):
         chunks(df, 10, 10)
+
+
+def test_both_ways_of_finding_texts_agree(spark, monkeypatch):
+    df = spark.createDataFrame(made(400), SCHEMA)
+    got = []
+    for bound in (500_000, 0):
+        monkeypatch.setattr(pieces, "BROADCAST_POSITIONS", bound)
+        monkeypatch.setattr(pieces, "BROADCAST_ROWS", bound)
+        got.append({tuple(map(str, r)) for r in chunks(df, 400, 80).collect()})
+    assert got[0] == got[1] and got[0]
