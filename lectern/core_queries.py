@@ -908,8 +908,8 @@ def imported_files(spark, d):
     f = table(spark, d, "documents", "doc_id", "text", "title").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), "title")
     f = f.groupBy("sha256").agg(F.min_by("title", "doc_id").alias("name"))
     papers, revisions = ingest.new_papers(f, "2024-01-01 00:00:00")
-    p = papers.agg(F.count("*").alias("papers"), F.count_if(F.col("name") == "untitled").alias("untitled"))
-    return p.crossJoin(F.broadcast(revisions.agg(F.countDistinct("pdf_sha256").alias("revisions")))).select("papers", "revisions", "untitled")
+    both = papers.join(revisions.select("paper_id", "pdf_sha256"), "paper_id")
+    return both.agg(F.countDistinct("paper_id").alias("papers"), F.countDistinct("pdf_sha256").alias("revisions"), F.count_if(F.col("name") == "untitled").alias("untitled"))
 
 
 @query("strata_counts", "SELECT coalesce(anchor_kind, 'plain') AS stratum, count(*) AS n FROM units GROUP BY 1")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.latex import maths
+from lectern.sources.tables import materialise
 
 PER_STRATUM = 14
 VERDICTS, BOUNDARIES = ("faithful", "overstated", "wrong", "unclear"), ("sensible", "too_narrow", "too_broad", "not_sensible")
@@ -131,7 +132,8 @@ def score_report(scores: DataFrame, formulas: DataFrame, group: str, column: str
     least = each.groupBy(group).agg(F.min("n").alias("scored"))
     counted = formulas.groupBy(group, column).agg(F.sum("formulas").alias("formulas"), F.sum("failed").alias("failed"))
     rows = each.join(least, group).join(counted, [group, column], "left")
-    every = scores.groupBy(column).agg(F.avg("score").alias("mean")).crossJoin(F.broadcast(least.agg(F.sum("scored").alias("scored"))))
+    pages = least.agg(F.sum("scored")).first()[0]  # one number
+    every = scores.groupBy(column).agg(F.avg("score").alias("mean")).withColumn("scored", F.lit(pages).cast("long"))
     total = formulas.groupBy(column).agg(F.sum("formulas").alias("formulas"), F.sum("failed").alias("failed"))
     every = every.join(total, column, "left").withColumn(group, F.lit(None).cast(scores.schema[group].dataType))
     both = rows.select(group, column, "mean", "scored", "formulas", "failed").unionByName(every.select(group, column, "mean", "scored", "formulas", "failed"))
@@ -161,10 +163,19 @@ def items_that_differ(items: DataFrame, differ: DataFrame, keys: list[str]) -> D
     return items.join(differ.select(*keys).distinct(), keys, "left_semi")
 
 
+def placed(rows: DataFrame, *order) -> DataFrame:
+    """Rows with ``ord``, their place from 1 in the given order, which must be total. They are dealt to ranges of the order
+    and numbered there; the ranges' sizes (one row each) say where each begins, so no task holds them all."""
+    dealt = materialise(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "placed")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    begins = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_own", own).join(F.broadcast(begins), "_range").withColumn("ord", F.col("_own") + F.col("_before")).drop("_own", "_before", "_range")
+
+
 def newest_first(papers: DataFrame) -> DataFrame:
     """Papers with ``ord``, their place in the list: newest first, then by name, then by id."""
-    w = Window.orderBy(F.desc_nulls_last("created_at"), "name", "paper_id")
-    return papers.withColumn("ord", F.row_number().over(w))
+    return placed(papers, F.desc_nulls_last("created_at"), F.col("name"), F.col("paper_id"))
 
 
 def unit_items(units: DataFrame, paragraphs: DataFrame) -> DataFrame:

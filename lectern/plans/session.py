@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from typing import NamedTuple, Protocol
 
 from pyspark.sql import DataFrame
@@ -73,19 +74,19 @@ class Tools:
 
     def get_unit(self, unit_id: int) -> dict:
         row = lookup.current_units(self.tables["units"], self.tables["revisions"]).where(F.col("unit_id") == int(unit_id)).select("paper_id", "first_pos", "last_pos").first()
-        return self.get_paragraphs(*row) if row else {"error": f"no unit {unit_id} in the index"}
+        return self.get_paragraphs(*row) if row else {"error": f"unit {unit_id} is unknown or not current"}
 
     def get_paragraphs(self, document_id: str, first: int, last: int) -> dict:
         rev = retrieval.current(self.tables["revisions"]).where(F.col("paper_id") == document_id)
         p = self.tables["paragraphs"].where(F.col("position").between(int(first), min(int(last), int(first) + self.cap - 1))).join(rev, "revision_id")
         rows = p.select("pid", "position", "block_kind", "text").orderBy("position", "pid").collect()
-        return {"paragraphs": self._shown(rows)} if rows else {"error": f"no paragraphs {first}-{last} in {document_id}"}
+        return {"paragraphs": self._shown(rows)} if rows else {"error": f"nothing at positions {first} to {last} of {document_id}"}
 
     def get_document(self, document_id: str) -> dict:
         t = self.tables
         row = lookup.document_counts(t["paragraphs"], t["revisions"].where(F.col("paper_id") == document_id), t["papers"]).first()
         if row is None:
-            return {"error": f"no document {document_id} in the index"}
+            return {"error": f"document {document_id} is unknown or not ready"}
         rev = retrieval.current(t["revisions"]).where(F.col("paper_id") == document_id).select("revision_id")
         outline = lookup.outline(t["paragraphs"].join(rev, "revision_id", "left_semi")).orderBy("first_pos").collect()
         return {"document": row["name"], "paragraphs": row["paragraphs"], "outline": [{"section": list(o["section_path"] or []), "first_paragraph": o["first_pos"], "page": o["page"]} for o in outline]}
@@ -108,34 +109,42 @@ class Scripted:
             yield Event("answer", self.reply)
 
 
-def checked(reply: dict, tools: Tools) -> tuple[dict, int]:
-    """The answer with each citation located, or marked as removed if no tool returned its paragraph, and how many were."""
-    kept = [c["paragraph_id"] for c in reply["citations"] if c["paragraph_id"] in tools.seen]
-    where = {r["pid"]: r["location"] for r in tools._locations(kept).collect()} if kept else {}
-    out = [{"marker": c["marker"], "paragraph_id": c["paragraph_id"], "rendered": where.get(c["paragraph_id"]), "removed": None if c["paragraph_id"] in where else "no tool returned it"} for c in reply["citations"]]
-    return {"answer": reply["answer"], "citations": out}, sum(c["removed"] is not None for c in out)
+def checked(reply: dict, tools: Tools) -> dict:
+    """The answer, and its citations in order: rendered, or with the reason why they are removed."""
+    asked = [(k, c["paragraph_id"]) for k, c in enumerate(reply["citations"])]
+    spark = tools.tables["papers"].sparkSession
+    cited = spark.createDataFrame(asked, "marker long, pid long")
+    seen = spark.createDataFrame([(i,) for i in sorted(tools.seen)], "pid long")
+    rows = {r["marker"]: r for r in lookup.check_citations(cited, seen, tools._locations([pid for _, pid in asked])).collect()}
+    shown = [{**c, "rendered": rows[k]["location"], "removed": rows[k]["removed"]} for k, c in enumerate(reply["citations"])]
+    return {"answer": reply["answer"], "citations": shown}
 
 
-def ask(handler: Handler, tools: Tools, question: str, log: Callable[[dict], None] = lambda entry: None) -> Iterator[Event]:
-    """The handler's events, then ``final`` if it answered. ``log`` gets one entry with the outcome (answered, error,
-    no_answer, or stopped if the caller leaves early), whatever happens."""
-    began, calls, outcome = time.monotonic(), 0, {"outcome": "stopped"}
+@contextmanager
+def recorded(question: str, tools: Tools, log: Callable[[dict], None]) -> Iterator[dict]:
+    """An entry to be filled in, which is logged at the end, whichever way that comes."""
+    began, entry = time.monotonic(), {"question": question, "outcome": "stopped", "tool_calls": 0}
     try:
-        reply = None
+        yield entry
+    finally:
+        log(entry | {"seconds": round(time.monotonic() - began, 1), "paragraphs_read": len(tools.seen)})
+
+
+def ask(handler: Handler, tools: Tools, question: str, log: Callable[[dict], None] = lambda entry: None) -> Iterator[Event]:
+    """The handler's events, then ``final`` if it answered. ``log`` gets one entry with the outcome: answered, error,
+    no_answer, or stopped if the caller leaves early."""
+    with recorded(question, tools, log) as entry:
+        last: dict[str, dict] = {}
         for event in handler.answer(question, tools):
-            if event.kind == "error":
-                outcome = {"outcome": "error", **event.data}
-            calls += event.kind == "tool_call"
-            reply = event.data if event.kind == "answer" else reply
+            last[event.kind] = event.data
+            entry["tool_calls"] += event.kind == "tool_call"
             yield event
-        if reply is not None:
-            final, removed = checked(reply, tools)
-            outcome = {"outcome": "answered", "citations": len(reply["citations"]), "removed": removed}
+        if "answer" in last:
+            final = checked(last["answer"], tools)
+            entry |= {"outcome": "answered", "citations": len(final["citations"]), "removed": sum(c["removed"] is not None for c in final["citations"])}
             yield Event("final", final)
-        elif outcome["outcome"] == "stopped":
-            outcome = {"outcome": "no_answer"}
-    finally:
-        log({"question": question, "seconds": round(time.monotonic() - began, 1), "tool_calls": calls, "paragraphs_read": len(tools.seen)} | outcome)
+        else:
+            entry |= {"outcome": "error", **last["error"]} if "error" in last else {"outcome": "no_answer"}
 
 
 def server_sent(events: Iterator[Event]) -> Iterator[str]:
