@@ -68,9 +68,24 @@ def p8_found(spark, d):
     return p8_leaks(spark, d).select("doc_id", "item_id")
 
 
-@query("p8_leaks")
+@query(
+    "p8_leaks",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+    i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w, len(regexp_extract_all(regexp_extract(rtrim(text), '(?s)^.*[.!?。！？]+\s'), '[\p{L}\p{N}]+')) AS q FROM eval_items WHERE text IS NOT NULL),
+    dg AS (SELECT doc_id, k, array_to_string(w[k : k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)),
+    ig AS (SELECT item_id, k, array_to_string(w[k : k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12)),
+    m AS (SELECT DISTINCT doc_id, item_id, dg.k AS a, ig.k AS p FROM dg JOIN ig USING (g)),
+    r AS (SELECT doc_id, item_id, a - p AS off, p - row_number() OVER (PARTITION BY doc_id, item_id, a - p ORDER BY p) AS run FROM m),
+    l AS (SELECT doc_id, item_id, max(n) + 11 AS longest_run FROM (SELECT doc_id, item_id, off, run, count(*) AS n FROM r GROUP BY ALL) GROUP BY 1, 2),
+    c AS (SELECT DISTINCT doc_id, item_id, unnest(range(p, p + 12)) AS c FROM m),
+    s AS (SELECT doc_id, item_id, count(*) AS n, count(*) FILTER (c > q) AS asked, any_value(len(w)) AS whole, any_value(q) AS q FROM c JOIN i USING (item_id) GROUP BY 1, 2)
+    SELECT doc_id, item_id, longest_run::INT AS longest_run, round(n / whole::DOUBLE, 6) AS item_share, CASE WHEN whole > q THEN round(asked / (whole - q)::DOUBLE, 6) ELSE 0 END AS question_share FROM s JOIN l USING (doc_id, item_id)
+    """,
+)
 def p8_leaks(spark, d):
-    return find_leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+    found = find_leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+    return found.withColumns({c: F.round(c, 6) for c in ("item_share", "question_share")})
 
 
 _USABLE = """
