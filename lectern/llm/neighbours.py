@@ -1,19 +1,24 @@
 """Most similar vectors for every vector.
 
 Method: randomly rotated one-bit codes. Within a cell of similar vectors each vector is stored as the signs of its
-rotated residual to the cell's centre, packed into 64-bit words, with two correction scalars. A query keeps four bits
-per dimension; masked bit counts estimate its inner product with every code, and an error bound (``SPREAD`` standard
-deviations) says which vectors can still be among the wanted ones. Only those are compared exactly, in double precision.
+rotated residual to the cell's centre, with two correction scalars. A query keeps four bits per dimension; the sum of
+its levels over a code's ones (a product of small whole numbers, exact in single precision) estimates its inner product
+with every code, and an error bound (``SPREAD`` standard deviations) says which vectors can still be among the wanted
+ones. Only those are compared exactly, in double precision.
 
 Cells: spherical k-means centres per group (``set_name``, ``target``), one for every ``cell`` vectors but at most
 ``CENTRES`` in all, fitted on the driver with ``PER_CENTRE`` vectors a centre (at most ``CENTRES * PER_CENTRE``, a documented
 bound; one per group is added). Every vector is indexed: it belongs to its nearest centre and is also compared in every
-cell whose centre is at most ``margin`` farther (the nearest ``probes`` of them). Cells are counted; one that holds more
-than ``LARGE`` times ``cell`` is divided by centres of its own, fitted in a task on a sample of ``PER_CENTRE`` vectors a
-centre (at most ``CENTRES`` centres), and its vectors are placed in them in salted parts, so that the comparisons a vector
-takes part in stay the same whatever the collection's size. What is still larger than ``SPLIT`` is split on both sides: a
-task gets one block of queries and one of targets. ``margin=EXACT`` with ``probes=None`` compares every vector with every
-other one of its group.
+cell whose centre is at most ``margin`` farther (the nearest ``probes`` of them). Cells are counted; for one that holds more
+than ``LARGE`` times ``cell``, centres of its own are fitted in a task on a sample of ``PER_CENTRE`` vectors a centre (at most
+``CENTRES`` centres). The task that holds the cell's vectors divides them by these, so a vector is moved once to a cell,
+whatever number of its smaller cells it is compared in. A cell of more than ``PLACED`` vectors is held in parts, each by a
+task of its own; what else is compared there passes by, ``PASSING`` vectors at a time, and meets the vectors at home, at
+most ``SPLIT`` at once. ``margin=EXACT`` with ``probes=None`` compares every vector with every other one of its group.
+
+Disk: the number of cells a vector is compared in grows with the number of cells, so vectors are moved in waves, each for a
+share of the cells (and their parts) and some ``WAVE`` rows for each vector indexed. The files of a wave's shuffle are removed
+before the next; what stays is one stored form of the vectors and the lists found so far.
 
 Exact copies are compared once, through the copy with the smallest id, and each keeps its own list.
 
@@ -29,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.sources.tables import materialise
+from lectern.sources.tables import discard, materialise
 
 DIM, CELL, CENTRES, PER_CENTRE, LARGE, SPLIT, SPREAD, SEED, EXACT = 64, 1200, 1024, 64, 3, 30_000, 3.0, 20240229, 2.0
-#: Vectors of a large cell that one task places in its smaller cells.
-PLACED = 200_000
+#: Vectors at home in a cell that one task holds, and those it compares with them at a time.
+PLACED, PASSING = 100_000, 16_384
+#: Vectors that a wave moves, for each one indexed.
+WAVE = 2
 #: Copies fewer than this are dropped through a broadcast list, more through a join.
 BROADCAST_ROWS = 500_000
 
@@ -133,38 +140,27 @@ class Codes:
         self.norm = np.linalg.norm(residual, axis=1)
         self.rotated = (residual / np.maximum(self.norm, 1e-12)[:, None]) @ turn
         bits = self.rotated > 0
-        width = -(-d // 64) * 8
-        packed = np.zeros((len(x), width), np.uint8)
-        b = np.packbits(bits, axis=1)
-        packed[:, : b.shape[1]] = b
-        self.code = packed.view(np.uint64)
         self.ones = bits.sum(1)
         self.scale = np.clip(np.abs(self.rotated).sum(1) / np.sqrt(d), 1e-6, 1)
         self.error = np.sqrt(1 - self.scale**2) / self.scale / np.sqrt(max(1, d - 1))
         self.to_centre = x @ centre
         self.centre2 = float(centre @ centre)
+        gain, root = np.maximum(self.norm, 1e-9) / (np.sqrt(d) * self.scale), np.sqrt(d)
+        # the code, and below it what ``reach`` needs of it
+        self.code = np.vstack([bits.T, self.ones, np.ones_like(gain), self.error * self.scale * root, np.ones_like(gain), self.to_centre / gain, 1 / gain]).astype(np.float32)
 
-    def _asked(self, other: Codes, at: np.ndarray):
-        """Rows ``at`` of ``other`` as queries: least value and step of their four-bit form, its sum, and for each coded
-        vector the sum of the query's levels over the code's ones."""
-        q = other.rotated[at]
+    def _asked(self, at: np.ndarray):
+        """Rows ``at`` as queries: least value, step and levels of their four-bit form, and its sum."""
+        q = self.rotated[at]
         low = q.min(1, keepdims=True)
         step = np.maximum((q.max(1, keepdims=True) - low) / 15, 1e-12)
-        level = np.rint((q - low) / step).astype(np.uint8)
-        width = self.code.shape[1] * 8
-        inside = np.zeros((len(at), len(self.code)), np.uint16)
-        for k in range(4):
-            packed = np.zeros((len(at), width), np.uint8)
-            b = np.packbits((level >> k) & 1, axis=1)
-            packed[:, : b.shape[1]] = b
-            plane = packed.view(np.uint64)
-            for w in range(plane.shape[1]):
-                inside += np.bitwise_count(plane[:, w, None] & self.code[None, :, w]) * np.uint16(1 << k)
-        return low, step, (low + level * step).sum(1, keepdims=True), inside
+        level = np.rint((q - low) / step)
+        return low, step, level, (low + level * step).sum(1, keepdims=True)
 
     def bounds(self, other: Codes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Estimates of the inner products of rows ``at`` of ``other`` with all coded vectors, and their error."""
-        low, step, total, inside = self._asked(other, at)
+        low, step, level, total = other._asked(at)
+        inside = (level.astype(np.float32) @ self.code[: self.dim]).astype(np.float64)  # whole numbers below 2**24
         est = (2 * (step * inside + low * self.ones) - total) / np.sqrt(self.dim) / self.scale
         both = other.norm[at][:, None] * self.norm
         slack = SPREAD * (self.error + step / np.sqrt(12) / self.scale)
@@ -175,27 +171,21 @@ class Codes:
         """Pairs (row of ``at``, coded vector) whose estimate plus error is at least ``least``.
 
         The condition of ``bounds`` solved for the counted bits: what they must exceed is a product of two thin matrices,
-        so a pair costs the bit counts and one comparison.
+        so a pair costs one product of its levels and bits with those beside them, and one comparison.
         """
-        low, step, total, inside = self._asked(other, at)
-        gain = np.maximum(self.norm, 1e-9) / (np.sqrt(self.dim) * self.scale)
+        low, step, level, total = other._asked(at)
         norm = np.maximum(other.norm[at], 1e-9)[:, None]
         root = np.sqrt(self.dim)
-        of_query = np.hstack([2 * low, -total, np.full_like(low, SPREAD), SPREAD * step / np.sqrt(12) * root, 1 / norm, (other.to_centre[at][:, None] - self.centre2 - least) / norm]) / (-2 * step)
-        of_code = np.vstack([self.ones, np.ones_like(gain), self.error * self.scale * root, np.ones_like(gain), self.to_centre / gain, 1 / gain])
-        return np.nonzero(inside + np.float32(0.01) >= of_query.astype(np.float32) @ of_code.astype(np.float32))
-
-
-def search_cell(ids, x, is_query, is_target, is_home, centre, turn, k, least):
-    """(query, target, similarity): for each query the k best of the unit vectors ``x`` with at least ``least``."""
-    q_at, t_at = np.flatnonzero(is_query), np.flatnonzero(is_target)
-    if not len(q_at) or not len(t_at):
-        return [], [], []
-    codes = Codes(x, centre, turn)
-    targets = Codes(x[t_at], centre, turn) if len(t_at) < len(x) else codes
+        of_query = np.hstack([2 * low, -total, np.full_like(low, SPREAD), SPREAD * step / np.sqrt(12) * root, 1 / norm, (other.to_centre[at][:, None] - self.centre2 - least) / norm]) / (2 * step)
+        over = np.hstack([level, of_query]).astype(np.float32) @ self.code
+        return np.divmod(np.flatnonzero(over >= np.float32(-0.01)), over.shape[1])
+
+
+def search(ids, x, codes, t_ids, t_x, targets, k, least):
+    """(query, target, similarity): for each of the unit vectors ``x`` the k best of ``t_x`` with at least ``least``."""
     out_q, out_t, out_s = [], [], []
-    for start in range(0, len(q_at), 256):
-        at = q_at[start : start + 256]
+    for start in range(0, len(ids), 256):
+        at = np.arange(start, min(start + 256, len(ids)))
         wide = np.arange(len(at))  # queries whose candidates are narrowed to those that can be among the k best
         qi, ti = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if least is not None:
@@ -203,27 +193,26 @@ def search_cell(ids, x, is_query, is_target, is_home, centre, turn, k, least):
             wide = np.flatnonzero(np.bincount(qi, minlength=len(at)) > 256)
         if len(wide):
             est, err = targets.bounds(codes, at[wide])
-            barred = (ids[at[wide]][:, None] == ids[t_at]) | ~(is_home[at[wide]][:, None] | is_home[t_at])
+            barred = ids[at[wide]][:, None] == t_ids
             floor = np.full(len(wide), -1.0 if least is None else least)
-            if len(t_at) > k:
+            if len(t_ids) > k:
                 lower = np.where(barred, -2, est - err)
-                floor = np.maximum(floor, np.partition(lower, len(t_at) - k, axis=1)[:, len(t_at) - k])
+                floor = np.maximum(floor, np.partition(lower, len(t_ids) - k, axis=1)[:, len(t_ids) - k])
             wi, wt = np.nonzero((est + err >= floor[:, None] - 1e-9) & ~barred)
             narrow = ~np.isin(qi, wide)
             qi, ti = np.r_[qi[narrow], wide[wi]], np.r_[ti[narrow], wt]
-        ok = (ids[at[qi]] != ids[t_at[ti]]) & (is_home[at[qi]] | is_home[t_at[ti]])
+        ok = ids[at[qi]] != t_ids[ti]
         qi, ti = qi[ok], ti[ok]
         if not len(qi):
             continue
-        s = np.concatenate([np.einsum("ij,ij->i", x[at[qi[a : a + 65536]]], x[t_at[ti[a : a + 65536]]]) for a in range(0, len(qi), 65536)]).round(12)
+        s = np.concatenate([np.einsum("ij,ij->i", x[at[qi[a : a + 65536]]], t_x[ti[a : a + 65536]]) for a in range(0, len(qi), 65536)]).round(12)
         ok = s >= (-2 if least is None else least)
-        qi, t, s = qi[ok], t_at[ti[ok]], s[ok]
-        order = np.lexsort((ids[t], -s, qi))
-        qi, t, s = qi[order], t[order], s[order]
-        rank = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left")
-        top = rank < k
+        qi, ti, s = qi[ok], ti[ok], s[ok]
+        order = np.lexsort((t_ids[ti], -s, qi))
+        qi, ti, s = qi[order], ti[order], s[order]
+        top = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") < k
         out_q.append(ids[at[qi[top]]])
-        out_t.append(ids[t[top]])
+        out_t.append(t_ids[ti[top]])
         out_s.append(s[top])
     return out_q, out_t, out_s
 
@@ -274,14 +263,11 @@ def located(vectors: DataFrame, cells, margin: float, probes: int | None, every:
     return vectors.select("id", "grp", "emb", asked.alias("asked")).mapInArrow(run, "id long, grp string, vec binary, cells array<int>, near double")
 
 
-def divided(rows: DataFrame, large: DataFrame, cell: int, margin: float, probes: int | None, dim: int) -> DataFrame:
-    """(cell, sub, id, flags, vec): rows (cell, id, flags, near, vec) of large cells in the smaller cells of each.
-
-    ``large`` has (cell, n, salts). Flag 4 (at home) is kept in the nearest smaller cell of the own large cell only.
-    """
-    inside = rows.join(F.broadcast(large), "cell")
+def divided(singles: DataFrame, large: DataFrame, cell: int, dim: int) -> DataFrame:
+    """(cell, sub, vec): the centres of the smaller cells of each large cell. ``large`` has (cell, n)."""
+    inside = singles.select(F.col("cells")[0].alias("cell"), "id", "vec").join(F.broadcast(large.select("cell", "n")), "cell")
     share = F.lit(PER_CENTRE) * F.least(F.ceil(F.col("n") / cell), F.lit(CENTRES)) / F.col("n")
-    sample = inside.where((F.col("flags").bitwiseAND(4) > 0) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)).select("cell", "n", "id", "vec")
+    sample = inside.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)
 
     def fit(t: pa.Table) -> pa.Table:  # one large cell's sample, bounded by CENTRES * PER_CENTRE
         t = t.sort_by("id")
@@ -289,43 +275,58 @@ def divided(rows: DataFrame, large: DataFrame, cell: int, margin: float, probes:
         centres = fitted(x, int(np.clip(-(-t.column("n")[0].as_py() // cell), 1, min(CENTRES, max(1, len(x) // 2)))))
         return pa.table({"cell": pa.array([t.column("cell")[0].as_py()] * len(centres), pa.int32()), "sub": pa.array(range(len(centres)), pa.int32()), "vec": pa.array([v.astype(np.float32).tobytes() for v in centres], pa.binary())})
 
-    centres = materialise(sample.groupBy("cell").applyInArrow(fit, "cell int, sub int, vec binary"), "centres")
-    # centres travel ahead of the rows, once for each salted part of their cell
-    ahead = centres.join(F.broadcast(large), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "sub", F.lit(None).cast("long").alias("id"), F.lit(0).cast("byte").alias("flags"), F.lit(0.0).alias("near"), "vec")
-    behind = inside.select("cell", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(None).cast("int").alias("sub"), "id", "flags", "near", "vec")
-
-    def place(batches):
-        key, held = None, []
-        for b in batches:
-            z, salt = b.column(0).to_numpy(), b.column(1).to_numpy()
-            starts = np.flatnonzero(np.r_[True, (z[1:] != z[:-1]) | (salt[1:] != salt[:-1])]) if len(z) else []
-            for a, e in zip(starts, np.r_[starts[1:], len(z)] if len(z) else []):
-                if key != (z[a], salt[a]):
-                    key, held = (z[a], salt[a]), []
-                part = b.slice(int(a), int(e - a))
-                centre = np.asarray(part.column(3).is_null())
-                held += [np.frombuffer(v, np.float32) for v in part.column(6).filter(pa.array(centre)).to_pylist()]
-                own = part.filter(pa.array(~centre))
-                if not own.num_rows:
-                    continue
-                if not held:  # a cell whose sample is empty stays whole
-                    held = [np.zeros(dim, np.float32)]
-                flags, home = own.column(4).to_numpy(), own.column(5).to_numpy()
-                near = unit(_unpacked(own.column(6), dim)) @ np.array(held, np.float64).T
-                best = near.argmax(1)
-                at_home = (flags & 4) > 0
-                reach = within_reach(near, margin, probes) & ((near >= home[:, None] - margin) | at_home[:, None])
-                reach &= ((flags & 1) > 0)[:, None]  # only what asks looks into other cells
-                reach[at_home, best[at_home]] = True
-                r, sub = np.nonzero(reach)
-                kept = flags[r] & np.where(at_home[r] & (sub == best[r]), 7, np.where((flags[r] & 2) > 0, 3, 1))
-                take = pa.array(r)
-                yield pa.RecordBatch.from_arrays(
-                    [own.column(0).take(take), pa.array(sub.astype(np.int32)), own.column(3).take(take), pa.array(kept.astype(np.int8)), own.column(6).take(take)], names=["cell", "sub", "id", "flags", "vec"]
-                )
-
-    both = ahead.unionByName(behind).repartition("cell", "salt").sortWithinPartitions("cell", "salt", F.col("id").asc_nulls_first(), "sub")
-    return both.mapInArrow(place, "cell int, sub int, id long, flags byte, vec binary")
+    return materialise(sample.groupBy("cell").applyInArrow(fit, "cell int, sub int, vec binary"), "centres", free=True)
+
+
+class Region:
+    """The vectors at home in one cell, or in a part of it, in smaller cells if the cell has some; others pass by."""
+
+    def __init__(self, centres: np.ndarray, ids, vecs, asks, every: bool, margin: float, probes: int | None, turn, k: int, least: float | None):
+        self.centres, self.every, self.margin, self.probes, self.turn, self.k, self.least = centres, every, margin, probes, turn, k, least
+        self.blocks: list[list] = [[] for _ in range(max(1, len(centres)))]
+        best = np.concatenate([(unit(vecs[a : a + 8192]) @ centres.T).argmax(1) for a in range(0, len(vecs), 8192)]) if len(centres) > 1 else np.zeros(len(vecs), np.int64)
+        for sub, blocks in enumerate(self.blocks):
+            own = np.flatnonzero(best == sub)
+            x = unit(vecs[own])
+            middle = x.mean(0) if len(own) else None  # one for all blocks, as codes around it are compared
+            for a in range(0, len(own), SPLIT):
+                at, part = own[a : a + SPLIT], x[a : a + SPLIT]
+                blocks.append((ids[at], part, asks[at], Codes(part, middle, turn), middle))
+        self.best = best
+
+    def at_home(self):
+        """Every vector that asks against those of its own smaller cell."""
+        for blocks in self.blocks:
+            for ids, x, asks, codes, middle in blocks:
+                asked = codes if asks.all() else Codes(x[asks], middle, self.turn)
+                for t_ids, t_x, _, targets, _ in blocks if len(asked.norm) else []:
+                    yield search(ids[asks], x[asks], asked, t_ids, t_x, targets, self.k, self.least)
+
+    def passing(self, ids, x, near_home, inside, best=None):
+        """Vectors that ask against those at home in the smaller cells they reach; the other way round, if all ask or
+        they are of this cell.
+
+        ``near_home``: how near their own centre is; ``inside``: which are of this cell; ``best``: smaller cells they are
+        at home in, for those of this region.
+        """
+        reach = np.ones((len(x), 1), bool)
+        if len(self.centres):
+            near = x @ self.centres.T
+            reach = within_reach(near, self.margin, self.probes) & ((near >= near_home[:, None] - self.margin) | inside[:, None])
+        if best is not None:
+            reach[np.arange(len(x)), best] = False
+        for sub, blocks in enumerate(self.blocks):
+            at = np.flatnonzero(reach[:, sub])
+            if not len(at) or not blocks:
+                continue
+            here = Codes(x[at], blocks[0][4], self.turn)
+            aimed = at if self.every else at[inside[at]]
+            back = here if len(aimed) == len(at) else Codes(x[aimed], blocks[0][4], self.turn)
+            for t_ids, t_x, t_asks, targets, middle in blocks:
+                yield search(ids[at], x[at], here, t_ids, t_x, targets, self.k, self.least)
+                if len(aimed) and t_asks.any():
+                    asked = targets if t_asks.all() else Codes(t_x[t_asks], middle, self.turn)
+                    yield search(t_ids[t_asks], t_x[t_asks], asked, ids[aimed], x[aimed], back, self.k, self.least)
 
 
 def nearest(vectors: DataFrame, k: int = 5, least: float | None = None, margin: float = 0.15, probes: int | None = 64, queries=None, cell: int = CELL, dim: int = DIM) -> DataFrame:
@@ -341,71 +342,122 @@ def nearest(vectors: DataFrame, k: int = 5, least: float | None = None, margin:
     rows = materialise(located(source, shared, margin, probes, every, wanted, dim), "located")
     hashed = rows.select("id", "grp", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(7), "vec").alias("h2"))
     classes = hashed.groupBy("grp", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    copies = materialise(hashed.join(classes.select("grp", "h1", "h2", "rep"), ["grp", "h1", "h2"]).select("id", "rep").distinct(), "copies")
-    extra = copies.where("id <> rep").select("id")
-    if extra.count() <= BROADCAST_ROWS:
-        extra = F.broadcast(extra)
-    singles = rows.join(extra, "id", "left_anti")
+    copies = materialise(hashed.join(classes.select("grp", "h1", "h2", "rep"), ["grp", "h1", "h2"]).select("id", "rep").distinct(), "copies", free=True)
+    extra = copies.where("id <> rep").select("id").distinct()
+    many = extra.count() > BROADCAST_ROWS
+    singles = rows.join(extra if many else F.broadcast(extra), "id", "left_anti")
     asked = wanted
     if not every:  # a copy that is asked for asks through its class
         through = copies.where(queries).select(F.col("rep").alias("id")).distinct().withColumn("through", F.lit(True))
-        singles = singles.join(through, "id", "left")
+        wide = many or through.count() > BROADCAST_ROWS
+        singles, many = singles.join(through if wide else F.broadcast(through), "id", "left"), wide
         asked = wanted | F.col("through").isNotNull()
-    flags = F.when(asked, 1).otherwise(0) + F.when((F.col("z") == 0) | F.lit(every), 2).otherwise(0) + F.when(F.col("z") == 0, 4).otherwise(0)
-    placed = singles.select("*", F.posexplode("cells").alias("z", "cell")).select("cell", "id", flags.cast("byte").alias("flags"), "near", "vec")
-    sizes = singles.groupBy(F.col("cells")[0].alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > LARGE * cell)
-    large = sizes.withColumn("salts", F.ceil(F.col("n") / PLACED).cast("int")).collect()  # at most one row per centre
-    small = placed.select("cell", F.lit(0).alias("sub"), "id", "flags", "vec")
+    singles = singles.select("id", "vec", "near", "cells", asked.alias("asked"))
+    if many:  # whole vectors are sorted by id once, not for each wave
+        singles, done = materialise(singles, "singles", free=True), rows
+        discard(done)
+        rows = singles
+    sizes = singles.groupBy(F.col("cells")[0].alias("cell")).agg(F.count("*").alias("n"), F.sum(F.size("cells")).alias("moved")).collect()  # one row a centre
+    large = [(r["cell"], r["n"], -(-r["n"] // PLACED)) for r in sizes if r["n"] > LARGE * cell]
+    several = {c: p for c, _, p in large if p > 1}
+    centres = parts = None
     if large:
-        large = spark.createDataFrame(large, "cell int, n long, salts int")
-        fine = materialise(divided(placed, large, cell, margin, probes, dim), "divided")
-        small = small.join(F.broadcast(large.select("cell")), "cell", "left_anti").unionByName(fine)
-        over = fine.groupBy("cell", "sub").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")).where("parts > 1")
-        small = small.join(over, ["cell", "sub"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    else:
-        small = small.withColumn("parts", F.lit(1))
-    # block i of the queries meets block j of the targets in part i * parts + j
-    own, asks, aimed = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.col("flags").bitwiseAND(1) > 0, F.col("flags").bitwiseAND(2) > 0
-    every_block = F.sequence(F.lit(0), F.col("parts") - 1)
-    as_query = F.when(asks, F.transform(every_block, lambda j: own * F.col("parts") + j)).otherwise(F.array().cast("array<int>"))
-    as_target = F.when(aimed, F.transform(every_block, lambda i: i * F.col("parts") + own)).otherwise(F.array().cast("array<int>"))
-    split = small.select("cell", "sub", "parts", "id", "flags", "vec", own.alias("own"), F.explode(F.array_union(as_query, as_target)).alias("part"))
-    asks_here, aimed_here = asks & (F.floor(F.col("part") / F.col("parts")) == F.col("own")), aimed & (F.col("part") % F.col("parts") == F.col("own"))
-    here = F.when(asks_here, 1).otherwise(0) + F.when(aimed_here, 2).otherwise(0) + F.col("flags").bitwiseAND(4)
-    blocks = split.select("cell", "sub", "part", "id", here.cast("byte").alias("flags"), "vec")
+        parts = spark.createDataFrame(large, "cell int, n long, parts int")
+        centres = divided(singles, parts, cell, dim)
+    # a vector is moved to each part of each cell it is compared in, for a share of the parts at once
+    waves = max(1, -(-sum(r["moved"] * several.get(r["cell"], 1) for r in sizes) // (WAVE * max(1, sum(r["n"] for r in sizes)))))
 
     def work(batches):
         turn = rotation(dim)
-        held, key = [], None
-
-        def flush():
-            if not held:
-                return None
-            ids, flags, vecs = (np.concatenate(x) for x in zip(*held))
-            x = unit(vecs)
-            centre = x[(flags & 2) > 0].mean(0) if ((flags & 2) > 0).any() else x.mean(0)
-            q, t, s = search_cell(ids, x, (flags & 1) > 0, (flags & 2) > 0, (flags & 4) > 0, centre, turn, k, least)
-            if not q:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(q)), pa.array(np.concatenate(t)), pa.array(np.concatenate(s))], names=["id", "other", "similarity"])
+        key, region = None, None
+        ahead, homes, passing = [], [], []
+
+        def found(results):
+            q, t, s = [], [], []
+            for result in results:
+                for all_of, some in zip((q, t, s), result):
+                    all_of += some
+            if q:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q)), pa.array(np.concatenate(t)), pa.array(np.concatenate(s))], names=["id", "other", "similarity"])
+
+        def opened():
+            nonlocal region, homes
+            ids, asks, near, _, vecs = (np.concatenate(c) for c in zip(*homes))
+            homes = []
+            region = Region(np.array(ahead, np.float64).reshape(-1, dim), ids, vecs, asks, every, margin, probes, turn, k, least)
+            yield from found(region.at_home())
+            if len(region.centres) > 1:
+                for a in range(0, len(ids), PASSING):
+                    at = a + np.flatnonzero(asks[a : a + PASSING])
+                    yield from found(region.passing(ids[at], unit(vecs[at]), near[at], np.ones(len(at), bool), region.best[at]))
+
+        def passed():
+            nonlocal passing
+            ids, _, near, inside, vecs = (np.concatenate(c) for c in zip(*passing))
+            passing = []
+            yield from found(region.passing(ids, unit(vecs), near, inside))
+
+        def closed():
+            if homes:
+                yield from opened()
+            if passing and region:
+                yield from passed()
 
         for b in batches:
             if not b.num_rows:
                 continue
             at = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
-            ids, flags, vecs = b.column(3).to_numpy(), b.column(4).to_numpy(), _unpacked(b.column(5), dim)
+            ids, asks, near, inside = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3, 7))
+            vecs = _unpacked(b.column(7), dim)
             starts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(1)])
             for a, e in zip(starts, np.r_[starts[1:], len(at)]):
-                if key != tuple(at[a]):
-                    if (done := flush()) is not None:
-                        yield done
-                    held, key = [], tuple(at[a])
-                held.append((ids[a:e], flags[a:e], vecs[a:e]))
-        if (done := flush()) is not None:
-            yield done
-
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(map(len, cells.centres.values())) // 8)
-    pairs = blocks.repartition(n, "cell", "sub", "part").sortWithinPartitions("cell", "sub", "part", "id").mapInArrow(work, "id long, other long, similarity double")
+                if key != (at[a, 0], at[a, 1]):
+                    yield from closed()
+                    key, region = (at[a, 0], at[a, 1]), None
+                    ahead, homes, passing = [], [], []
+                kind, some = at[a, 2], (ids[a:e], asks[a:e], near[a:e], inside[a:e], vecs[a:e])
+                if kind == 0:
+                    ahead += list(vecs[a:e])
+                elif kind == 1:
+                    homes.append(some)
+                else:
+                    if homes:
+                        yield from opened()
+                    if region:  # a part may be without vectors of its own
+                        passing.append(some)
+                        if sum(len(c[0]) for c in passing) >= PASSING:
+                            yield from passed()
+        yield from closed()
+
+    def wave(w: int) -> DataFrame:
+        turn = lambda c, part: F.pmod(c + part, F.lit(waves)) == w
+        part = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: turn(F.col("cell"), i)))
+        here = F.transform("cells", lambda c, z: F.struct(c.alias("cell"), (z == 0).alias("inside")))
+        moved = singles.select("id", "asked", "near", "vec", F.inline(F.filter(here, lambda c: turn(c["cell"], F.lit(0)) | c["cell"].isin(*several))))
+        moved = moved.join(F.broadcast(parts.select("cell", "parts")), "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1))) if large else moved.withColumn("parts", F.lit(1))
+        moved = moved.withColumn("part", part)
+        own = F.col("inside") & (F.pmod(F.xxhash64("id"), F.col("parts")) == F.col("part"))
+        moved = moved.where(own | F.col("asked")).select("cell", "part", F.when(own, 1).otherwise(2).alias("kind"), "id", "asked", "near", "inside", "vec")
+        if large:  # centres travel ahead of the vectors, once for each part of their cell
+            some = centres.join(F.broadcast(parts), "cell")
+            moved = moved.unionByName(some.select("cell", part.alias("part"), F.lit(0).alias("kind"), F.col("sub").cast("long").alias("id"), F.lit(False).alias("asked"), F.lit(0.0).alias("near"), F.lit(False).alias("inside"), "vec"))
+        n = max(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // waves), len(sizes) // (4 * waves), min(len(sizes), 12))
+        return moved.repartition(n, "cell", "part").sortWithinPartitions("cell", "part", "kind", "id").mapInArrow(work, "id long, other long, similarity double")
+
+    if waves == 1:
+        pairs = wave(0)
+    else:
+        pairs = None
+        for w in range(waves):  # the files of a wave's shuffle are removed before the next
+            got = materialise(wave(w), "pairs", free=True)
+            if pairs is not None and least is None:  # lists without a least similarity are cut to k at once
+                both = materialise(_top(pairs.unionByName(got).groupBy("id", "other").agg(F.max("similarity").alias("similarity")), k).drop("rank"), "pairs", free=True)
+                discard(pairs)
+                discard(got)
+                pairs = both
+            else:
+                pairs = got if pairs is None else pairs.unionByName(got)
+        discard(rows)
     best = _top(pairs.groupBy("id", "other").agg(F.max("similarity").alias("similarity")), k)
     # copies: a class lists its own first k + 1 members and those of its neighbours; each member skips itself
     ranked = copies.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("n") <= k + 1).select("id", "rep")

@@ -27,18 +27,40 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def materialise(df: DataFrame, label: str = "t") -> DataFrame:
+#: Spark's setting that removes the files of a query's shuffles when the query ends.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, label: str = "t", free: bool = False) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     The lineage ends there, so a lost executor costs only the rereading of files. The folder is removed when the
-    driver ends.
+    driver ends. ``free`` removes the files of the write's shuffles at once, not when the driver happens to collect
+    its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(temporary(path, spark))
+    before = spark.conf.get(FREE, None)
+    if free:
+        spark.conf.set(FREE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(temporary(path, spark))
+    finally:
+        if free and before is None:
+            spark.conf.unset(FREE)
+        elif free:
+            spark.conf.set(FREE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a materialised table that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
 def temporary(path: str, spark: SparkSession) -> str:
     """``path``, which is removed when the driver ends."""
     if not _made:

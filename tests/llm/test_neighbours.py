@@ -1,3 +1,7 @@
+import os
+import threading
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +111,57 @@ def test_comparisons_per_vector_do_not_grow(monkeypatch):
         if size > neighbours.LARGE * neighbours.CELL:
             size /= min(-(-size // neighbours.CELL), neighbours.CENTRES)
         assert size <= neighbours.LARGE * neighbours.CELL
+
+
+@pytest.mark.parametrize("least", [None, 0.6])
+def test_waves_change_nothing(spark, monkeypatch, least):
+    df, got = spark.createDataFrame(made(), SCHEMA), []
+    for wave in (1, 1000):
+        monkeypatch.setattr(neighbours, "WAVE", wave)
+        got.append({(r["id"], r["other"], r["similarity"], r["rank"]) for r in nearest(df, k=5, least=least, cell=60).collect()})
+    assert got[0] == got[1] and len(got[0]) > 1000
+
+
+@pytest.mark.parametrize("stated", [False, True])
+def test_many_copies_are_dropped_by_a_join(spark, monkeypatch, stated):
+    df, got = spark.createDataFrame(made(), SCHEMA), []
+    for most in (10, 1000):
+        monkeypatch.setattr(neighbours, "BROADCAST_ROWS", most)
+        got.append({(r["id"], r["other"], r["rank"]) for r in nearest(df, k=5, least=0.6, cell=120, queries=F.col("id") % 10 == 0 if stated else None).collect()})
+    assert got[0] == got[1] and got[0]
+
+
+def test_disk_is_bounded_whatever_number_of_cells_is_searched(spark):
+    """Files of shuffles and of the shared folder at their peak, where a vector is compared in dozens of cells."""
+    n, blocks = 6000, spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    x = np.random.default_rng(3).standard_normal((n, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, "a", "t", i, "m", v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    folders = [Path(f.getPath()) for f in blocks.localDirs()] + [shared]
+
+    def used():
+        total = 0
+        for folder in folders:
+            for at, _, files in os.walk(folder):
+                for f in files:
+                    try:
+                        total += os.path.getsize(os.path.join(at, f))
+                    except OSError:
+                        pass
+        return total
+
+    before, peak, over = used(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.01):
+            peak[0] = max(peak[0], used() - before)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        nearest(df, least=0.5, cell=60, margin=0.3).collect()
+        peak[0] = max(peak[0], used() - before)
+    finally:
+        over.set()
+        watcher.join()
+    assert peak[0] <= 4.5 * x.nbytes
