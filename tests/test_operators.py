@@ -241,6 +241,35 @@ def test_many_questions_and_stored_indexes_change_nothing(spark, corpus, tmp_pat
     assert again == {(q, t, i, s) for q, x in got.items() for t, i, s, _ in x}
 
 
+def test_many_questions_take_one_pass(spark, corpus, tmp_path, monkeypatch):
+    e = SeededEmbedder(64)
+    texts = ["quorum", "formula or plain", "like the question", "-quorum", r"\alpha^{2}+\beta", "the", '"a formula" -plain']
+    questions = spark.createDataFrame([(i, t, [float(x) for x in e.queries([f"q{i}"], "ask")[0]]) for i, t in enumerate(texts)], "question long, text string, emb array<double>")
+    index = retrieval.write_index(corpus["paragraphs"], str(tmp_path / "whole"))
+    passes = lambda q: retrieval.search_many(corpus | index, q)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    monkeypatch.setattr(retrieval, "AT_ONCE", 2)
+    assert passes(questions) <= passes(questions.where("question = 3 OR question = 0"))
+    # a word's places in a segment are one row
+    same = spark.createDataFrame([(i, "one two one") for i in range(50)], "pid long, text string").coalesce(1)
+    rows = retrieval.postings_of(same).collect()
+    assert sorted(r["term"] for r in rows) == ["", "one", "two"]
+    assert {r["term"]: (list(r["counts"][:2]), list(r["positions"][:4])) for r in rows if r["term"]} == {"one": ([2, 2], [0, 2, 0, 2]), "two": ([1, 1], [1, 1, 1, 1])}
+    # segments, passes and lists of words of any size give the same
+    hits = lambda t: sorted((r["question"], r["item_type"], r["item_id"], r["score"], r["place"], *sorted(r["channels"].items())) for r in retrieval.search_many(t, questions).collect())
+    whole = hits(corpus | index)
+    monkeypatch.setattr(retrieval, "SEGMENT", 10)
+    monkeypatch.setattr(retrieval, "TOGETHER", 3)
+    monkeypatch.setattr(retrieval, "LISTED", 0)
+    assert whole and hits(corpus | retrieval.write_index(corpus["paragraphs"], str(tmp_path / "parts"))) == whole == hits(corpus)
+
+
+def test_the_best_of_each_question_by_score_then_id():
+    import numpy as np
+
+    question, item, score = np.array([1, 1, 0, 1, 1, 0]), np.array([5, 4, 9, 5, 3, 9]), np.array([0.5, 0.9, 0.1, 0.95, 0.9, 0.2])
+    assert list(zip(*(x.tolist() for x in retrieval._best(question, item, score, 2)))) == [(0, 9, 0.2, 0), (1, 5, 0.95, 0), (1, 3, 0.9, 1)]
+
+
 def test_paper_filter_and_matched_positions(corpus):
     query = SeededEmbedder(64).queries(["find"], "ask")[0]
     assert ask(corpus, "quorum", papers=["Q"]) == [] and ask(corpus, "quorum", papers=["P"]) == ask(corpus, "quorum")
